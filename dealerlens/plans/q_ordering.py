@@ -1,3 +1,17 @@
 """Registered queries."""
 
 from __future__ import annotations
+
+from dealerlens.operators import sales as sl  # noqa: E402
+from dealerlens.plans.registry import register  # noqa: E402
+
+
+@register("reps_with_all", """
+SELECT 'ALL' AS rep_id, 'ALL' AS rep_name, 0 AS list_pos
+UNION ALL
+SELECT rep_key, max('Rep ' || substring(rep_key, 5)), 1 FROM sales WHERE rep_key IS NOT NULL GROUP BY rep_key
+""")
+def _reps_with_all(fx):
+    from dealerlens.plans.q_aggregates import _rep_name
+
+    return sl.reps_with_all(fx.sales, _rep_name())

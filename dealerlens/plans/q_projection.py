@@ -1,3 +1,13 @@
 """Registered queries."""
 
 from __future__ import annotations
+
+from dealerlens.fixtures import AS_OF  # noqa: E402
+from dealerlens.operators import sales as sl  # noqa: E402
+from dealerlens.plans.registry import register  # noqa: E402
+from dealerlens.plans.sql_snippets import AS_OF_SQL  # noqa: E402
+
+
+@register("as_of_sales", f"SELECT * FROM sales WHERE sale_date < {AS_OF_SQL} AND rep_key = 'REP-3'")
+def _as_of_sales(fx):
+    return sl.as_of_sales(fx.sales, AS_OF, "REP-3")

@@ -1,3 +1,99 @@
 """Registered queries."""
 
 from __future__ import annotations
+
+from dealerlens.fixtures import AS_OF  # noqa: E402
+from dealerlens.operators import sales as sl  # noqa: E402
+from dealerlens.plans.registry import register  # noqa: E402
+from dealerlens.plans.sql_snippets import AS_OF_SQL, MONTH, SCOPED, WONF  # noqa: E402
+
+_DAILY = f"""f AS (SELECT rep_scope, {MONTH} AS month, CAST(day(sale_date) AS INTEGER) AS day_num,
+                     CAST(sum({WONF}) AS BIGINT) AS contracted FROM scoped GROUP BY 1, 2, 3),
+d AS (SELECT rep_scope, month AS sale_month, day_num, contracted, lm AS latest_month FROM
+      (SELECT *, max(month) OVER (PARTITION BY rep_scope) AS lm FROM f) x
+      WHERE month >= CAST(lm - INTERVAL 1 MONTH AS DATE)),
+pd AS (SELECT rep_scope, day_num,
+              sum(CASE WHEN sale_month = latest_month THEN contracted END) AS cur_won,
+              sum(CASE WHEN sale_month < latest_month THEN contracted END) AS prev_won,
+              max(CASE WHEN sale_month = latest_month THEN 1 END) AS cur_seen,
+              max(CASE WHEN sale_month < latest_month THEN 1 END) AS prev_seen
+       FROM d GROUP BY 1, 2),
+b AS (SELECT rep_scope, coalesce(max(CASE WHEN cur_seen = 1 THEN day_num END), 0) AS cur_max_day,
+             coalesce(max(CASE WHEN prev_seen = 1 THEN day_num END), 0) AS prev_max_day,
+             CAST(sum(cur_won) AS BIGINT) AS cur_to_date, CAST(sum(prev_won) AS BIGINT) AS prev_total
+      FROM pd GROUP BY 1),
+ps AS (SELECT b.*, (SELECT CAST(sum(prev_won) AS BIGINT) FROM pd WHERE pd.rep_scope = b.rep_scope
+                    AND pd.day_num <= b.cur_max_day) AS prev_to_same FROM b)"""
+
+
+@register("pace_trend", f"""
+WITH {SCOPED}, {_DAILY},
+sp AS (SELECT rep_scope, cur_max_day, prev_max_day, CAST(g.day_num AS INTEGER) AS day_num
+       FROM b, generate_series(1, greatest(cur_max_day, prev_max_day)) AS g(day_num)),
+j AS (SELECT sp.*, pd.cur_won, pd.prev_won FROM sp LEFT JOIN pd ON sp.rep_scope = pd.rep_scope AND sp.day_num = pd.day_num)
+SELECT rep_scope, day_num,
+  CAST(CASE WHEN day_num <= cur_max_day THEN sum(coalesce(cur_won, 0)) OVER w END AS BIGINT) AS current,
+  CAST(CASE WHEN day_num <= prev_max_day THEN sum(coalesce(prev_won, 0)) OVER w END AS BIGINT) AS last_month
+FROM j WINDOW w AS (PARTITION BY rep_scope ORDER BY day_num ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+""")
+def _pace_trend(fx):
+    return sl.pace_trend(fx.sales, AS_OF)
+
+
+@register("same_period_diff", f"""
+WITH {SCOPED}, {_DAILY}
+SELECT rep_scope, cur_max_day, cur_to_date, coalesce(prev_to_same, 0) AS prev_to_same,
+       CASE WHEN coalesce(prev_to_same, 0) > 0
+            THEN round_even((cur_to_date - prev_to_same) / prev_to_same * 100, 1) END AS same_period_diff
+FROM ps
+""")
+def _same_period_diff(fx):
+    return sl.same_period_diff(fx.sales, AS_OF)
+
+
+@register("month_end_projection", f"""
+WITH {SCOPED}, {_DAILY},
+lm AS (SELECT rep_scope, CAST(date_trunc('month', max(sale_date)) AS DATE) AS latest_month FROM scoped GROUP BY 1),
+x AS (
+  SELECT ps.rep_scope, lm.latest_month, CAST(day(last_day(lm.latest_month)) AS INTEGER) AS days_in_month,
+         cur_to_date,
+         CAST(CASE WHEN cur_max_day > 0 THEN round_even(cur_to_date / cur_max_day * day(last_day(lm.latest_month)), 0) END AS BIGINT)
+           AS projected_total,
+         CAST(CASE WHEN prev_max_day > 0 THEN coalesce(prev_total, 0) END AS BIGINT) AS last_month_total
+  FROM ps JOIN lm ON ps.rep_scope = lm.rep_scope)
+SELECT *, coalesce(projected_total >= last_month_total, false) AS on_track FROM x
+""")
+def _month_end_projection(fx):
+    return sl.month_end_projection(fx.sales, AS_OF)
+
+
+@register("rate_diff_mom", f"""
+WITH {SCOPED},
+m AS (SELECT rep_scope, {MONTH} AS month,
+             CASE WHEN count(*) > 0 THEN floor((sum({WONF}) * 2000 + count(*)) / (count(*) * 2)) / 10 END AS win_rate
+      FROM scoped GROUP BY 1, 2),
+r AS (SELECT *, lag(win_rate) OVER (PARTITION BY rep_scope ORDER BY month) AS prev_rate,
+             row_number() OVER (PARTITION BY rep_scope ORDER BY month DESC) AS rn FROM m)
+SELECT rep_scope, month, win_rate, prev_rate, round_even(win_rate - prev_rate, 1) AS rate_diff FROM r WHERE rn = 1
+""")
+def _rate_diff_mom(fx):
+    return sl.rate_diff_mom(fx.sales, AS_OF)
+
+
+@register("latest_month", f"""
+WITH {SCOPED}
+SELECT rep_scope, CAST(date_trunc('month', max(sale_date)) AS DATE) AS latest_month FROM scoped GROUP BY 1
+""")
+def _latest_month(fx):
+    return sl.latest_month(fx.sales, AS_OF)
+
+
+@register("top_n_truncated", f"""
+WITH g AS (SELECT store_name, CAST(sum(CAST(sale_price AS DECIMAL(38,6))) AS DOUBLE) AS sale_price
+           FROM sales WHERE sale_date < {AS_OF_SQL} GROUP BY 1)
+SELECT *, (SELECT count(*) FROM g) AS full_size, (SELECT count(*) FROM g) > 12 AS truncated
+FROM g ORDER BY sale_price DESC, store_name LIMIT 12
+""")
+def _top_n_truncated(fx):
+    d = sl.dedupe_result(sl.as_of_sales(fx.sales, AS_OF).select("store_name", "sale_price"))
+    return sl.top_n_truncated(d, ["store_name"], "sale_price", 12)
