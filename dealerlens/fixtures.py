@@ -253,12 +253,11 @@ class Fixtures:
     # --- generated content -----------------------------------------------------
     @cached_property
     def recs(self) -> DataFrame:
-        modulus = self.raw("part").agg((F.count(F.lit(1)) + 10).alias("_m"))
-        ranks = self.spark.range(1, 4).select(F.col("id").cast("int").alias("rnk"))
+        modulus = self.raw("part").agg(F.count(F.lit(1)) + 10).scalar()
         cust = self.customers.select("customer_id")
-        # Both small sides are one-row / three-row frames: broadcast is bounded.
         return (
-            cust.crossJoin(F.broadcast(ranks)).crossJoin(F.broadcast(modulus))
+            cust.select("customer_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("rnk"))
+            .withColumn("_m", modulus)
             .select(
                 "customer_id", "rnk",
                 ((F.col("customer_id") * 7 + F.col("rnk") * 13) % F.col("_m")).alias("vehicle_key"),

@@ -312,11 +312,16 @@ def series_result(df: DataFrame, label: str) -> DataFrame:
 
     nums = [c for c in _numeric_columns(df) if c != label]
     by_name = {c: bool(re.search(RATE_NAME, c)) for c in nums}
-    prof = df.agg(*[F.min(c).alias(f"_mn_{c}") for c in nums], *[F.max(c).alias(f"_mx_{c}") for c in nums])
-    g = df.groupBy(label).agg(*[F.sum(c).alias(f"_s_{c}") for c in nums],
-                              *[F.avg(c).alias(f"_a_{c}") for c in nums])
-    # ``prof`` is a single global-aggregate row: a bounded broadcast.
-    j = g.crossJoin(F.broadcast(prof))
+    # Value profile of the raw rows: one scalar-subquery struct.
+    prof = df.agg(F.struct(*[F.min(c).alias(f"_mn_{c}") for c in nums],
+                           *[F.max(c).alias(f"_mx_{c}") for c in nums])).scalar()
+    # Sums are accumulated exactly (decimal for fractional columns) so the
+    # 1-decimal rounding below does not depend on summation order.
+    g = df.groupBy(label).agg(*[_exact_sum(c, df).alias(f"_s_{c}") for c in nums],
+                              *[F.count(c).alias(f"_n_{c}") for c in nums])
+    g = g.select(label, *[F.col(f"_s_{c}") for c in nums],
+                 *[(F.col(f"_s_{c}") / F.col(f"_n_{c}")).alias(f"_a_{c}") for c in nums])
+    j = g.withColumn("_prof", prof).select("*", "_prof.*").drop("_prof")
     out = [F.col(label)]
     for c in nums:
         by_range = (F.col(f"_mx_{c}") <= 100) & (F.col(f"_mn_{c}") >= 0) & (F.col(f"_mx_{c}") - F.col(f"_mn_{c}") < 80)
@@ -331,8 +336,8 @@ def top_n_truncated(df: DataFrame, label_cols: list[str], measure: str, n: int =
     and a truncated flag.  Top-k is a distributed ``TakeOrderedAndProject``; the
     count is a one-row aggregate."""
     top = df.orderBy(F.col(measure).desc(), *[F.col(c) for c in label_cols]).limit(n)
-    size = df.agg(F.count(F.lit(1)).alias("full_size"))
-    return (top.crossJoin(F.broadcast(size))
+    size = df.agg(F.count(F.lit(1))).scalar()
+    return (top.withColumn("full_size", size)
             .withColumn("truncated", F.col("full_size") > n))
 
 

@@ -23,7 +23,7 @@ def duck_connection(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _norm(v, digits: int):
-    if v is None:
+    if v is None or v is pd.NaT:
         return None
     if isinstance(v, (float, np.floating)):
         if math.isnan(v):

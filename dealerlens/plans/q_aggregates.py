@@ -144,7 +144,7 @@ def _series_input(sales):
     return (s.groupBy(sl.month_of("sale_date").alias("month"), "rep_key")
             .agg(F.count(F.lit(1)).alias("deals"),
                  F.sum(F.when(F.col("outcome") == "won", 1).otherwise(0)).cast("bigint").alias("won_deals"),
-                 F.sum("list_price").alias("pipeline_value"),
+                 F.sum(F.col("list_price").cast("decimal(18,2)")).cast("double").alias("pipeline_value"),
                  sl.pct1(F.sum(F.when(F.col("outcome") == "won", 1).otherwise(0)), F.count(F.lit(1))).alias("win_rate"))
             .drop("rep_key"))
 
@@ -152,12 +152,15 @@ def _series_input(sales):
 _SERIES_SQL = f"""
 WITH b AS (
   SELECT {MONTH} AS month, count(*) AS deals, CAST(sum({WONF}) AS BIGINT) AS won_deals,
-         sum(list_price) AS pipeline_value, {pct1(f'sum({WONF})', 'count(*)')} AS win_rate
+         CAST(sum(CAST(list_price AS DECIMAL(18,2))) AS DOUBLE) AS pipeline_value, {pct1(f'sum({WONF})', 'count(*)')} AS win_rate
   FROM sales WHERE sale_date < {AS_OF_SQL} GROUP BY {MONTH}, rep_key),
 p AS (SELECT min(deals) AS mn1, max(deals) AS mx1, min(won_deals) AS mn2, max(won_deals) AS mx2,
              min(pipeline_value) AS mn3, max(pipeline_value) AS mx3 FROM b),
-g AS (SELECT month, sum(deals) AS s1, avg(deals) AS a1, sum(won_deals) AS s2, avg(won_deals) AS a2,
-             sum(pipeline_value) AS s3, avg(pipeline_value) AS a3, avg(win_rate) AS a4 FROM b GROUP BY month)
+g AS (SELECT month, sum(deals) AS s1, sum(deals) / count(deals) AS a1, sum(won_deals) AS s2,
+             sum(won_deals) / count(won_deals) AS a2,
+             CAST(sum(CAST(pipeline_value AS DECIMAL(38,6))) AS DOUBLE) AS s3,
+             CAST(sum(CAST(pipeline_value AS DECIMAL(38,6))) AS DOUBLE) / count(pipeline_value) AS a3,
+             CAST(sum(CAST(win_rate AS DECIMAL(38,6))) AS DOUBLE) / count(win_rate) AS a4 FROM b GROUP BY month)
 SELECT month,
   floor(coalesce(CASE WHEN coalesce(mx1 <= 100 AND mn1 >= 0 AND mx1 - mn1 < 80, false) THEN a1 ELSE s1 END, 0) * 10 + 0.5) / 10 AS deals,
   floor(coalesce(CASE WHEN coalesce(mx2 <= 100 AND mn2 >= 0 AND mx2 - mn2 < 80, false) THEN a2 ELSE s2 END, 0) * 10 + 0.5) / 10 AS won_deals,

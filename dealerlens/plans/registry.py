@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from dealerlens.fixtures import Fixtures
+from dealerlens.plans import derived_views  # noqa: F401  (registers derived oracle views)
 from dealerlens.plans.oracle_views import with_views
 
 
