@@ -212,3 +212,88 @@ SELECT region, count(*) AS stores, round(avg(store_rate), 4) AS avg_store_rate F
 """)
 def _region_store_conversion(fx):
     return sl.region_store_conversion(fx.sales, AS_OF)
+
+
+from dealerlens.operators import monitoring as mon  # noqa: E402
+from dealerlens.plans import derived  # noqa: E402
+
+
+@register("behavior_summary", "SELECT * FROM behavior")
+def _behavior_summary(fx):
+    return derived.behavior(fx)
+
+
+@register("trace_stats", """
+SELECT count(*) AS total_traces, CAST(sum(CASE WHEN status = 'OK' THEN 1 ELSE 0 END) AS BIGINT) AS ok_count,
+       CAST(sum(CASE WHEN status = 'ERROR' THEN 1 ELSE 0 END) AS BIGINT) AS error_count,
+       round(sum(CASE WHEN status = 'ERROR' THEN 1 ELSE 0 END) / count(*), 4) AS error_rate,
+       round(avg(CASE WHEN status = 'OK' THEN execution_time_ms END), 2) AS avg_latency_ms,
+       CAST(sum(CASE WHEN status = 'OK' THEN total_tokens END) AS BIGINT) AS total_tokens,
+       round(coalesce(sum(CASE WHEN status = 'OK' THEN total_tokens END), 0) * 0.000015, 4) AS total_cost
+FROM traces""")
+def _trace_stats(fx):
+    return mon.trace_stats(fx.traces)
+
+
+@register("usage_by_type", """
+SELECT CAST(sum(CASE WHEN contains(trace_name, 'recommendation') THEN 1 ELSE 0 END) AS BIGINT) AS recommendation,
+       CAST(sum(CASE WHEN contains(trace_name, 'insight') THEN 1 ELSE 0 END) AS BIGINT) AS insight,
+       CAST(sum(CASE WHEN contains(trace_name, 'chat') THEN 1 ELSE 0 END) AS BIGINT) AS chat
+FROM traces""")
+def _usage_by_type(fx):
+    return mon.usage_by_type(fx.traces)
+
+
+@register("evaluation_summary", """
+WITH s AS (SELECT CAST(g.r AS INTEGER) AS rating FROM generate_series(1, 5) AS g(r)),
+d AS (SELECT rating, count(*) AS cnt FROM evaluations GROUP BY 1)
+SELECT s.rating, coalesce(d.cnt, 0) AS cnt, (SELECT count(*) FROM evaluations) AS total,
+       (SELECT round(avg(rating), 2) FROM evaluations) AS avg_rating,
+       (SELECT count(ground_truth) FROM evaluations) AS with_ground_truth
+FROM s LEFT JOIN d ON s.rating = d.rating""")
+def _evaluation_summary(fx):
+    return mon.evaluation_summary(fx.evaluations)
+
+
+@register("quality_summary", """
+WITH q AS (SELECT l.*, e.evaluator, e.evaluator IS NOT NULL AS evaluated
+           FROM quality_logs l LEFT JOIN evaluations e ON l.trace_id = e.trace_id)
+SELECT count(*) AS total, CAST(sum(CASE WHEN needs_review AND NOT evaluated THEN 1 ELSE 0 END) AS BIGINT) AS alerts,
+       count(*) - CAST(sum(CASE WHEN needs_review AND NOT evaluated THEN 1 ELSE 0 END) AS BIGINT) AS ok,
+       CAST(sum(CASE WHEN NOT needs_review THEN 1 ELSE 0 END) AS BIGINT) AS ok_strict,
+       round(avg(overall), 2) AS avg_judge_score,
+       CAST(sum(CASE WHEN evaluated THEN 1 ELSE 0 END) AS BIGINT) AS evaluated_count,
+       count(*) - CAST(sum(CASE WHEN evaluated THEN 1 ELSE 0 END) AS BIGINT) AS unevaluated_count,
+       array_to_string(list_sort(list_distinct(list(evaluator))), ',') AS evaluators
+FROM q""")
+def _quality_summary(fx):
+    from dealerlens.operators.joins import quality_with_evaluations
+
+    return mon.quality_summary(quality_with_evaluations(fx.quality_logs, fx.evaluations))
+
+
+@register("endpoint_summary", """
+WITH l5 AS (SELECT * FROM endpoint_minutes ORDER BY minute DESC LIMIT 5),
+l60 AS (SELECT * FROM endpoint_minutes ORDER BY minute DESC LIMIT 60),
+h AS (SELECT CAST(sum(requests) AS BIGINT) AS hour_requests, CAST(sum(tokens) AS BIGINT) AS hour_tokens FROM l60)
+SELECT round(avg(requests), 4) AS rpm, round(avg(avg_latency_ms), 4) AS avg_latency_ms,
+       round(avg(p50_latency_ms), 4) AS p50_latency_ms, round(avg(p95_latency_ms), 4) AS p95_latency_ms,
+       round(avg(p99_latency_ms), 4) AS p99_latency_ms,
+       round(coalesce(sum(error_count) / nullif(sum(requests), 0), 0.0), 6) AS error_rate,
+       (SELECT hour_requests FROM h) AS hour_requests, (SELECT hour_tokens FROM h) AS hour_tokens,
+       round((SELECT hour_tokens FROM h) * 0.000015, 6) AS hour_cost,
+       round((SELECT hour_tokens FROM h) * 0.000015 * 24, 6) AS daily_cost
+FROM l5""")
+def _endpoint_summary(fx):
+    return mon.endpoint_summary(fx.endpoint_minutes)
+
+
+@register("top_makes", """
+SELECT CASE WHEN strpos(i.vehicle_name, ' ') > 0 THEN split_part(i.vehicle_name, ' ', 1) ELSE '' END AS make,
+       count(*) AS recommendations
+FROM recs r JOIN inventory i ON r.vehicle_key = i.vehicle_key
+GROUP BY 1 ORDER BY recommendations DESC, make LIMIT 5""")
+def _top_makes(fx):
+    from dealerlens.operators.joins import recommendations_with_vehicle
+
+    return mon.top_makes(recommendations_with_vehicle(fx.recs, fx.inventory))

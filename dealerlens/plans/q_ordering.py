@@ -15,3 +15,34 @@ def _reps_with_all(fx):
     from dealerlens.plans.q_aggregates import _rep_name
 
     return sl.reps_with_all(fx.sales, _rep_name())
+
+
+from dealerlens.operators import monitoring as mon  # noqa: E402
+from dealerlens.plans import derived  # noqa: E402
+
+
+@register("paginate", """
+SELECT *, (SELECT count(*) FROM quality_logs WHERE needs_review) AS filtered_total
+FROM quality_logs WHERE needs_review ORDER BY log_date DESC, trace_id LIMIT 50 OFFSET 20""")
+def _paginate(fx):
+    from pyspark.sql import functions as F
+
+    logs = fx.quality_logs.where(F.col("needs_review"))
+    return mon.paged_with_total(logs, [F.col("log_date").desc(), F.col("trace_id")], 50, 20)
+
+
+@register("sort_quality_logs", """
+SELECT *, CAST(row_number() OVER (ORDER BY overall DESC, trace_id) AS INTEGER) AS row_number
+FROM quality_logs ORDER BY overall DESC, trace_id LIMIT 100""")
+def _sort_quality_logs(fx):
+    return mon.sort_quality_logs(fx.quality_logs, "score_desc", 100)
+
+
+@register("ordered_interactions", "SELECT * FROM interactions")
+def _ordered_interactions(fx):
+    return mon.ordered_interactions(derived.interactions(fx))
+
+
+@register("distinct_evaluators", "SELECT DISTINCT evaluator FROM evaluations WHERE evaluator IS NOT NULL")
+def _distinct_evaluators(fx):
+    return mon.distinct_evaluators(fx.evaluations)

@@ -97,3 +97,52 @@ FROM g ORDER BY sale_price DESC, store_name LIMIT 12
 def _top_n_truncated(fx):
     d = sl.dedupe_result(sl.as_of_sales(fx.sales, AS_OF).select("store_name", "sale_price"))
     return sl.top_n_truncated(d, ["store_name"], "sale_price", 12)
+
+
+from dealerlens.operators import monitoring as mon  # noqa: E402
+from dealerlens.plans import derived  # noqa: E402
+
+
+@register("latest_per_key", """
+SELECT customer_id, arg_max(interaction_id, (interaction_date, interaction_id)) AS interaction_id,
+       arg_max(interaction_type, (interaction_date, interaction_id)) AS interaction_type,
+       max(interaction_date) AS interaction_date
+FROM interactions WHERE customer_id IS NOT NULL GROUP BY 1""")
+def _latest_per_key(fx):
+    from pyspark.sql import functions as F
+
+    i = derived.interactions(fx).where(F.col("customer_id").isNotNull()).select(
+        "customer_id", "interaction_id", "interaction_type", "interaction_date")
+    return mon.latest_per_key(i, ["customer_id"], ["interaction_date", "interaction_id"])
+
+
+@register("top3_per_customer", """
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY rnk, vehicle_key) AS INTEGER) AS pos
+               FROM recs) t WHERE pos <= 2""")
+def _top3_per_customer(fx):
+    return mon.top3_per_customer(fx.recs, k=2)
+
+
+@register("sample_every_n", """
+SELECT * EXCLUDE (lst) FROM (
+  SELECT *, CAST(minute AS DATE) AS series_day,
+         CAST(row_number() OVER (PARTITION BY CAST(minute AS DATE) ORDER BY minute) AS INTEGER) AS point_no,
+         max(minute) OVER (PARTITION BY CAST(minute AS DATE)) AS lst FROM endpoint_minutes) t
+WHERE (point_no - 1) % 10 = 0 OR minute = lst""")
+def _sample_every_n(fx):
+    return mon.sample_every_n(fx.endpoint_minutes, 10)
+
+
+@register("share_of_max", """
+SELECT minute, requests,
+       CASE WHEN max(requests) OVER (PARTITION BY CAST(minute AS DATE)) > 0
+            THEN round(requests * 100.0 / max(requests) OVER (PARTITION BY CAST(minute AS DATE)), 4) ELSE 0.0 END AS pct_of_max,
+       p95_latency_ms > 1500 AS high_latency
+FROM endpoint_minutes""")
+def _share_of_max(fx):
+    return mon.share_of_max(fx.endpoint_minutes)
+
+
+@register("first_row_only", "SELECT customer_id, rnk, CASE WHEN rnk = 1 THEN talk_script ELSE '' END AS talk_script FROM recs")
+def _first_row_only(fx):
+    return mon.first_row_only(fx.recs)
