@@ -249,20 +249,20 @@ def span_depth(spans: DataFrame, max_rounds: int = 64) -> DataFrame:
     from dealerlens.session import shared_dir
 
     shared_dir(spans.sparkSession)
-    nodes = spans.select("trace_id", "span_id", "parent_span_id")
-    par = nodes.select("trace_id", F.col("span_id").alias("anc"), F.lit(1).alias("_one"))
-    cur = (nodes.join(par, (nodes.trace_id == par.trace_id) & (nodes.parent_span_id == par.anc), "left")
-           .select(nodes.trace_id, nodes.span_id, F.col("anc"), F.coalesce("_one", F.lit(0)).alias("depth")))
+    nodes = spans.select("trace_id", "span_id", F.col("parent_span_id").alias("anc"))
+    par = spans.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_p"))
+    cur = (nodes.join(par, (F.col("trace_id") == F.col("_t")) & (F.col("anc") == F.col("_p")), "left")
+           .select("trace_id", "span_id", F.when(F.col("_p").isNotNull(), F.col("anc")).alias("anc"),
+                   F.when(F.col("_p").isNotNull(), 1).otherwise(0).alias("depth")))
     cur = cur.checkpoint()
     for _ in range(max_rounds):
         if cur.where(F.col("anc").isNotNull()).isEmpty():
             break
-        nxt = cur.select("trace_id", F.col("span_id").alias("_a"), F.col("anc").alias("_anc2"),
-                         F.col("depth").alias("_d2"))
-        cur = (cur.join(nxt, (cur.trace_id == nxt.trace_id) & (cur.anc == nxt._a), "left")
-               .select(cur.trace_id, cur.span_id,
-                       F.when(cur.anc.isNull(), F.lit(None)).otherwise(F.col("_anc2")).alias("anc"),
-                       (cur.depth + F.coalesce(F.col("_d2"), F.lit(0))).alias("depth"))
+        nxt = cur.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_a"),
+                         F.col("anc").alias("_anc2"), F.col("depth").alias("_d2"))
+        cur = (cur.join(nxt, (F.col("trace_id") == F.col("_t")) & (F.col("anc") == F.col("_a")), "left")
+               .select("trace_id", "span_id", F.col("_anc2").alias("anc"),
+                       (F.col("depth") + F.coalesce(F.col("_d2"), F.lit(0))).alias("depth"))
                .checkpoint())
     return cur.select("trace_id", "span_id", F.col("depth").cast("int").alias("depth"))
 

@@ -380,3 +380,36 @@ def region_store_conversion(sales: DataFrame, as_of: str) -> DataFrame:
         (F.sum(_flag(F.col("outcome") == WON)) * 100.0 / F.count(F.lit(1))).alias("store_rate"))
     return per_store.groupBy("region").agg(
         F.count(F.lit(1)).alias("stores"), F.round(F.avg("store_rate"), 4).alias("avg_store_rate"))
+
+
+# Section titles of the loss-action prompt.
+LOSS_TITLE = "【今月の失注理由】"
+CATEGORY_TITLE = "【車種別成約率（今月）】"
+PACE_TITLE = "【ペース】"
+PACE_PREFIX = "先月同時点比 "
+
+
+def loss_action_prompts(sales: DataFrame, as_of: str, rep: str | None = None) -> DataFrame:
+    """Per scope: one line per loss reason (``- reason: n件``), the category
+    summary ``name(won/total件 成約率rate%)`` and the pace line when the
+    same-period difference exists.  Every list is over a small aggregate."""
+    reasons = (loss_reason_counts(sales, as_of, rep)
+               .groupBy("rep_scope").agg(F.array_sort(F.collect_list(F.struct(
+                   "reason_rank", F.concat(F.lit("- "), F.col("loss_reason"), F.lit(": "),
+                                           F.col("cnt").cast("string"), F.lit("件")).alias("l")))).alias("rs"))
+               .select("rep_scope", F.array_join(F.transform("rs", lambda x: x["l"]), "\n").alias("loss_lines")))
+    cats = (category_conversion(sales, as_of, rep)
+            .groupBy("rep_scope").agg(F.array_sort(F.collect_list(F.struct(
+                "rate_rank", F.concat(F.col("category"), F.lit("("), F.col("won").cast("string"), F.lit("/"),
+                                      F.col("total").cast("string"), F.lit("件 成約率"),
+                                      F.col("rate").cast("string"), F.lit("%)")).alias("c")))).alias("cs"))
+            .select("rep_scope", F.array_join(F.transform("cs", lambda x: x["c"]), ", ").alias("category_summary")))
+    pace = same_period_diff(sales, as_of, rep).select(
+        "rep_scope", F.when(F.col("same_period_diff").isNotNull(),
+                            F.concat(F.lit(PACE_PREFIX), F.format_string("%+.1f", "same_period_diff"), F.lit("%")))
+        .otherwise(F.lit("")).alias("pace_note"))
+    j = cats.join(reasons, "rep_scope", "left").join(pace, "rep_scope", "left")
+    prompt = F.concat(F.lit(LOSS_TITLE + "\n"), F.coalesce("loss_lines", F.lit("")),
+                      F.lit("\n\n" + CATEGORY_TITLE + "\n"), F.col("category_summary"),
+                      F.lit("\n\n" + PACE_TITLE), F.coalesce("pace_note", F.lit("")))
+    return j.select("rep_scope", prompt.alias("prompt"))

@@ -38,7 +38,8 @@ REC_ITEM_SCHEMA = (
     "recommendation_reason: string, talk_script: string, key_selling_points: array<string>>>"
 )
 
-EMPTY_LIST = F.array().cast("array<string>")
+def empty_list() -> Column:
+    return F.array().cast("array<string>")
 
 
 # --- JSON extraction ----------------------------------------------------------
@@ -87,7 +88,7 @@ def flatten_insights(replies: DataFrame) -> DataFrame:
             F.coalesce(field, F.lit(default)))
 
     def lst(field: Column) -> Column:
-        return F.to_json(F.when(err, EMPTY_LIST).otherwise(F.coalesce(field, EMPTY_LIST)))
+        return F.to_json(F.when(err, empty_list()).otherwise(F.coalesce(field, empty_list())))
 
     def chan(name: str) -> Column:
         return F.when(err, F.lit("")).otherwise(F.coalesce(F.col(f"parsed.channel_insights.{name}"), F.lit("")))
@@ -113,7 +114,7 @@ def flatten_insights(replies: DataFrame) -> DataFrame:
 def json_list(text: Column) -> Column:
     """H7: JSON text → list; null/empty → []; invalid → [raw text]."""
     parsed = F.from_json(text, "array<string>")
-    return (F.when(text.isNull() | (F.trim(text) == ""), EMPTY_LIST)
+    return (F.when(text.isNull() | (F.trim(text) == ""), empty_list())
             .when(parsed.isNotNull(), parsed).otherwise(F.array(text)))
 
 
@@ -130,7 +131,7 @@ def explode_recommendations(replies: DataFrame, inventory: DataFrame, text_col:
         F.coalesce(F.col("r.vehicle_key"), F.lit("")).alias("vehicle_key"),
         F.coalesce(F.col("r.match_score").try_cast("int"), F.lit(0)).alias("match_score"),
         F.coalesce(F.col("r.talk_script"), F.lit("")).alias("talk_script"),
-        F.to_json(F.coalesce(F.col("r.key_selling_points"), EMPTY_LIST)).alias("key_selling_points"),
+        F.to_json(F.coalesce(F.col("r.key_selling_points"), empty_list())).alias("key_selling_points"),
     )
     return (out.join(inv, "vehicle_key", "left")
             .withColumn("image_path", F.coalesce(F.col("image_path"), F.lit(""))))
@@ -172,22 +173,27 @@ def assemble_talk_script(recs_with_vehicle: DataFrame) -> DataFrame:
     return g.select("customer_id", F.array_join(F.transform("parts", lambda x: x["p"]), "\n\n").alias("talk_script"))
 
 
+def js_trim(c: Column) -> Column:
+    """Trim all leading/trailing whitespace (``String.prototype.trim``)."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def split_sections(docs: DataFrame) -> DataFrame:
     """Markdown → (doc_id, seq, title, body) rows.  ``## `` lines are
     dropped, ``### `` starts a section, text before the first section and
     sections without content lines are dropped; bodies are trimmed."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    t = F.trim("line")
+    t = js_trim(F.col("line"))
     lines = lines.where(~t.startswith("## ")).withColumn("is_header", t.startswith("### ").cast("int"))
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lines = lines.withColumn("seq", F.sum("is_header").over(w)).where(F.col("seq") > 0)
     g = lines.groupBy("doc_id", "seq").agg(
-        F.max(F.when(F.col("is_header") == 1, F.trim(F.substring(t, 5, 1 << 30)))).alias("title"),
+        F.max(F.when(F.col("is_header") == 1, js_trim(F.substring(t, 5, 1 << 30)))).alias("title"),
         F.array_sort(F.collect_list(F.when(F.col("is_header") == 0, F.struct("pos", "line")))).alias("body_lines"),
     )
     return (g.where(F.size("body_lines") > 0)
             .select("doc_id", "seq", "title",
-                    F.trim(F.array_join(F.transform("body_lines", lambda x: x["line"]), "\n")).alias("body")))
+                    js_trim(F.array_join(F.transform("body_lines", lambda x: x["line"]), "\n")).alias("body")))
 
 
 def agent_label(agent: Column) -> Column:
@@ -342,7 +348,7 @@ def build_recommendation_prompts(customers: DataFrame, insights: DataFrame, cand
     candidates, not the whole inventory, so each list is bounded)."""
     inv = inventory.select("vehicle_key", "vehicle_name", "body_type", "price")
     line = F.concat(F.lit("- "), F.col("vehicle_key").cast("string"), F.lit(": "), F.col("vehicle_name"),
-                    F.lit(" / "), F.col("body_type"), F.lit(" / "), F.format_number(F.col("price"), 0), F.lit("円"))
+                    F.lit(" / "), F.col("body_type"), F.lit(" / "), F.format_number(F.floor("price"), 0), F.lit("円"))
     lines = (candidates.select("customer_id", "vehicle_key", "candidate_rank").join(inv, "vehicle_key")
              .groupBy("customer_id")
              .agg(F.array_sort(F.collect_list(F.struct("candidate_rank", line.alias("l")))).alias("ls"))
@@ -350,8 +356,8 @@ def build_recommendation_prompts(customers: DataFrame, insights: DataFrame, cand
     ins = insights.select("customer_id", "summary", "deep_needs")
     prompt = F.concat(
         F.lit("顧客名: "), F.coalesce("contact_name", F.lit("")),
-        F.lit("\n予算: "), F.format_number(F.coalesce("budget_min", F.lit(0.0)), 0), F.lit("〜"),
-        F.format_number(F.coalesce("budget_max", F.lit(0.0)), 0), F.lit("円"),
+        F.lit("\n予算: "), F.format_number(F.floor(F.coalesce("budget_min", F.lit(0.0))), 0), F.lit("〜"),
+        F.format_number(F.floor(F.coalesce("budget_max", F.lit(0.0))), 0), F.lit("円"),
         F.lit("\nサマリー: "), F.coalesce("summary", F.lit("")),
         F.lit("\n潜在ニーズ: "), F.coalesce("deep_needs", F.lit("[]")),
         F.lit("\n\n【候補車両】\n"), F.coalesce("vehicle_lines", F.lit("")))
