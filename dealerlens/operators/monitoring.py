@@ -193,20 +193,26 @@ def paged_with_total(df: DataFrame, order: list, limit: int, offset: int = 0) ->
     return paginate(df, order, limit, offset).withColumn("filtered_total", total)
 
 
+# Sort key of each order: (column, descending?); the trace id breaks ties.
 QUALITY_ORDERS = {
-    "newest": [F.col("log_date").desc(), F.col("trace_id")],
-    "oldest": [F.col("log_date").asc(), F.col("trace_id")],
-    "score_asc": [F.col("overall").asc(), F.col("trace_id")],
-    "score_desc": [F.col("overall").desc(), F.col("trace_id")],
-    "latency_desc": [F.col("execution_time_ms").desc(), F.col("trace_id")],
-    "tokens_desc": [F.col("tokens_total").desc(), F.col("trace_id")],
+    "newest": ("log_date", True),
+    "oldest": ("log_date", False),
+    "score_asc": ("overall", False),
+    "score_desc": ("overall", True),
+    "latency_desc": ("execution_time_ms", True),
+    "tokens_desc": ("tokens_total", True),
 }
 
 
+def quality_order(order: str) -> list[Column]:
+    col, desc = QUALITY_ORDERS[order]
+    return [F.col(col).desc() if desc else F.col(col).asc(), F.col("trace_id")]
+
+
 def sort_quality_logs(logs: DataFrame, order: str = "score_asc", top: int = 100) -> DataFrame:
     """F2: six orders (default score ascending), first ``top`` rows numbered.
     Top-k then a window over the bounded top rows."""
-    o = QUALITY_ORDERS[order]
+    o = quality_order(order)
     t = logs.orderBy(*o).limit(top)
     return t.withColumn("row_number", F.row_number().over(Window.orderBy(*o)))
 

@@ -44,7 +44,7 @@ def _monthly_performance(fx):
     return sl.monthly_performance(fx.sales, AS_OF)
 
 
-_LOSS = f"""f AS (
+_LOSS = f"""lf AS (
   SELECT rep_scope, {MONTH} AS month,
          CASE WHEN outcome = 'lost' AND loss_reason IS NOT NULL AND loss_reason <> '' THEN loss_reason END AS loss_reason,
          count(*) AS cnt
@@ -52,7 +52,7 @@ _LOSS = f"""f AS (
 lc AS (
   SELECT rep_scope, month AS latest_month, loss_reason, cnt,
          CAST(row_number() OVER (PARTITION BY rep_scope ORDER BY cnt DESC, loss_reason) AS INTEGER) AS reason_rank
-  FROM (SELECT *, max(month) OVER (PARTITION BY rep_scope) AS lm FROM f) x
+  FROM (SELECT *, max(month) OVER (PARTITION BY rep_scope) AS lm FROM lf) x
   WHERE month = lm AND loss_reason IS NOT NULL)"""
 
 

@@ -57,7 +57,7 @@ def _fn_conditional(fx):
     return fn.fn_conditional(fx.sales)
 
 
-@register("fn_json_encode")
+@register("fn_json_encode", "SELECT doc_id, CAST(to_json(string_split(text, ' ')[1:3]) AS VARCHAR) AS first_words_json FROM documents")
 def _fn_json_encode(fx):
     return fn.fn_json_encode(fx.documents)
 

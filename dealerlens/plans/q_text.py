@@ -172,10 +172,33 @@ def _tool_output_rows(fx):
     return tx.tool_output_rows(fx.tool_outputs)
 
 
-_SCOPED_SQL = None
-
-
-@register("loss_action_prompts")
+def _loss_action_sql() -> str:
+    from dealerlens.plans.q_aggregates import _LOSS
+    from dealerlens.plans.q_windows import _DAILY
+    from dealerlens.plans.sql_snippets import MONTH, SCOPED, WONF, pct1
+
+    return f"""
+WITH {SCOPED}, {_LOSS}, {_DAILY},
+cf AS (SELECT rep_scope, {MONTH} AS month, category, count(*) AS total, CAST(sum({WONF}) AS BIGINT) AS won
+       FROM scoped GROUP BY 1, 2, 3),
+cc AS (SELECT *, {pct1('won', 'total')} AS rate FROM
+       (SELECT *, max(month) OVER (PARTITION BY rep_scope) AS lm FROM cf) x WHERE month = lm),
+cr AS (SELECT *, row_number() OVER (PARTITION BY rep_scope ORDER BY rate DESC, category) AS rr FROM cc),
+cs AS (SELECT rep_scope, string_agg(category || '(' || CAST(won AS VARCHAR) || '/' || CAST(total AS VARCHAR) || '件 成約率'
+                                    || CAST(rate AS VARCHAR) || '%)', ', ' ORDER BY rr) AS category_summary
+       FROM cr GROUP BY 1),
+ls AS (SELECT rep_scope, string_agg('- ' || loss_reason || ': ' || CAST(cnt AS VARCHAR) || '件', chr(10) ORDER BY reason_rank)
+         AS loss_lines FROM lc GROUP BY 1),
+pc AS (SELECT rep_scope, CASE WHEN coalesce(prev_to_same, 0) > 0
+                              THEN '先月同時点比 ' || printf('%+.1f', round_even((cur_to_date - prev_to_same) / prev_to_same * 100, 1)) || '%'
+                              ELSE '' END AS pace_note FROM ps)
+SELECT cs.rep_scope, '【今月の失注理由】' || chr(10) || coalesce(ls.loss_lines, '') || chr(10) || chr(10)
+       || '【車種別成約率（今月）】' || chr(10) || cs.category_summary || chr(10) || chr(10) || '【ペース】'
+       || coalesce(pc.pace_note, '') AS prompt
+FROM cs LEFT JOIN ls ON cs.rep_scope = ls.rep_scope LEFT JOIN pc ON cs.rep_scope = pc.rep_scope"""
+
+
+@register("loss_action_prompts", _loss_action_sql())
 def _loss_action_prompts(fx):
     return sl.loss_action_prompts(fx.sales, AS_OF)
 
