@@ -30,14 +30,33 @@ def _json_k(col: str = "props") -> F.Column:
 
 
 class Fixtures:
-    """Lazily built fixture views for one scale-factor folder."""
+    """Lazily built fixture views for one scale-factor folder.
+
+    ``Fixtures.of(spark, sf_dir)`` returns one shared instance per session and
+    folder, so table handles (file listing, footers) and view plans are built
+    once per session rather than once per query.
+    """
+
+    _shared: dict[tuple[int, str], Fixtures] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._raw: dict[str, DataFrame] = {}
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> Fixtures:
+        key = (id(spark._jsparkSession), sf_dir.rstrip("/"))
+        fx = cls._shared.get(key)
+        if fx is None or fx.spark is not spark:
+            fx = cls._shared[key] = cls(spark, sf_dir)
+        return fx
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self._raw.get(name)
+        if df is None:
+            df = self._raw[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in RAW_TABLES:

@@ -27,20 +27,29 @@ def behavior_summary(web_events: DataFrame) -> DataFrame:
     et = F.col("event_type")
     vk = F.when(F.col("vehicle_key") != "", F.col("vehicle_key"))
     kw = F.when(F.col("search_keyword") != "", F.col("search_keyword"))
-    return web_events.groupBy("opp_id").agg(
+    # The vehicle set is collected anyway (bounded by the catalogue), so its size
+    # is the distinct count; only sessions need an exact distinct aggregate,
+    # which keeps the plan free of an Expand over the rows.
+    g = web_events.groupBy("opp_id").agg(
         F.count(F.lit(1)).alias("total_events"),
         F.countDistinct("session_id").alias("session_count"),
         F.sum(_flag(et == "search")).cast("bigint").alias("search_count"),
         F.sum(_flag(et == "view")).cast("bigint").alias("view_count"),
         F.sum(_flag(et == "click")).cast("bigint").alias("click_count"),
         F.sum(_flag(et == "favorite")).cast("bigint").alias("favorite_count"),
-        F.countDistinct(vk).alias("unique_vehicles_viewed"),
-        F.array_join(F.array_sort(F.collect_set(vk)), ", ").alias("viewed_vehicles"),
-        F.array_join(F.array_sort(F.collect_set(kw)), ", ").alias("search_keywords"),
+        F.array_sort(F.collect_set(vk)).alias("_v"),
+        F.array_sort(F.collect_set(kw)).alias("_k"),
         F.min("device_type").alias("primary_device"),
         F.min("event_ts").alias("first_event_at"),
         F.max("event_ts").alias("last_event_at"),
     )
+    return g.select(
+        "opp_id", "total_events", "session_count", "search_count", "view_count", "click_count", "favorite_count",
+        F.size("_v").cast("bigint").alias("unique_vehicles_viewed"),
+        F.array_join("_v", ", ").alias("viewed_vehicles"),
+        F.array_join("_k", ", ").alias("search_keywords"),
+        "primary_device", "first_event_at", "last_event_at",
+    )
 
 
 def trace_stats(traces: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def _load_all() -> None:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _load_all()
-    return {k: (lambda spark, sf_dir, _e=e: _e.build(Fixtures(spark, sf_dir)))
+    return {k: (lambda spark, sf_dir, _e=e: _e.build(Fixtures.of(spark, sf_dir)))
             for k, e in REGISTRY.items()}
 
 
