@@ -122,7 +122,9 @@ def explode_recommendations(replies: DataFrame, inventory: DataFrame, text_col:
     """A reply holding a JSON list → its first 3 items as rows with int rank
     and score (default 0) and the image path of the vehicle ('' if unknown);
     anything that is not a list gives no rows."""
-    arr = F.from_json(strip_fences(F.col(text_col)), REC_ITEM_SCHEMA)
+    body = strip_fences(F.col(text_col))
+    # from_json wraps a lone object into a one-element array: only lists count.
+    arr = F.when(F.ltrim(body).startswith("["), F.from_json(body, REC_ITEM_SCHEMA))
     items = replies.select("customer_id", F.posexplode(F.slice(arr, 1, 3)).alias("pos", "r"))
     inv = inventory.select(F.col("vehicle_key").cast("string").alias("vehicle_key"), "image_path")
     out = items.select(
