@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dealerlens.session import shared_dir
+
 # Unbounded budget ends used when a bound is null or 0.
 BUDGET_FLOOR = 0.0
 BUDGET_CEILING = 99_999_999.0
@@ -123,71 +125,82 @@ def _budget_bounds(customers: DataFrame) -> DataFrame:
     return customers.select("customer_id", lo.alias("lo"), hi.alias("hi"))
 
 
-def price_ranked_inventory(inventory: DataFrame, buckets: int = 256):
-    """Global rank 1..N of vehicles ordered by (price, vehicle_key), computed
-    without a single-partition window.
-
-    Prices are cut at approximate quantiles (one-row aggregate), so buckets hold
-    similar counts even when prices cluster.  Rank = rows in earlier buckets
-    (prefix sum over the ≤ ``buckets``-row histogram) + position in the bucket.
-    Returns (ranked inventory, cut points as a scalar-subquery column, bucket offsets).
-    """
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = inventory.agg(F.percentile_approx("price", probs, 10000)).scalar()
-    inv = inventory.select("vehicle_key", "price").withColumn("_cuts", cuts)
-    inv = inv.withColumn("bucket", F.size(F.filter("_cuts", lambda c: c <= F.col("price")))).drop("_cuts")
-    hist = inv.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    # ≤ ``buckets`` rows: the unpartitioned window and the broadcast are bounded.
-    offs = hist.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("offset"))
-    w = Window.partitionBy("bucket").orderBy("price", "vehicle_key")
-    ranked = (inv.join(F.broadcast(offs), "bucket")
-              .withColumn("price_rank", F.col("offset") + F.row_number().over(w))
-              .drop("offset"))
-    return ranked, cuts, offs
-
-
-def budget_candidates(customers: DataFrame, inventory: DataFrame, k: int = 20, buckets: int = 256) -> DataFrame:
+def _merged_price_order(inventory: DataFrame, floors: DataFrame | None, parts: int) -> DataFrame:
+    """Vehicles (and optional budget floors) in one global order (value, kind,
+    tie-break), cut into ``parts`` contiguous ranges by ``repartitionByRange``
+    (sampled boundaries; the tie-break lets equal prices span several ranges,
+    so a price held by a third of all vehicles is still split).  Per range: a
+    running vehicle count; per range id: the vehicles in earlier ranges (a
+    ≤ ``parts``-row frame, prefix-summed and broadcast).  A row's global
+    position is ``offset + running count`` whatever the boundaries are."""
+    veh = inventory.select(F.col("price").alias("v"), F.lit(1).alias("is_vehicle"),
+                           F.col("vehicle_key").cast("long").alias("tie"), "vehicle_key",
+                           F.lit(None).cast("long").alias("customer_id"), F.lit(None).cast("double").alias("hi"))
+    m = veh if floors is None else veh.unionByName(floors.select(
+        F.col("lo").alias("v"), F.lit(0).alias("is_vehicle"), F.col("customer_id").cast("long").alias("tie"),
+        F.lit(None).cast(inventory.schema["vehicle_key"].dataType).alias("vehicle_key"),
+        F.col("customer_id").cast("long").alias("customer_id"), "hi"))
+    m = m.repartitionByRange(parts, "v", "is_vehicle", "tie").withColumn("pid", F.spark_partition_id())
+    w = (Window.partitionBy("pid").orderBy("v", "is_vehicle", "tie")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # Range boundaries are sampled anew on every execution, so the rows and
+    # the per-range counts must come from one execution: a reliable checkpoint
+    # in the shared folder pins it (and survives executor loss).
+    shared_dir(inventory.sparkSession)
+    m = m.withColumn("run", F.sum("is_vehicle").over(w)).checkpoint()
+    counts = m.groupBy("pid").agg(F.sum("is_vehicle").alias("n"))
+    # ≤ ``parts`` rows: the unpartitioned window and the broadcast are bounded.
+    offs = counts.select("pid", (F.sum("n").over(Window.orderBy("pid")) - F.col("n")).alias("offset"))
+    return m.join(F.broadcast(offs), "pid", "left")
+
+
+def price_ranked_inventory(inventory: DataFrame, parts: int | None = None) -> DataFrame:
+    """Global rank 1..N of vehicles by (price, vehicle key) without a
+    single-partition window (see ``_merged_price_order``)."""
+    parts = parts or int(inventory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    m = _merged_price_order(inventory, None, parts)
+    return m.select("vehicle_key", F.col("v").alias("price"), (F.col("offset") + F.col("run")).alias("price_rank"))
+
+
+def budget_candidates(customers: DataFrame, inventory: DataFrame, k: int = 20, parts: int | None = None) -> DataFrame:
     """Per customer up to ``k`` vehicles with ``lo ≤ price ≤ hi``, cheapest
     first (vehicle key breaks ties); a customer with none gets the ``k``
     cheapest of the whole inventory (``is_fallback``).
 
-    Exact and skew-free: no pair of (customer, vehicle) is formed unless it is
-    one of the ≤ k answers.  Each customer's first candidate rank is found by a
-    union of budget floors with prices, ordered inside quantile buckets (a
-    merge, not a join); then candidates are an equi-join on rank.
+    Exact and skew-free: no (customer, vehicle) pair is formed unless it is one
+    of the ≤ k answers.  Budget floors are merged into the price order (one
+    range-partitioned pass): a floor's position is the number of prices below
+    it, so its first candidate rank is known without any join; candidates are
+    then an equi-join on rank, k rows per customer at most.
     """
-    ranked, cuts, offs = price_ranked_inventory(inventory, buckets)
-    cust = _budget_bounds(customers).withColumn("_cuts", cuts)
-    cust = cust.withColumn("bucket", F.size(F.filter("_cuts", lambda c: c <= F.col("lo")))).drop("_cuts")
-    # Merge floors into the price order: at equal values the floor sorts first,
-    # so the running vehicle count is the number of prices strictly below it.
-    merged = (ranked.select("bucket", F.col("price").alias("v"), F.lit(1).alias("is_vehicle"),
-                            F.lit(None).cast(customers.schema["customer_id"].dataType).alias("customer_id"))
-              .unionByName(cust.select("bucket", F.col("lo").alias("v"), F.lit(0).alias("is_vehicle"),
-                                       "customer_id")))
-    w = (Window.partitionBy("bucket").orderBy("v", "is_vehicle")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    below = (merged.withColumn("below", F.sum("is_vehicle").over(w))
-             .where(F.col("is_vehicle") == 0).select("customer_id", "bucket", "below"))
-    starts = (below.join(F.broadcast(offs), "bucket", "left")
-              .select("customer_id", (F.coalesce("offset", F.lit(0)) + F.col("below") + 1).alias("start")))
-    cand = (cust.select("customer_id", "lo", "hi").join(starts, "customer_id")
-            .select("customer_id", "hi", F.explode(F.sequence(F.col("start"), F.col("start") + (k - 1)))
-                    .alias("price_rank")))
-    inv = ranked.select("price_rank", "vehicle_key", "price")
-    in_budget = (cand.join(inv, "price_rank").where(F.col("price") <= F.col("hi"))
-                 .select("customer_id", "vehicle_key", "price", "price_rank", F.lit(False).alias("is_fallback")))
+    parts = parts or int(customers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    m = _merged_price_order(inventory, _budget_bounds(customers), parts)
+    inv = m.where(F.col("is_vehicle") == 1).select(
+        (F.col("offset") + F.col("run")).alias("price_rank"), "vehicle_key", F.col("v").alias("price"))
+    # At equal values a floor sorts before the vehicles, so ``run`` counts the
+    # prices strictly below it.  The ceiling rides along: nothing is joined back.
+    starts = m.where(F.col("is_vehicle") == 0).select(
+        F.col("customer_id").cast(customers.schema["customer_id"].dataType).alias("customer_id"), "hi",
+        (F.col("offset") + F.col("run") + 1).alias("start"))
+    cand = starts.select("customer_id", "hi", F.posexplode(
+        F.sequence(F.col("start"), F.col("start") + (k - 1))).alias("pos", "price_rank"))
+    # One left join on rank: matched rows within the ceiling are the answer; a
+    # customer whose first rank fails (no vehicle, or above the ceiling) has
+    # none, so no anti join over the answers is needed.
+    cj = cand.join(inv, "price_rank", "left")
+    ok = F.coalesce(F.col("price") <= F.col("hi"), F.lit(False))
+    in_budget = cj.where(ok).select("customer_id", "vehicle_key", "price", (F.col("pos") + 1).alias("candidate_rank"),
+                                    F.lit(False).alias("is_fallback"))
+    none = cj.where((F.col("pos") == 0) & ~ok).select("customer_id")
     # Fallback: ranks 1..k of the whole inventory.  The k-row build side is a
     # proven-size broadcast, so the hot rank keys never meet in one shuffle task.
     cheapest = F.broadcast(inv.where(F.col("price_rank") <= k))
-    none = customers.select("customer_id").join(in_budget.select("customer_id").distinct(), "customer_id", "left_anti")
     fallback = (none.select("customer_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(k).cast("long")))
                             .alias("price_rank"))
                 .join(cheapest, "price_rank")
-                .select("customer_id", "vehicle_key", "price", "price_rank", F.lit(True).alias("is_fallback")))
-    out = in_budget.unionByName(fallback)
-    w2 = Window.partitionBy("customer_id").orderBy("price_rank")
-    return out.withColumn("candidate_rank", F.row_number().over(w2)).drop("price_rank")
+                .select("customer_id", "vehicle_key", "price", F.col("price_rank").cast("int").alias("candidate_rank"),
+                        F.lit(True).alias("is_fallback")))
+    return in_budget.unionByName(fallback)
 
 
 def budget_violations(recs: DataFrame, customers: DataFrame, inventory: DataFrame) -> DataFrame:

@@ -183,19 +183,35 @@ def js_trim(c: Column) -> Column:
 def split_sections(docs: DataFrame) -> DataFrame:
     """Markdown → (doc_id, seq, title, body) rows.  ``## `` lines are
     dropped, ``### `` starts a section, text before the first section and
-    sections without content lines are dropped; bodies are trimmed."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    t = js_trim(F.col("line"))
-    lines = lines.where(~t.startswith("## ")).withColumn("is_header", t.startswith("### ").cast("int"))
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lines = lines.withColumn("seq", F.sum("is_header").over(w)).where(F.col("seq") > 0)
-    g = lines.groupBy("doc_id", "seq").agg(
-        F.max(F.when(F.col("is_header") == 1, js_trim(F.substring(t, 5, 1 << 30)))).alias("title"),
-        F.array_sort(F.collect_list(F.when(F.col("is_header") == 0, F.struct("pos", "line")))).alias("body_lines"),
-    )
-    return (g.where(F.size("body_lines") > 0)
-            .select("doc_id", "seq", "title",
-                    js_trim(F.array_join(F.transform("body_lines", lambda x: x["line"]), "\n")).alias("body")))
+    sections without content lines are dropped; bodies are trimmed.
+
+    Each document is split inside its own row with array functions (header
+    positions, then one slice per section), so the whole text is processed
+    without an explode → window → regroup round trip (no shuffle at all).
+    """
+    def lead_trim(c: Column) -> Column:
+        return F.regexp_replace(c, r"^\s+", "")
+
+    lines = F.filter(F.split(F.col("text"), "\n"), lambda ln: ~lead_trim(ln).startswith("## "))
+    d = docs.select("doc_id", lines.alias("_l")).withColumn("_n", F.size("_l"))
+    heads = F.filter(F.sequence(F.lit(1), F.greatest(F.col("_n"), F.lit(1))),
+                     lambda i: (i <= F.col("_n")) & lead_trim(F.element_at("_l", i)).startswith("### "))
+    d = d.withColumn("_h", heads)
+    ends = F.concat(F.slice("_h", 2, 1 << 30), F.array(F.col("_n") + 1))
+    d = d.withColumn("_e", ends)
+
+    def section(h: Column, j: Column) -> Column:
+        end = F.element_at(F.col("_e"), j + 1)
+        header = js_trim(F.element_at(F.col("_l"), h))
+        return F.struct(
+            js_trim(F.substring(header, 5, 1 << 30)).alias("title"),
+            (end - h - 1).alias("n_lines"),
+            js_trim(F.array_join(F.slice(F.col("_l"), h + 1, end - h - 1), "\n")).alias("body"),
+        )
+
+    secs = d.select("doc_id", F.posexplode(F.transform("_h", section)).alias("pos", "s"))
+    return (secs.where(F.col("s.n_lines") > 0)
+            .select("doc_id", (F.col("pos") + 1).cast("bigint").alias("seq"), "s.title", "s.body"))
 
 
 def agent_label(agent: Column) -> Column:

@@ -139,7 +139,7 @@ def test_budget_candidates_bounds_and_fallback(spark):
                                 "vehicle_key long, price double")
     cust = spark.createDataFrame([(10, 150.0, 310.0), (11, None, None), (12, 1000.0, 2000.0), (13, 0.0, 250.0)],
                                  "customer_id long, budget_min double, budget_max double")
-    out = joins.budget_candidates(cust, inv, k=2, buckets=4).collect()
+    out = joins.budget_candidates(cust, inv, k=2, parts=3).collect()
     got = {}
     for r in out:
         got.setdefault(r.customer_id, []).append((r.candidate_rank, r.vehicle_key, r.is_fallback))
@@ -154,7 +154,7 @@ def test_budget_candidates_hot_price_value(spark):
     inv = spark.createDataFrame([(k, 500.0 if k % 3 == 0 else float(k)) for k in range(1, 301)],
                                 "vehicle_key long, price double")
     cust = spark.createDataFrame([(1, 450.0, 550.0), (2, 499.0, 500.0)], "customer_id long, budget_min double, budget_max double")
-    out = joins.budget_candidates(cust, inv, k=5, buckets=16)
+    out = joins.budget_candidates(cust, inv, k=5, parts=7)
     brute = (cust.join(inv, inv.price.between(cust.budget_min, cust.budget_max))
              .groupBy("customer_id").agg(F.sort_array(F.collect_list(F.struct("price", "vehicle_key"))).alias("l")))
     want = {r.customer_id: [x.vehicle_key for x in r.l[:5]] for r in brute.collect()}
