@@ -241,9 +241,13 @@ def distinct_evaluators(evaluations: DataFrame) -> DataFrame:
 def span_timeline(spans: DataFrame) -> DataFrame:
     """Per span its duration, offset and bar width in percent of the trace
     (width ≥ 3; 100 when the trace lasts 0), warning flag."""
-    w = Window.partitionBy("trace_id")
-    t0, t1 = F.min("start_ms").over(w), F.max("end_ms").over(w)
-    s = spans.withColumn("_t0", t0).withColumn("_total", t1 - t0)
+    # Trace bounds come from a partial aggregate joined back, not a window: a
+    # trace holding a third of all spans is then combined map-side, and the
+    # join of its rows is split by AQE's skew handling instead of being sorted
+    # in one task.
+    bounds = spans.groupBy("trace_id").agg(
+        F.min("start_ms").alias("_t0"), (F.max("end_ms") - F.min("start_ms")).alias("_total"))
+    s = spans.join(bounds, "trace_id", "left")
     dur = F.col("end_ms") - F.col("start_ms")
     width = F.when(F.col("_total") == 0, F.lit(100.0)).otherwise(
         F.greatest(F.round(dur * 100.0 / F.col("_total"), 4), F.lit(3.0)))

@@ -238,8 +238,10 @@ def agent_steps(items: DataFrame) -> DataFrame:
                F.when(has_tag, F.trim(F.regexp_replace("text", NAME_TAG, ""))).otherwise(F.col("text")))
         .otherwise(F.col("text")).alias("body"),
     )
-    last = F.max(F.when(F.col("kind") == "message", F.col("seq"))).over(Window.partitionBy("conv_id"))
-    it = it.withColumn("final_seq", last)
+    # The final message per conversation is a partial aggregate joined back
+    # (no window over raw items, so a hot conversation is not one task's sort).
+    last = it.groupBy("conv_id").agg(F.max(F.when(F.col("kind") == "message", F.col("seq"))).alias("final_seq"))
+    it = it.join(last, "conv_id", "left")
     step_type = (F.when(F.col("seq") == F.col("final_seq"), "final")
                  .when(F.col("kind") == "tool_call", "progress")
                  .when(F.col("body") != "", "text").otherwise("progress"))

@@ -90,22 +90,27 @@ def assemble_messages(items: DataFrame) -> DataFrame:
     called); tool calls listed in sequence order.  Ordering is by sequence
     number, never arrival."""
     it = items.where(F.col("kind").isin("message", "tool_call"))
-    first_tool = F.min(F.when(F.col("kind") == "tool_call", F.col("seq"))).over(Window.partitionBy("conv_id"))
-    it = it.withColumn("_ft", first_tool)
     body = F.when(F.col("text").rlike(tx.NAME_TAG), F.trim(F.regexp_replace("text", tx.NAME_TAG, ""))) \
         .otherwise(F.col("text"))
     msg = F.col("kind") == "message"
-    before = msg & F.col("_ft").isNotNull() & (F.col("seq") < F.col("_ft"))
-    after = msg & ~before
+    # One aggregation (partial, map-side): the first tool call and the ordered
+    # message / call lists; the plan/answer split is then done inside the row.
     g = it.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.when(before, F.struct("seq", body.alias("t"))))).alias("p"),
-        F.array_sort(F.collect_list(F.when(after, F.struct("seq", body.alias("t"))))).alias("a"),
+        F.min(F.when(~msg, F.col("seq"))).alias("ft"),
+        F.array_sort(F.collect_list(F.when(msg, F.struct("seq", body.alias("t"))))).alias("m"),
         F.array_sort(F.collect_list(F.when(~msg, F.struct("seq", F.col("text").alias("t"))))).alias("c"),
     )
+
+    def before(x):
+        return F.col("ft").isNotNull() & (x["seq"] < F.col("ft"))
+
+    def texts(arr, sep):
+        return F.array_join(F.transform(arr, lambda x: x["t"]), sep)
+
     return g.select("conv_id",
-                    F.array_join(F.transform("p", lambda x: x["t"]), "").alias("plan"),
-                    F.array_join(F.transform("a", lambda x: x["t"]), "").alias("answer"),
-                    F.array_join(F.transform("c", lambda x: x["t"]), ",").alias("tool_calls"))
+                    texts(F.filter("m", before), "").alias("plan"),
+                    texts(F.filter("m", lambda x: ~before(x)), "").alias("answer"),
+                    texts(F.col("c"), ",").alias("tool_calls"))
 
 
 def stream_messages(spark: SparkSession, source: str, schema, staging: str, checkpoint: str) -> DataFrame:
