@@ -17,6 +17,15 @@ RAW_TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
+# Unique row key of the tables whose rows carry long texts or JSON, where the
+# per-row work (splitting, parsing, regex) outweighs a shuffle: a small scan of
+# these is spread over the cores (see ``read_table``).  Narrow numeric tables
+# are not spread: their first aggregate or join shuffles soon enough.
+ROW_KEYS = {
+    "documents": ("doc_id",), "pages": ("page_id",), "benchmark": ("item_id",),
+    "conversations": ("conv_id", "turn"), "events": ("event_id",),
+}
+
 # Fixed value: the reporting date used for all sales operators.
 AS_OF = "2001-07-20"
 
@@ -55,7 +64,9 @@ class Fixtures:
     def raw(self, name: str) -> DataFrame:
         df = self._raw.get(name)
         if df is None:
-            df = self._raw[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            from dealerlens.sources.io import read_table
+
+            df = self._raw[name] = read_table(self.spark, f"{self.sf_dir}/{name}.parquet", ROW_KEYS.get(name))
         return df
 
     def __getattr__(self, name: str) -> DataFrame:

@@ -175,9 +175,15 @@ def assemble_talk_script(recs_with_vehicle: DataFrame) -> DataFrame:
     return g.select("customer_id", F.array_join(F.transform("parts", lambda x: x["p"]), "\n\n").alias("talk_script"))
 
 
+# Fixed value: the whitespace class ``\s`` (space, tab, LF, VT, FF, CR).
+WHITESPACE = " \t\n\u000b\f\r"
+
+
 def js_trim(c: Column) -> Column:
-    """Trim all leading/trailing whitespace (``String.prototype.trim``)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    r"""Trim all leading/trailing whitespace (``String.prototype.trim``).
+    ``btrim`` with the character set scans only the two ends, unlike a
+    ``^\s+|\s+$`` regex that probes every whitespace run of a long text."""
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def split_sections(docs: DataFrame) -> DataFrame:
@@ -189,13 +195,12 @@ def split_sections(docs: DataFrame) -> DataFrame:
     positions, then one slice per section), so the whole text is processed
     without an explode → window → regroup round trip (no shuffle at all).
     """
-    def lead_trim(c: Column) -> Column:
-        return F.regexp_replace(c, r"^\s+", "")
-
-    lines = F.filter(F.split(F.col("text"), "\n"), lambda ln: ~lead_trim(ln).startswith("## "))
+    # Anchored matches test a line's start without building a trimmed copy.
+    lines = F.filter(F.split(F.col("text"), "\n"), lambda ln: ~ln.rlike(r"^\s*## "))
     d = docs.select("doc_id", lines.alias("_l")).withColumn("_n", F.size("_l"))
-    heads = F.filter(F.sequence(F.lit(1), F.greatest(F.col("_n"), F.lit(1))),
-                     lambda i: (i <= F.col("_n")) & lead_trim(F.element_at("_l", i)).startswith("### "))
+    # 1-based positions of the header lines, in one pass over the lines.
+    heads = F.filter(F.transform("_l", lambda ln, i: F.when(ln.rlike(r"^\s*### "), i + 1)),
+                     lambda x: x.isNotNull())
     d = d.withColumn("_h", heads)
     ends = F.concat(F.slice("_h", 2, 1 << 30), F.array(F.col("_n") + 1))
     d = d.withColumn("_e", ends)
@@ -254,11 +259,20 @@ def agent_steps(items: DataFrame) -> DataFrame:
 
 def tool_output_rows(outputs: DataFrame) -> DataFrame:
     """A JSON result in one of three shapes (list of objects; columns +
-    data; schema.fields + rows) → long rows (output_id, row_idx, column, value)."""
+    data; schema.fields + rows) → long rows (output_id, row_idx, column, value).
+
+    The shape follows the JSON type: an array is a list of objects; an object
+    holds ``columns``/``data``, or else ``schema.fields``/``rows``.  Each text
+    is parsed once: arrays as a list of maps, objects into one struct with all
+    four optional members."""
     o = F.col("output")
-    s1 = F.from_json(o, "array<map<string, string>>")
-    s2 = F.from_json(o, "struct<columns: array<string>, data: array<array<string>>>")
-    s3 = F.from_json(o, "struct<schema: struct<fields: array<struct<name: string>>>, rows: array<array<string>>>")
+    is_array = o.rlike(r"^\s*\[")
+    parsed = outputs.select(
+        "output_id",
+        F.when(is_array, F.from_json(o, "array<map<string, string>>")).alias("_a"),
+        F.when(~is_array, F.from_json(o, "struct<columns: array<string>, data: array<array<string>>, "
+                                         "schema: struct<fields: array<struct<name: string>>>, "
+                                         "rows: array<array<string>>>")).alias("_o"))
     cell = "struct<row_idx: int, column: string, value: string>"
 
     def from_rows(cols: Column, rows: Column) -> Column:
@@ -266,14 +280,15 @@ def tool_output_rows(outputs: DataFrame) -> DataFrame:
             F.arrays_zip(cols.alias("c"), r.alias("v")),
             lambda z: F.struct(i.alias("row_idx"), z["c"].alias("column"), z["v"].alias("value")))))
 
-    c1 = F.flatten(F.transform(s1, lambda m, i: F.transform(
+    c1 = F.flatten(F.transform("_a", lambda m, i: F.transform(
         F.map_entries(m), lambda e: F.struct(i.alias("row_idx"), e["key"].alias("column"), e["value"].alias("value")))))
-    c2 = from_rows(s2["columns"], s2["data"])
-    c3 = from_rows(F.transform(s3["schema"]["fields"], lambda f: f["name"]), s3["rows"])
+    ob = F.col("_o")
+    c2 = from_rows(ob["columns"], ob["data"])
+    c3 = from_rows(F.transform(ob["schema"]["fields"], lambda f: f["name"]), ob["rows"])
     cells = F.coalesce(c1.cast(f"array<{cell}>"),
-                       F.when(s2["columns"].isNotNull(), c2.cast(f"array<{cell}>")),
-                       F.when(s3["schema"].isNotNull(), c3.cast(f"array<{cell}>")))
-    return outputs.select("output_id", F.explode(cells).alias("c")).select("output_id", "c.*")
+                       F.when(ob["columns"].isNotNull(), c2.cast(f"array<{cell}>")),
+                       F.when(ob["schema"].isNotNull(), c3.cast(f"array<{cell}>")))
+    return parsed.select("output_id", F.explode(cells).alias("c")).select("output_id", "c.*")
 
 
 def chat_history(conversations: DataFrame) -> DataFrame:

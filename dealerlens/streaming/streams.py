@@ -188,12 +188,70 @@ def stream_behavior(spark: SparkSession, source: str, schema, sink: str, checkpo
     return allv.where(F.col("_version") == allv.agg(F.max("_version")).scalar()).drop("_version")
 
 
-def event_sessions(events: DataFrame, gap: str = "30 minutes", key: str = "user_id", ts: str = "ts") -> DataFrame:
-    """S6 (batch): sessions by inactivity gap where no session id exists."""
-    s = events.withColumn("_et", _event_time(ts))
-    return (s.groupBy(key, F.session_window("_et", gap).alias("s"))
-            .agg(F.count(F.lit(1)).alias("n_events"))
-            .select(key, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n_events"))
+def event_sessions(events: DataFrame, gap: str = "30 minutes", key: str = "user_id", ts: str = "ts",
+                   parts: int | None = None) -> DataFrame:
+    """S6 (batch): sessions by inactivity gap where no session id exists.  A
+    new session starts when an event follows its key's previous event by more
+    than ``gap``; (key, session start, last event + gap, event count).
+
+    Skew-safe: a key holding a third of all events is never sorted or merged
+    in one task.
+      1. ``repartitionByRange`` over (key, time, row id): contiguous, balanced
+         ranges; a hot key spans several, and the unique row id lets even
+         repeated stamps of one key be split.  Inside each (range, key) the
+         previous time and the running local session start come from one
+         window.  The result is checkpointed to the shared folder: range
+         boundaries and row ids are fixed per execution, so rows and the range
+         summary must come from one run.
+      2. A summary with one row per non-empty range (first/last key and time,
+         latest local start of the last key) is prefix-scanned in range order;
+         it decides whether each range's first rows continue a session of the
+         previous range and which start they carry.  ≤ ``parts`` rows: the
+         unpartitioned window and the broadcast are bounded.
+      3. Events are counted per (key, session start): partial aggregation, so
+         even a session holding a third of all events is combined map-side.
+    """
+    from dealerlens.session import shared_dir
+
+    parts = parts or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared_dir(events.sparkSession)
+    gap_iv = F.expr(f"INTERVAL {gap}")
+    d = events.select(F.col(key).alias("k"), _event_time(ts).alias("t"),
+                      F.monotonically_increasing_id().alias("tie")).where(F.col("t").isNotNull())
+    r = d.repartitionByRange(parts, "k", "t", "tie").withColumn("pid", F.spark_partition_id())
+    w = Window.partitionBy("pid", "k").orderBy("t", "tie")
+    r = r.withColumn("prev", F.lag("t").over(w))
+    local_new = F.col("prev").isNull() | (F.col("t") > F.col("prev") + gap_iv)
+    loc = (r.withColumn("ls0", F.last(F.when(local_new, F.col("t")), ignorenulls=True)
+                        .over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+           .select("pid", "k", "t", "ls0", F.col("prev").isNull().alias("group_first"),
+                   (F.col("prev").isNotNull() & local_new).alias("inner_new"))
+           .checkpoint())
+
+    kt = F.struct("k", "t")
+    b = loc.groupBy("pid").agg(
+        F.min(kt).alias("f"), F.max(kt).alias("l"),
+        F.max(F.when(F.col("group_first"), kt)).alias("lf"),
+        F.max(F.when(F.col("inner_new"), kt)).alias("li"))
+    # Latest start of the last key inside the range, when known locally.
+    ls_local = (F.when(F.col("li.k").eqNullSafe(F.col("l.k")) & F.col("li").isNotNull(), F.col("li.t"))
+                .when(~F.col("l.k").eqNullSafe(F.col("f.k")), F.col("lf.t")))
+    order = Window.orderBy("pid")
+    b = b.select("pid", F.col("f.k").alias("fk"), F.col("f.t").alias("ft"), F.col("l.k").alias("lk"),
+                 F.col("l.t").alias("lt"), ls_local.alias("ls_local"))
+    first_new = (F.lag("pid").over(order).isNull() | ~F.col("fk").eqNullSafe(F.lag("lk").over(order))
+                 | (F.col("ft") > F.lag("lt").over(order) + gap_iv))
+    b = b.withColumn("first_new", first_new)
+    val = F.coalesce(F.col("ls_local"), F.when(F.col("first_new") & F.col("lk").eqNullSafe(F.col("fk")), F.col("ft")))
+    b = b.withColumn("ls", F.last(val, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    b = b.select("pid", "fk", "ft", "first_new", F.lag("ls").over(order).alias("carry"))
+
+    j = loc.join(F.broadcast(b), "pid")
+    leading = F.col("k").eqNullSafe(F.col("fk")) & (F.col("ls0") == F.col("ft")) & ~F.col("first_new")
+    start = F.when(leading, F.col("carry")).otherwise(F.col("ls0"))
+    return (j.groupBy(F.col("k").alias(key), start.alias("session_start"))
+            .agg(F.max("t").alias("_last"), F.count(F.lit(1)).alias("n_events"))
+            .select(key, "session_start", (F.col("_last") + gap_iv).alias("session_end"), "n_events"))
 
 
 def stream_event_sessions(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,

@@ -42,3 +42,11 @@ def test_library_never_collects():
 def test_no_cross_joins_in_library():
     offenders = [str(f) for f in ROOT.rglob("*.py") if "crossJoin(" in f.read_text()]
     assert offenders == []
+
+
+def test_event_sessions_never_merges_a_key_in_one_task(fx):
+    # Sessions are built over range partitions, not Spark's per-key merge.
+    from dealerlens.streaming import streams
+
+    p = _plan(streams.event_sessions(fx.raw("events")))
+    assert "MergingSessions" not in p and "UpdatingSessions" not in p

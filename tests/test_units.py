@@ -333,3 +333,47 @@ def test_event_sessions_gap_boundary(spark):
     # end: 59 is exactly 30 minutes after 29 and still joins; 120 opens a new one.
     got = sorted(r.n_events for r in streams.event_sessions(ev).collect())
     assert got == [1, 3]
+
+
+def _brute_sessions(rows, gap_min=30):
+    """Sessions by direct scan of each key's sorted times (the definition)."""
+    by_key = {}
+    for k, t in rows:
+        by_key.setdefault(k, []).append(t)
+    out = []
+    gap = dt.timedelta(minutes=gap_min)
+    for k, ts in by_key.items():
+        ts.sort()
+        start, last, n = ts[0], ts[0], 1
+        for t in ts[1:]:
+            if t - last > gap:
+                out.append((k, start, last + gap, n))
+                start, n = t, 0
+            last, n = t, n + 1
+        out.append((k, start, last + gap, n))
+    return sorted(out, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+
+
+@pytest.mark.parametrize("parts", [1, 7, 23])
+def test_event_sessions_hot_user_matches_brute_force(spark, parts):
+    # User 0 holds a third of all events; its sessions cross many range
+    # boundaries.  Repeated stamps, exact-gap steps and a null user included.
+    import random
+
+    rnd = random.Random(7)
+    base = dt.datetime(2024, 1, 1)
+    rows, t = [], base
+    for _ in range(1500):
+        t += dt.timedelta(minutes=rnd.choice([0, 1, 5, 29, 30, 31, 90]))
+        rows.append((0, t))
+    for u in range(1, 31):
+        t = base + dt.timedelta(hours=u)
+        for _ in range(100):
+            t += dt.timedelta(minutes=rnd.choice([0, 10, 30, 45, 200]))
+            rows.append((u, t))
+    rows += [(None, base), (None, base + dt.timedelta(minutes=10)), (None, base + dt.timedelta(hours=5))]
+    ev = spark.createDataFrame(rows, "user_id long, ts timestamp")
+    got = sorted(((r.user_id, r.session_start, r.session_end, r.n_events)
+                  for r in streams.event_sessions(ev, parts=parts).collect()),
+                 key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    assert got == _brute_sessions(rows)
