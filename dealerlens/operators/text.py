@@ -44,8 +44,20 @@ def empty_list() -> Column:
 
 # --- JSON extraction ----------------------------------------------------------
 
+# Fixed value: the characters Python's ``str.strip()`` removes (``str.isspace``):
+# tab, LF, VT, FF, CR, U+001C to U+001F, space, U+0085, U+00A0, U+1680,
+# U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000.
+PY_WHITESPACE = ("\t\n\u000b\f\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680"
+                 + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
+
+
+def py_strip(c: Column) -> Column:
+    """Python's ``str.strip()``: ``btrim`` over its whitespace set."""
+    return F.btrim(c, F.lit(PY_WHITESPACE))
+
+
 def strip_fences(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.trim(text), FENCE_OPEN, ""), FENCE_CLOSE, "")
+    return F.regexp_replace(F.regexp_replace(py_strip(text), FENCE_OPEN, ""), FENCE_CLOSE, "")
 
 
 def brace_cut(text: Column) -> Column:
@@ -112,9 +124,10 @@ def flatten_insights(replies: DataFrame) -> DataFrame:
 
 
 def json_list(text: Column) -> Column:
-    """H7: JSON text → list; null/empty → []; invalid → [raw text]."""
+    """H7: JSON text → list; null/empty → []; invalid (whitespace-only
+    included, as ``json.loads`` rejects it) → [raw text]."""
     parsed = F.from_json(text, "array<string>")
-    return (F.when(text.isNull() | (F.trim(text) == ""), empty_list())
+    return (F.when(text.isNull() | (text == ""), empty_list())
             .when(parsed.isNotNull(), parsed).otherwise(F.array(text)))
 
 
@@ -175,15 +188,19 @@ def assemble_talk_script(recs_with_vehicle: DataFrame) -> DataFrame:
     return g.select("customer_id", F.array_join(F.transform("parts", lambda x: x["p"]), "\n\n").alias("talk_script"))
 
 
-# Fixed value: the whitespace class ``\s`` (space, tab, LF, VT, FF, CR).
-WHITESPACE = " \t\n\u000b\f\r"
+# Fixed value: the characters ``String.prototype.trim`` removes (ECMAScript
+# WhiteSpace and LineTerminator): tab, LF, VT, FF, CR, space, U+00A0, U+1680,
+# U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000, U+FEFF.
+JS_WHITESPACE = ("\t\n\u000b\f\r \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+                 + "\u2028\u2029\u202f\u205f\u3000\ufeff")
+# The same set as a regex class (``\x{...}`` is read by Java and RE2 alike).
+JS_WS_CLASS = "[" + "".join(f"\\x{{{ord(c):04X}}}" for c in JS_WHITESPACE) + "]"
 
 
 def js_trim(c: Column) -> Column:
-    r"""Trim all leading/trailing whitespace (``String.prototype.trim``).
-    ``btrim`` with the character set scans only the two ends, unlike a
-    ``^\s+|\s+$`` regex that probes every whitespace run of a long text."""
-    return F.btrim(c, F.lit(WHITESPACE))
+    """Trim leading/trailing whitespace as ``String.prototype.trim`` does.
+    ``btrim`` with the character set scans only the two ends of the text."""
+    return F.btrim(c, F.lit(JS_WHITESPACE))
 
 
 def split_sections(docs: DataFrame) -> DataFrame:
@@ -196,10 +213,10 @@ def split_sections(docs: DataFrame) -> DataFrame:
     without an explode → window → regroup round trip (no shuffle at all).
     """
     # Anchored matches test a line's start without building a trimmed copy.
-    lines = F.filter(F.split(F.col("text"), "\n"), lambda ln: ~ln.rlike(r"^\s*## "))
+    lines = F.filter(F.split(F.col("text"), "\n"), lambda ln: ~ln.rlike(f"^{JS_WS_CLASS}*## "))
     d = docs.select("doc_id", lines.alias("_l")).withColumn("_n", F.size("_l"))
     # 1-based positions of the header lines, in one pass over the lines.
-    heads = F.filter(F.transform("_l", lambda ln, i: F.when(ln.rlike(r"^\s*### "), i + 1)),
+    heads = F.filter(F.transform("_l", lambda ln, i: F.when(ln.rlike(f"^{JS_WS_CLASS}*### "), i + 1)),
                      lambda x: x.isNotNull())
     d = d.withColumn("_h", heads)
     ends = F.concat(F.slice("_h", 2, 1 << 30), F.array(F.col("_n") + 1))
@@ -240,7 +257,7 @@ def agent_steps(items: DataFrame) -> DataFrame:
         "conv_id", "seq", "kind",
         F.when((F.col("kind") == "message") & has_tag, tagged).otherwise(F.lit("")).alias("agent"),
         F.when(F.col("kind") == "message",
-               F.when(has_tag, F.trim(F.regexp_replace("text", NAME_TAG, ""))).otherwise(F.col("text")))
+               F.when(has_tag, py_strip(F.regexp_replace("text", NAME_TAG, ""))).otherwise(F.col("text")))
         .otherwise(F.col("text")).alias("body"),
     )
     # The final message per conversation is a partial aggregate joined back

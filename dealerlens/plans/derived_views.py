@@ -28,6 +28,7 @@ SELECT opp_id, count(*) AS total_events, count(DISTINCT session_id) AS session_c
          AS search_keywords,
        min(device_type) AS primary_device, min(event_ts) AS first_event_at, max(event_ts) AS last_event_at
 FROM web_events GROUP BY opp_id""", ["web_events"])
+from dealerlens.plans.sql_snippets import unfence  # noqa: E402
 
 _CUT = ("CASE WHEN strpos(reply, '{') > 0 AND strpos(reply, '}') > 0 "
         "AND length(reply) - strpos(reverse(reply), '}') + 1 > strpos(reply, '{') "
@@ -36,7 +37,7 @@ PARSED_REPLIES = f"""
 SELECT customer_id, reply, CASE WHEN json_valid(cleaned) AND starts_with(ltrim(cleaned), '{{') THEN cleaned
                             WHEN json_valid(cut) AND starts_with(ltrim(cut), '{{') THEN cut END AS j
 FROM (SELECT customer_id, reply,
-             regexp_replace(regexp_replace(trim(reply), '^```(?:json)?\\s*', ''), '\\s*```$', '') AS cleaned,
+             {unfence("reply")} AS cleaned,
              {_CUT} AS cut
       FROM replies) r"""
 extra_view("parsed_replies", PARSED_REPLIES, ["replies"])

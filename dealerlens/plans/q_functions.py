@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dealerlens.fixtures import AS_OF  # noqa: E402
 from dealerlens.functions import scalar as fn  # noqa: E402
-from dealerlens.plans.registry import register  # noqa: E402
+from dealerlens.plans.registry import register
+from dealerlens.plans.sql_snippets import unfence  # noqa: E402
 
 
 @register("fn_casts", """
@@ -64,11 +65,11 @@ def _fn_json_encode(fx):
 
 @register("fn_json_list", """
 WITH c AS (SELECT customer_id, reply,
-  regexp_replace(regexp_replace(trim(reply), '^```(?:json)?\\s*', ''), '\\s*```$', '') AS cl FROM replies),
+  """ + unfence("reply") + """ AS cl FROM replies),
 x AS (SELECT customer_id, reply,
   json_extract_string(CASE WHEN json_valid(cl) THEN cl ELSE '{}' END, '$.deep_needs') AS needs FROM c),
 y AS (SELECT customer_id, coalesce(needs, reply) AS t FROM x),
-z AS (SELECT customer_id, CASE WHEN t IS NULL OR trim(t) = '' THEN CAST([] AS VARCHAR[])
+z AS (SELECT customer_id, CASE WHEN t IS NULL OR t = '' THEN CAST([] AS VARCHAR[])
                                WHEN json_valid(t) AND starts_with(ltrim(t), '[')
                                  THEN json_extract_string(CASE WHEN json_valid(t) THEN t ELSE '[]' END, '$[*]')
                                ELSE [t] END AS l FROM y)
@@ -78,7 +79,7 @@ def _fn_json_list(fx):
 
 
 @register("fn_regex", """
-SELECT customer_id, regexp_replace(regexp_replace(trim(reply), '^```(?:json)?\\s*', ''), '\\s*```$', '') AS unfenced,
+SELECT customer_id, """ + unfence("reply") + """ AS unfenced,
        regexp_replace(reply, '^<name>[^<]*</name>\\s*', '') AS untagged,
        regexp_extract(reply, '"summary":"([^"]*)"', 1) AS summary_text,
        true AS month_is_time, true AS rate_is_rate

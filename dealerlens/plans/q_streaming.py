@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F  # noqa: E402
 
 from dealerlens.plans.registry import register  # noqa: E402
+from dealerlens.plans.sql_snippets import py_strip  # noqa: E402
 from dealerlens.streaming import streams as st  # noqa: E402
 
 
@@ -35,7 +36,7 @@ def _endpoint_minutes_batch(fx):
 WITH it AS (SELECT *, min(CASE WHEN kind = 'tool_call' THEN seq END) OVER (PARTITION BY conv_id) AS ft
             FROM agent_items WHERE kind IN ('message', 'tool_call')),
 b AS (SELECT conv_id, seq, kind, text, ft,
-             CASE WHEN regexp_matches(text, '^<name>([^<]*)</name>\s*') THEN trim(regexp_replace(text, '^<name>([^<]*)</name>\s*', ''))
+             CASE WHEN regexp_matches(text, '^<name>([^<]*)</name>\s*') THEN """ + py_strip(r"regexp_replace(text, '^<name>([^<]*)</name>\s*', '')") + r"""
                   ELSE text END AS body FROM it)
 SELECT conv_id,
        coalesce(string_agg(CASE WHEN kind = 'message' AND ft IS NOT NULL AND seq < ft THEN body END, '' ORDER BY seq), '') AS plan,

@@ -12,6 +12,7 @@ from dealerlens.operators import text as tx  # noqa: E402
 from dealerlens.plans import derived  # noqa: E402
 from dealerlens.plans.q_joins import _C9  # noqa: E402
 from dealerlens.plans.registry import register  # noqa: E402
+from dealerlens.plans.sql_snippets import py_strip  # noqa: E402
 
 _NL = "chr(10)"
 
@@ -116,15 +117,18 @@ def _assemble_talk_script(fx):
         fx.recs.select("customer_id", "rnk", "talk_script"), ["customer_id", "rnk"]))
 
 
-@register("split_sections", r"""
+_TRIM = f"'^{tx.JS_WS_CLASS}+|{tx.JS_WS_CLASS}+$'"
+
+
+@register("split_sections", f"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
                   unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS pos FROM section_docs),
-t AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS tl FROM l),
+t AS (SELECT *, regexp_replace(line, {_TRIM}, '', 'g') AS tl FROM l),
 k AS (SELECT *, CASE WHEN starts_with(tl, '### ') THEN 1 ELSE 0 END AS is_header FROM t WHERE NOT starts_with(tl, '## ')),
 s AS (SELECT *, sum(is_header) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seq
       FROM k)
-SELECT doc_id, seq, max(CASE WHEN is_header = 1 THEN regexp_replace(substring(tl, 5), '^\s+|\s+$', '', 'g') END) AS title,
-       regexp_replace(string_agg(CASE WHEN is_header = 0 THEN line END, chr(10) ORDER BY pos), '^\s+|\s+$', '', 'g') AS body
+SELECT doc_id, seq, max(CASE WHEN is_header = 1 THEN regexp_replace(substring(tl, 5), {_TRIM}, '', 'g') END) AS title,
+       regexp_replace(string_agg(CASE WHEN is_header = 0 THEN line END, chr(10) ORDER BY pos), {_TRIM}, '', 'g') AS body
 FROM s WHERE seq > 0 GROUP BY doc_id, seq HAVING count(CASE WHEN is_header = 0 THEN 1 END) > 0""")
 def _split_sections(fx):
     return tx.split_sections(fx.section_docs)
@@ -136,7 +140,7 @@ WITH it AS (
          CASE WHEN kind = 'message' AND regexp_matches(text, '^<name>([^<]*)</name>\s*')
               THEN regexp_extract(text, '^<name>([^<]*)</name>\s*', 1) ELSE '' END AS agent,
          CASE WHEN kind = 'message' AND regexp_matches(text, '^<name>([^<]*)</name>\s*')
-              THEN trim(regexp_replace(text, '^<name>([^<]*)</name>\s*', '')) ELSE text END AS body
+              THEN """ + py_strip(r"regexp_replace(text, '^<name>([^<]*)</name>\s*', '')") + r""" ELSE text END AS body
   FROM agent_items WHERE kind = 'tool_call' OR (kind = 'message' AND coalesce(text, '') <> '')),
 f AS (SELECT *, max(CASE WHEN kind = 'message' THEN seq END) OVER (PARTITION BY conv_id) AS final_seq FROM it)
 SELECT conv_id, seq,

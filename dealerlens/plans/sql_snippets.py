@@ -17,3 +17,15 @@ def pct1(num: str, den: str) -> str:
 
 def pct0(num: str, den: str) -> str:
     return f"CASE WHEN {den} > 0 THEN CAST(floor(({num} * 200 + {den}) / ({den} * 2)) AS BIGINT) END"
+
+
+def py_strip(expr: str) -> str:
+    """Python's ``str.strip()``: ``trim`` over the same character set."""
+    from dealerlens.operators.text import PY_WHITESPACE
+
+    return f"trim({expr}, {' || '.join(f'chr({ord(c)})' for c in PY_WHITESPACE)})"
+
+
+def unfence(expr: str) -> str:
+    """Stripped text without a leading ```json / ``` and a trailing ``` fence."""
+    return f"regexp_replace(regexp_replace({py_strip(expr)}, '^```(?:json)?\\s*', ''), '\\s*```$', '')"

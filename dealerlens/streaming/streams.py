@@ -90,7 +90,7 @@ def assemble_messages(items: DataFrame) -> DataFrame:
     called); tool calls listed in sequence order.  Ordering is by sequence
     number, never arrival."""
     it = items.where(F.col("kind").isin("message", "tool_call"))
-    body = F.when(F.col("text").rlike(tx.NAME_TAG), F.trim(F.regexp_replace("text", tx.NAME_TAG, ""))) \
+    body = F.when(F.col("text").rlike(tx.NAME_TAG), tx.py_strip(F.regexp_replace("text", tx.NAME_TAG, ""))) \
         .otherwise(F.col("text"))
     msg = F.col("kind") == "message"
     # One aggregation (partial, map-side): the first tool call and the ordered

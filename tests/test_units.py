@@ -222,6 +222,19 @@ def test_json_list(spark):
     assert [r.l for r in df.select(text.json_list(F.col("t")).alias("l")).collect()] == [["a", "b"], [], [], ["oops"]]
 
 
+def test_python_strip_semantics(spark):
+    # str.strip() removes newlines and Unicode spaces: a fence after a leading
+    # newline is still removed, and a tag remainder loses a trailing U+3000.
+    df = spark.createDataFrame([("\n```json\n{\"a\":1}\n```\u3000\n",)], "t string")
+    assert df.select(text.strip_fences(F.col("t")).alias("s")).collect()[0].s == '{"a":1}'
+    items = spark.createDataFrame([(1, 1, "message", "<name>x</name> 最終回答\u3000\n")],
+                                  "conv_id long, seq long, kind string, text string")
+    assert text.agent_steps(items).collect()[0].content == "最終回答"
+    # json.loads rejects whitespace-only text, so it becomes a one-item list.
+    ws = spark.createDataFrame([("  ",)], "t string")
+    assert ws.select(text.json_list(F.col("t")).alias("l")).collect()[0].l == ["  "]
+
+
 def test_batch_generate_failure_default_and_cache(spark):
     prompts = spark.createDataFrame([(1, "p1"), (2, "p2")], "customer_id long, prompt string")
 
@@ -253,6 +266,15 @@ def test_split_sections_rules(spark):
     assert got == [(1, "A", "a1"), (3, "B", "b1\nb2")]
 
 
+def test_split_sections_unicode_whitespace_as_js_trim(spark):
+    # An ideographic-space indent still marks a header, and trailing NBSP /
+    # U+3000 are trimmed from titles and bodies, as String.prototype.trim does.
+    t = "\u3000## top\n\u3000### 提案\u3000\n本文\u00a0\n\u2003\n### B\nb"
+    docs = spark.createDataFrame([(1, t)], "doc_id long, text string")
+    got = [(r.seq, r.title, r.body) for r in text.split_sections(docs).orderBy("seq").collect()]
+    assert got == [(1, "提案", "本文"), (2, "B", "b")]
+
+
 def test_span_depth_missing_parent_is_root(spark):
     spans = spark.createDataFrame([(1, "a", None), (1, "b", "a"), (1, "c", "b"), (1, "d", "zz"), (2, "a", None)],
                                   "trace_id long, span_id string, parent_span_id string")
