@@ -17,13 +17,16 @@ RAW_TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
-# Unique row key of the tables whose rows carry long texts or JSON, where the
-# per-row work (splitting, parsing, regex) outweighs a shuffle: a small scan of
-# these is spread over the cores (see ``read_table``).  Narrow numeric tables
-# are not spread: their first aggregate or join shuffles soon enough.
+# Unique row key of the fact tables and of the tables whose rows carry long
+# texts or JSON: a small scan of these is spread over the cores (see
+# ``read_table``), so the scan, per-row parsing and partial aggregation run in
+# parallel.  Dimension tables (customer, part, supplier, nation, region,
+# labels) are not spread: they are joined, mostly as broadcasts, and a shuffle
+# in front of them would only add a stage.
 ROW_KEYS = {
+    "orders": ("o_orderkey",), "lineitem": ("l_orderkey", "l_linenumber"), "events": ("event_id",),
     "documents": ("doc_id",), "pages": ("page_id",), "benchmark": ("item_id",),
-    "conversations": ("conv_id", "turn"), "events": ("event_id",),
+    "conversations": ("conv_id", "turn"),
 }
 
 # Fixed value: the reporting date used for all sales operators.
