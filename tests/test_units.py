@@ -399,3 +399,71 @@ def test_event_sessions_hot_user_matches_brute_force(spark, parts):
                   for r in streams.event_sessions(ev, parts=parts).collect()),
                  key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     assert got == _brute_sessions(rows)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_budget_candidates_random_against_brute_force(spark, seed):
+    import random
+
+    rnd = random.Random(seed)
+    prices = [float(rnd.choice([100, 200, 200, 250, 500, 500, 500, 900, rnd.randint(1, 1000)])) for _ in range(120)]
+    inv_rows = [(k + 1, p) for k, p in enumerate(prices)]
+    cust_rows = []
+    for c in range(60):
+        kind = rnd.random()
+        if kind < 0.3:    # many customers on one floor: a hot rank key
+            lo, hi = 500.0, rnd.choice([500.0, 600.0, 2000.0])
+        elif kind < 0.4:  # absent or zero bounds mean "no bound"
+            lo, hi = rnd.choice([None, 0.0]), rnd.choice([None, 0.0, 300.0])
+        elif kind < 0.5:  # nothing fits: the fallback
+            lo, hi = 5000.0, 6000.0
+        else:
+            lo = float(rnd.randint(0, 1000))
+            hi = lo + rnd.choice([-50, 0, 10, 300])
+        cust_rows.append((c, lo, hi))
+    k = rnd.choice([1, 3, 20])
+    inv = spark.createDataFrame(inv_rows, "vehicle_key long, price double")
+    cust = spark.createDataFrame(cust_rows, "customer_id long, budget_min double, budget_max double")
+    got = {}
+    for r in joins.budget_candidates(cust, inv, k=k, parts=rnd.choice([2, 5, 11])).collect():
+        got.setdefault(r.customer_id, []).append((r.candidate_rank, r.vehicle_key, r.is_fallback))
+
+    order = sorted(inv_rows, key=lambda v: (v[1], v[0]))
+    want = {}
+    for c, lo, hi in cust_rows:
+        lo = lo or joins.BUDGET_FLOOR
+        hi = hi or joins.BUDGET_CEILING
+        fit = [v for v in order if lo <= v[1] <= hi][:k]
+        picks, fallback = (fit, False) if fit else (order[:k], True)
+        want[c] = [(i + 1, v[0], fallback) for i, v in enumerate(picks)]
+    assert {c: sorted(v) for c, v in got.items()} == want
+
+
+def test_span_depth_random_forest_against_brute_force(spark):
+    import random
+
+    rnd = random.Random(5)
+    rows = []
+    for trace in range(4):
+        spans = [f"s{i}" for i in range(80)]
+        for i, s in enumerate(spans):
+            if i == 0 or rnd.random() < 0.05:
+                parent = None
+            elif rnd.random() < 0.05:
+                parent = "missing"            # a parent that is not in the trace: depth restarts at 0
+            elif rnd.random() < 0.7:
+                parent = spans[i - 1]         # long chains (depth up to ~60)
+            else:
+                parent = spans[rnd.randrange(i)]
+            rows.append((trace, s, parent))
+    par = {(t, s): p for t, s, p in rows}
+
+    def depth(t, s):
+        d = 0
+        while par.get((t, s)) is not None and (t, par[(t, s)]) in par:
+            s, d = par[(t, s)], d + 1
+        return d
+
+    spans = spark.createDataFrame(rows, "trace_id long, span_id string, parent_span_id string")
+    got = {(r.trace_id, r.span_id): r.depth for r in monitoring.span_depth(spans).collect()}
+    assert got == {(t, s): depth(t, s) for t, s, _ in rows}
