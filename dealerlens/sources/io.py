@@ -34,10 +34,14 @@ def read_table(spark: SparkSession, path: str, keys: Sequence[str] | None = None
     later aggregate or join on that key reuses the partitioning.
     """
     df = spark.read.parquet(path)
-    n = min_partitions or spark.sparkContext.defaultParallelism
-    if not keys or df.rdd.getNumPartitions() >= n:
+    if not keys:
         return df
-    return df.repartition(n, *keys)
+    try:
+        n = min_partitions or spark.sparkContext.defaultParallelism
+        scan_parts = df.rdd.getNumPartitions()  # planning only, no job
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): read as is
+        return df
+    return df if scan_parts >= n else df.repartition(n, *keys)
 
 
 def write_raw(df: DataFrame, path: str) -> DataFrame:

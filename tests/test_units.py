@@ -467,3 +467,15 @@ def test_span_depth_random_forest_against_brute_force(spark):
     spans = spark.createDataFrame(rows, "trace_id long, span_id string, parent_span_id string")
     got = {(r.trace_id, r.span_id): r.depth for r in monitoring.span_depth(spans).collect()}
     assert got == {(t, s): depth(t, s) for t, s, _ in rows}
+
+
+def test_read_table_spreads_only_small_scans(spark):
+    from dealerlens.session import scratch_path
+
+    path = scratch_path(spark, "spread")
+    spark.range(1000).withColumnRenamed("id", "k").coalesce(1).write.parquet(path)
+    spread = io.read_table(spark, path, ["k"], min_partitions=4)
+    assert spread.rdd.getNumPartitions() == 4
+    assert sorted(r.k for r in spread.collect()) == list(range(1000))
+    same = io.read_table(spark, path, ["k"], min_partitions=1)
+    assert "REPARTITION_BY_NUM" not in same._jdf.queryExecution().executedPlan().toString()
