@@ -479,3 +479,28 @@ def test_read_table_spreads_only_small_scans(spark):
     assert sorted(r.k for r in spread.collect()) == list(range(1000))
     same = io.read_table(spark, path, ["k"], min_partitions=1)
     assert "REPARTITION_BY_NUM" not in same._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_union_is_the_whole_order(fx):
+    c = fx.customers.select("customer_id", "contact_name")
+    whole = [tuple(r) for r in c.orderBy("customer_id").collect()]
+    pages = []
+    for off in range(0, len(whole) + 100, 100):
+        pages += [tuple(r) for r in projection.paginate(c, ["customer_id"], 100, off).collect()]
+    assert pages == whole
+
+
+def test_store_daily_contracts_sum_to_won_sales(fx):
+    from dealerlens.operators import aggregates
+
+    total = aggregates.store_daily_activity(fx.sales, fx.stores).agg(F.sum("contracts")).collect()[0][0]
+    assert total == fx.sales.where(F.col("outcome") == "won").count()
+
+
+def test_pace_last_value_equals_latest_month_won(fx):
+    from dealerlens.fixtures import AS_OF
+
+    pace = sales.pace_trend(fx.sales, AS_OF)
+    last = {r.rep_scope: r.v for r in pace.groupBy("rep_scope").agg(F.max("current").alias("v")).collect()}
+    m = sales.monthly_performance(fx.sales, AS_OF).where(F.col("month_rank") == 1)
+    assert last == {r.rep_scope: r.won for r in m.collect()}
