@@ -10,6 +10,7 @@ idempotent per batch id (a replayed batch rewrites the same output).
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,11 +30,15 @@ def _event_time(col: str) -> F.Column:
     return F.col(col).cast("timestamp")
 
 
-def _run(writer, checkpoint: str) -> None:
+def _run(writer, checkpoint: str) -> int | None:
+    """Run to the end of the available input; the last batch id of this run
+    (None when there was nothing new)."""
     q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception():
         raise RuntimeError(str(q.exception()))
+    ids = [p["batchId"] for p in q.recentProgress if p.get("batchId") is not None]
+    return max(ids) if ids else None
 
 
 def stream_ingest(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
@@ -138,13 +143,11 @@ def _versioned_merge(target_base: str, keys: list[str], order: list[str]):
         cols = [c for c in batch.columns if c not in keys]
         newest = (batch.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_r"))
                   .select(*keys, "_r.*"))
-        try:
-            allv = spark.read.parquet(target_base).where(F.col("_version") < batch_id)
-            has_prev = not allv.isEmpty()
-        except Exception:  # noqa: BLE001 - no version written yet
-            has_prev = False
-        if has_prev:
-            prev = allv.where(F.col("_version") == allv.agg(F.max("_version")).scalar()).drop("_version")
+        # Batch ids are consecutive and each batch writes its version, so the
+        # previous table is exactly version ``batch_id - 1``: read by path, so
+        # a batch's cost does not grow with the number of versions.
+        prev = _read_version(spark, target_base, batch_id - 1)
+        if prev is not None:
             both = prev.unionByName(newest)
             merged = (both.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_r"))
                       .select(*keys, "_r.*"))
@@ -155,6 +158,24 @@ def _versioned_merge(target_base: str, keys: list[str], order: list[str]):
     return merge
 
 
+def _read_version(spark: SparkSession, base: str, version: int) -> DataFrame | None:
+    if version < 0:
+        return None
+    try:
+        return spark.read.parquet(f"{base}/_version={version}")
+    except AnalysisException:  # not written: no earlier version
+        return None
+
+
+def _current_version(spark: SparkSession, base: str, last_batch: int | None) -> DataFrame:
+    """The table as of the last batch of the run; when the run had nothing new,
+    the newest version present (one scan of the version column)."""
+    if last_batch is not None:
+        return spark.read.parquet(f"{base}/_version={last_batch}")
+    allv = spark.read.parquet(base)
+    return allv.where(F.col("_version") == allv.agg(F.max("_version")).scalar()).drop("_version")
+
+
 def stream_upsert(spark: SparkSession, source: str, schema, target_base: str, checkpoint: str,
                   keys: list[str], order: list[str], max_files: int | None = None) -> DataFrame:
     """The newest record per key from each micro-batch merged into a table;
@@ -162,9 +183,8 @@ def stream_upsert(spark: SparkSession, source: str, schema, target_base: str, ch
     r = spark.readStream.schema(schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    _run(r.parquet(source).writeStream.foreachBatch(_versioned_merge(target_base, keys, order)), checkpoint)
-    allv = spark.read.parquet(target_base)
-    return allv.where(F.col("_version") == allv.agg(F.max("_version")).scalar()).drop("_version")
+    last = _run(r.parquet(source).writeStream.foreachBatch(_versioned_merge(target_base, keys, order)), checkpoint)
+    return _current_version(spark, target_base, last)
 
 
 def stream_behavior(spark: SparkSession, source: str, schema, sink: str, checkpoint: str) -> DataFrame:
@@ -185,9 +205,8 @@ def stream_behavior(spark: SparkSession, source: str, schema, sink: str, checkpo
         F.max("event_ts").alias("last_event_at"),
     )
     merge = _versioned_merge(sink, ["opp_id"], ["total_events"])
-    _run(agg.writeStream.outputMode("update").foreachBatch(merge), checkpoint)
-    allv = spark.read.parquet(sink)
-    return allv.where(F.col("_version") == allv.agg(F.max("_version")).scalar()).drop("_version")
+    last = _run(agg.writeStream.outputMode("update").foreachBatch(merge), checkpoint)
+    return _current_version(spark, sink, last)
 
 
 def event_sessions(events: DataFrame, gap: str = "30 minutes", key: str = "user_id", ts: str = "ts",
