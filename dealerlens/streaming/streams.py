@@ -37,7 +37,9 @@ def _run(writer, checkpoint: str) -> int | None:
     q.awaitTermination()
     if q.exception():
         raise RuntimeError(str(q.exception()))
-    ids = [p["batchId"] for p in q.recentProgress if p.get("batchId") is not None]
+    # An idle trigger reports the next batch id without running it; a batch
+    # that ran reports the time spent adding it to the sink.
+    ids = [p["batchId"] for p in q.recentProgress if "addBatch" in (p.get("durationMs") or {})]
     return max(ids) if ids else None
 
 
