@@ -276,15 +276,57 @@ def reps_with_all(sales: DataFrame, name: Column | None = None) -> DataFrame:
 
 # --- ad-hoc result shaping (the browser's chart preparation) -----------------
 
-def _numeric_columns(df: DataFrame) -> list[str]:
-    from pyspark.sql.types import NumericType
+# Fixed pattern: a text the chart code reads as a number (JavaScript
+# ``Number(v)`` is not NaN): optional sign, digits with optional fraction and
+# exponent, or Infinity; or a 0x / 0o / 0b integer; surrounding whitespace is
+# allowed and whitespace alone reads as 0.
+JS_NUMBER = (r"^\s*([+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|Infinity)"
+             r"|0[xX][0-9a-fA-F]+|0[oO][0-7]+|0[bB][01]+)?\s*$")
+
 
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
+def _numeric_columns(df: DataFrame) -> list[str]:
+    """The columns the chart code treats as numeric: every value present and a
+    number.  A typed numeric column with a null is a label; a text column of
+    number literals (not the empty string) is numeric.  Decided by a one-row
+    profile of the frame (one flag per column), because the grouping keys
+    depend on it; no rows means no numeric column."""
+    from pyspark.sql.types import NumericType, StringType
+
+    flags = []
+    for f in df.schema.fields:
+        c = F.col(f.name)
+        if isinstance(f.dataType, NumericType):
+            flags.append(F.bool_and(c.isNotNull()).alias(f.name))
+        elif isinstance(f.dataType, StringType):
+            flags.append(F.bool_and(c.isNotNull() & (c != "") & c.rlike(JS_NUMBER)).alias(f.name))
+    if not flags:
+        return []
+    profile = df.agg(*flags).first()
+    return [n for n in profile.asDict() if profile[n]]
+
+
+def _js_number(c: str, df: DataFrame) -> Column:
+    """``Number(v)`` of a column already known to hold only numbers."""
+    from pyspark.sql.types import StringType
+
+    col = F.col(c)
+    if not isinstance(df.schema[c].dataType, StringType):
+        return col
+    from dealerlens.operators.text import js_trim
+
+    t = js_trim(col)
+    digits = F.substring(t, 3, 1 << 30)
+    out = F.when(t == "", F.lit(0.0))
+    for prefix, radix in (("^0[xX]", 16), ("^0[oO]", 8), ("^0[bB]", 2)):
+        out = out.when(t.rlike(prefix), F.conv(digits, radix, 10).try_cast("double"))
+    return out.otherwise(t.try_cast("double"))
 
 
 def _exact_sum(c: str, df: DataFrame) -> Column:
-    from pyspark.sql.types import FractionalType
+    from pyspark.sql.types import FractionalType, StringType
 
+    if isinstance(df.schema[c].dataType, StringType):
+        return F.sum(_js_number(c, df))
     if isinstance(df.schema[c].dataType, FractionalType):
         return F.sum(F.coalesce(F.col(c), F.lit(0)).cast("decimal(38,6)")).cast("double")
     return F.sum(F.coalesce(F.col(c), F.lit(0))).cast("bigint")
@@ -313,8 +355,8 @@ def series_result(df: DataFrame, label: str) -> DataFrame:
     nums = [c for c in _numeric_columns(df) if c != label]
     by_name = {c: bool(re.search(RATE_NAME, c)) for c in nums}
     # Value profile of the raw rows: one scalar-subquery struct.
-    prof = df.agg(F.struct(*[F.min(c).alias(f"_mn_{c}") for c in nums],
-                           *[F.max(c).alias(f"_mx_{c}") for c in nums])).scalar()
+    prof = df.agg(F.struct(*[F.min(_js_number(c, df)).alias(f"_mn_{c}") for c in nums],
+                           *[F.max(_js_number(c, df)).alias(f"_mx_{c}") for c in nums])).scalar()
     # Sums are accumulated exactly (decimal for fractional columns) so the
     # 1-decimal rounding below does not depend on summation order.
     g = df.groupBy(label).agg(*[_exact_sum(c, df).alias(f"_s_{c}") for c in nums],

@@ -504,3 +504,15 @@ def test_pace_last_value_equals_latest_month_won(fx):
     last = {r.rep_scope: r.v for r in pace.groupBy("rep_scope").agg(F.max("current").alias("v")).collect()}
     m = sales.monthly_performance(fx.sales, AS_OF).where(F.col("month_rank") == 1)
     assert last == {r.rep_scope: r.won for r in m.collect()}
+
+
+def test_numeric_columns_decided_by_values_as_the_chart_code(spark):
+    # A typed number column with a null is a label; text holding only number
+    # literals (hex and whitespace-only included) is numeric and summed.
+    df = spark.createDataFrame([("a", 1, "2", "x"), ("a", None, "0x10", "y"), ("b", 3, " ", "z")],
+                               "k string, n int, s string, t string")
+    got = {(r.k, r.n, r.t): r.s for r in sales.dedupe_result(df).collect()}
+    assert got == {("a", 1, "x"): 2.0, ("a", None, "y"): 16.0, ("b", 3, "z"): 0.0}
+    s = spark.createDataFrame([("m1", "10"), ("m1", "30"), ("m2", "20")], "month string, v string")
+    # values within 0..100 with spread < 80: a rate, so averaged per label
+    assert {r.month: r.v for r in sales.series_result(s, "month").collect()} == {"m1": 20.0, "m2": 20.0}
