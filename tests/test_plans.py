@@ -50,3 +50,14 @@ def test_event_sessions_never_merges_a_key_in_one_task(fx):
 
     p = _plan(streams.event_sessions(fx.raw("events")))
     assert "MergingSessions" not in p and "UpdatingSessions" not in p
+
+
+def test_hot_key_operators_have_no_window_over_raw_rows(fx):
+    # Trace bounds, final messages and message assembly use partial aggregates.
+    from dealerlens.operators import monitoring, text
+    from dealerlens.streaming import streams
+
+    for df in (monitoring.span_timeline(fx.spans), text.agent_steps(fx.agent_items),
+               streams.assemble_messages(fx.agent_items)):
+        p = _plan(df)
+        assert "Window" not in p and "partial_" in p
