@@ -179,21 +179,36 @@ def _pace_inputs(sales: DataFrame, as_of: str, rep: str | None) -> tuple[DataFra
 
 def pace_trend(sales: DataFrame, as_of: str, rep: str | None = None) -> DataFrame:
     """Running won count per day this month and last month; a series is null
-    after its own last observed day; missing days count 0."""
-    per_day, bounds = _pace_inputs(sales, as_of, rep)
-    spine = bounds.select(
-        "rep_scope", "cur_max_day", "prev_max_day",
-        F.explode(F.sequence(F.lit(1), F.greatest("cur_max_day", "prev_max_day"))).alias("day_num"))
-    j = spine.join(per_day.select("rep_scope", "day_num", "cur_won", "prev_won"),
-                   ["rep_scope", "day_num"], "left")
-    w = Window.partitionBy("rep_scope").orderBy("day_num").rowsBetween(Window.unboundedPreceding, 0)
-    run_cur = F.sum(F.coalesce(F.col("cur_won"), F.lit(0))).over(w)
-    run_prev = F.sum(F.coalesce(F.col("prev_won"), F.lit(0))).over(w)
-    return j.select(
-        "rep_scope", F.col("day_num").cast("int").alias("day_num"),
-        F.when(F.col("day_num") <= F.col("cur_max_day"), run_cur).cast("bigint").alias("current"),
-        F.when(F.col("day_num") <= F.col("prev_max_day"), run_prev).cast("bigint").alias("last_month"),
-    )
+    after its own last observed day; missing days count 0.
+
+    After D7's latest-month cut a scope has at most 62 daily rows (two months),
+    so they are gathered into one row per scope and the day spine, running sums
+    and cut-offs are computed inside that bounded row: no spine join and no
+    running window, one shuffle fewer each."""
+    d = daily_contracts(sales, as_of, rep)
+    g = d.groupBy("rep_scope").agg(
+        F.max("latest_month").alias("lm"),
+        F.collect_list(F.struct("sale_month", "day_num", "contracted")).alias("rows"))
+    cur = F.filter("rows", lambda x: x["sale_month"] == F.col("lm"))
+    prev = F.filter("rows", lambda x: x["sale_month"] == F.add_months(F.col("lm"), -1))
+    g = g.select("rep_scope", cur.alias("cur"), prev.alias("prev"))
+    g = g.select("rep_scope", "cur", "prev",
+                 F.coalesce(F.array_max(F.transform("cur", lambda x: x["day_num"])), F.lit(0)).alias("cur_max"),
+                 F.coalesce(F.array_max(F.transform("prev", lambda x: x["day_num"])), F.lit(0)).alias("prev_max"))
+
+    def running(arr: str, day: Column) -> Column:
+        return F.aggregate(F.filter(arr, lambda x: x["day_num"] <= day), F.lit(0).cast("bigint"),
+                           lambda acc, x: acc + x["contracted"])
+
+    series = F.transform(
+        F.sequence(F.lit(1), F.greatest("cur_max", "prev_max")),
+        lambda day: F.struct(day.alias("day_num"),
+                             F.when(day <= F.col("cur_max"), running("cur", day)).alias("current"),
+                             F.when(day <= F.col("prev_max"), running("prev", day)).alias("last_month")))
+    return (g.select("rep_scope", F.explode(series).alias("p"))
+            .select("rep_scope", F.col("p.day_num").cast("int").alias("day_num"),
+                    F.col("p.current").cast("bigint").alias("current"),
+                    F.col("p.last_month").cast("bigint").alias("last_month")))
 
 
 def _pace_summary(sales: DataFrame, as_of: str, rep: str | None) -> DataFrame:
