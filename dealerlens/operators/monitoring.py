@@ -238,20 +238,28 @@ def distinct_evaluators(evaluations: DataFrame) -> DataFrame:
 
 # --- traces ------------------------------------------------------------------------
 
-def span_timeline(spans: DataFrame) -> DataFrame:
+def span_timeline(spans: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """Per span its duration, offset and bar width in percent of the trace
-    (width ≥ 3; 100 when the trace lasts 0), warning flag."""
+    total (width ≥ 3; 100 when the total is not positive), warning flag.
+
+    The total is the trace's own execution time when ``totals`` (trace_id,
+    execution_time_ms) is given, as the trace view uses it; otherwise the span
+    extent (last end − first start)."""
     # Trace bounds come from a partial aggregate joined back, not a window: a
     # trace holding a third of all spans is then combined map-side, and the
     # join of its rows is split by AQE's skew handling instead of being sorted
     # in one task.
     bounds = spans.groupBy("trace_id").agg(
         F.min("start_ms").alias("_t0"), (F.max("end_ms") - F.min("start_ms")).alias("_total"))
+    if totals is not None:
+        bounds = (bounds.drop("_total")
+                  .join(totals.select("trace_id", F.col("execution_time_ms").alias("_total")), "trace_id", "left"))
     s = spans.join(bounds, "trace_id", "left")
     dur = F.col("end_ms") - F.col("start_ms")
-    width = F.when(F.col("_total") == 0, F.lit(100.0)).otherwise(
+    positive = F.coalesce(F.col("_total") > 0, F.lit(False))
+    width = F.when(~positive, F.lit(100.0)).otherwise(
         F.greatest(F.round(dur * 100.0 / F.col("_total"), 4), F.lit(3.0)))
-    offset = F.when(F.col("_total") == 0, F.lit(0.0)).otherwise(
+    offset = F.when(~positive, F.lit(0.0)).otherwise(
         F.round((F.col("start_ms") - F.col("_t0")) * 100.0 / F.col("_total"), 4))
     warn = F.col("status") == "WARNING"
     if "attributes" in spans.columns:

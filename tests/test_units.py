@@ -516,3 +516,12 @@ def test_numeric_columns_decided_by_values_as_the_chart_code(spark):
     s = spark.createDataFrame([("m1", "10"), ("m1", "30"), ("m2", "20")], "month string, v string")
     # values within 0..100 with spread < 80: a rate, so averaged per label
     assert {r.month: r.v for r in sales.series_result(s, "month").collect()} == {"m1": 20.0, "m2": 20.0}
+
+
+def test_span_timeline_uses_trace_execution_time_when_given(spark):
+    spans = spark.createDataFrame([(1, "a", 0, 50, "OK"), (1, "b", 50, 60, "OK"), (2, "c", 0, 10, "OK")],
+                                  "trace_id long, span_id string, start_ms long, end_ms long, status string")
+    totals = spark.createDataFrame([(1, 200), (2, 0)], "trace_id long, execution_time_ms long")
+    got = {r.span_id: r.width_pct for r in monitoring.span_timeline(spans, totals).collect()}
+    # 50/200 → 25 %; 10/200 → 5 %; a total of 0 → a full bar
+    assert got == {"a": 25.0, "b": 5.0, "c": 100.0}
