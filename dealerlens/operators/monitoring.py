@@ -53,8 +53,10 @@ def behavior_summary(web_events: DataFrame) -> DataFrame:
 
 
 def trace_stats(traces: DataFrame) -> DataFrame:
-    """Totals, OK/ERROR counts, error rate, mean latency and token sum over
-    OK traces only, cost = tokens × price (4 dp)."""
+    """Totals, OK/ERROR counts, error rate (unrounded), mean latency over
+    OK traces (1 dp, half-even as Python's ``round``) and their token sum, cost
+    = tokens × price (4 dp); rate, latency and tokens are 0 when there is
+    nothing to count."""
     ok = F.col("status") == "OK"
     g = traces.agg(
         F.count(F.lit(1)).alias("total_traces"),
@@ -65,9 +67,9 @@ def trace_stats(traces: DataFrame) -> DataFrame:
     )
     return g.select(
         "total_traces", "ok_count", "error_count",
-        F.round(F.try_divide(F.col("error_count"), F.col("total_traces")), 4).alias("error_rate"),
-        F.round("_lat", 2).alias("avg_latency_ms"),
-        "total_tokens",
+        F.coalesce(F.try_divide(F.col("error_count"), F.col("total_traces")), F.lit(0.0)).alias("error_rate"),
+        F.coalesce(F.bround("_lat", 1), F.lit(0.0)).alias("avg_latency_ms"),
+        F.coalesce(F.col("total_tokens"), F.lit(0)).cast("bigint").alias("total_tokens"),
         F.round(F.coalesce(F.col("total_tokens"), F.lit(0)) * TOKEN_PRICE, 4).alias("total_cost"),
     )
 

@@ -226,9 +226,9 @@ def _behavior_summary(fx):
 @register("trace_stats", """
 SELECT count(*) AS total_traces, CAST(sum(CASE WHEN status = 'OK' THEN 1 ELSE 0 END) AS BIGINT) AS ok_count,
        CAST(sum(CASE WHEN status = 'ERROR' THEN 1 ELSE 0 END) AS BIGINT) AS error_count,
-       round(sum(CASE WHEN status = 'ERROR' THEN 1 ELSE 0 END) / count(*), 4) AS error_rate,
-       round(avg(CASE WHEN status = 'OK' THEN execution_time_ms END), 2) AS avg_latency_ms,
-       CAST(sum(CASE WHEN status = 'OK' THEN total_tokens END) AS BIGINT) AS total_tokens,
+       coalesce(sum(CASE WHEN status = 'ERROR' THEN 1 ELSE 0 END) / count(*), 0.0) AS error_rate,
+       coalesce(round_even(avg(CASE WHEN status = 'OK' THEN execution_time_ms END), 1), 0.0) AS avg_latency_ms,
+       CAST(coalesce(sum(CASE WHEN status = 'OK' THEN total_tokens END), 0) AS BIGINT) AS total_tokens,
        round(coalesce(sum(CASE WHEN status = 'OK' THEN total_tokens END), 0) * 0.000015, 4) AS total_cost
 FROM traces""")
 def _trace_stats(fx):

@@ -525,3 +525,15 @@ def test_span_timeline_uses_trace_execution_time_when_given(spark):
     got = {r.span_id: r.width_pct for r in monitoring.span_timeline(spans, totals).collect()}
     # 50/200 → 25 %; 10/200 → 5 %; a total of 0 → a full bar
     assert got == {"a": 25.0, "b": 5.0, "c": 100.0}
+
+
+def test_trace_stats_rounding_and_empty_as_the_source(spark):
+    schema = "status string, execution_time_ms long, total_tokens long"
+    t = spark.createDataFrame([("OK", 1, 10), ("OK", 2, None), ("ERROR", 99, 5), ("OK", 2, 20)], schema)
+    r = monitoring.trace_stats(t).collect()[0]
+    # mean latency 5/3 → 1.7; error rate 1/4 unrounded; tokens of OK traces only
+    assert (r.avg_latency_ms, r.error_rate, r.total_tokens) == (1.7, 0.25, 30)
+    tie = spark.createDataFrame([("OK", 2, 0), ("OK", 3, 0), ("OK", 2, 0), ("OK", 2, 0)], schema)
+    assert monitoring.trace_stats(tie).collect()[0].avg_latency_ms == 2.2  # 2.25 → 2.2, half-even
+    e = monitoring.trace_stats(spark.createDataFrame([], schema)).collect()[0]
+    assert (e.total_traces, e.error_rate, e.avg_latency_ms, e.total_tokens, e.total_cost) == (0, 0.0, 0.0, 0, 0.0)
