@@ -108,9 +108,12 @@ def quality_summary(logs_with_eval: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total"),
         F.sum(_flag(nr & ~ev)).cast("bigint").alias("alerts"),
         F.sum(_flag(~nr)).cast("bigint").alias("ok_strict"),
-        F.round(F.avg("overall"), 2).alias("avg_judge_score"),
+        # Python's round (half-even) on the mean; 0 when there are no logs.
+        F.coalesce(F.bround(F.avg("overall"), 2), F.lit(0.0)).alias("avg_judge_score"),
         F.sum(_flag(ev)).cast("bigint").alias("evaluated_count"),
-        F.array_join(F.array_sort(F.collect_set("evaluator")), ",").alias("evaluators"),
+        # Only named evaluators (an empty name is skipped, as in the source).
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("evaluator") != "", F.col("evaluator")))), ",")
+        .alias("evaluators"),
     )
     return g.select("total", "alerts", (F.col("total") - F.col("alerts")).alias("ok"), "ok_strict",
                     "avg_judge_score", "evaluated_count",

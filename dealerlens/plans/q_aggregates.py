@@ -261,10 +261,10 @@ WITH q AS (SELECT l.*, e.evaluator, e.evaluator IS NOT NULL AS evaluated
 SELECT count(*) AS total, CAST(sum(CASE WHEN needs_review AND NOT evaluated THEN 1 ELSE 0 END) AS BIGINT) AS alerts,
        count(*) - CAST(sum(CASE WHEN needs_review AND NOT evaluated THEN 1 ELSE 0 END) AS BIGINT) AS ok,
        CAST(sum(CASE WHEN NOT needs_review THEN 1 ELSE 0 END) AS BIGINT) AS ok_strict,
-       round(avg(overall), 2) AS avg_judge_score,
+       coalesce(round_even(avg(overall), 2), 0.0) AS avg_judge_score,
        CAST(sum(CASE WHEN evaluated THEN 1 ELSE 0 END) AS BIGINT) AS evaluated_count,
        count(*) - CAST(sum(CASE WHEN evaluated THEN 1 ELSE 0 END) AS BIGINT) AS unevaluated_count,
-       array_to_string(list_sort(list_distinct(list(evaluator))), ',') AS evaluators
+       array_to_string(list_sort(list_distinct(list(CASE WHEN evaluator <> '' THEN evaluator END))), ',') AS evaluators
 FROM q""")
 def _quality_summary(fx):
     from dealerlens.operators.joins import quality_with_evaluations

@@ -299,6 +299,18 @@ def test_quality_summary_alerts_drop_when_evaluated(spark):
     assert (s1.alerts, s1.ok, s1.ok_strict, s1.evaluators) == (0, 2, 1, "mgr")
 
 
+def test_quality_summary_mean_half_even_and_named_evaluators(spark):
+    # Eight scores averaging exactly 3.125 → 3.12 (Python's round); an empty
+    # evaluator name is not listed.
+    scores = [3.0, 3.0, 3.0, 3.0, 3.0, 3.0, 3.5, 3.5]
+    logs = spark.createDataFrame([(i, v, False) for i, v in enumerate(scores)],
+                                 "trace_id long, overall double, needs_review boolean")
+    ev = spark.createDataFrame([(0, 4, "", None), (1, 5, "mgr", None)],
+                               "trace_id long, rating int, evaluator string, ground_truth string")
+    s = monitoring.quality_summary(joins.quality_with_evaluations(logs, ev)).collect()[0]
+    assert (s.avg_judge_score, s.evaluators, s.evaluated_count) == (3.12, "mgr", 2)
+
+
 def test_evaluation_summary_zero_fill(spark):
     ev = spark.createDataFrame([(1, 5, "a", None), (2, 5, "b", "g")], "trace_id long, rating int, evaluator string, ground_truth string")
     got = {r.rating: r.cnt for r in monitoring.evaluation_summary(ev).collect()}
