@@ -90,10 +90,12 @@ def evaluation_summary(evaluations: DataFrame) -> DataFrame:
     spark = evaluations.sparkSession
     dist = evaluations.groupBy("rating").agg(F.count(F.lit(1)).alias("cnt"))
     scale = spark.range(1, 6).select(F.col("id").cast("int").alias("rating"))
+    # The mean is returned unrounded (0 with no evaluations); ground truth
+    # counts only when non-empty, as the source tests it for truth.
     tot = evaluations.agg(F.struct(
         F.count(F.lit(1)).alias("total"),
-        F.round(F.avg("rating"), 2).alias("avg_rating"),
-        F.count("ground_truth").alias("with_ground_truth"))).scalar()
+        F.coalesce(F.avg("rating"), F.lit(0.0)).alias("avg_rating"),
+        F.count(F.when(F.col("ground_truth") != "", 1)).alias("with_ground_truth"))).scalar()
     return (scale.join(dist, "rating", "left")
             .select("rating", F.coalesce("cnt", F.lit(0)).alias("cnt"))
             .withColumn("_t", tot).select("rating", "cnt", "_t.*"))
@@ -121,7 +123,8 @@ def quality_summary(logs_with_eval: DataFrame) -> DataFrame:
 
 
 def endpoint_summary(minutes: DataFrame, recent: int = 5, hour: int = 60) -> DataFrame:
-    """Over the newest ``recent`` minutes: mean rpm/avg/p50/p95/p99 and
+    """Over the newest ``recent`` minutes: mean rpm/avg/p50/p95/p99 (sum ÷
+    ``recent``) and
     error rate Σerrors/Σrequests (0 if none); over the newest ``hour`` minutes:
     Σrequests, Σtokens, cost; daily cost = hour cost × 24.  Both windows are
     distributed top-k (TakeOrderedAndProject), then one-row aggregates."""
@@ -130,12 +133,16 @@ def endpoint_summary(minutes: DataFrame, recent: int = 5, hour: int = 60) -> Dat
     h = last60.agg(F.struct(
         F.sum("requests").cast("bigint").alias("hour_requests"),
         F.sum("tokens").cast("bigint").alias("hour_tokens"))).scalar()
+    # Means divide by ``recent`` as the source does, so an absent minute counts 0.
+    def mean(c: str) -> Column:
+        return F.round(F.coalesce(F.sum(c), F.lit(0)) / recent, 4)
+
     s = last5.agg(
-        F.round(F.avg("requests"), 4).alias("rpm"),
-        F.round(F.avg("avg_latency_ms"), 4).alias("avg_latency_ms"),
-        F.round(F.avg("p50_latency_ms"), 4).alias("p50_latency_ms"),
-        F.round(F.avg("p95_latency_ms"), 4).alias("p95_latency_ms"),
-        F.round(F.avg("p99_latency_ms"), 4).alias("p99_latency_ms"),
+        mean("requests").alias("rpm"),
+        mean("avg_latency_ms").alias("avg_latency_ms"),
+        mean("p50_latency_ms").alias("p50_latency_ms"),
+        mean("p95_latency_ms").alias("p95_latency_ms"),
+        mean("p99_latency_ms").alias("p99_latency_ms"),
         F.round(F.coalesce(F.try_divide(F.sum("error_count"), F.sum("requests")), F.lit(0.0)), 6).alias("error_rate"),
     )
     return (s.withColumn("_h", h).select("*", "_h.*").drop("_h")

@@ -248,8 +248,8 @@ def _usage_by_type(fx):
 WITH s AS (SELECT CAST(g.r AS INTEGER) AS rating FROM generate_series(1, 5) AS g(r)),
 d AS (SELECT rating, count(*) AS cnt FROM evaluations GROUP BY 1)
 SELECT s.rating, coalesce(d.cnt, 0) AS cnt, (SELECT count(*) FROM evaluations) AS total,
-       (SELECT round(avg(rating), 2) FROM evaluations) AS avg_rating,
-       (SELECT count(ground_truth) FROM evaluations) AS with_ground_truth
+       (SELECT coalesce(avg(rating), 0.0) FROM evaluations) AS avg_rating,
+       (SELECT count(CASE WHEN ground_truth <> '' THEN 1 END) FROM evaluations) AS with_ground_truth
 FROM s LEFT JOIN d ON s.rating = d.rating""")
 def _evaluation_summary(fx):
     return mon.evaluation_summary(fx.evaluations)
@@ -276,9 +276,10 @@ def _quality_summary(fx):
 WITH l5 AS (SELECT * FROM endpoint_minutes ORDER BY minute DESC LIMIT 5),
 l60 AS (SELECT * FROM endpoint_minutes ORDER BY minute DESC LIMIT 60),
 h AS (SELECT CAST(sum(requests) AS BIGINT) AS hour_requests, CAST(sum(tokens) AS BIGINT) AS hour_tokens FROM l60)
-SELECT round(avg(requests), 4) AS rpm, round(avg(avg_latency_ms), 4) AS avg_latency_ms,
-       round(avg(p50_latency_ms), 4) AS p50_latency_ms, round(avg(p95_latency_ms), 4) AS p95_latency_ms,
-       round(avg(p99_latency_ms), 4) AS p99_latency_ms,
+SELECT round(coalesce(sum(requests), 0) / 5, 4) AS rpm, round(coalesce(sum(avg_latency_ms), 0) / 5, 4) AS avg_latency_ms,
+       round(coalesce(sum(p50_latency_ms), 0) / 5, 4) AS p50_latency_ms,
+       round(coalesce(sum(p95_latency_ms), 0) / 5, 4) AS p95_latency_ms,
+       round(coalesce(sum(p99_latency_ms), 0) / 5, 4) AS p99_latency_ms,
        round(coalesce(sum(error_count) / nullif(sum(requests), 0), 0.0), 6) AS error_rate,
        (SELECT hour_requests FROM h) AS hour_requests, (SELECT hour_tokens FROM h) AS hour_tokens,
        round((SELECT hour_tokens FROM h) * 0.000015, 6) AS hour_cost,

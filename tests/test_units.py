@@ -324,6 +324,18 @@ def test_endpoint_summary_no_requests(spark):
     assert monitoring.endpoint_summary(m).collect()[0].error_rate == 0.0
 
 
+def test_endpoint_summary_divides_by_five_and_evaluation_truthiness(spark):
+    # Three minutes present: the 5-minute mean still divides by 5, as the source does.
+    m = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, i), 10, 100.0, 1.0, 2.0, 3.0, 1, 7) for i in range(3)],
+                              "minute timestamp, requests long, avg_latency_ms double, p50_latency_ms double, "
+                              "p95_latency_ms double, p99_latency_ms double, error_count long, tokens long")
+    r = monitoring.endpoint_summary(m).collect()[0]
+    assert (r.rpm, r.avg_latency_ms, r.error_rate, r.hour_requests) == (6.0, 60.0, 0.1, 30)
+    ev = spark.createDataFrame([(1, 5, "a", ""), (2, 4, "b", "g")], "trace_id long, rating int, evaluator string, ground_truth string")
+    e = monitoring.evaluation_summary(ev).collect()[0]
+    assert (e.avg_rating, e.with_ground_truth) == (4.5, 1)
+
+
 def test_latest_per_key_ties_broken(spark):
     df = spark.createDataFrame([(1, _d("2024-01-02"), "b"), (1, _d("2024-01-02"), "a"), (1, _d("2024-01-01"), "z")],
                                "k long, d date, id string")
