@@ -190,13 +190,19 @@ def sample_every_n(minutes: DataFrame, n: int = 10, ts: str = "minute") -> DataF
             .where(((F.col("point_no") - 1) % n == 0) | (F.col(ts) == F.col("_last"))).drop("_last"))
 
 
-def share_of_max(minutes: DataFrame, ts: str = "minute") -> DataFrame:
-    """Requests ÷ the day's maximum × 100 (0 when the max is 0), and the
-    high-latency flag p95 > 1500 ms."""
-    mx = F.max("requests").over(Window.partitionBy(_series_key(ts)))
-    return minutes.select(
+def share_of_max(minutes: DataFrame, n: int = 10, ts: str = "minute") -> DataFrame:
+    """Bar heights of the sampled chart points (E9's every ``n``-th point
+    plus the last): requests and p95 latency in percent of their maxima over
+    the day's *sampled* points, as the chart scales them (0 when the maximum is
+    0); error marker (errors > 0) and high-latency flag (p95 > 1500 ms)."""
+    pts = sample_every_n(minutes, n, ts)
+    w = Window.partitionBy("series_day")
+    mr, ml = F.max("requests").over(w), F.max("p95_latency_ms").over(w)
+    return pts.select(
         ts, "requests",
-        F.when(mx > 0, F.round(F.col("requests") * 100.0 / mx, 4)).otherwise(F.lit(0.0)).alias("pct_of_max"),
+        F.when(mr > 0, F.round(F.col("requests") * 100.0 / mr, 4)).otherwise(F.lit(0.0)).alias("pct_of_max"),
+        F.when(ml > 0, F.round(F.col("p95_latency_ms") * 100.0 / ml, 4)).otherwise(F.lit(0.0)).alias("p95_pct_of_max"),
+        (F.col("error_count") > 0).alias("has_error"),
         (F.col("p95_latency_ms") > HIGH_LATENCY_P95_MS).alias("high_latency"))
 
 

@@ -134,11 +134,17 @@ def _sample_every_n(fx):
 
 
 @register("share_of_max", """
+WITH t AS (
+  SELECT *, row_number() OVER (PARTITION BY CAST(minute AS DATE) ORDER BY minute) AS point_no,
+         max(minute) OVER (PARTITION BY CAST(minute AS DATE)) AS lst FROM endpoint_minutes),
+p AS (SELECT *, max(requests) OVER (PARTITION BY CAST(minute AS DATE)) AS mr,
+             max(p95_latency_ms) OVER (PARTITION BY CAST(minute AS DATE)) AS ml
+      FROM t WHERE (point_no - 1) % 10 = 0 OR minute = lst)
 SELECT minute, requests,
-       CASE WHEN max(requests) OVER (PARTITION BY CAST(minute AS DATE)) > 0
-            THEN round(requests * 100.0 / max(requests) OVER (PARTITION BY CAST(minute AS DATE)), 4) ELSE 0.0 END AS pct_of_max,
-       p95_latency_ms > 1500 AS high_latency
-FROM endpoint_minutes""")
+       CASE WHEN mr > 0 THEN round(requests * 100.0 / mr, 4) ELSE 0.0 END AS pct_of_max,
+       CASE WHEN ml > 0 THEN round(p95_latency_ms * 100.0 / ml, 4) ELSE 0.0 END AS p95_pct_of_max,
+       error_count > 0 AS has_error, p95_latency_ms > 1500 AS high_latency
+FROM p""")
 def _share_of_max(fx):
     return mon.share_of_max(fx.endpoint_minutes)
 

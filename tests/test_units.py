@@ -561,3 +561,14 @@ def test_trace_stats_rounding_and_empty_as_the_source(spark):
     assert monitoring.trace_stats(tie).collect()[0].avg_latency_ms == 2.2  # 2.25 → 2.2, half-even
     e = monitoring.trace_stats(spark.createDataFrame([], schema)).collect()[0]
     assert (e.total_traces, e.error_rate, e.avg_latency_ms, e.total_tokens, e.total_cost) == (0, 0.0, 0.0, 0, 0.0)
+
+
+def test_share_of_max_scales_by_sampled_points(spark):
+    # The peak at minute 5 is not a sampled point (0, 10, ..., last), so the
+    # bars are scaled by the sampled maximum, as the chart does.
+    rows = [(dt.datetime(2024, 1, 1, 0, i), 100 if i == 5 else 10 + i, 1000.0 + i, 1 if i == 10 else 0)
+            for i in range(12)]
+    m = spark.createDataFrame(rows, "minute timestamp, requests long, p95_latency_ms double, error_count long")
+    got = {r.minute.minute: (r.pct_of_max, r.has_error) for r in monitoring.share_of_max(m).collect()}
+    # sampled requests 10, 20, 21 → scaled by 21, not by the unsampled 100
+    assert got == {0: (round(10 * 100 / 21, 4), False), 10: (round(20 * 100 / 21, 4), True), 11: (100.0, False)}
