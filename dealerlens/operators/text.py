@@ -332,17 +332,30 @@ def session_index(conversations: DataFrame, newest: int = 30) -> DataFrame:
 
 
 def customer_context(customers: DataFrame) -> DataFrame:
-    """One context text per customer (name, id, job, budget range, wishes).
-    Reads the renamed profile (B2 first), so no field comes out blank."""
+    """One context text per customer, in the source's layout: name, id,
+    age / job, family, current car, budget range, wishes, then the two
+    instructions naming the customer.  Reads the renamed profile (B2 first).
+    A field the table lacks takes the source's default (age, family: "";
+    current car: "なし"); a null prints as Python's f-string does ("None")."""
+    def field(c: str, default: str | None = "") -> Column:
+        if c not in customers.columns:
+            return F.lit(default)
+        return F.coalesce(F.col(c).cast("string"), F.lit("None"))
+
     def money(c: str) -> Column:
         return F.format_number(F.coalesce(F.floor(F.col(c)), F.lit(0)), 0)
 
+    name, cid = field("contact_name"), F.col("customer_id").cast("string")
     text = F.concat(
-        F.lit("【現在対応中の顧客情報】\n顧客名: "), F.coalesce("contact_name", F.lit("")), F.lit("様\n"),
-        F.lit("顧客ID: "), F.col("customer_id").cast("string"), F.lit("\n"),
-        F.lit("職業: "), F.coalesce("occupation", F.lit("")), F.lit("\n"),
+        F.lit("【現在対応中の顧客情報】\n顧客名: "), name, F.lit("様\n"),
+        F.lit("顧客ID: "), cid, F.lit("\n"),
+        F.lit("年齢: "), field("age"), F.lit("歳 / 職業: "), field("occupation"), F.lit("\n"),
+        F.lit("家族構成: "), field("family_structure"), F.lit("\n"),
+        F.lit("現在の車: "), field("current_vehicle", "なし"), F.lit("\n"),
         F.lit("予算: "), money("budget_min"), F.lit("〜"), money("budget_max"), F.lit("円\n"),
-        F.lit("希望条件: "), F.coalesce("persona", F.lit("")),
+        F.lit("希望条件: "), field("persona"), F.lit("\n\n"),
+        F.lit("この顧客について質問された場合は必ず「"), name, F.lit("様」と名前で呼んでください。"),
+        F.lit("顧客データを参照する際は顧客ID「"), cid, F.lit("」を使用してください。"),
     )
     return customers.select("customer_id", text.alias("context"))
 

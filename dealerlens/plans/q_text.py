@@ -224,10 +224,15 @@ def _session_index(fx):
 
 
 @register("customer_context", """
-SELECT customer_id, '【現在対応中の顧客情報】' || chr(10) || '顧客名: ' || coalesce(contact_name, '') || '様' || chr(10)
-  || '顧客ID: ' || CAST(customer_id AS VARCHAR) || chr(10) || '職業: ' || coalesce(occupation, '') || chr(10)
+SELECT customer_id, '【現在対応中の顧客情報】' || chr(10) || '顧客名: ' || coalesce(contact_name, 'None') || '様' || chr(10)
+  || '顧客ID: ' || CAST(customer_id AS VARCHAR) || chr(10)
+  || '年齢: 歳 / 職業: ' || coalesce(occupation, 'None') || chr(10)
+  || '家族構成: ' || chr(10) || '現在の車: なし' || chr(10)
   || '予算: ' || format('{:,}', CAST(coalesce(floor(budget_min), 0) AS BIGINT)) || '〜'
-  || format('{:,}', CAST(coalesce(floor(budget_max), 0) AS BIGINT)) || '円' || chr(10) || '希望条件: ' || coalesce(persona, '')
+  || format('{:,}', CAST(coalesce(floor(budget_max), 0) AS BIGINT)) || '円' || chr(10)
+  || '希望条件: ' || coalesce(persona, 'None') || chr(10) || chr(10)
+  || 'この顧客について質問された場合は必ず「' || coalesce(contact_name, 'None') || '様」と名前で呼んでください。'
+  || '顧客データを参照する際は顧客ID「' || CAST(customer_id AS VARCHAR) || '」を使用してください。'
   AS context
 FROM customers""")
 def _customer_context(fx):

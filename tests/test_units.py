@@ -572,3 +572,13 @@ def test_share_of_max_scales_by_sampled_points(spark):
     got = {r.minute.minute: (r.pct_of_max, r.has_error) for r in monitoring.share_of_max(m).collect()}
     # sampled requests 10, 20, 21 → scaled by 21, not by the unsampled 100
     assert got == {0: (round(10 * 100 / 21, 4), False), 10: (round(20 * 100 / 21, 4), True), 11: (100.0, False)}
+
+
+def test_customer_context_layout_and_defaults(spark):
+    c = spark.createDataFrame([(7, "Sato", None, "family", 1000.0, 2500.5, 41)],
+                              "customer_id long, contact_name string, occupation string, persona string, "
+                              "budget_min double, budget_max double, age int")
+    t = text.customer_context(c).collect()[0].context
+    assert t.splitlines()[:7] == ["【現在対応中の顧客情報】", "顧客名: Sato様", "顧客ID: 7", "年齢: 41歳 / 職業: None",
+                                  "家族構成: ", "現在の車: なし", "予算: 1,000〜2,500円"]
+    assert t.endswith("必ず「Sato様」と名前で呼んでください。顧客データを参照する際は顧客ID「7」を使用してください。")
