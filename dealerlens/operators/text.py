@@ -178,7 +178,8 @@ def assemble_talk_script(recs_with_vehicle: DataFrame) -> DataFrame:
     pos = F.row_number().over(Window.partitionBy("customer_id").orderBy("rnk"))
     r = recs_with_vehicle.withColumn("pos", pos)
     heading = F.concat(
-        F.lit("### 第"), F.col("pos").cast("string"), F.lit("位："), F.coalesce("vehicle_name", F.lit("")),
+        # An unknown vehicle (left join) has no name; the source's f-string prints "None".
+        F.lit("### 第"), F.col("pos").cast("string"), F.lit("位："), F.coalesce("vehicle_name", F.lit("None")),
         F.lit("（"), yen(F.col("price")), F.lit("）"),
         F.when(F.col("pos") == 1, F.lit(TOP_PICK_LABEL)).otherwise(F.lit("")))
     part = F.when(F.coalesce(F.col("talk_script"), F.lit("")) != "",

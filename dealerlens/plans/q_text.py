@@ -107,7 +107,7 @@ WITH r AS (SELECT r.customer_id, r.rnk, r.talk_script, i.vehicle_name, i.price,
                   row_number() OVER (PARTITION BY r.customer_id ORDER BY r.rnk) AS pos
            FROM recs r LEFT JOIN inventory i ON r.vehicle_key = i.vehicle_key)
 SELECT customer_id, coalesce(string_agg(CASE WHEN coalesce(talk_script, '') <> '' THEN
-         '### 第' || CAST(pos AS VARCHAR) || '位：' || coalesce(vehicle_name, '') || '（'
+         '### 第' || CAST(pos AS VARCHAR) || '位：' || coalesce(vehicle_name, 'None') || '（'
          || CASE WHEN coalesce(price, 0) <> 0 THEN '¥' || format('{:,}', CAST(floor(price) AS BIGINT)) ELSE '' END || '）'
          || CASE WHEN pos = 1 THEN '── 一番のおすすめです' ELSE '' END || chr(10) || talk_script END,
          chr(10) || chr(10) ORDER BY pos), '') AS talk_script
