@@ -167,14 +167,16 @@ TAG_SEPARATOR = "、"
 
 
 def insight_tags(insights: DataFrame) -> DataFrame:
-    """Priorities joined by "、"; first two needs as tags; the rest of the
-    needs joined, or all needs when there are at most two."""
-    needs = F.coalesce(F.from_json("deep_needs", "array<string>"), F.array().cast("array<string>"))
-    sig = F.coalesce(F.from_json("purchase_signals", "array<string>"), F.array().cast("array<string>"))
-    rest = F.when(F.size(needs) > 2, F.slice(needs, 3, 1_000_000)).otherwise(needs)
+    """Priorities joined by "、"; first two needs as tags; the needs after
+    the second joined, or all needs when that text is empty (``a || b`` in the
+    page).  Lists are read as H7 reads them (invalid JSON → [raw text])."""
+    from dealerlens.operators.text import json_list
+
+    needs, sig = json_list(F.col("deep_needs")), json_list(F.col("purchase_signals"))
+    rest = F.array_join(F.slice(needs, 3, 1_000_000), TAG_SEPARATOR)
     return insights.select(
         "customer_id",
         F.array_join(sig, TAG_SEPARATOR).alias("priorities"),
         F.array_join(F.slice(needs, 1, 2), TAG_SEPARATOR).alias("tags"),
-        F.array_join(rest, TAG_SEPARATOR).alias("other_needs"),
+        F.when(rest != "", rest).otherwise(F.array_join(needs, TAG_SEPARATOR)).alias("other_needs"),
     )

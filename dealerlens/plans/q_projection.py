@@ -134,8 +134,9 @@ def _call_minutes(fx):
 @register("insight_tags", """
 SELECT customer_id, array_to_string(CAST(purchase_signals AS VARCHAR[]), '、') AS priorities,
        array_to_string(CAST(deep_needs AS VARCHAR[])[1:2], '、') AS tags,
-       array_to_string(CASE WHEN len(CAST(deep_needs AS VARCHAR[])) > 2 THEN CAST(deep_needs AS VARCHAR[])[3:]
-                            ELSE CAST(deep_needs AS VARCHAR[]) END, '、') AS other_needs
+       CASE WHEN array_to_string(CAST(deep_needs AS VARCHAR[])[3:], '、') <> ''
+            THEN array_to_string(CAST(deep_needs AS VARCHAR[])[3:], '、')
+            ELSE array_to_string(CAST(deep_needs AS VARCHAR[]), '、') END AS other_needs
 FROM insights""")
 def _insight_tags(fx):
     return pj.insight_tags(derived.insights(fx))

@@ -582,3 +582,11 @@ def test_customer_context_layout_and_defaults(spark):
     assert t.splitlines()[:7] == ["【現在対応中の顧客情報】", "顧客名: Sato様", "顧客ID: 7", "年齢: 41歳 / 職業: None",
                                   "家族構成: ", "現在の車: なし", "予算: 1,000〜2,500円"]
     assert t.endswith("必ず「Sato様」と名前で呼んでください。顧客データを参照する際は顧客ID「7」を使用してください。")
+
+
+def test_insight_tags_fallback_as_the_page(spark):
+    ins = spark.createDataFrame([(1, '["a","b",""]', '["p"]'), (2, 'not json', '[]'), (3, '["a","b","c"]', None)],
+                                "customer_id long, deep_needs string, purchase_signals string")
+    got = {r.customer_id: (r.tags, r.other_needs, r.priorities) for r in projection.insight_tags(ins).collect()}
+    # an empty remainder falls back to all needs; invalid JSON is one raw item
+    assert got == {1: ("a、b", "a、b、", "p"), 2: ("not json", "not json", ""), 3: ("a、b", "c", "")}
