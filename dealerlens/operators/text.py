@@ -133,8 +133,9 @@ def json_list(text: Column) -> Column:
 
 def explode_recommendations(replies: DataFrame, inventory: DataFrame, text_col: str = "reply") -> DataFrame:
     """A reply holding a JSON list → its first 3 items as rows with int rank
-    and score (default 0) and the image path of the vehicle ('' if unknown);
-    anything that is not a list gives no rows."""
+    and score (default 0), name, reason, pitch and selling points ('' / [] when
+    absent) and the image path of the vehicle ('' if unknown); anything that is
+    not a list gives no rows."""
     body = strip_fences(F.col(text_col))
     # from_json wraps a lone object into a one-element array: only lists count.
     arr = F.when(F.ltrim(body).startswith("["), F.from_json(body, REC_ITEM_SCHEMA))
@@ -144,7 +145,9 @@ def explode_recommendations(replies: DataFrame, inventory: DataFrame, text_col:
         "customer_id",
         F.coalesce(F.col("r.rank").try_cast("int"), F.lit(0)).alias("rank"),
         F.coalesce(F.col("r.vehicle_key"), F.lit("")).alias("vehicle_key"),
+        F.coalesce(F.col("r.vehicle_name"), F.lit("")).alias("vehicle_name"),
         F.coalesce(F.col("r.match_score").try_cast("int"), F.lit(0)).alias("match_score"),
+        F.coalesce(F.col("r.recommendation_reason"), F.lit("")).alias("recommendation_reason"),
         F.coalesce(F.col("r.talk_script"), F.lit("")).alias("talk_script"),
         F.to_json(F.coalesce(F.col("r.key_selling_points"), empty_list())).alias("key_selling_points"),
     )

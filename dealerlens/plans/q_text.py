@@ -83,8 +83,9 @@ def recs_as_replies(recs):
     return js.select("customer_id", reply.alias("reply"))
 
 
-_EXPLODED = """SELECT r.customer_id, r.rnk AS rank, CAST(r.vehicle_key AS VARCHAR) AS vehicle_key, r.match_score,
-       r.talk_script, '[]' AS key_selling_points, coalesce(i.image_path, '') AS image_path
+_EXPLODED = """SELECT r.customer_id, r.rnk AS rank, CAST(r.vehicle_key AS VARCHAR) AS vehicle_key, '' AS vehicle_name,
+       r.match_score, '' AS recommendation_reason, r.talk_script, '[]' AS key_selling_points,
+       coalesce(i.image_path, '') AS image_path
 FROM recs r LEFT JOIN inventory i ON r.vehicle_key = i.vehicle_key"""
 
 

@@ -590,3 +590,13 @@ def test_insight_tags_fallback_as_the_page(spark):
     got = {r.customer_id: (r.tags, r.other_needs, r.priorities) for r in projection.insight_tags(ins).collect()}
     # an empty remainder falls back to all needs; invalid JSON is one raw item
     assert got == {1: ("a、b", "a、b、", "p"), 2: ("not json", "not json", ""), 3: ("a、b", "c", "")}
+
+
+def test_explode_recommendations_keeps_name_and_reason(spark):
+    r = spark.createDataFrame([(1, '[{"rank": 1, "vehicle_key": "7", "vehicle_name": "Van", '
+                                   '"recommendation_reason": "space", "match_score": 91}]')],
+                              "customer_id long, reply string")
+    inv = spark.createDataFrame([(7, "images/van.jpg")], "vehicle_key long, image_path string")
+    x = text.explode_recommendations(r, inv).collect()[0]
+    assert (x.rank, x.vehicle_name, x.recommendation_reason, x.match_score, x.talk_script, x.image_path) == \
+        (1, "Van", "space", 91, "", "images/van.jpg")
