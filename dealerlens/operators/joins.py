@@ -215,8 +215,9 @@ def budget_violations(recs: DataFrame, customers: DataFrame, inventory: DataFram
 
 
 def interactions_with_quotes(interactions: DataFrame, insights: DataFrame) -> DataFrame:
-    """Each interaction with its customer's parsed quote list (missing → [])."""
+    """Each interaction (all its columns, with the text also as
+    ``transcript``) with its customer's parsed quote list (missing or invalid → [])."""
     q = insights.select("customer_id", F.from_json("key_quotes_json", "array<string>").alias("quotes"))
-    return (interactions.select("interaction_id", "customer_id", "interaction_type", "interaction_date")
+    return (interactions.withColumn("transcript", F.col("content"))
             .join(q, "customer_id", "left")
             .withColumn("quotes", F.coalesce(F.col("quotes"), F.array().cast("array<string>"))))

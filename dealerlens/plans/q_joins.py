@@ -98,7 +98,7 @@ def _budget_violations(fx):
 
 
 @register("interactions_with_quotes", """
-SELECT i.interaction_id, i.customer_id, i.interaction_type, i.interaction_date,
+SELECT i.*, i.content AS transcript,
        array_to_string(coalesce(CAST(q.key_quotes_json AS VARCHAR[]), []), '|') AS quotes
 FROM interactions i LEFT JOIN insights q ON i.customer_id = q.customer_id""")
 def _interactions_with_quotes(fx):
