@@ -69,9 +69,10 @@ def sales_with_store(sales: DataFrame, stores: DataFrame) -> DataFrame:
 
 def recommendations_with_vehicle(recs: DataFrame, inventory: DataFrame) -> DataFrame:
     """Recommendations with vehicle details (left; unknown vehicle → nulls)."""
-    inv = inventory.select("vehicle_key", "vehicle_name", "price", "image_path")
+    inv = inventory.select("vehicle_key", "vehicle_name", "price", "image_path", "body_type", "model_year")
     return recs.join(inv, "vehicle_key", "left").select(
-        "customer_id", "rnk", "vehicle_key", "match_score", "vehicle_name", "price", "image_path")
+        "customer_id", "rnk", "vehicle_key", "match_score", "vehicle_name", "price", "image_path",
+        "body_type", "model_year")
 
 
 def quality_with_evaluations(logs: DataFrame, evaluations: DataFrame) -> DataFrame:

@@ -136,9 +136,11 @@ def filter_quality_detail(logs: DataFrame, date_from: str | None = None, date_to
 
 
 def image_filename(inventory: DataFrame, url_prefix: str = "") -> DataFrame:
-    """Last path segment of the image path; prefixed URL when a prefix is set."""
-    name = F.substring_index(F.col("image_path"), "/", -1)
-    url = F.concat(F.lit(url_prefix), name) if url_prefix else F.col("image_path")
+    """Last path segment of the image path ('' when there is no path) and
+    the URL ``url_prefix`` + segment ('' when the segment is empty)."""
+    path = F.coalesce(F.col("image_path"), F.lit(""))
+    name = F.when(path != "", F.substring_index(path, "/", -1)).otherwise(F.lit(""))
+    url = F.when(name != "", F.concat(F.lit(url_prefix), name)).otherwise(F.lit(""))
     return inventory.select("vehicle_key", "image_path", name.alias("image_file"), url.alias("image_url"))
 
 

@@ -29,7 +29,8 @@ def _sales_with_store(fx):
 
 
 @register("recommendations_with_vehicle", """
-SELECT r.customer_id, r.rnk, r.vehicle_key, r.match_score, i.vehicle_name, i.price, i.image_path
+SELECT r.customer_id, r.rnk, r.vehicle_key, r.match_score, i.vehicle_name, i.price, i.image_path,
+       i.body_type, i.model_year
 FROM recs r LEFT JOIN inventory i ON r.vehicle_key = i.vehicle_key""")
 def _recommendations_with_vehicle(fx):
     return jn.recommendations_with_vehicle(fx.recs, fx.inventory)

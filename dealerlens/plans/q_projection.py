@@ -107,8 +107,9 @@ def _filter_quality_detail(fx):
 
 
 @register("image_filename", """
-SELECT vehicle_key, image_path, split_part(image_path, '/', -1) AS image_file,
-       '/api/images/' || split_part(image_path, '/', -1) AS image_url FROM inventory""")
+SELECT vehicle_key, image_path, f AS image_file, CASE WHEN f <> '' THEN '/api/images/' || f ELSE '' END AS image_url
+FROM (SELECT *, CASE WHEN coalesce(image_path, '') <> '' THEN split_part(image_path, '/', -1) ELSE '' END AS f
+      FROM inventory) v""")
 def _image_filename(fx):
     return pj.image_filename(fx.inventory, "/api/images/")
 

@@ -600,3 +600,10 @@ def test_explode_recommendations_keeps_name_and_reason(spark):
     x = text.explode_recommendations(r, inv).collect()[0]
     assert (x.rank, x.vehicle_name, x.recommendation_reason, x.match_score, x.talk_script, x.image_path) == \
         (1, "Van", "space", 91, "", "images/van.jpg")
+
+
+def test_image_filename_empty_and_null_paths(spark):
+    inv = spark.createDataFrame([(1, "images/harrier.jpg"), (2, ""), (3, None), (4, "images/")],
+                                "vehicle_key long, image_path string")
+    got = {r.vehicle_key: (r.image_file, r.image_url) for r in projection.image_filename(inv, "/api/images/").collect()}
+    assert got == {1: ("harrier.jpg", "/api/images/harrier.jpg"), 2: ("", ""), 3: ("", ""), 4: ("", "")}
