@@ -71,7 +71,9 @@ def lookup_by_key(df: DataFrame, key: str, value) -> DataFrame:
 
 def filter_inventory(inventory: DataFrame, body_type: str | None = None, min_price: float | None = None,
                      max_price: float | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
-    """Optional body type, inclusive price bounds (0/None = unbounded), page."""
+    """Optional body type, inclusive price bounds (0/None = unbounded), page
+    (this list has no upper bound on the page size); ``image_url`` copies the
+    image path when the table has none."""
     df = inventory
     if body_type:
         df = df.where(F.col("body_type") == F.lit(body_type))
@@ -79,7 +81,9 @@ def filter_inventory(inventory: DataFrame, body_type: str | None = None, min_pri
         df = df.where(F.col("price") >= F.lit(min_price))
     if max_price:
         df = df.where(F.col("price") <= F.lit(max_price))
-    return paginate(df, ["vehicle_key"], limit, offset)
+    if "image_path" in df.columns and "image_url" not in df.columns:
+        df = df.withColumn("image_url", F.col("image_path"))
+    return paginate(df, ["vehicle_key"], limit, offset, max_limit=max(limit, 1))
 
 
 def filter_traces(traces: DataFrame, status: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:

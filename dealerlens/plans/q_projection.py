@@ -60,7 +60,8 @@ def _lookup_by_key(fx):
 
 
 @register("filter_inventory", """
-SELECT * FROM inventory WHERE body_type = 'PROMO' AND price >= 950 AND price <= 990 ORDER BY vehicle_key LIMIT 20 OFFSET 3""")
+SELECT *, image_path AS image_url FROM inventory WHERE body_type = 'PROMO' AND price >= 950 AND price <= 990
+ORDER BY vehicle_key LIMIT 20 OFFSET 3""")
 def _filter_inventory(fx):
     return pj.filter_inventory(fx.inventory, "PROMO", 950, 990, 20, 3)
 
