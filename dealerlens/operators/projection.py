@@ -149,7 +149,12 @@ def image_filename(inventory: DataFrame, url_prefix: str = "") -> DataFrame:
 
 
 def make_expr(name: Column) -> Column:
-    return F.when(F.instr(name, " ") > 0, F.split(name, " ").getItem(0)).otherwise(F.lit(""))
+    """``name.split()[0] if " " in name else ""``: Python's ``split()`` drops
+    leading whitespace and splits on runs of any whitespace."""
+    from dealerlens.operators.text import PY_WS_CLASS, py_strip
+
+    return F.when(F.instr(name, " ") > 0, F.element_at(F.split(py_strip(name), PY_WS_CLASS + "+"), 1)) \
+        .otherwise(F.lit(""))
 
 
 def make_from_name(inventory: DataFrame) -> DataFrame:

@@ -51,6 +51,10 @@ PY_WHITESPACE = ("\t\n\u000b\f\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680"
                  + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
 
 
+# The same set as a regex class (``\x{...}`` is read by Java and RE2 alike).
+PY_WS_CLASS = "[" + "".join(f"\\x{{{ord(c):04X}}}" for c in PY_WHITESPACE) + "]"
+
+
 def py_strip(c: Column) -> Column:
     """Python's ``str.strip()``: ``btrim`` over its whitespace set."""
     return F.btrim(c, F.lit(PY_WHITESPACE))

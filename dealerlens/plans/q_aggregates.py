@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dealerlens.fixtures import AS_OF
 from dealerlens.operators import aggregates as agg
-from dealerlens.plans.registry import register
+from dealerlens.plans.registry import register  # noqa: E402
+from dealerlens.plans.sql_snippets import py_first_word  # noqa: E402
 
 
 @register("store_daily_activity", """
@@ -290,7 +291,7 @@ def _endpoint_summary(fx):
 
 
 @register("top_makes", """
-SELECT CASE WHEN strpos(i.vehicle_name, ' ') > 0 THEN split_part(i.vehicle_name, ' ', 1) ELSE '' END AS make,
+SELECT """ + py_first_word("i.vehicle_name") + """ AS make,
        count(*) AS recommendations
 FROM recs r JOIN inventory i ON r.vehicle_key = i.vehicle_key
 GROUP BY 1 ORDER BY recommendations DESC, make LIMIT 5""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dealerlens.fixtures import AS_OF  # noqa: E402
 from dealerlens.operators import sales as sl  # noqa: E402
 from dealerlens.plans.registry import register  # noqa: E402
+from dealerlens.plans.sql_snippets import py_first_word  # noqa: E402
 from dealerlens.plans.sql_snippets import AS_OF_SQL  # noqa: E402
 
 
@@ -116,8 +117,7 @@ def _image_filename(fx):
 
 
 @register("make_from_name", """
-SELECT vehicle_key, vehicle_name, CASE WHEN strpos(vehicle_name, ' ') > 0 THEN split_part(vehicle_name, ' ', 1) ELSE '' END
-  AS make_guess FROM inventory""")
+SELECT vehicle_key, vehicle_name, """ + py_first_word("vehicle_name") + """ AS make_guess FROM inventory""")
 def _make_from_name(fx):
     return pj.make_from_name(fx.inventory)
 

@@ -29,3 +29,11 @@ def py_strip(expr: str) -> str:
 def unfence(expr: str) -> str:
     """Stripped text without a leading ```json / ``` and a trailing ``` fence."""
     return f"regexp_replace(regexp_replace({py_strip(expr)}, '^```(?:json)?\\s*', ''), '\\s*```$', '')"
+
+
+def py_first_word(expr: str) -> str:
+    """``expr.split()[0] if " " in expr else ""`` (Python whitespace rules)."""
+    from dealerlens.operators.text import PY_WS_CLASS
+
+    return (f"CASE WHEN strpos({expr}, ' ') > 0 "
+            f"THEN string_split_regex({py_strip(expr)}, '{PY_WS_CLASS}+')[1] ELSE '' END")

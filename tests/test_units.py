@@ -607,3 +607,10 @@ def test_image_filename_empty_and_null_paths(spark):
                                 "vehicle_key long, image_path string")
     got = {r.vehicle_key: (r.image_file, r.image_url) for r in projection.image_filename(inv, "/api/images/").collect()}
     assert got == {1: ("harrier.jpg", "/api/images/harrier.jpg"), 2: ("", ""), 3: ("", ""), 4: ("", "")}
+
+
+def test_make_from_name_python_split(spark):
+    inv = spark.createDataFrame([(1, "Toyota Prius"), (2, " Honda  Fit"), (3, "Solo"), (4, "A\tB C")],
+                                "vehicle_key long, vehicle_name string")
+    got = {r.vehicle_key: r.make_guess for r in projection.make_from_name(inv).collect()}
+    assert got == {1: "Toyota", 2: "Honda", 3: "", 4: "A"}
