@@ -404,12 +404,36 @@ def build_insight_prompts(customers: DataFrame, interactions: DataFrame, behavio
         F.lit("\n検索キーワード: "), F.col("search_keywords"),
         F.lit("\n閲覧車両: "), F.col("viewed_vehicles"),
         F.lit("\nお気に入り登録数: "), F.col("favorite_count").cast("string"), F.lit("件")).alias("behavior_text"))
-    profile = F.concat(F.lit("顧客名: "), F.coalesce("contact_name", F.lit("")),
-                       F.lit("\n職業: "), F.coalesce("occupation", F.lit("None")),
-                       F.lit("\n\n【インタラクション履歴】\n"))
-    j = (customers.select("customer_id", "opp_id", "contact_name", "occupation")
+    def py(c: str) -> Column:  # a value as Python's f-string prints it
+        return F.coalesce(F.col(c).cast("string"), F.lit("None"))
+
+    def thousands(c: str) -> Column:
+        return F.coalesce(F.format_number(F.col(c), 0), F.lit("None"))
+
+    # Profile lines; a line whose column the table lacks is left out.
+    optional = {
+        "age": lambda: F.concat(F.lit("年齢: "), py("age"), F.lit("歳")),
+        "family_detail": lambda: F.concat(F.lit("家族構成: "), py("family_detail")),
+        "current_vehicle": lambda: F.concat(F.lit("現在の車: "), py("current_vehicle"), F.lit(" ("),
+                                            thousands("current_mileage"), F.lit("km)")),
+        "budget": lambda: F.concat(F.lit("予算上限: "), thousands("budget"), F.lit("円")),
+        "visit_scheduled_date": lambda: F.concat(F.lit("来店予定日: "), py("visit_scheduled_date")),
+    }
+    lines = [F.concat(F.lit("顧客名: "), F.coalesce("contact_name", F.lit("")))]
+    if "age" in customers.columns:
+        lines.append(optional["age"]())
+    lines.append(F.concat(F.lit("職業: "), py("occupation")))
+    for c in ("family_detail", "current_vehicle", "budget", "visit_scheduled_date"):
+        if c in customers.columns and (c != "current_vehicle" or "current_mileage" in customers.columns):
+            lines.append(optional[c]())
+    profile = F.concat_ws("\n", *lines, F.lit(""), F.lit("【インタラクション履歴】"))
+    keep = [c for c in customers.columns if c not in ("customer_id", "opp_id")]
+    j = (customers.select("customer_id", "opp_id", *keep)
          .join(per_cust, "customer_id", "left").join(beh, "opp_id", "left"))
-    prompt = F.concat(profile, F.coalesce("history", F.lit("")),
+    # Lines are joined by "\n" as in the source: each interaction adds
+    # "\n[type / date]\ncontent\n", the behaviour block "\n" + its lines.
+    prompt = F.concat(profile,
+                      F.when(F.col("history").isNotNull(), F.concat(F.lit("\n"), F.col("history"))).otherwise(F.lit("")),
                       F.when(F.col("behavior_text").isNotNull(), F.concat(F.lit("\n"), F.col("behavior_text")))
                       .otherwise(F.lit("")))
     return j.select("customer_id", prompt.alias("prompt"))

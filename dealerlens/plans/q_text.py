@@ -28,7 +28,8 @@ b AS (SELECT opp_id, '【閲覧行動】' || {_NL} || '総セッション数: '
              || viewed_vehicles || {_NL} || 'お気に入り登録数: ' || CAST(favorite_count AS VARCHAR) || '件' AS behavior_text
       FROM behavior)
 SELECT c.customer_id, '顧客名: ' || coalesce(c.contact_name, '') || {_NL} || '職業: ' || coalesce(c.occupation, 'None')
-         || {_NL} || {_NL} || '【インタラクション履歴】' || {_NL} || coalesce(h.history, '')
+         || {_NL} || {_NL} || '【インタラクション履歴】'
+         || CASE WHEN h.history IS NOT NULL THEN {_NL} || h.history ELSE '' END
          || CASE WHEN b.behavior_text IS NOT NULL THEN {_NL} || b.behavior_text ELSE '' END AS prompt
 FROM customers c LEFT JOIN h ON c.customer_id = h.customer_id LEFT JOIN b ON c.opp_id = b.opp_id""")
 def _build_insight_prompts(fx):

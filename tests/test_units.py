@@ -614,3 +614,15 @@ def test_make_from_name_python_split(spark):
                                 "vehicle_key long, vehicle_name string")
     got = {r.vehicle_key: r.make_guess for r in projection.make_from_name(inv).collect()}
     assert got == {1: "Toyota", 2: "Honda", 3: "", 4: "A"}
+
+
+def test_insight_prompt_layout_as_the_source(spark):
+    cust = spark.createDataFrame([(1, 101, "Sato", "nurse", 41, 12000)],
+                                 "customer_id long, opp_id long, contact_name string, occupation string, age int, budget long")
+    inter = spark.createDataFrame([], "customer_id long, interaction_id string, interaction_type string, "
+                                      "interaction_date date, content string")
+    beh = spark.createDataFrame([], "opp_id long, session_count long, view_count long, search_keywords string, "
+                                    "viewed_vehicles string, favorite_count long")
+    p = text.build_insight_prompts(cust, inter, beh).collect()[0].prompt
+    # no interactions: the text ends at the history header, as "\n".join does
+    assert p == "顧客名: Sato\n年齢: 41歳\n職業: nurse\n予算上限: 12,000円\n\n【インタラクション履歴】"
