@@ -441,25 +441,46 @@ def build_insight_prompts(customers: DataFrame, interactions: DataFrame, behavio
 
 def build_recommendation_prompts(customers: DataFrame, insights: DataFrame, candidates: DataFrame,
                                  inventory: DataFrame) -> DataFrame:
-    """Profile + insight fields + one line per candidate vehicle (C9's ≤ k
-    candidates, not the whole inventory, so each list is bounded)."""
+    """The batch pipeline's prompt: profile lines, the insight block and one
+    line per vehicle, joined by newlines.  The vehicles are C9's ≤ k
+    candidates, not the whole inventory, so each list is bounded.  Profile
+    lines whose column the table lacks are left out; the budget ceiling is
+    ``budget`` or else ``budget_max``; values print as Python's f-string does."""
+    def py(c: str) -> Column:
+        return F.coalesce(F.col(c).cast("string"), F.lit("None"))
+
+    def thousands(c: Column) -> Column:
+        return F.coalesce(F.format_number(F.floor(c), 0), F.lit("None"))
+
     inv = inventory.select("vehicle_key", "vehicle_name", "body_type", "price")
-    line = F.concat(F.lit("- "), F.col("vehicle_key").cast("string"), F.lit(": "), F.col("vehicle_name"),
-                    F.lit(" / "), F.col("body_type"), F.lit(" / "), F.format_number(F.floor("price"), 0), F.lit("円"))
+    line = F.concat(F.lit("- vehicle_key="), F.col("vehicle_key").cast("string"), F.lit(": "), py("vehicle_name"),
+                    F.lit(" ("), py("body_type"), F.lit(") 価格: "), thousands(F.col("price")), F.lit("円"))
     lines = (candidates.select("customer_id", "vehicle_key", "candidate_rank").join(inv, "vehicle_key")
              .groupBy("customer_id")
              .agg(F.array_sort(F.collect_list(F.struct("candidate_rank", line.alias("l")))).alias("ls"))
              .select("customer_id", F.array_join(F.transform("ls", lambda x: x["l"]), "\n").alias("vehicle_lines")))
-    ins = insights.select("customer_id", "summary", "deep_needs")
-    prompt = F.concat(
-        F.lit("顧客名: "), F.coalesce("contact_name", F.lit("")),
-        F.lit("\n予算: "), F.format_number(F.floor(F.coalesce("budget_min", F.lit(0.0))), 0), F.lit("〜"),
-        F.format_number(F.floor(F.coalesce("budget_max", F.lit(0.0))), 0), F.lit("円"),
-        F.lit("\nサマリー: "), F.coalesce("summary", F.lit("")),
-        F.lit("\n潜在ニーズ: "), F.coalesce("deep_needs", F.lit("[]")),
-        F.lit("\n\n【候補車両】\n"), F.coalesce("vehicle_lines", F.lit("")))
-    return (customers.select("customer_id", "contact_name", "budget_min", "budget_max")
-            .join(ins, "customer_id").join(lines, "customer_id", "left")
+    ins = insights.select("customer_id", "deep_needs", "purchase_urgency", "decision_key", "summary")
+    cols = customers.columns
+    profile = [F.concat(F.lit("顧客名: "), py("contact_name"))]
+    job = F.concat(F.lit("職業: "), py("occupation"))
+    profile.append(F.concat(F.lit("年齢: "), py("age"), F.lit("歳 / "), job) if "age" in cols else job)
+    if "family_detail" in cols:
+        profile.append(F.concat(F.lit("家族構成: "), py("family_detail")))
+    if "current_vehicle" in cols:
+        profile.append(F.concat(F.lit("現在の車: "), py("current_vehicle")))
+    ceiling = "budget" if "budget" in cols else "budget_max" if "budget_max" in cols else None
+    if ceiling:
+        profile.append(F.concat(F.lit("予算上限: "), thousands(F.col(ceiling)), F.lit("円")))
+    block = [F.lit(""), F.lit("【AIインサイト】"),
+             F.concat(F.lit("深層ニーズ: "), py("deep_needs")),
+             F.concat(F.lit("購買意欲: "), py("purchase_urgency")),
+             F.concat(F.lit("決め手: "), py("decision_key")),
+             F.concat(F.lit("サマリ: "), py("summary")),
+             F.lit(""), F.lit("【在庫車両リスト】（vehicle_keyと予算を参考に選択）")]
+    head = F.concat_ws("\n", *profile, *block)
+    prompt = F.concat(head, F.when(F.col("vehicle_lines").isNotNull(), F.concat(F.lit("\n"), F.col("vehicle_lines")))
+                      .otherwise(F.lit("")))
+    return (customers.join(ins, "customer_id").join(lines, "customer_id", "left")
             .select("customer_id", prompt.alias("prompt")))
 
 

@@ -38,15 +38,18 @@ def _build_insight_prompts(fx):
 
 @register("build_recommendation_prompts", f"""
 WITH {_C9},
-l AS (SELECT c9.customer_id, string_agg('- ' || CAST(c9.vehicle_key AS VARCHAR) || ': ' || i.vehicle_name || ' / ' || i.body_type
-                                        || ' / ' || format('{{:,}}', CAST(floor(i.price) AS BIGINT)) || '円', {_NL}
+l AS (SELECT c9.customer_id, string_agg('- vehicle_key=' || CAST(c9.vehicle_key AS VARCHAR) || ': '
+                                        || coalesce(i.vehicle_name, 'None') || ' (' || coalesce(i.body_type, 'None')
+                                        || ') 価格: ' || format('{{:,}}', CAST(floor(i.price) AS BIGINT)) || '円', {_NL}
                                         ORDER BY c9.candidate_rank) AS vehicle_lines
       FROM c9 JOIN inventory i ON c9.vehicle_key = i.vehicle_key GROUP BY 1)
-SELECT c.customer_id, '顧客名: ' || coalesce(c.contact_name, '') || {_NL} || '予算: '
-         || format('{{:,}}', CAST(floor(coalesce(c.budget_min, 0.0)) AS BIGINT)) || '〜'
-         || format('{{:,}}', CAST(floor(coalesce(c.budget_max, 0.0)) AS BIGINT)) || '円' || {_NL} || 'サマリー: '
-         || coalesce(s.summary, '') || {_NL} || '潜在ニーズ: ' || coalesce(s.deep_needs, '[]') || {_NL} || {_NL}
-         || '【候補車両】' || {_NL} || coalesce(l.vehicle_lines, '') AS prompt
+SELECT c.customer_id, '顧客名: ' || coalesce(c.contact_name, 'None') || {_NL} || '職業: ' || coalesce(c.occupation, 'None')
+         || {_NL} || '予算上限: ' || coalesce(format('{{:,}}', CAST(floor(c.budget_max) AS BIGINT)), 'None') || '円'
+         || {_NL} || {_NL} || '【AIインサイト】' || {_NL} || '深層ニーズ: ' || coalesce(s.deep_needs, 'None')
+         || {_NL} || '購買意欲: ' || coalesce(s.purchase_urgency, 'None') || {_NL} || '決め手: ' || coalesce(s.decision_key, 'None')
+         || {_NL} || 'サマリ: ' || coalesce(s.summary, 'None') || {_NL} || {_NL}
+         || '【在庫車両リスト】（vehicle_keyと予算を参考に選択）'
+         || CASE WHEN l.vehicle_lines IS NOT NULL THEN {_NL} || l.vehicle_lines ELSE '' END AS prompt
 FROM customers c JOIN insights s ON c.customer_id = s.customer_id LEFT JOIN l ON c.customer_id = l.customer_id""")
 def _build_recommendation_prompts(fx):
     cand = jn.budget_candidates(fx.customers, fx.inventory, k=20)
