@@ -25,7 +25,11 @@ def behavior_summary(web_events: DataFrame) -> DataFrame:
     a deterministic device (smallest name instead of an arbitrary first), and
     first/last event time.  Exact distinct counts, partial aggregation."""
     et = F.col("event_type")
-    vk = F.when(F.col("vehicle_key") != "", F.col("vehicle_key"))
+    viewed = F.col("vehicle_key") != ""
+    vk = F.when(viewed, F.col("vehicle_key"))
+    # The list shows vehicle names where the events carry them (keys otherwise);
+    # the distinct count is always over keys.
+    vn = F.when(viewed, F.col("vehicle_name")) if "vehicle_name" in web_events.columns else vk
     kw = F.when(F.col("search_keyword") != "", F.col("search_keyword"))
     # The vehicle set is collected anyway (bounded by the catalogue), so its size
     # is the distinct count; only sessions need an exact distinct aggregate,
@@ -37,7 +41,8 @@ def behavior_summary(web_events: DataFrame) -> DataFrame:
         F.sum(_flag(et == "view")).cast("bigint").alias("view_count"),
         F.sum(_flag(et == "click")).cast("bigint").alias("click_count"),
         F.sum(_flag(et == "favorite")).cast("bigint").alias("favorite_count"),
-        F.array_sort(F.collect_set(vk)).alias("_v"),
+        F.size(F.collect_set(vk)).cast("bigint").alias("_nv"),
+        F.array_sort(F.collect_set(vn)).alias("_v"),
         F.array_sort(F.collect_set(kw)).alias("_k"),
         F.min("device_type").alias("primary_device"),
         F.min("event_ts").alias("first_event_at"),
@@ -45,7 +50,7 @@ def behavior_summary(web_events: DataFrame) -> DataFrame:
     )
     return g.select(
         "opp_id", "total_events", "session_count", "search_count", "view_count", "click_count", "favorite_count",
-        F.size("_v").cast("bigint").alias("unique_vehicles_viewed"),
+        F.col("_nv").alias("unique_vehicles_viewed"),
         F.array_join("_v", ", ").alias("viewed_vehicles"),
         F.array_join("_k", ", ").alias("search_keywords"),
         "primary_device", "first_event_at", "last_event_at",

@@ -626,3 +626,14 @@ def test_insight_prompt_layout_as_the_source(spark):
     p = text.build_insight_prompts(cust, inter, beh).collect()[0].prompt
     # no interactions: the text ends at the history header, as "\n".join does
     assert p == "顧客名: Sato\n年齢: 41歳\n職業: nurse\n予算上限: 12,000円\n\n【インタラクション履歴】"
+
+
+def test_behavior_summary_lists_names_counts_keys(spark):
+    ev = spark.createDataFrame(
+        [(1, "s1", "view", "V1", "Prius", "", "pc", dt.datetime(2024, 1, 1)),
+         (1, "s1", "view", "V2", "Prius", "", "pc", dt.datetime(2024, 1, 2)),
+         (1, "s2", "search", "", None, "suv", "pc", dt.datetime(2024, 1, 3))],
+        "opp_id long, session_id string, event_type string, vehicle_key string, vehicle_name string, "
+        "search_keyword string, device_type string, event_ts timestamp")
+    r = monitoring.behavior_summary(ev).collect()[0]
+    assert (r.unique_vehicles_viewed, r.viewed_vehicles, r.search_keywords, r.session_count) == (2, "Prius", "suv", 2)
