@@ -23,6 +23,11 @@ def _customer_map(customers: DataFrame) -> DataFrame:
     return customers.select("opp_id", "customer_id")
 
 
+# The channel labels of the unified interaction log (visit,
+# messaging app, call centre), as the silver table writes them.
+CHANNEL_VISIT, CHANNEL_LINE, CHANNEL_CALL = "来店", "LINE", "コールセンター"
+
+
 def unify_interactions(visits: DataFrame, messages: DataFrame, calls: DataFrame,
                        customers: DataFrame) -> DataFrame:
     """G1 (+C1): three channels → one nine-column shape, by-name union with
@@ -30,18 +35,18 @@ def unify_interactions(visits: DataFrame, messages: DataFrame, calls: DataFrame,
     shuffle instead of one per channel).  Unmatched rows keep a null customer."""
     v = visits.select(
         F.col("transcript_id").alias("interaction_id"), "opp_id",
-        F.lit("visit").alias("interaction_type"), "store_name",
+        F.lit(CHANNEL_VISIT).alias("interaction_type"), "store_name",
         F.col("rep_key").alias("sales_rep"), F.col("transcript_text").alias("content"),
         F.col("visit_date").alias("interaction_date"), "duration_minutes")
     m = messages.select(
         F.col("message_id").alias("interaction_id"), "opp_id",
-        F.lit("line").alias("interaction_type"), F.lit(None).cast("string").alias("store_name"),
+        F.lit(CHANNEL_LINE).alias("interaction_type"), F.lit(None).cast("string").alias("store_name"),
         F.lit(None).cast("string").alias("sales_rep"),
         F.concat("sender", F.lit(": "), "message_text").alias("content"),
         F.col("sent_date").alias("interaction_date"), F.lit(None).cast("int").alias("duration_minutes"))
     c = calls.select(
         F.col("call_id").alias("interaction_id"), "opp_id",
-        F.lit("call").alias("interaction_type"), F.lit(None).cast("string").alias("store_name"),
+        F.lit(CHANNEL_CALL).alias("interaction_type"), F.lit(None).cast("string").alias("store_name"),
         F.lit(None).cast("string").alias("sales_rep"), F.col("transcript_text").alias("content"),
         F.col("call_date").alias("interaction_date"),
         F.round(F.col("duration_seconds") / 60, 1).cast("int").alias("duration_minutes"))

@@ -6,12 +6,12 @@ from dealerlens.plans.oracle_views import extra_view
 extra_view("interactions", """
 SELECT u.interaction_id, u.opp_id, c.customer_id, u.interaction_type, u.store_name, u.sales_rep, u.content,
        u.interaction_date, u.duration_minutes
-FROM (SELECT transcript_id AS interaction_id, opp_id, 'visit' AS interaction_type, store_name, rep_key AS sales_rep,
+FROM (SELECT transcript_id AS interaction_id, opp_id, '来店' AS interaction_type, store_name, rep_key AS sales_rep,
              transcript_text AS content, visit_date AS interaction_date, duration_minutes FROM visits
       UNION ALL
-      SELECT message_id, opp_id, 'line', NULL, NULL, sender || ': ' || message_text, sent_date, NULL FROM messages
+      SELECT message_id, opp_id, 'LINE', NULL, NULL, sender || ': ' || message_text, sent_date, NULL FROM messages
       UNION ALL
-      SELECT call_id, opp_id, 'call', NULL, NULL, transcript_text, call_date,
+      SELECT call_id, opp_id, 'コールセンター', NULL, NULL, transcript_text, call_date,
              CAST(trunc(round(duration_seconds / 60, 1)) AS INTEGER) FROM calls) u
 LEFT JOIN customers c ON u.opp_id = c.opp_id""", ["visits", "messages", "calls", "customers"])
 
