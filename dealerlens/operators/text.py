@@ -305,8 +305,12 @@ def tool_output_rows(outputs: DataFrame) -> DataFrame:
             F.arrays_zip(cols.alias("c"), r.alias("v")),
             lambda z: F.struct(i.alias("row_idx"), z["c"].alias("column"), z["v"].alias("value")))))
 
+    # A list of objects takes its columns from the first object; a value an
+    # object lacks (or holds as null) is "".
+    first_keys = F.map_keys(F.element_at("_a", 1))
     c1 = F.flatten(F.transform("_a", lambda m, i: F.transform(
-        F.map_entries(m), lambda e: F.struct(i.alias("row_idx"), e["key"].alias("column"), e["value"].alias("value")))))
+        first_keys, lambda k: F.struct(i.alias("row_idx"), k.alias("column"),
+                                       F.coalesce(m[k], F.lit("")).alias("value")))))
     ob = F.col("_o")
     c2 = from_rows(ob["columns"], ob["data"])
     c3 = from_rows(F.transform(ob["schema"]["fields"], lambda f: f["name"]), ob["rows"])

@@ -170,8 +170,8 @@ s3 AS (SELECT output_id, json_extract_string(output, '$.schema.fields[*].name')
        FROM tool_outputs WHERE json_type(output) = 'OBJECT' AND json_extract(output, '$.columns') IS NULL
          AND json_extract(output, '$.schema') IS NOT NULL),
 r1 AS (SELECT output_id, CAST(g.i - 1 AS INTEGER) AS row_idx, k.cname AS "column",
-              json_extract_string(objs[g.i], '$.' || k.cname) AS value
-       FROM s1, generate_series(1, len(objs)) AS g(i), unnest(json_keys(objs[g.i])) AS k(cname)),
+              coalesce(json_extract_string(objs[g.i], '$.' || k.cname), '') AS value
+       FROM s1, generate_series(1, len(objs)) AS g(i), unnest(json_keys(objs[1])) AS k(cname)),
 s23 AS (SELECT * FROM s2 UNION ALL SELECT * FROM s3),
 r2 AS (SELECT output_id, CAST(g.i - 1 AS INTEGER) AS row_idx, cols[h.j] AS "column",
               json_extract_string(rws[g.i], '$[' || CAST(h.j - 1 AS VARCHAR) || ']') AS value

@@ -637,3 +637,10 @@ def test_behavior_summary_lists_names_counts_keys(spark):
         "search_keyword string, device_type string, event_ts timestamp")
     r = monitoring.behavior_summary(ev).collect()[0]
     assert (r.unique_vehicles_viewed, r.viewed_vehicles, r.search_keywords, r.session_count) == (2, "Prius", "suv", 2)
+
+
+def test_tool_output_rows_columns_from_first_object(spark):
+    o = spark.createDataFrame([(1, '[{"a":"1","b":"2"},{"a":"3","c":"9"},{"a":null,"b":"4"}]')],
+                              "output_id long, output string")
+    got = sorted((r.row_idx, r.column, r.value) for r in text.tool_output_rows(o).collect())
+    assert got == [(0, "a", "1"), (0, "b", "2"), (1, "a", "3"), (1, "b", ""), (2, "a", ""), (2, "b", "4")]
