@@ -321,8 +321,9 @@ def tool_output_rows(outputs: DataFrame) -> DataFrame:
 
 
 def chat_history(conversations: DataFrame) -> DataFrame:
-    """Messages of each session without the system role, in order."""
-    return (conversations.where(F.col("role") != "system")
+    """Messages of each session without the system role, in order (a
+    message without a role is kept, as Python's ``!=`` keeps it)."""
+    return (conversations.where(~F.col("role").eqNullSafe("system"))
             .select("conv_id", "turn", "role", "text").orderBy("conv_id", "turn"))
 
 

@@ -212,7 +212,7 @@ def _loss_action_prompts(fx):
     return sl.loss_action_prompts(fx.sales, AS_OF)
 
 
-@register("chat_history", "SELECT conv_id, turn, role, text FROM conversations WHERE role <> 'system'")
+@register("chat_history", "SELECT conv_id, turn, role, text FROM conversations WHERE role IS DISTINCT FROM 'system'")
 def _chat_history(fx):
     return tx.chat_history(fx.conversations)
 

@@ -644,3 +644,9 @@ def test_tool_output_rows_columns_from_first_object(spark):
                               "output_id long, output string")
     got = sorted((r.row_idx, r.column, r.value) for r in text.tool_output_rows(o).collect())
     assert got == [(0, "a", "1"), (0, "b", "2"), (1, "a", "3"), (1, "b", ""), (2, "a", ""), (2, "b", "4")]
+
+
+def test_chat_history_keeps_messages_without_role(spark):
+    c = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "q"), (1, 2, None, "x")],
+                              "conv_id long, turn long, role string, text string")
+    assert [r.turn for r in text.chat_history(c).collect()] == [1, 2]
