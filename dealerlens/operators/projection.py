@@ -104,8 +104,8 @@ def filter_quality_logs(logs: DataFrame, review: str | None = None, evaluated: s
     df = logs
     if review == "needs_review":
         df = df.where(F.col("needs_review"))
-    elif review == "ok":
-        df = df.where(~F.col("needs_review"))
+    elif review == "ok":  # Python's ``not flag``: a missing flag counts as ok
+        df = df.where(~F.coalesce(F.col("needs_review"), F.lit(False)))
     if evaluated == "yes":
         df = df.where(F.col("evaluated"))
     elif evaluated == "no":

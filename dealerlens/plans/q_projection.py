@@ -95,7 +95,7 @@ def _filter_quality_logs(fx):
 
 @register("filter_quality_logs_by_evaluator", f"""
 WITH {_LOGS_EVAL}
-SELECT * FROM q WHERE evaluated AND evaluator = 'mgr-1' AND NOT needs_review""")
+SELECT * FROM q WHERE evaluated AND evaluator = 'mgr-1' AND NOT coalesce(needs_review, false)""")
 def _filter_quality_logs_by_evaluator(fx):
     return pj.filter_quality_logs(_logs_eval(fx), review="ok", evaluated="yes", evaluator="mgr-1")
 

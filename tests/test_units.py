@@ -650,3 +650,8 @@ def test_chat_history_keeps_messages_without_role(spark):
     c = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "q"), (1, 2, None, "x")],
                               "conv_id long, turn long, role string, text string")
     assert [r.turn for r in text.chat_history(c).collect()] == [1, 2]
+
+
+def test_quality_filter_ok_keeps_missing_flag(spark):
+    logs = spark.createDataFrame([(1, True), (2, False), (3, None)], "trace_id long, needs_review boolean")
+    assert sorted(r.trace_id for r in projection.filter_quality_logs(logs, review="ok").collect()) == [2, 3]
