@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -120,6 +120,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
     """
     lab = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
            .where("doc_id is not null and quality in (0, 1)").where(crc32_mod("doc_id", folds) != fold).distinct())
+    found = {r.quality: r["count"] for r in lab.groupBy("quality").count().collect()}
     picked = None
     for q in (0, 1):
         part = lab.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
@@ -143,7 +144,11 @@ def train_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
     parts = [np.frombuffer(r.chunks, np.uint8).reshape(-1, CHUNK) for r in rows]
     n = np.array([len(x) for x in parts])
     y = np.repeat([float(r.quality) for r in rows], n)
-    return fit(np.concatenate(parts), y, np.repeat(TRAIN_CHUNKS / n, n) / 2)
+    net = fit(np.concatenate(parts), y, np.repeat(TRAIN_CHUNKS / n, n) / 2)
+    # The sample has other class shares than the labels: move the logit to theirs.
+    fitted = {q: max(1, sum(r.quality == q for r in rows)) for q in (0, 1)}
+    shift = np.log(found.get(1, 1) / fitted[1]) - np.log(found.get(0, 1) / fitted[0])
+    return replace(net, out_bias=net.out_bias + float(shift))
 
 
 def score_quality(docs: DataFrame, net: Network | None, threshold: float = 0.7) -> DataFrame:
