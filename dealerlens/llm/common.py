@@ -147,3 +147,30 @@ def window_hashes(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.nda
     np.add.at(keep, starts[n > 0], 1)
     np.add.at(keep, (starts + n)[n > 0], -1)
     return mix64(total[np.cumsum(keep[:m]) > 0]), n
+
+
+# --- sorted integers in two bytes each ----------------------------------------
+
+_ESCAPE = 0xFFFF
+
+
+def sorted_coded(x: np.ndarray) -> bytes:
+    """Ascending non-negative integers as differences of 16, 32 or 64 bits, whichever is shortest."""
+    d = np.diff(x, prepend=0)
+    most = int(d.max(initial=0))
+    if most < 1 << 16:
+        return b"\2" + d.astype("<u2").tobytes()
+    jumps = d // _ESCAPE
+    if int(jumps.sum()) < len(d):  # rare large steps: written as runs of an escape
+        out = np.full(len(d) + int(jumps.sum()), _ESCAPE, "<u2")
+        out[np.cumsum(jumps + 1) - 1] = d % _ESCAPE
+        return b"\1" + out.tobytes()
+    return (b"\4" + d.astype("<u4").tobytes()) if most < 1 << 32 else b"\x08" + d.astype("<i8").tobytes()
+
+
+def read_coded(data: bytes) -> np.ndarray:
+    kind, body = data[0], memoryview(data)[1:]
+    if kind == 1:
+        d = np.frombuffer(body, "<u2")
+        return np.cumsum(d, dtype=np.int64)[d != _ESCAPE]
+    return np.cumsum(np.frombuffer(body, {2: "<u2", 4: "<u4", 8: "<i8"}[kind]), dtype=np.int64)

@@ -66,3 +66,70 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read(spark, sf_dir, "documents")
     return score_quality(docs, train_quality(docs, read(spark, sf_dir, "labels")))
+
+
+@query("op2_threshold_topk", """
+WITH v AS (
+  SELECT vec_id, list_transform(e, lambda x: CAST(floor(256 * x) AS BIGINT)) AS v FROM (
+    SELECT vec_id, min(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id)),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dealerlens.llm.common import save
+    from dealerlens.llm.threshold_topk import integer_vectors, top_k
+
+    rows = save(integer_vectors(read(spark, sf_dir, "embeddings")), "vectors")
+    return top_k(rows, rows.where("vec_id % 50 = 0"), 5)
+
+
+@query("op4_bin_slack")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dealerlens.llm.packing import pack_documents
+
+    return pack_documents(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query("op5_pivot_index")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dealerlens.llm.pivot_index import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "embeddings"), 0.93)
+
+
+def _license_sql() -> str:
+    from dealerlens.llm.licenses import oracle
+
+    return oracle()
+
+
+@query("op10_license_scan", _license_sql())
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dealerlens.llm.licenses import scan_licenses
+
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
+@query("op3_jaccard_join")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dealerlens.llm.jaccard_join import jaccard_groups
+
+    return jaccard_groups(read(spark, sf_dir, "documents"))
+
+
+@query("op6_debruijn")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dealerlens.llm.debruijn import digest_repeats
+
+    return digest_repeats(read(spark, sf_dir, "documents"))
+
+
+@query("op1_pitman_yor")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dealerlens.llm.pitman_yor import score_documents
+
+    return score_documents(read(spark, sf_dir, "documents"))
