@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handled in slices of about this many bytes inside a task.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
+#: Rows of an Arrow batch of texts: a batch is held whole by the JVM and by Python.
+BATCH_ROWS = 1_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +20,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id long, text binary): null text is empty, other columns are dropped."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8").alias("text"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts and sets can be long: hand Python fewer rows at a time than Spark's default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def crc32_mod(column: str, m: int) -> Column:
     """crc32 of the value as text, modulo ``m``; a null counts as the empty text."""
     return F.crc32(F.encode(F.coalesce(F.col(column).cast("string"), F.lit("")), "UTF-8")) % m

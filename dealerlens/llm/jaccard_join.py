@@ -19,8 +19,10 @@ PERCENT = 75            # link when 100 * intersection >= PERCENT * union
 COMMON = 32             # a shingle of more documents is ordered after all rarer ones
 MAX_COMMON = 1 << 20    # so many common shingles at most are told apart (8 MB in each task)
 LONG = 64               # longer lists link neighbours first, and other pairs only across components
-CHUNK = 3_000_000       # shingles that a task gathers before it sends them on
-BUCKET = 3_000_000      # shingles per bucket, on average
+CHUNK = 1_500_000       # shingles that a task gathers before it sends them on
+BUCKET = 2_000_000      # shingles per bucket, on average
+CELLS = 256             # parts of the hash space whose counts bound an intersection
+BLOCK = 2_000           # members of a long list that one task compares at a time
 BYTES_PER_WORD = 6      # only sets the number of buckets
 
 
@@ -56,6 +58,11 @@ def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1 if n else 0
 
 
+def index_length(n: int) -> int:
+    """The smaller of two linked sets has a shared shingle among its first so many."""
+    return n - -(-2 * PERCENT * n // (100 + PERCENT)) + 1 if n else 0
+
+
 # --- how many documents have a shingle -------------------------------------------
 
 def common_shingles(docs: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,6 +156,8 @@ def _gid(prefix: np.ndarray, n: int) -> int:
 def group_postings(docs: DataFrame, order, bits: int) -> DataFrame:
     """Prefix shingles by bucket: keys (40 + bits bits of the hash), and each one's group and size.
 
+    A size is doubled, plus one where the shingle is among the first
+    ``index_length``: the smaller member of a pair must meet the larger there.
     Documents of one group that a task meets together are posted once.
     """
     def run(batches):
@@ -176,7 +185,7 @@ def _postings(seen: dict[int, tuple[np.ndarray, int]], bits: int) -> pa.RecordBa
     lengths = [len(p) for p, _ in seen.values()]
     keys = (np.concatenate([p for p, _ in seen.values()]) >> np.uint64(24 - bits)).astype(np.int64)
     gids = np.repeat(np.array(list(seen), np.int64), lengths)
-    sizes = np.repeat(np.array([n for _, n in seen.values()], np.int32), lengths)
+    sizes = np.concatenate([2 * n + (np.arange(len(p)) < index_length(n)) for p, n in seen.values()]).astype(np.int64)
     order = np.argsort(keys, kind="stable")
     keys, gids, sizes = keys[order], gids[order], sizes[order]
     bucket = keys >> 40
@@ -196,25 +205,30 @@ LIST_SCHEMA = "kind string, list long, a long, b long, n long"
 def list_pairs(lists: np.ndarray, members: np.ndarray, sizes: np.ndarray) -> pa.Table:
     """Candidates of many lists at once: rows ("pair", -, a, b, -) and ("long", list, member, -, size).
 
-    A list of up to ``LONG`` members gives all pairs whose sizes allow a link.
-    A longer one gives its neighbours by size, and each member with the
-    smallest of its size class; its members come out too, for ``cross_pairs``.
+    ``sizes`` are doubled, plus one where the member may be the smaller of a
+    pair.  A list of up to ``LONG`` members gives all pairs whose sizes allow a
+    link.  A longer one only links the members of a size class to the one of
+    smallest id; its members come out too, for ``cross_pairs``.
     """
     order = np.lexsort((members, sizes, lists))
     lists, members, sizes = lists[order], members[order], sizes[order]
     keep = np.ones(len(lists), bool)
-    keep[1:] = (lists[1:] != lists[:-1]) | (members[1:] != members[:-1]) | (sizes[1:] != sizes[:-1])
+    keep[1:] = (lists[1:] != lists[:-1]) | (members[1:] != members[:-1])
     lists, members, sizes = lists[keep], members[keep], sizes[keep]
     start = np.flatnonzero(np.diff(lists, prepend=lists[:1] - 1)) if len(lists) else np.zeros(0, int)
     length = np.diff(start, append=len(lists))
-    multi = np.repeat(length > 1, length)
+    able = np.add.reduceat(sizes & 1, start) > 0 if len(lists) else np.zeros(0, bool)
+    multi = np.repeat((length > 1) & able, length)
     long = np.repeat(length > LONG, length)
     lists, members, sizes, long = lists[multi], members[multi], sizes[multi], long[multi]
+    n, first = sizes >> 1, (sizes & 1).astype(bool)
     at = np.arange(len(lists))
     a, b = [], []
 
     def add(i: np.ndarray, j: np.ndarray) -> None:
-        ok = (lists[i] == lists[j]) & (100 * sizes[i] >= PERCENT * sizes[j]) & (members[i] != members[j])
+        smaller = np.where(n[i] <= n[j], i, j)
+        ok = (lists[i] == lists[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])) & (members[i] != members[j])
+        ok &= first[smaller] & (first[i] & first[j] | (n[i] != n[j]))
         a.append(np.minimum(members[i], members[j])[ok])
         b.append(np.maximum(members[i], members[j])[ok])
 
@@ -223,14 +237,15 @@ def list_pairs(lists: np.ndarray, members: np.ndarray, sizes: np.ndarray) -> pa.
         same = lists[i] == lists[i + step]
         if not same.any():
             break
-        i = i[same & (~long[i] if step > 1 else True)]
+        i = i[same & ~long[i]]
         add(i, i + step)
     if long.any():
         i = np.flatnonzero(long)
-        step = np.floor(np.log(np.maximum(sizes[i], 1)) / np.log(100 / PERCENT) + 1e-9).astype(np.int64)
+        step = np.floor(np.log(np.maximum(n[i], 1)) / np.log(100 / PERCENT) + 1e-9).astype(np.int64)
+        i = i[np.lexsort((members[i], step, lists[i]))]
+        step = np.floor(np.log(np.maximum(n[i], 1)) / np.log(100 / PERCENT) + 1e-9).astype(np.int64)
         fresh = np.r_[True, (lists[i][1:] != lists[i][:-1]) | (step[1:] != step[:-1])]
-        first = i[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-        add(first, i)
+        add(i[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]], i)
     a, b = np.concatenate(a or [members[:0]]), np.concatenate(b or [members[:0]])
     pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
     n_long = int(long.sum())
@@ -238,13 +253,13 @@ def list_pairs(lists: np.ndarray, members: np.ndarray, sizes: np.ndarray) -> pa.
     return pa.table({"kind": pa.array(["pair"] * len(pairs) + ["long"] * n_long, pa.string()),
                      "list": pa.array(np.concatenate([np.zeros(len(pairs), np.int64), lists[long]])),
                      "a": pa.array(np.concatenate([pairs[:, 0], members[long]])), "b": pa.array(np.concatenate([pairs[:, 1], pad])),
-                     "n": pa.array(np.concatenate([np.zeros(len(pairs), np.int64), sizes[long].astype(np.int64)]))})
+                     "n": pa.array(np.concatenate([np.zeros(len(pairs), np.int64), sizes[long]]))})
 
 
 def _bucket_pairs(key, table):
     lists = np.concatenate([read_coded(x) for x in table["keys"].to_pylist()]) + (key[0].as_py() << 40)
     gids = np.concatenate([np.frombuffer(x, np.int64) for x in table["gids"].to_pylist()])
-    sizes = np.concatenate([np.frombuffer(x, np.int32) for x in table["sizes"].to_pylist()]).astype(np.int64)
+    sizes = np.concatenate([np.frombuffer(x, np.int64) for x in table["sizes"].to_pylist()])
     # Most shingles are in one list of one group: leave these first.
     order = np.argsort(lists, kind="stable")
     near = lists[order]
@@ -256,18 +271,44 @@ def _bucket_pairs(key, table):
     return list_pairs(lists[pick], gids[pick], sizes[pick])
 
 
-def cross_pairs(long: DataFrame, component: DataFrame) -> DataFrame:
+def cross_pairs(long: DataFrame, component: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b) of members of one long list that are not in one component yet.
 
-    ``long``: list, sid, n; ``component``: node, component.  Lists inside one
-    component are left by an aggregate before any pair is formed.
+    ``long``: list, sid, n (as in ``list_pairs``); ``component``: node,
+    component; ``sets``: sid, cells.  Before any pair is formed, lists inside
+    one component go, and of lists with the same members (the shingles of one
+    passage) one stays.  The sum of the smaller counts of each cell is an upper
+    bound of the intersection; only pairs that it lets through come out.  Lists
+    longer than ``BLOCK`` are compared in pairs of hashed blocks.
     """
     named = long.join(component.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    open_lists = named.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("list")
-    named = named.join(open_lists, "list")
-    other = named.select("list", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"))
-    pairs = named.join(other, "list").where((F.col("component") != F.col("c")) & (F.col("sid") < F.col("b")) & (100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")))
-    return pairs.select(F.col("sid").alias("a"), "b").distinct()
+    mark = F.sum(F.xxhash64("sid", "n").cast("decimal(20,0)"))
+    lists = named.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), mark.alias("mark"), F.count("*").alias("c"))
+    lists = lists.where("lo <> hi").groupBy("mark", "c").agg(F.min("list").alias("list")).select("list", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
+    named = save(named.join(lists, "list"), "open").join(sets.select("sid", "cells"), "sid")
+    named = named.withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    named = named.select("list", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "sid", "n", "component", "cells")
+
+    def compare(key, table):
+        i, j = key[1].as_py(), key[2].as_py()
+        part, sid, n, component = (table[c].to_numpy() for c in ("part", "sid", "n", "component"))
+        size, first = n >> 1, (n & 1).astype(bool)
+        cells = np.stack([np.frombuffer(x, np.uint32) for x in table["cells"].to_pylist()])
+        right = np.flatnonzero(part == j)
+        a, b = [], []
+        for x in np.flatnonzero(part == i):
+            y = right[(component[right] != component[x]) & ((sid[right] > sid[x]) | (i != j))]
+            y = y[100 * np.minimum(size[x], size[y]) >= PERCENT * np.maximum(size[x], size[y])]
+            y = y[np.where(size[x] < size[y], first[x], np.where(size[x] > size[y], first[y], first[x] & first[y]))]
+            if len(y):
+                most = np.minimum(cells[x], cells[y]).sum(axis=1, dtype=np.int64)
+                y = y[100 * most >= PERCENT * (size[x] + size[y] - most)]
+                a.append(np.minimum(sid[x], sid[y]))
+                b.append(np.maximum(sid[x], sid[y]))
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"a": pa.array(np.concatenate(a or none)), "b": pa.array(np.concatenate(b or none))})
+
+    return named.groupBy("list", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 # --- verification -----------------------------------------------------------------------
@@ -307,21 +348,25 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined(near, "full").mapInArrow(passing("full"), "a long, b long")
 
 
+def _cells(s: np.ndarray) -> bytes:
+    return np.bincount((s % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype(np.uint32).tobytes()
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sid, n, low, full of the wanted sets (sid, doc_id), read from the texts again."""
+    """sid, n, cells, low, full of the wanted sets (sid, doc_id), read from the texts again (once per row of that doc_id and text)."""
     def run(batches):
         for b in batches:
             for sid, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 s = shingle_sets([data])[0]
                 if set_key(s, 31) == sid:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([sid], pa.int64()), pa.array([len(s)], pa.int64()), pa.array([np.unique(s.astype(np.uint16)).tobytes()], pa.binary()), pa.array([s.tobytes()], pa.binary())],
-                        ["sid", "n", "low", "full"])
+                        [pa.array([sid], pa.int64()), pa.array([len(s)], pa.int64()), pa.array([_cells(s)], pa.binary()), pa.array([np.unique(s.astype(np.uint16)).tobytes()], pa.binary()), pa.array([s.tobytes()], pa.binary())],
+                        ["sid", "n", "cells", "low", "full"])
 
     rows = wanted.count()
     small = F.broadcast(wanted) if rows <= 1_000_000 else wanted  # 16 bytes a row; beyond that Spark shuffles
     found = texts(docs).join(small, "doc_id").select("doc_id", "sid", "text")
-    return found.mapInArrow(run, "sid long, n long, low binary, full binary").dropDuplicates(["sid"])
+    return found.mapInArrow(run, "sid long, n long, cells binary, low binary, full binary")
 
 
 # --- the join ---------------------------------------------------------------------------
@@ -344,7 +389,7 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     # Expand groups to their classes, and add pairs inside groups of several classes.
     inside = classes.groupBy("gid").count().where("count > 1").select("gid")
     inside = classes.join(inside, "gid").groupBy("gid").applyInArrow(
-        lambda t: list_pairs(t["gid"].to_numpy(), t["sid"].to_numpy(), t["n"].to_numpy()), LIST_SCHEMA)
+        lambda t: list_pairs(t["gid"].to_numpy(), t["sid"].to_numpy(), 2 * t["n"].to_numpy() + 1), LIST_SCHEMA)
     inside = save(inside, "inside")
     one, two = classes.select(F.col("gid").alias("a"), F.col("sid").alias("sa")), classes.select(F.col("gid").alias("b"), F.col("sid").alias("sb"))
     across = found.where("kind = 'pair'").select("a", "b").distinct().join(one, "a").join(two, "b").select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b"))
@@ -354,10 +399,12 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
 
     wanted = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select("b")).unionAll(long.select("sid")).distinct()
     sets = save(sets_of(docs, classes.groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(wanted, "sid").select("doc_id", "sid")), "sets")
+    if sets.count() > sets.select("sid").distinct().count():  # rows of one doc_id and text
+        sets = save(sets.dropDuplicates(["sid"]), "sets")
     links = save(verify(pairs, sets), "links")
     component = connected_components(links)
     if found.where("kind = 'long'").limit(1).count() or inside.where("kind = 'long'").limit(1).count():
-        more = save(cross_pairs(long, component), "cross")
+        more = save(cross_pairs(long, component, sets), "cross")
         if more.limit(1).count():
             links = save(links.unionAll(verify(more, sets)), "links")
             component = connected_components(links)
