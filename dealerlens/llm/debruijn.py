@@ -15,8 +15,8 @@ from dealerlens.llm.common import document_runs, mix64, power_of_two, save, text
 
 WINDOW = 20          # words of an edge: it joins the nodes of its first and last 19 words
 ANCHOR = 5           # words of the anchors that choose an edge's bucket (a power-of-two count fits a window)
-CHUNK = 2_000_000    # edges that a task gathers before it sends them on
-BUCKET = 2_000_000   # edges per bucket, on average
+CHUNK = 800_000    # edges that a task gathers before it sends them on
+BUCKET = 1_000_000   # edges per bucket, on average
 BYTES_PER_WORD = 6   # only sets the number of buckets
 
 PATHS = "doc long, start int, n int, src long, src_start int"

@@ -19,8 +19,8 @@ PERCENT = 75            # link when 100 * intersection >= PERCENT * union
 COMMON = 32             # a shingle of more documents is ordered after all rarer ones
 MAX_COMMON = 1 << 20    # so many common shingles at most are told apart (8 MB in each task)
 LONG = 64               # longer lists link neighbours first, and other pairs only across components
-CHUNK = 1_500_000       # shingles that a task gathers before it sends them on
-BUCKET = 2_000_000      # shingles per bucket, on average
+CHUNK = 800_000       # shingles that a task gathers before it sends them on
+BUCKET = 1_000_000      # shingles per bucket, on average
 CELLS = 256             # parts of the hash space whose counts bound an intersection
 BLOCK = 2_000           # members of a long list that one task compares at a time
 BYTES_PER_WORD = 6      # only sets the number of buckets
