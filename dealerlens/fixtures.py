@@ -17,18 +17,6 @@ RAW_TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
-# Unique row key of the fact tables and of the tables whose rows carry long
-# texts or JSON: a small scan of these is spread over the cores (see
-# ``read_table``), so the scan, per-row parsing and partial aggregation run in
-# parallel.  Dimension tables (customer, part, supplier, nation, region,
-# labels) are not spread: they are joined, mostly as broadcasts, and a shuffle
-# in front of them would only add a stage.
-ROW_KEYS = {
-    "orders": ("o_orderkey",), "lineitem": ("l_orderkey", "l_linenumber"), "events": ("event_id",),
-    "documents": ("doc_id",), "pages": ("page_id",), "benchmark": ("item_id",),
-    "conversations": ("conv_id", "turn"),
-}
-
 # Fixed value: the reporting date used for all sales operators.
 AS_OF = "2001-07-20"
 
@@ -69,7 +57,7 @@ class Fixtures:
         if df is None:
             from dealerlens.sources.io import read_table
 
-            df = self._raw[name] = read_table(self.spark, f"{self.sf_dir}/{name}.parquet", ROW_KEYS.get(name))
+            df = self._raw[name] = read_table(self.spark, f"{self.sf_dir}/{name}.parquet")
         return df
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -248,7 +236,7 @@ class Fixtures:
             F.when(fr, F.lit(None).cast("bigint")).otherwise(F.col("doc_id") % 100).alias("customer_id"),
             F.when(fr, F.lit(None).cast("string"))
             .otherwise(F.concat(F.lit("Customer "), (F.col("doc_id") % 100).cast("string"))).alias("customer_name"),
-            F.substring("text", 1, 80).alias("question"),
+            F.col("text").alias("question"),
             F.col("text").alias("answer"),
             F.col("n_chars").alias("execution_time_ms"),
             F.floor(F.col("n_chars") / 4).cast("bigint").alias("tokens_total"),

@@ -76,8 +76,7 @@ def fn_conditional(sales: DataFrame) -> DataFrame:
 
 def fn_json_encode(documents: DataFrame) -> DataFrame:
     """H6: list → JSON text, non-ASCII kept as is."""
-    words = F.slice(F.split(F.col("text"), " "), 1, 3)
-    return documents.select("doc_id", F.to_json(words).alias("first_words_json"))
+    return documents.select("doc_id", F.to_json(F.split(F.col("text"), " ")).alias("words_json"))
 
 
 def fn_json_list(replies: DataFrame) -> DataFrame:
@@ -111,7 +110,7 @@ def fn_arrays(inventory: DataFrame) -> DataFrame:
     return inventory.select(
         "vehicle_key",
         F.array_join(F.slice(words, 1, 2), " ").alias("first2"),
-        F.array_join(F.slice(words, 3, 100), " ").alias("rest"),
+        F.array_join(F.slice(words, F.lit(3), F.size(words)), " ").alias("rest"),
         F.element_at(words, 1).alias("first_word"),
         F.array_contains(words, "green").alias("has_green"),
     )

@@ -83,8 +83,12 @@ def recommendations_with_vehicle(recs: DataFrame, inventory: DataFrame) -> DataF
 def quality_with_evaluations(logs: DataFrame, evaluations: DataFrame) -> DataFrame:
     """C4: overlay each log with its evaluation by trace id (left join; a new
     evaluation replaces an embedded one when the log carries one)."""
-    ev = evaluations.select("trace_id", F.col("rating").alias("_rating"),
-                            F.col("evaluator").alias("_evaluator"), F.col("ground_truth").alias("_gt"))
+    # One evaluation per trace: the newest, by the time or id columns there are.
+    values = ["rating", "evaluator", "ground_truth"]
+    age = [c for c in ("timestamp", "evaluated_at", "evaluation_id") if c in evaluations.columns]
+    ev = (evaluations.groupBy("trace_id").agg(F.max_by(F.struct(*values), F.struct(*age, *values)).alias("_e"))
+          .select("trace_id", F.col("_e.rating").alias("_rating"), F.col("_e.evaluator").alias("_evaluator"),
+                  F.col("_e.ground_truth").alias("_gt")))
     j = logs.join(ev, "trace_id", "left")
     keep = [c for c in logs.columns if c not in ("rating", "evaluator", "ground_truth", "evaluated")]
     old = (lambda c: F.col(c)) if "evaluator" in logs.columns else (lambda c: F.lit(None))
@@ -139,15 +143,16 @@ def _merged_price_order(inventory: DataFrame, floors: DataFrame | None, parts: i
     running vehicle count; per range id: the vehicles in earlier ranges (a
     ≤ ``parts``-row frame, prefix-summed and broadcast).  A row's global
     position is ``offset + running count`` whatever the boundaries are."""
-    veh = inventory.select(F.col("price").alias("v"), F.lit(1).alias("is_vehicle"),
-                           F.col("vehicle_key").cast("long").alias("tie"), "vehicle_key",
-                           F.lit(None).cast("long").alias("customer_id"), F.lit(None).cast("double").alias("hi"))
+    # Keys keep their own type (they may be text) and break ties in its order.
+    customer_type = "long" if floors is None else floors.schema["customer_id"].dataType
+    veh = inventory.select(F.col("price").alias("v"), F.lit(1).alias("is_vehicle"), "vehicle_key",
+                           F.lit(None).cast(customer_type).alias("customer_id"), F.lit(None).cast("double").alias("hi"))
     m = veh if floors is None else veh.unionByName(floors.select(
-        F.col("lo").alias("v"), F.lit(0).alias("is_vehicle"), F.col("customer_id").cast("long").alias("tie"),
-        F.lit(None).cast(inventory.schema["vehicle_key"].dataType).alias("vehicle_key"),
-        F.col("customer_id").cast("long").alias("customer_id"), "hi"))
-    m = m.repartitionByRange(parts, "v", "is_vehicle", "tie").withColumn("pid", F.spark_partition_id())
-    w = (Window.partitionBy("pid").orderBy("v", "is_vehicle", "tie")
+        F.col("lo").alias("v"), F.lit(0).alias("is_vehicle"),
+        F.lit(None).cast(inventory.schema["vehicle_key"].dataType).alias("vehicle_key"), "customer_id", "hi"))
+    order = ("v", "is_vehicle", "vehicle_key", "customer_id")
+    m = m.repartitionByRange(parts, *order).withColumn("pid", F.spark_partition_id())
+    w = (Window.partitionBy("pid").orderBy(*order)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     # Range boundaries are sampled anew on every execution, so the rows and
     # the per-range counts must come from one execution: a reliable checkpoint
@@ -186,7 +191,7 @@ def budget_candidates(customers: DataFrame, inventory: DataFrame, k: int = 20, p
     # At equal values a floor sorts before the vehicles, so ``run`` counts the
     # prices strictly below it.  The ceiling rides along: nothing is joined back.
     starts = m.where(F.col("is_vehicle") == 0).select(
-        F.col("customer_id").cast(customers.schema["customer_id"].dataType).alias("customer_id"), "hi",
+        "customer_id", "hi",
         (F.col("offset") + F.col("run") + 1).alias("start"))
     cand = starts.select("customer_id", "hi", F.posexplode(
         F.sequence(F.col("start"), F.col("start") + (k - 1))).alias("pos", "price_rank"))

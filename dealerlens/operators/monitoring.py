@@ -241,12 +241,24 @@ def quality_order(order: str) -> list[Column]:
     return [F.col(col).desc() if desc else F.col(col).asc(), F.col("trace_id")]
 
 
-def sort_quality_logs(logs: DataFrame, order: str = "score_asc", top: int = 100) -> DataFrame:
-    """F2: six orders (default score ascending), first ``top`` rows numbered.
-    Top-k then a window over the bounded top rows."""
+def sort_quality_logs(logs: DataFrame, order: str = "score_asc", parts: int | None = None) -> DataFrame:
+    """F2: six orders (default score ascending), all rows numbered.
+
+    A range sort: contiguous ranges are numbered on their own, and each adds
+    the rows of the ranges before it (a frame of one row per range).  The
+    boundaries are sampled, so ranges and counts come from one checkpoint."""
+    from dealerlens.session import shared_dir
+
+    shared_dir(logs.sparkSession)
     o = quality_order(order)
-    t = logs.orderBy(*o).limit(top)
-    return t.withColumn("row_number", F.row_number().over(Window.orderBy(*o)))
+    parts = parts or int(logs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = logs.repartitionByRange(parts, *o).withColumn("_pid", F.spark_partition_id()).checkpoint()
+    counts = t.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_before"))
+    local = F.row_number().over(Window.partitionBy("_pid").orderBy(*o))
+    return (t.withColumn("_local", local).join(F.broadcast(before), "_pid")
+            .withColumn("row_number", (F.col("_before") + F.col("_local")).cast("int"))
+            .drop("_pid", "_local", "_before"))
 
 
 def ordered_interactions(interactions: DataFrame) -> DataFrame:
@@ -291,11 +303,15 @@ def span_timeline(spans: DataFrame, totals: DataFrame | None = None) -> DataFram
                     width.alias("width_pct"), warn.alias("is_warning"))
 
 
-def span_depth(spans: DataFrame, max_rounds: int = 64) -> DataFrame:
+def span_depth(spans: DataFrame) -> DataFrame:
     """Depth of each span in its parent chain (a missing parent ends the
     chain: depth 0).  Pointer jumping: each round doubles the resolved chain
-    length, so ⌈log2(depth)⌉ self-joins on (trace, span); each round is
-    checkpointed to the shared folder to cut lineage."""
+    length, so ⌈log2(depth)⌉ self-joins on (trace, span).  Only unresolved
+    spans are carried on; each round is checkpointed to the shared folder.
+    Spans still open after ⌈log2(spans)⌉ + 1 rounds lie on or below a cycle:
+    their depth is null."""
+    import math
+
     from dealerlens.session import shared_dir
 
     shared_dir(spans.sparkSession)
@@ -303,18 +319,20 @@ def span_depth(spans: DataFrame, max_rounds: int = 64) -> DataFrame:
     par = spans.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_p"))
     cur = (nodes.join(par, (F.col("trace_id") == F.col("_t")) & (F.col("anc") == F.col("_p")), "left")
            .select("trace_id", "span_id", F.when(F.col("_p").isNotNull(), F.col("anc")).alias("anc"),
-                   F.when(F.col("_p").isNotNull(), 1).otherwise(0).alias("depth")))
-    cur = cur.checkpoint()
-    for _ in range(max_rounds):
-        if cur.where(F.col("anc").isNotNull()).isEmpty():
+                   F.when(F.col("_p").isNotNull(), 1).otherwise(0).alias("depth"))).checkpoint()
+    is_open = F.col("anc").isNotNull()
+    done, left = cur.where(~is_open), cur.where(is_open)
+    for _ in range(math.ceil(math.log2(left.count() + 1)) + 1):
+        if left.isEmpty():
             break
-        nxt = cur.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_a"),
-                         F.col("anc").alias("_anc2"), F.col("depth").alias("_d2"))
-        cur = (cur.join(nxt, (F.col("trace_id") == F.col("_t")) & (F.col("anc") == F.col("_a")), "left")
-               .select("trace_id", "span_id", F.col("_anc2").alias("anc"),
-                       (F.col("depth") + F.coalesce(F.col("_d2"), F.lit(0))).alias("depth"))
+        known = done.unionByName(left).select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_a"),
+                                              F.col("anc").alias("_anc2"), F.col("depth").alias("_d2"))
+        cur = (left.join(known, (F.col("trace_id") == F.col("_t")) & (F.col("anc") == F.col("_a")))
+               .select("trace_id", "span_id", F.col("_anc2").alias("anc"), (F.col("depth") + F.col("_d2")).alias("depth"))
                .checkpoint())
-    return cur.select("trace_id", "span_id", F.col("depth").cast("int").alias("depth"))
+        done, left = done.unionByName(cur.where(~is_open)), cur.where(is_open)
+    return done.unionByName(left.withColumn("depth", F.lit(None).cast("int"))).select(
+        "trace_id", "span_id", F.col("depth").cast("int").alias("depth"))
 
 
 def judge_overall(logs: DataFrame) -> DataFrame:

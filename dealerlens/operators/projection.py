@@ -184,7 +184,7 @@ def insight_tags(insights: DataFrame) -> DataFrame:
     from dealerlens.operators.text import json_list
 
     needs, sig = json_list(F.col("deep_needs")), json_list(F.col("purchase_signals"))
-    rest = F.array_join(F.slice(needs, 3, 1_000_000), TAG_SEPARATOR)
+    rest = F.array_join(F.slice(needs, F.lit(3), F.greatest(F.size(needs), F.lit(0))), TAG_SEPARATOR)
     return insights.select(
         "customer_id",
         F.array_join(sig, TAG_SEPARATOR).alias("priorities"),

@@ -327,10 +327,11 @@ def chat_history(conversations: DataFrame) -> DataFrame:
             .select("conv_id", "turn", "role", "text").orderBy("conv_id", "turn"))
 
 
-def session_index(conversations: DataFrame, newest: int = 30) -> DataFrame:
+def session_index(conversations: DataFrame, newest: int | None = None) -> DataFrame:
     """Per session the first user message (preview 60 chars, title 20 +
     ellipsis) and the user-message count; sessions without user messages are
-    dropped; the newest ``newest`` sessions (by session id) are listed."""
+    dropped.  ``newest`` limits the list to the newest sessions (by session id),
+    as a browser's side bar does; by default all are listed."""
     user = F.col("role") == "user"
     g = conversations.groupBy("conv_id").agg(
         F.min_by(F.when(user, F.col("text")), F.when(user, F.col("turn"))).alias("first_user"),
@@ -339,8 +340,8 @@ def session_index(conversations: DataFrame, newest: int = 30) -> DataFrame:
     ).where(F.col("user_messages") > 0)
     title = F.when(F.length("first_user") > 20, F.concat(F.substring("first_user", 1, 20), F.lit(ELLIPSIS))) \
         .otherwise(F.col("first_user"))
-    return (g.orderBy(F.col("conv_id").desc()).limit(newest)
-            .select("conv_id", title.alias("title"), F.substring("first_user", 1, 60).alias("preview"),
+    g = g.orderBy(F.col("conv_id").desc()).limit(newest) if newest else g
+    return (g.select("conv_id", title.alias("title"), F.substring("first_user", 1, 60).alias("preview"),
                     "user_messages"))
 
 
@@ -383,17 +384,16 @@ def cached_recommendations(cache: DataFrame, inventory: DataFrame) -> DataFrame:
 
 # --- prompts ---------------------------------------------------------------------
 
-def build_insight_prompts(customers: DataFrame, interactions: DataFrame, behavior: DataFrame,
-                          max_chars: int = 500) -> DataFrame:
-    """One prompt per customer: profile lines, interactions in date order
-    (each cut to ``max_chars`` characters), then a behaviour block if any.
+def build_insight_prompts(customers: DataFrame, interactions: DataFrame, behavior: DataFrame) -> DataFrame:
+    """One prompt per customer: profile lines, whole interaction texts in
+    date order, then a behaviour block if any.
 
     Interactions are first concatenated per (customer, day) – in parallel and
     map-side – and then the day blocks are ordered per customer, so a
     customer's collect holds one entry per active day, not one per row.
     """
     block = F.concat(F.lit("["), F.col("interaction_type"), F.lit(" / "), F.col("interaction_date").cast("string"),
-                     F.lit("]\n"), F.substring(F.coalesce("content", F.lit("")), 1, max_chars), F.lit("\n"))
+                     F.lit("]\n"), F.coalesce("content", F.lit("")), F.lit("\n"))
     per_day = (interactions.where(F.col("customer_id").isNotNull())
                .groupBy("customer_id", "interaction_date")
                .agg(F.array_sort(F.collect_list(F.struct(F.col("interaction_id"), block.alias("b")))).alias("bs"))
@@ -404,7 +404,7 @@ def build_insight_prompts(customers: DataFrame, interactions: DataFrame, behavio
                 .select("customer_id", F.array_join(F.transform("days", lambda x: x["day_text"]), "\n")
                         .alias("history")))
     beh = behavior.select("opp_id", F.concat(
-        F.lit("【閲覧行動】\n総セッション数: "), F.col("session_count").cast("string"),
+        F.lit("【カーセンサー閲覧行動】\n総セッション数: "), F.col("session_count").cast("string"),
         F.lit("\n総閲覧数: "), F.col("view_count").cast("string"),
         F.lit("\n検索キーワード: "), F.col("search_keywords"),
         F.lit("\n閲覧車両: "), F.col("viewed_vehicles"),
@@ -424,7 +424,7 @@ def build_insight_prompts(customers: DataFrame, interactions: DataFrame, behavio
         "budget": lambda: F.concat(F.lit("予算上限: "), thousands("budget"), F.lit("円")),
         "visit_scheduled_date": lambda: F.concat(F.lit("来店予定日: "), py("visit_scheduled_date")),
     }
-    lines = [F.concat(F.lit("顧客名: "), F.coalesce("contact_name", F.lit("")))]
+    lines = [F.concat(F.lit("顧客名: "), F.coalesce("contact_name", F.lit("None")))]
     if "age" in customers.columns:
         lines.append(optional["age"]())
     lines.append(F.concat(F.lit("職業: "), py("occupation")))
@@ -515,13 +515,17 @@ def batch_generate(prompts: DataFrame, model_factory: ModelFactory, default: str
 
     * one model client per partition (``mapInPandas``), Arrow batches;
     * ``partitions`` bounds concurrency (rate limits) via ``repartition``;
-    * a failing call yields ``default`` and ``failed=True`` for its batch rows;
-    * ``cache`` (prompt_hash, reply) skips prompts answered before (anti join).
+    * a failing batch is called again prompt by prompt; a prompt that still
+      fails yields ``default`` and ``failed=True``, the others their replies;
+    * ``cache`` (prompt_hash, reply, optionally generated_at) skips prompts
+      answered before (anti join); of several replies the newest counts, or
+      without a time the largest text.
     """
     p = prompts.select(key, "prompt").withColumn("prompt_hash", F.sha2(F.col("prompt"), 256))
     cached = None
     if cache is not None:
-        c = cache.select("prompt_hash", "reply")
+        newest = F.max_by("reply", "generated_at") if "generated_at" in cache.columns else F.max("reply")
+        c = cache.groupBy("prompt_hash").agg(newest.alias("reply"))
         cached = p.join(c, "prompt_hash").select(key, "prompt_hash", "reply", F.lit(False).alias("failed"))
         p = p.join(c.select("prompt_hash"), "prompt_hash", "left_anti")
     if partitions:
@@ -531,12 +535,19 @@ def batch_generate(prompts: DataFrame, model_factory: ModelFactory, default: str
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = model_factory()
         for b in batches:
+            prompts_here = b["prompt"].tolist()
             try:
-                replies, failed = model(b["prompt"].tolist()), False
-            except Exception:  # noqa: BLE001 - a failed call becomes the default record
-                replies, failed = [default] * len(b), True
-            yield pd.DataFrame({key: b[key], "prompt_hash": b["prompt_hash"], "reply": replies,
-                                "failed": [failed] * len(b)})
+                replies, failed = model(prompts_here), [False] * len(b)
+            except Exception:  # noqa: BLE001 - find the prompts that fail
+                replies, failed = [], []
+                for one in prompts_here:
+                    try:
+                        replies.append(model([one])[0])
+                        failed.append(False)
+                    except Exception:  # noqa: BLE001 - this prompt becomes the default record
+                        replies.append(default)
+                        failed.append(True)
+            yield pd.DataFrame({key: b[key], "prompt_hash": b["prompt_hash"], "reply": replies, "failed": failed})
 
     out = p.select(key, "prompt", "prompt_hash").mapInPandas(
         run, f"{key} {key_type}, prompt_hash string, reply string, failed boolean")

@@ -84,7 +84,7 @@ SELECT *, overall <= 2.5 AS needs_review FROM (
                      ELSE 'insight_extraction' END AS trace_type,
            CASE WHEN lang = 'fr' THEN NULL ELSE doc_id % 100 END AS customer_id,
            CASE WHEN lang = 'fr' THEN NULL ELSE 'Customer ' || CAST(doc_id % 100 AS STRING) END AS customer_name,
-           substring(text, 1, 80) AS question, text AS answer,
+           text AS question, text AS answer,
            n_chars AS execution_time_ms, CAST(floor(n_chars / 4) AS BIGINT) AS tokens_total,
            CAST(1 + doc_id % 5 AS INT) AS relevance, CAST(1 + (doc_id * 3) % 5 AS INT) AS faithfulness,
            CAST(1 + n_chars % 5 AS INT) AS helpfulness

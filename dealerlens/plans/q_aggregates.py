@@ -117,7 +117,7 @@ _REP_NAME_SQL = "'Rep ' || substring(rep_key, 5)"
 def _rep_name():
     from pyspark.sql import functions as F
 
-    return F.concat(F.lit("Rep "), F.substring("rep_key", 5, 1000))
+    return F.concat(F.lit("Rep "), F.expr("substring(rep_key, 5)"))
 
 
 @register("rep_list", f"""

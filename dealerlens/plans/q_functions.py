@@ -58,7 +58,7 @@ def _fn_conditional(fx):
     return fn.fn_conditional(fx.sales)
 
 
-@register("fn_json_encode", "SELECT doc_id, CAST(to_json(string_split(text, ' ')[1:3]) AS VARCHAR) AS first_words_json FROM documents")
+@register("fn_json_encode", "SELECT doc_id, CAST(to_json(string_split(text, ' ')) AS VARCHAR) AS words_json FROM documents")
 def _fn_json_encode(fx):
     return fn.fn_json_encode(fx.documents)
 
@@ -90,7 +90,7 @@ def _fn_regex(fx):
 
 @register("fn_arrays", """
 SELECT vehicle_key, array_to_string(string_split(vehicle_name, ' ')[1:2], ' ') AS first2,
-       array_to_string(string_split(vehicle_name, ' ')[3:100], ' ') AS rest,
+       array_to_string(string_split(vehicle_name, ' ')[3:], ' ') AS rest,
        string_split(vehicle_name, ' ')[1] AS first_word, list_contains(string_split(vehicle_name, ' '), 'green') AS has_green
 FROM inventory""")
 def _fn_arrays(fx):

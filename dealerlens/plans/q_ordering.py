@@ -33,9 +33,9 @@ def _paginate(fx):
 
 @register("sort_quality_logs", """
 SELECT *, CAST(row_number() OVER (ORDER BY overall DESC, trace_id) AS INTEGER) AS row_number
-FROM quality_logs ORDER BY overall DESC, trace_id LIMIT 100""")
+FROM quality_logs""")
 def _sort_quality_logs(fx):
-    return mon.sort_quality_logs(fx.quality_logs, "score_desc", 100)
+    return mon.sort_quality_logs(fx.quality_logs, "score_desc")
 
 
 @register("ordered_interactions", "SELECT * FROM interactions")

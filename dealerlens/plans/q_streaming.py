@@ -13,18 +13,20 @@ from dealerlens.streaming import streams as st  # noqa: E402
 def _stream_ingest(fx):
     d = st.new_stream_dirs(fx.spark, "ingest")
     ev = fx.events
-    st.stage_files(ev, d["source"], 4)
-    st.stage_files(ev, d["source"], 4)  # a second delivery of every event: duplicates
-    return st.stream_ingest(fx.spark, d["source"], ev.schema, d["sink"], d["checkpoint"], max_files=4)
+    # Newer events first, then a late delivery of all: new events and repeats, file by file.
+    st.stage_files(ev.where("event_id % 2 = 1"), d["source"], 2)
+    st.stream_ingest(fx.spark, d["source"], ev.schema, d["sink"], d["checkpoint"], max_files=1)
+    st.stage_files(ev, d["source"], 2)
+    return st.stream_ingest(fx.spark, d["source"], ev.schema, d["sink"], d["checkpoint"], max_files=1)
 
 
 @register("stream_endpoint_minutes", """
-SELECT * FROM endpoint_minutes WHERE minute + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM traces)""")
+SELECT * FROM endpoint_minutes""")
 def _stream_endpoint_minutes(fx):
     d = st.new_stream_dirs(fx.spark, "minutes")
     tr = fx.traces
     st.stage_files(tr, d["source"], 4)
-    return st.stream_endpoint_minutes(fx.spark, d["source"], tr.schema, d["sink"], d["checkpoint"])
+    return st.stream_endpoint_minutes(fx.spark, d["source"], tr.schema, d["sink"], d["checkpoint"], max_files=2)
 
 
 @register("endpoint_minutes_batch", "SELECT * FROM endpoint_minutes")
@@ -87,9 +89,9 @@ def _event_sessions(fx):
     return st.event_sessions(fx.events)
 
 
-@register("stream_event_sessions", f"WITH {_SESSIONS} SELECT * FROM ss WHERE session_end <= (SELECT max(ts) FROM events)")
+@register("stream_event_sessions", f"WITH {_SESSIONS} SELECT * FROM ss")
 def _stream_event_sessions(fx):
     d = st.new_stream_dirs(fx.spark, "sessions")
     ev = fx.events.select("event_id", "ts", "user_id")
     st.stage_files(ev, d["source"], 4)
-    return st.stream_event_sessions(fx.spark, d["source"], ev.schema, d["sink"], d["checkpoint"])
+    return st.stream_event_sessions(fx.spark, d["source"], ev.schema, d["sink"], d["checkpoint"], max_files=2)

@@ -20,14 +20,14 @@ _NL = "chr(10)"
 @register("build_insight_prompts", f"""
 WITH h AS (
   SELECT customer_id, string_agg('[' || interaction_type || ' / ' || CAST(interaction_date AS VARCHAR) || ']' || {_NL}
-                                 || substring(coalesce(content, ''), 1, 500) || {_NL}, {_NL}
+                                 || coalesce(content, '') || {_NL}, {_NL}
                                  ORDER BY interaction_date, interaction_id) AS history
   FROM interactions WHERE customer_id IS NOT NULL GROUP BY 1),
-b AS (SELECT opp_id, '【閲覧行動】' || {_NL} || '総セッション数: ' || CAST(session_count AS VARCHAR) || {_NL} || '総閲覧数: '
+b AS (SELECT opp_id, '【カーセンサー閲覧行動】' || {_NL} || '総セッション数: ' || CAST(session_count AS VARCHAR) || {_NL} || '総閲覧数: '
              || CAST(view_count AS VARCHAR) || {_NL} || '検索キーワード: ' || search_keywords || {_NL} || '閲覧車両: '
              || viewed_vehicles || {_NL} || 'お気に入り登録数: ' || CAST(favorite_count AS VARCHAR) || '件' AS behavior_text
       FROM behavior)
-SELECT c.customer_id, '顧客名: ' || coalesce(c.contact_name, '') || {_NL} || '職業: ' || coalesce(c.occupation, 'None')
+SELECT c.customer_id, '顧客名: ' || coalesce(c.contact_name, 'None') || {_NL} || '職業: ' || coalesce(c.occupation, 'None')
          || {_NL} || {_NL} || '【インタラクション履歴】'
          || CASE WHEN h.history IS NOT NULL THEN {_NL} || h.history ELSE '' END
          || CASE WHEN b.behavior_text IS NOT NULL THEN {_NL} || b.behavior_text ELSE '' END AS prompt
@@ -223,7 +223,7 @@ WITH g AS (SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS f
            FROM conversations GROUP BY conv_id HAVING sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) > 0)
 SELECT conv_id, CASE WHEN length(first_user) > 20 THEN substring(first_user, 1, 20) || '…' ELSE first_user END AS title,
        substring(first_user, 1, 60) AS preview, user_messages
-FROM g ORDER BY conv_id DESC LIMIT 30""")
+FROM g""")
 def _session_index(fx):
     return tx.session_index(fx.conversations)
 

@@ -25,6 +25,9 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
     )
+    if master.startswith("local"):
+        # One machine: its temporary folder is shared by all there is.
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="dealerlens-"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -33,16 +36,14 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    On a cluster this setting names storage every executor can reach; it is
-    read from the session.  Only where it is unset (local tests) is a scratch
-    folder created and registered.
+    The setting names storage that every executor can reach and is read from
+    the session.  Without it an error is raised: a local folder would lose data
+    on a cluster.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="dealerlens-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 

@@ -21,27 +21,9 @@ from pyspark.sql.types import StructType
 from dealerlens.session import scratch_path
 
 
-def read_table(spark: SparkSession, path: str, keys: Sequence[str] | None = None,
-               min_partitions: int | None = None) -> DataFrame:
-    """Read a Parquet table; a scan with fewer partitions than the cluster has
-    cores is spread over them by hashing its row key.
-
-    A large table is split into at least one task per row group and is
-    returned unchanged.  A small file with a single row group would otherwise
-    be read, parsed and projected by one task while the other cores wait,
-    because nothing shuffles before the first aggregate or join.  Hashing on a
-    unique key is deterministic, so a retried task sees the same rows; and a
-    later aggregate or join on that key reuses the partitioning.
-    """
-    df = spark.read.parquet(path)
-    if not keys:
-        return df
-    try:
-        n = min_partitions or spark.sparkContext.defaultParallelism
-        scan_parts = df.rdd.getNumPartitions()  # planning only, no job
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): read as is
-        return df
-    return df if scan_parts >= n else df.repartition(n, *keys)
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """Read a Parquet table as its row groups split it; never a shuffle."""
+    return spark.read.parquet(path)
 
 
 def write_raw(df: DataFrame, path: str) -> DataFrame:

@@ -10,7 +10,6 @@ idempotent per batch id (a replayed batch rewrites the same output).
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,19 +42,40 @@ def _run(writer, checkpoint: str) -> int | None:
     return max(ids) if ids else None
 
 
-def stream_ingest(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
-                  key: str = "event_id", ts: str = "ts", delay: str = "1 hour",
-                  max_files: int | None = None) -> DataFrame:
-    """Only new files each run (the file source remembers what it read),
-    with de-duplication of the key inside the watermark; appended to a
-    Parquet sink.  Returns the sink as a batch frame."""
+def _stream(spark: SparkSession, source: str, schema, max_files: int | None) -> DataFrame:
     r = spark.readStream.schema(schema)
-    if max_files:
-        r = r.option("maxFilesPerTrigger", max_files)
-    s = (r.parquet(source).withColumn("_et", _event_time(ts)).withWatermark("_et", delay)
-         .dropDuplicatesWithinWatermark([key]).drop("_et"))
-    _run(s.writeStream.format("parquet").option("path", sink).outputMode("append"), checkpoint)
-    return spark.read.schema(schema).parquet(sink)
+    return (r.option("maxFilesPerTrigger", max_files) if max_files else r).parquet(source)
+
+
+def _batches(spark: SparkSession, path: str, below: int | None = None) -> DataFrame:
+    """Rows written by the batches of a sink (those before batch ``below``)."""
+    df = spark.read.parquet(path)
+    return df if below is None else df.where(F.col("batch") < below)
+
+
+def stream_ingest(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
+                  key: str = "event_id", max_files: int | None = None, buckets: int = 64) -> DataFrame:
+    """Only new files each run (the file source remembers what it read);
+    every key is kept once, however late or in however many deliveries it
+    comes.  A batch drops its own repeats, then the keys that earlier batches
+    wrote: the sink is partitioned by a hash of the key, and only buckets that
+    the batch touches are joined.  Rows without a key are all kept.  Returns
+    the sink as a batch frame."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        keyed = rows.where(F.col(key).isNotNull()).dropDuplicates([key])
+        if batch_id:
+            # The first batch always writes, so a missing sink is an error here.
+            touched = F.broadcast(keyed.select("_b").distinct())  # ``buckets`` rows at most
+            done = _batches(batch.sparkSession, sink, batch_id).select("_b", key).join(touched, "_b", "left_semi")
+            keyed = keyed.join(done, ["_b", key], "left_anti")
+        out = keyed.unionByName(rows.where(F.col(key).isNull()))
+        (out.withColumn("batch", F.lit(batch_id)).repartition("_b").write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch", "_b").parquet(sink))
+
+    _run(_stream(spark, source, schema, max_files).writeStream.foreachBatch(write), checkpoint)
+    return spark.read.parquet(sink).select(*[f.name for f in schema])
 
 
 def _minute_metrics(df: DataFrame, window_col: F.Column) -> DataFrame:
@@ -72,20 +92,31 @@ def _minute_metrics(df: DataFrame, window_col: F.Column) -> DataFrame:
              "error_count", "tokens")
 
 
+def _newest(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """Of each key the rows that the last batch wrote for it."""
+    out = spark.read.parquet(path)
+    last = out.groupBy(F.col(key).alias("_k")).agg(F.max("batch").alias("_last"))
+    return out.join(last, F.col(key).eqNullSafe(F.col("_k")) & (F.col("batch") == F.col("_last"))).drop("_k", "_last", "batch")
+
+
 def stream_endpoint_minutes(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
-                            delay: str = "0 seconds") -> DataFrame:
+                            max_files: int | None = None) -> DataFrame:
     """Per-minute requests, mean, exact p50/p95/p99, errors and tokens from
-    a trace stream.  Append mode: a minute is written once the watermark
-    (max event time − ``delay``) passes its end; rows older than the watermark
-    are dropped and counted in the query's progress."""
-    s = spark.readStream.schema(schema).parquet(source).withColumn("_et", _event_time("ts")).withWatermark("_et", delay)
-    agg = _minute_metrics(s, F.window("_et", "1 minute"))
+    a trace stream.  A batch stages its rows by day, then writes anew the
+    minutes it touches from all staged rows of these days: late rows count and
+    the last minute is there.  Returns each minute as last written."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        rows = batch.withColumn("_minute", F.date_trunc("minute", _event_time("ts"))).withColumn("_day", F.to_date("_minute"))
+        rows.write.mode("overwrite").partitionBy("_day").parquet(f"{sink}/rows/batch={batch_id}")
+        mine = spark.read.option("basePath", f"{sink}/rows").parquet(f"{sink}/rows/batch={batch_id}")
+        touched = mine.select("_day", "_minute").distinct()
+        staged = _batches(spark, f"{sink}/rows", batch_id + 1).join(touched, ["_day", "_minute"], "left_semi")
+        _minute_metrics(staged.withColumn("_et", _event_time("ts")), F.window("_et", "1 minute")) \
+            .write.mode("overwrite").parquet(f"{sink}/minutes/batch={batch_id}")
 
-    _run(agg.writeStream.outputMode("append").foreachBatch(write), checkpoint)
-    return spark.read.parquet(sink).drop("batch")
+    _run(_stream(spark, source, schema, max_files).writeStream.foreachBatch(write), checkpoint)
+    return _newest(spark, f"{sink}/minutes", "minute")
 
 
 def endpoint_minutes_batch(traces: DataFrame) -> DataFrame:
@@ -161,12 +192,8 @@ def _versioned_merge(target_base: str, keys: list[str], order: list[str]):
 
 
 def _read_version(spark: SparkSession, base: str, version: int) -> DataFrame | None:
-    if version < 0:
-        return None
-    try:
-        return spark.read.parquet(f"{base}/_version={version}")
-    except AnalysisException:  # not written: no earlier version
-        return None
+    """The table before a batch; only the first batch has none, so a version that cannot be read is an error."""
+    return None if version < 0 else spark.read.parquet(f"{base}/_version={version}")
 
 
 def _current_version(spark: SparkSession, base: str, last_batch: int | None) -> DataFrame:
@@ -239,8 +266,9 @@ def event_sessions(events: DataFrame, gap: str = "30 minutes", key: str = "user_
     parts = parts or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared_dir(events.sparkSession)
     gap_iv = F.expr(f"INTERVAL {gap}")
-    d = events.select(F.col(key).alias("k"), _event_time(ts).alias("t"),
-                      F.monotonically_increasing_id().alias("tie")).where(F.col("t").isNotNull())
+    # The tie-break is a value of the row: a task that is run again cuts the same ranges.
+    row_id = F.col("event_id") if "event_id" in events.columns else F.xxhash64(*events.columns)
+    d = events.select(F.col(key).alias("k"), _event_time(ts).alias("t"), row_id.alias("tie")).where(F.col("t").isNotNull())
     r = d.repartitionByRange(parts, "k", "t", "tie").withColumn("pid", F.spark_partition_id())
     w = Window.partitionBy("pid", "k").orderBy("t", "tie")
     r = r.withColumn("prev", F.lag("t").over(w))
@@ -278,19 +306,24 @@ def event_sessions(events: DataFrame, gap: str = "30 minutes", key: str = "user_
 
 
 def stream_event_sessions(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
-                          gap: str = "30 minutes", delay: str = "0 seconds", key: str = "user_id",
-                          ts: str = "ts") -> DataFrame:
-    """S6 (stream): the same sessions with a watermark, append mode (closed
-    sessions only)."""
-    s = spark.readStream.schema(schema).parquet(source).withColumn("_et", _event_time(ts)).withWatermark("_et", delay)
-    agg = (s.groupBy(key, F.session_window("_et", gap).alias("s")).agg(F.count(F.lit(1)).alias("n_events"))
-           .select(key, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n_events"))
+                          gap: str = "30 minutes", key: str = "user_id", ts: str = "ts",
+                          max_files: int | None = None, buckets: int = 64) -> DataFrame:
+    """S6 (stream): the same sessions, kept current.  A batch stages its events
+    by a hash of the key, then writes anew the sessions of the keys it touches
+    (late events may join two sessions).  Returns each key's sessions as last
+    written, open ones included."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
-
-    _run(agg.writeStream.outputMode("append").foreachBatch(write), checkpoint)
-    return spark.read.parquet(sink).drop("batch")
+        rows = batch.withColumn("_b", F.coalesce(F.pmod(F.xxhash64(key), F.lit(buckets)), F.lit(0)).cast("int"))
+        rows.write.mode("overwrite").partitionBy("_b").parquet(f"{sink}/rows/batch={batch_id}")
+        mine = spark.read.option("basePath", f"{sink}/rows").parquet(f"{sink}/rows/batch={batch_id}")
+        touched = mine.select("_b", F.col(key).alias("_k")).distinct()
+        staged = _batches(spark, f"{sink}/rows", batch_id + 1).alias("s").join(
+            touched.alias("t"), (F.col("s._b") == F.col("t._b")) & F.col(f"s.{key}").eqNullSafe(F.col("t._k")), "left_semi")
+        event_sessions(staged, gap, key, ts).write.mode("overwrite").parquet(f"{sink}/sessions/batch={batch_id}")
+
+    _run(_stream(spark, source, schema, max_files).writeStream.foreachBatch(write), checkpoint)
+    return _newest(spark, f"{sink}/sessions", key)
 
 
 def new_stream_dirs(spark: SparkSession, name: str) -> dict[str, str]:

@@ -20,13 +20,9 @@ def spark():
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
+         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="dealerlens-test-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    # Tests run without a cluster: only here is a local shared folder set.
-    if not s.conf.get("spark.checkpoint.dir", None):
-        d = tempfile.mkdtemp(prefix="dealerlens-test-")
-        s.conf.set("spark.checkpoint.dir", d)
-        s.sparkContext.setCheckpointDir(d)
     yield s
 
 

@@ -3,12 +3,13 @@
 import pytest
 
 import __spark_entry__ as entry
+from dealerlens.plans import registry
 from dealerlens.plans.check import compare, duck_connection
 
 from conftest import SF_SMALL
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = registry.queries()
+ORACLES = registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")

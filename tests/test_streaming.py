@@ -42,22 +42,30 @@ def test_stream_behavior_counts_equal_batch(spark, fx):
     assert all(r.ok for r in j.collect())
 
 
-def test_stream_sessions_equal_batch_on_closed_sessions(spark, fx):
+def test_stream_ingest_keeps_late_rows(spark, fx):
+    d = st.new_stream_dirs(spark, "t-late")
+    ev = fx.events
+    st.stage_files(ev.where("event_id % 2 = 1"), d["source"], 2)
+    st.stream_ingest(spark, d["source"], ev.schema, d["sink"], d["checkpoint"], max_files=1)
+    st.stage_files(ev, d["source"], 2)
+    got = st.stream_ingest(spark, d["source"], ev.schema, d["sink"], d["checkpoint"], max_files=1)
+    assert sorted(got.collect()) == sorted(ev.collect())
+
+
+def test_stream_sessions_equal_batch_with_late_rows(spark, fx):
     d = st.new_stream_dirs(spark, "t-sessions")
     ev = fx.events.select("event_id", "ts", "user_id")
-    st.stage_files(ev, d["source"], 2)
-    got = st.stream_event_sessions(spark, d["source"], ev.schema, d["sink"], d["checkpoint"])
-    mx = ev.agg(F.max(F.col("ts").cast("timestamp"))).collect()[0][0]
-    want = st.event_sessions(ev).where(F.col("session_end") <= F.lit(mx))
-    assert sorted(got.collect()) == sorted(want.select(*got.columns).collect())
+    for odd in (1, 0):
+        st.stage_files(ev.where(f"event_id % 2 = {odd}"), d["source"], 1)
+        got = st.stream_event_sessions(spark, d["source"], ev.schema, d["sink"], d["checkpoint"])
+    assert sorted(got.collect()) == sorted(st.event_sessions(ev).select(*got.columns).collect())
 
 
-def test_stream_minutes_equal_batch_twin(spark, fx):
+def test_stream_minutes_equal_batch_with_late_rows(spark, fx):
     d = st.new_stream_dirs(spark, "t-minutes")
     tr = fx.traces
-    st.stage_files(tr, d["source"], 2)
-    got = st.stream_endpoint_minutes(spark, d["source"], tr.schema, d["sink"], d["checkpoint"])
-    batch = st.endpoint_minutes_batch(tr)
-    mx = tr.agg(F.max(F.col("ts").cast("timestamp"))).collect()[0][0]
-    want = batch.where((F.col("minute") + F.expr("INTERVAL 1 MINUTE")) <= F.lit(mx))
-    assert sorted(got.collect()) == sorted(want.select(*got.columns).collect())
+    half = F.xxhash64(*tr.columns) % 2 == 0
+    for part in (tr.where(half), tr.where(~half)):
+        st.stage_files(part, d["source"], 1)
+        got = st.stream_endpoint_minutes(spark, d["source"], tr.schema, d["sink"], d["checkpoint"])
+    assert sorted(got.collect()) == sorted(st.endpoint_minutes_batch(tr).select(*got.columns).collect())

@@ -235,6 +235,51 @@ def test_python_strip_semantics(spark):
     assert ws.select(text.json_list(F.col("t")).alias("l")).collect()[0].l == ["  "]
 
 
+def test_batch_generate_fails_one_prompt_only(spark):
+    prompts = spark.createDataFrame([(i, f"p{i % 50}") for i in range(150)], "customer_id long, prompt string")
+
+    def picky():
+        def call(ps):
+            if "p7" in ps:
+                raise RuntimeError("bad prompt")
+            return [p.upper() for p in ps]
+        return call
+
+    out = text.batch_generate(prompts, picky, default="{}", partitions=4).collect()
+    assert len(out) == 150 and {r.customer_id for r in out if r.failed} == {7, 57, 107}
+    one = spark.createDataFrame([(1, "p1")], "customer_id long, prompt string")
+    cache = text.batch_generate(one, picky).select("prompt_hash", "reply")
+    cache = cache.unionAll(cache).unionAll(cache.selectExpr("prompt_hash", "'other'"))
+    assert text.batch_generate(prompts, picky, cache=cache).count() == 150
+
+
+def test_newest_evaluation_per_trace(spark):
+    logs = spark.createDataFrame([(1, "a"), (2, "b")], "trace_id long, answer string")
+    ev = spark.createDataFrame([(1, 2, "x", None, 10), (1, 5, "y", "g", 20)], "trace_id long, rating int, evaluator string, ground_truth string, timestamp int")
+    got = sorted((r.trace_id, r.rating, r.evaluator) for r in joins.quality_with_evaluations(logs, ev).collect())
+    assert got == [(1, 5, "y"), (2, None, None)]
+
+
+def test_span_depth_flags_cycles(spark):
+    rows = [(1, "a", "b"), (1, "b", "a"), (1, "c", "a"), (1, "d", None), (1, "e", "d"), (1, "f", "f")]
+    got = {r.span_id: r.depth for r in monitoring.span_depth(spark.createDataFrame(rows, "trace_id long, span_id string, parent_span_id string")).collect()}
+    assert got == {"a": None, "b": None, "c": None, "d": 0, "e": 1, "f": None}
+
+
+def test_budget_candidates_string_keys(spark):
+    inv = spark.createDataFrame([("V-b", 100.0), ("V-a", 100.0), ("V-c", 300.0)], "vehicle_key string, price double")
+    cust = spark.createDataFrame([("CUST-1", 50.0, 150.0), ("CUST-2", 500.0, 600.0)], "customer_id string, budget_min double, budget_max double")
+    got = sorted((r.customer_id, r.candidate_rank, r.vehicle_key, r.is_fallback) for r in joins.budget_candidates(cust, inv, k=2, parts=3).collect())
+    assert got == [("CUST-1", 1, "V-a", False), ("CUST-1", 2, "V-b", False), ("CUST-2", 1, "V-a", True), ("CUST-2", 2, "V-b", True)]
+
+
+def test_whole_texts_stay_whole(spark):
+    logs = spark.createDataFrame([(i, i % 7) for i in range(300)], "trace_id long, overall int")
+    got = monitoring.sort_quality_logs(logs, "score_desc").collect()
+    want = sorted(((-o, i) for i, o in ((i, i % 7) for i in range(300))))
+    assert [(r.row_number, r.trace_id) for r in sorted(got, key=lambda r: r.row_number)] == [(k + 1, i) for k, (_, i) in enumerate(want)]
+
+
 def test_batch_generate_failure_default_and_cache(spark):
     prompts = spark.createDataFrame([(1, "p1"), (2, "p2")], "customer_id long, prompt string")
 
@@ -493,16 +538,23 @@ def test_span_depth_random_forest_against_brute_force(spark):
     assert got == {(t, s): depth(t, s) for t, s, _ in rows}
 
 
-def test_read_table_spreads_only_small_scans(spark):
+def test_read_table_never_shuffles(spark):
     from dealerlens.session import scratch_path
 
-    path = scratch_path(spark, "spread")
+    path = scratch_path(spark, "plain")
     spark.range(1000).withColumnRenamed("id", "k").coalesce(1).write.parquet(path)
-    spread = io.read_table(spark, path, ["k"], min_partitions=4)
-    assert spread.rdd.getNumPartitions() == 4
-    assert sorted(r.k for r in spread.collect()) == list(range(1000))
-    same = io.read_table(spark, path, ["k"], min_partitions=1)
-    assert "REPARTITION_BY_NUM" not in same._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in io.read_table(spark, path)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shared_dir_needs_the_setting(spark):
+    from dealerlens import session
+
+    class Bare:
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})()
+        sparkContext = type("S", (), {"getCheckpointDir": staticmethod(lambda: None)})()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Bare())
 
 
 def test_pages_union_is_the_whole_order(fx):
