@@ -271,9 +271,12 @@ def _bucket_pairs(key, table):
     return list_pairs(lists[pick], gids[pick], sizes[pick])
 
 
-def cross_pairs(long: DataFrame, component: DataFrame, sets: DataFrame) -> DataFrame:
+def cross_pairs(long: DataFrame, component: DataFrame, sets: DataFrame, nearest: bool) -> DataFrame:
     """(a, b) of members of one long list that are not in one component yet.
 
+    ``nearest``: of each member's pairs in a block only two come out, the most
+    alike by the bound and the most alike in the smallest component; else all.
+
     ``long``: list, sid, n (as in ``list_pairs``); ``component``: node,
     component; ``sets``: sid, cells.  Before any pair is formed, lists inside
     one component go, and of lists with the same members (the shingles of one
@@ -297,12 +300,16 @@ def cross_pairs(long: DataFrame, component: DataFrame, sets: DataFrame) -> DataF
         right = np.flatnonzero(part == j)
         a, b = [], []
         for x in np.flatnonzero(part == i):
-            y = right[(component[right] != component[x]) & ((sid[right] > sid[x]) | (i != j))]
+            y = right[(component[right] != component[x]) & (nearest | (sid[right] > sid[x]) | (i != j))]
             y = y[100 * np.minimum(size[x], size[y]) >= PERCENT * np.maximum(size[x], size[y])]
             y = y[np.where(size[x] < size[y], first[x], np.where(size[x] > size[y], first[y], first[x] & first[y]))]
             if len(y):
                 most = np.minimum(cells[x], cells[y]).sum(axis=1, dtype=np.int64)
-                y = y[100 * most >= PERCENT * (size[x] + size[y] - most)]
+                able = 100 * most >= PERCENT * (size[x] + size[y] - most)
+                y, most = y[able], most[able]
+                if nearest and len(y):
+                    alike = most / (size[x] + size[y] - most)
+                    y = y[np.unique([np.argmax(alike), np.lexsort((-alike, component[y]))[0]])]
                 a.append(np.minimum(sid[x], sid[y]))
                 b.append(np.maximum(sid[x], sid[y]))
         none = [np.zeros(0, np.int64)]
@@ -404,10 +411,13 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     links = save(verify(pairs, sets), "links")
     component = connected_components(links)
     if found.where("kind = 'long'").limit(1).count() or inside.where("kind = 'long'").limit(1).count():
-        more = save(cross_pairs(long, component, sets), "cross")
-        if more.limit(1).count():
-            links = save(links.unionAll(verify(more, sets)), "links")
-            component = connected_components(links)
+        # Large groups of near copies join by their nearest pairs; whatever is
+        # still apart is then compared in full, so these rounds only save pairs.
+        for nearest in (True, True, False):
+            more = save(cross_pairs(long, component, sets, nearest), "cross")
+            if more.limit(1).count():
+                more = save(verify(more, sets), "links")
+                component = connected_components(more.unionAll(component.select("node", "component")))
     named = classes.join(component.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("least"))
     of_set = named.join(least, "component").groupBy("sid").agg(F.min("least").alias("least"))
