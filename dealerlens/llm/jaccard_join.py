@@ -22,6 +22,7 @@ LONG = 64               # longer lists link neighbours first, and other pairs on
 CHUNK = 800_000       # shingles that a task gathers before it sends them on
 BUCKET = 1_000_000      # shingles per bucket, on average
 CELLS = 256             # parts of the hash space whose counts bound an intersection
+SKETCH = 32             # minima of a set that choose its nearest pairs
 BLOCK = 2_000           # members of a long list that one task compares at a time
 BYTES_PER_WORD = 6      # only sets the number of buckets
 
@@ -271,14 +272,16 @@ def _bucket_pairs(key, table):
     return list_pairs(lists[pick], gids[pick], sizes[pick])
 
 
-def cross_pairs(long: DataFrame, component: DataFrame, sets: DataFrame, nearest: bool) -> DataFrame:
-    """(a, b) of members of one long list that are not in one component yet.
+def cross_pairs(long: DataFrame, component: DataFrame, sets: DataFrame, nearest: bool) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of members of one long list that are not in one component yet, and
+    the rows of ``long`` that a later round still needs (closed lists stay closed).
 
     ``nearest``: of each member's pairs in a block only two come out, the most
-    alike by the bound and the most alike in the smallest component; else all.
+    alike by their sketches and the most alike in the smallest component; else
+    all that the bound lets through.
 
     ``long``: list, sid, n (as in ``list_pairs``); ``component``: node,
-    component; ``sets``: sid, cells.  Before any pair is formed, lists inside
+    component; ``sets``: sid, cells, sketch.  Before any pair is formed, lists inside
     one component go, and of lists with the same members (the shingles of one
     passage) one stays.  The sum of the smaller counts of each cell is an upper
     bound of the intersection; only pairs that it lets through come out.  Lists
@@ -288,34 +291,38 @@ def cross_pairs(long: DataFrame, component: DataFrame, sets: DataFrame, nearest:
     mark = F.sum(F.xxhash64("sid", "n").cast("decimal(20,0)"))
     lists = named.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), mark.alias("mark"), F.count("*").alias("c"))
     lists = lists.where("lo <> hi").groupBy("mark", "c").agg(F.min("list").alias("list")).select("list", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
-    named = save(named.join(lists, "list"), "open").join(sets.select("sid", "cells"), "sid")
+    still = save(named.join(lists, "list"), "open")
+    named = still.join(sets.select("sid", F.col("sketch" if nearest else "cells").alias("marks")), "sid")
     named = named.withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    named = named.select("list", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "sid", "n", "component", "cells")
+    named = named.select("list", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "sid", "n", "component", "marks")
 
     def compare(key, table):
         i, j = key[1].as_py(), key[2].as_py()
         part, sid, n, component = (table[c].to_numpy() for c in ("part", "sid", "n", "component"))
         size, first = n >> 1, (n & 1).astype(bool)
-        cells = np.stack([np.frombuffer(x, np.uint32) for x in table["cells"].to_pylist()])
+        marks = np.stack([np.frombuffer(x, np.uint32) for x in table["marks"].to_pylist()])
         right = np.flatnonzero(part == j)
         a, b = [], []
         for x in np.flatnonzero(part == i):
             y = right[(component[right] != component[x]) & (nearest | (sid[right] > sid[x]) | (i != j))]
             y = y[100 * np.minimum(size[x], size[y]) >= PERCENT * np.maximum(size[x], size[y])]
             y = y[np.where(size[x] < size[y], first[x], np.where(size[x] > size[y], first[y], first[x] & first[y]))]
+            if len(y) and nearest:
+                same = (marks[x] == marks[y]).sum(axis=1)
+                y, same = y[2 * same >= SKETCH], same[2 * same >= SKETCH]
+                if len(y):
+                    y = y[np.unique([np.argmax(same), np.lexsort((-same, component[y]))[0]])]
+            elif len(y):
+                most = np.minimum(marks[x], marks[y]).sum(axis=1, dtype=np.int64)
+                y = y[100 * most >= PERCENT * (size[x] + size[y] - most)]
             if len(y):
-                most = np.minimum(cells[x], cells[y]).sum(axis=1, dtype=np.int64)
-                able = 100 * most >= PERCENT * (size[x] + size[y] - most)
-                y, most = y[able], most[able]
-                if nearest and len(y):
-                    alike = most / (size[x] + size[y] - most)
-                    y = y[np.unique([np.argmax(alike), np.lexsort((-alike, component[y]))[0]])]
                 a.append(np.minimum(sid[x], sid[y]))
                 b.append(np.maximum(sid[x], sid[y]))
         none = [np.zeros(0, np.int64)]
         return pa.table({"a": pa.array(np.concatenate(a or none)), "b": pa.array(np.concatenate(b or none))})
 
-    return named.groupBy("list", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    pairs = named.groupBy("list", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return pairs, still.select("list", "sid", "n")
 
 
 # --- verification -----------------------------------------------------------------------
@@ -359,21 +366,29 @@ def _cells(s: np.ndarray) -> bytes:
     return np.bincount((s % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype(np.uint32).tobytes()
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    """The least hash (upper half) of each part of an ascending set; two sets agree in about their similarity's share of the parts."""
+    part, at = np.unique((s % np.uint64(SKETCH)).astype(np.int64), return_index=True)
+    out = np.zeros(SKETCH, np.uint32)
+    out[part] = s[at] >> np.uint64(32)
+    return out.tobytes()
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sid, n, cells, low, full of the wanted sets (sid, doc_id), read from the texts again (once per row of that doc_id and text)."""
+    """sid, n, cells, sketch, low, full of the wanted sets (sid, doc_id), read from the texts again (once per row of that doc_id and text)."""
     def run(batches):
         for b in batches:
             for sid, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 s = shingle_sets([data])[0]
                 if set_key(s, 31) == sid:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([sid], pa.int64()), pa.array([len(s)], pa.int64()), pa.array([_cells(s)], pa.binary()), pa.array([np.unique(s.astype(np.uint16)).tobytes()], pa.binary()), pa.array([s.tobytes()], pa.binary())],
-                        ["sid", "n", "cells", "low", "full"])
+                        [pa.array([sid], pa.int64()), pa.array([len(s)], pa.int64()), pa.array([_cells(s)], pa.binary()), pa.array([_sketch(s)], pa.binary()), pa.array([np.unique(s.astype(np.uint16)).tobytes()], pa.binary()), pa.array([s.tobytes()], pa.binary())],
+                        ["sid", "n", "cells", "sketch", "low", "full"])
 
     rows = wanted.count()
     small = F.broadcast(wanted) if rows <= 1_000_000 else wanted  # 16 bytes a row; beyond that Spark shuffles
     found = texts(docs).join(small, "doc_id").select("doc_id", "sid", "text")
-    return found.mapInArrow(run, "sid long, n long, cells binary, low binary, full binary")
+    return found.mapInArrow(run, "sid long, n long, cells binary, sketch binary, low binary, full binary")
 
 
 # --- the join ---------------------------------------------------------------------------
@@ -412,9 +427,10 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     component = connected_components(links)
     if found.where("kind = 'long'").limit(1).count() or inside.where("kind = 'long'").limit(1).count():
         # Large groups of near copies join by their nearest pairs; whatever is
-        # still apart is then compared in full, so these rounds only save pairs.
-        for nearest in (True, True, False):
-            more = save(cross_pairs(long, component, sets, nearest), "cross")
+        # still apart is then compared in full, so the first round only saves pairs.
+        for nearest in (True, False):
+            more, long = cross_pairs(long, component, sets, nearest)
+            more = save(more, "cross")
             if more.limit(1).count():
                 more = save(verify(more, sets), "links")
                 component = connected_components(more.unionAll(component.select("node", "component")))
