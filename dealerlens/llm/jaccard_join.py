@@ -335,8 +335,10 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     others compare their whole sets.
     """
     def joined(p: DataFrame, column: str) -> DataFrame:
-        left = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col(column).alias("sa"))
-        right = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col(column).alias("sb"))
+        ids = p.select(F.col("a").alias("sid")).unionAll(p.select("b")).distinct()
+        some = sets.select("sid", "n", column).join(ids, "sid", "left_semi")  # few pairs: the other sets stay where they are
+        left = some.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col(column).alias("sa"))
+        right = some.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col(column).alias("sb"))
         return p.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb")
 
     def passing(kind: str):
