@@ -12,7 +12,8 @@ from dealerlens.llm.components import connected_components
 
 NEAREST = 8         # pivots that describe a vector
 SHARED = 2          # pivots that a candidate pair has in common
-MAX_PIVOTS = 1024   # the pivots are a bounded sample, 64 to 1024 vectors by table size
+MAX_PIVOTS = 1024   # the pivots are a bounded sample, at most 64 to 1024 vectors by table size
+DRAWN = 4           # vectors drawn per pivot, for those that are too near to an earlier pivot
 BLOCK = 1024        # vectors of a list that one task compares at a time
 
 
@@ -29,21 +30,37 @@ def _unit(flat: np.ndarray, n: int, size: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def describe(classes: DataFrame, nearest: int = NEAREST) -> DataFrame:
+def apart(points: list[np.ndarray], n: int, cosine: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The first n points that are below the cosine to all kept before them: by length, their numbers and unit vectors.
+
+    A large group of near copies would else supply many reference points, and
+    which of these are a member's nearest would hang on its noise alone.
+    """
+    kept: dict[int, tuple[list[int], np.ndarray]] = {}
+    taken = 0
+    for v in points:
+        x, size = _unit(v, 1, len(v))[0], len(v)
+        at, held = kept.setdefault(size, ([], np.empty((n, size))))
+        if (held[:len(at)] @ x < cosine).all():
+            held[len(at)] = x
+            at.append(taken)
+            taken += 1
+            if taken == n:
+                break
+    return {size: (np.array(at), held[:len(at)].copy()) for size, (at, held) in kept.items()}
+
+
+def describe(classes: DataFrame, cosine: float, nearest: int = NEAREST) -> DataFrame:
     """Adds pivots: the numbers of each vector's nearest reference points, nearest first.
 
-    The reference points are a sample of the vectors, first in a hash order.
-    Vectors of a length that no reference point has get the list [-1].
+    The reference points are a sample of the vectors, first in a hash order,
+    without those that link with an earlier one.  Vectors of a length that no
+    reference point has get the list [-1].
     """
     count = classes.count()
     n = min(MAX_PIVOTS, max(64, power_of_two(count ** 0.5)))
-    rows = classes.select("e").orderBy(F.xxhash64("e", F.lit(17)), "e").limit(n).collect()
-    refs: dict[int, tuple[list[int], list]] = {}
-    for i, r in enumerate(rows):
-        at, vs = refs.setdefault(len(r.e), ([], []))
-        at.append(i)
-        vs.append(r.e)
-    tables = {s: (np.array(at), _unit(np.array(vs), len(at), s)) for s, (at, vs) in refs.items()}
+    drawn = classes.select("e").orderBy(F.xxhash64("e", F.lit(17)), "e").limit(DRAWN * n).toArrow()
+    tables = apart(drawn["e"].to_numpy(), n, cosine)
     sent = classes.sparkSession.sparkContext.broadcast(tables)
     columns = classes.columns
     at_e = columns.index("e")
@@ -136,7 +153,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     """
     valid = valid_vectors(vectors)
     classes = save(valid.groupBy("label", "e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    found = save(compare_lists(describe(classes), cosine), "found")
+    found = save(compare_lists(describe(classes, cosine), cosine), "found")
     component = connected_components(found.select("a", "b")).toDF("rep", "_component")
     linked = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("_n"))
     classes = classes.join(linked, "rep", "left").join(component, "rep", "left")

@@ -362,6 +362,25 @@ def test_pivot_index(spark):
     assert near_duplicates(vectors(spark, [])).count() == 0
 
 
+def test_pivot_recall_in_a_large_group(spark):
+    """A third of all vectors are differing near copies of one vector."""
+    import pandas as pd
+
+    from dealerlens.llm.pivot_index import near_duplicates
+
+    r = np.random.default_rng(9)
+    n, size = 17_000, 32
+    x = r.normal(0, 1, (n, size))
+    x[:n // 3] = x[0] / np.linalg.norm(x[0]) + r.normal(0, 0.24 / size ** 0.5, (n // 3, size))
+    x = x.astype(np.float32)
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.tolist(), "label": np.zeros(n, np.int32)}))
+    got = near_duplicates(rows).toPandas().set_index("vec_id").n_links.sort_index().to_numpy()
+    y = x.astype(float)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    want = np.concatenate([(y[i:i + 1000] @ y.T >= 0.93).sum(axis=1) - 1 for i in range(0, n, 1000)])
+    assert (got <= want).all() and got.sum() >= 0.98 * want.sum() > (n // 3) ** 2 / 2
+
+
 def test_pivot_recall_sample(spark):
     from dealerlens.llm.queries import QUERIES
 
