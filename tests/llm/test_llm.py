@@ -167,6 +167,37 @@ def test_probabilities_sum_to_one():
         assert (t <= b.c).all() and (t >= np.minimum(b.c, 1)).all()
 
 
+def test_scores_do_not_depend_on_the_bucket_count():
+    """Hot words are split over buckets; every sample must use their customers of all buckets."""
+    from pyspark.sql import Row
+
+    from dealerlens.llm import pitman_yor as py
+
+    r = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(50)]
+    docs = [Row(chunk=0, doc_id=i, text=" ".join(r.choice(words, 30, p=np.arange(50, 0, -1) / 1275)).encode(), held_out=i % 7 == 2) for i in range(60)]
+    train = np.concatenate([py.tokens([d.text]).word for d in docs if not d.held_out])
+    word, n = np.unique(train, return_counts=True)
+    hot = word[n * 40 >= len(train)]
+    assert 5 < len(hot) < len(word)
+
+    def scores(buckets):
+        rows = [Row(**dict(zip(("bucket", "chunk", "words", "per_word", "contexts", "trained"), x))) for x in py._post(iter(docs), buckets, hot)]
+        counted = next(py._count(iter(rows), hot))
+        model = py.Model(hot, counted["hot_count"], counted["customers"], len(train), counted["v"] + len(hot), 0.6, 0.7)
+        done = [py.Totals(counted["tables"], counted["v"] + len(hot), counted["hot"])]
+        hot_t0 = np.minimum(done[0].hot, 1)
+        for k in range(1, py.BURN_IN + py.SAMPLES + 1):
+            s = next(py._sweep(iter(rows), model, list(done)))
+            hot_t0 = py.root_tables(model, done[-1], s["hot"], hot_t0, hot, k)
+            done.append(py.Totals(s["tables"], s["root_tables"] + int(hot_t0.sum()), s["hot"]))
+        answers = [Row(**dict(zip(("chunk", "bucket", "log_p", "counts"), x))) for x in py._reply(iter(rows), model, done)]
+        return [x[5] for x in py._score(docs, answers, buckets, hot)]
+
+    one = scores(1)
+    assert scores(4) == pytest.approx(one, rel=1e-6) and scores(64) == pytest.approx(one, rel=1e-6)
+
+
 def test_table_draws_follow_their_weights():
     from math import exp
 
