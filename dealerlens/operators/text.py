@@ -73,14 +73,26 @@ def brace_cut(text: Column) -> Column:
 
 
 def _is_object(text: Column) -> Column:
-    return F.get_json_object(text, "$").isNotNull() & F.ltrim(text).startswith("{")
+    # get_json_object reads past what follows the object: the end is checked too.
+    return F.get_json_object(text, "$").isNotNull() & F.ltrim(text).startswith("{") & F.rtrim(text).endswith("}")
+
+
+def fenced_block(text: Column) -> Column:
+    """Body of the first ```json block, else of the first ``` block (an open
+    block reaches to the end); null when there is none."""
+    return py_strip(F.when(text.contains("```json"), F.regexp_extract(text, r"(?s)```json(.*?)(?:```|\z)", 1))
+                    .when(text.contains("```"), F.regexp_extract(text, r"(?s)```(.*?)(?:```|\z)", 1)))
 
 
 def extract_json_object(text: Column) -> Column:
-    """I4's cut: fence-stripped text when it is a JSON object, else the brace
-    cut when that is one, else null."""
-    cleaned, cut = strip_fences(text), brace_cut(text)
-    return F.when(_is_object(cleaned), cleaned).when(_is_object(cut), cut)
+    """I4's cut: fence-stripped text when it is a JSON object, else the first
+    fenced block (a list there is an error), its brace cut or the text's brace
+    cut, whichever first is one, else null."""
+    cleaned, block, cut = strip_fences(text), fenced_block(text), brace_cut(text)
+    in_block = brace_cut(block)
+    is_list = block.startswith("[") & F.get_json_object(block, "$").isNotNull()
+    return (F.when(_is_object(cleaned), cleaned).when(_is_object(block), block).when(is_list, F.lit(None))
+            .when(_is_object(in_block), in_block).when(_is_object(cut), cut))
 
 
 def parse_generated(replies: DataFrame, schema: str = INSIGHT_SCHEMA, text_col: str = "reply") -> DataFrame:
@@ -140,7 +152,8 @@ def explode_recommendations(replies: DataFrame, inventory: DataFrame, text_col:
     and score (default 0), name, reason, pitch and selling points ('' / [] when
     absent) and the image path of the vehicle ('' if unknown); anything that is
     not a list gives no rows."""
-    body = strip_fences(F.col(text_col))
+    cleaned = strip_fences(F.col(text_col))
+    body = F.when(F.ltrim(cleaned).startswith("["), cleaned).otherwise(fenced_block(F.col(text_col)))
     # from_json wraps a lone object into a one-element array: only lists count.
     arr = F.when(F.ltrim(body).startswith("["), F.from_json(body, REC_ITEM_SCHEMA))
     items = replies.select("customer_id", F.posexplode(F.slice(arr, 1, 3)).alias("pos", "r"))

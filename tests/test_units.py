@@ -208,6 +208,24 @@ def test_parse_generated_variants(spark):
     assert got == {1: ("a", False), 2: ("b", False), 3: ("生成エラー", True), 4: ("生成エラー", True)}
 
 
+def test_parse_generated_reads_the_fenced_block(spark):
+    # Prose braces before a fenced object, a plain fence, an open block, ```json
+    # before an earlier plain block, a fenced list in prose (an error), prose inside the block.
+    r = spark.createDataFrame([
+        (1, 'Intro {x} then\n```json\n{"summary":"a"}\n```\nand {y}'), (2, 'See {x}:\n```\n{"summary":"b"}\n```'),
+        (3, 'So {x}: ```json\n{"summary":"c"}'), (4, '```\n{"summary":"no"}\n```\n```json\n{"summary":"d"}\n``` end'),
+        (5, 'List:\n```json\n[{"summary":"e"}]\n```\nend'), (6, 'With {x}\n```JSON\n{"summary":"f"}\n```\n'),
+        (7, 'Use ``` marks: {"summary":"g"} end')], "customer_id long, reply string")
+    got = {x.customer_id: (x.summary, x.parse_error) for x in text.flatten_insights(r).collect()}
+    assert got == {1: ("a", False), 2: ("b", False), 3: ("c", False), 4: ("d", False), 5: ("生成エラー", True), 6: ("f", False), 7: ("g", False)}
+
+
+def test_explode_recommendations_reads_the_fenced_list(spark):
+    inv = spark.createDataFrame([(7, "img/7.jpg")], "vehicle_key long, image_path string")
+    r = spark.createDataFrame([(1, 'Here [x]:\n```json\n[{"rank":1,"vehicle_key":"7"}]\n```\nend'), (2, "a ``` b")], "customer_id long, reply string")
+    assert [(x.customer_id, x.rank, x.image_path) for x in text.explode_recommendations(r, inv).collect()] == [(1, 1, "img/7.jpg")]
+
+
 def test_explode_recommendations_non_list_gives_no_rows(spark):
     inv = spark.createDataFrame([(7, "img/7.jpg")], "vehicle_key long, image_path string")
     r = spark.createDataFrame([(1, '{"a":1}'), (2, '[{"rank":"2","vehicle_key":"7"},{"vehicle_key":"9"},{},{}]')],
