@@ -72,10 +72,18 @@ def _stream_behavior(fx):
     we = fx.web_events
     st.stage_files(we, d["source"], 4)
     out = st.stream_behavior(fx.spark, d["source"], we.schema, d["sink"], d["checkpoint"])
-    # The approximate session count has no exact oracle; it is checked in tests.
+    # All of D1 is compared in stream_behavior_summary.
     return out.drop("session_count_approx")
 
 
+@register("stream_behavior_summary", "SELECT * FROM behavior")
+def _stream_behavior_summary(fx):
+    d = st.new_stream_dirs(fx.spark, "behavior-summary")
+    we = fx.web_events
+    st.stage_files(we, d["source"], 4)
+    return st.stream_behavior_summary(fx.spark, d["source"], we.schema, d["sink"], d["checkpoint"], max_files=2)
+
+
 _SESSIONS = """e AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 30 MINUTE
                                    THEN 1 ELSE 0 END AS new_s
            FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

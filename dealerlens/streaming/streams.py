@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from dealerlens.operators import monitoring
 from dealerlens.operators import text as tx
 from dealerlens.session import scratch_path
 
@@ -216,26 +217,32 @@ def stream_upsert(spark: SparkSession, source: str, schema, target_base: str, ch
     return _current_version(spark, target_base, last)
 
 
+def stream_behavior_summary(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
+                            max_files: int | None = None, buckets: int = 64) -> DataFrame:
+    """D1 (``behavior_summary``, all columns, exact) kept current on a
+    stream.  A batch stages its events by a hash of opp_id, then writes anew
+    the rows of the opportunities it touches from all their staged events.
+    Returns each opportunity as last written."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("_b", F.pmod(F.xxhash64("opp_id"), F.lit(buckets)).cast("int"))
+        rows.write.mode("overwrite").partitionBy("_b").parquet(f"{sink}/rows/batch={batch_id}")
+        mine = spark.read.option("basePath", f"{sink}/rows").parquet(f"{sink}/rows/batch={batch_id}")
+        touched = mine.select("_b", F.col("opp_id").alias("_k")).distinct()
+        staged = _batches(spark, f"{sink}/rows", batch_id + 1).alias("s").join(
+            touched.alias("t"), (F.col("s._b") == F.col("t._b")) & F.col("s.opp_id").eqNullSafe(F.col("t._k")), "left_semi")
+        monitoring.behavior_summary(staged).write.mode("overwrite").parquet(f"{sink}/behavior/batch={batch_id}")
+
+    _run(_stream(spark, source, schema, max_files).writeStream.foreachBatch(write), checkpoint)
+    return _newest(spark, f"{sink}/behavior", "opp_id")
+
+
 def stream_behavior(spark: SparkSession, source: str, schema, sink: str, checkpoint: str) -> DataFrame:
-    """D1's counters kept current on a stream.  Exact distinct counts are
-    not allowed in streaming aggregation, so sessions are counted with
-    ``approx_count_distinct``; update mode, each batch's changed rows merged
-    into the current table by key (idempotent per batch id)."""
-    s = spark.readStream.schema(schema).parquet(source)
-    et = F.col("event_type")
-    agg = s.groupBy("opp_id").agg(
-        F.count(F.lit(1)).alias("total_events"),
-        F.approx_count_distinct("session_id", 0.01).alias("session_count_approx"),
-        F.sum(F.when(et == "search", 1).otherwise(0)).cast("bigint").alias("search_count"),
-        F.sum(F.when(et == "view", 1).otherwise(0)).cast("bigint").alias("view_count"),
-        F.sum(F.when(et == "click", 1).otherwise(0)).cast("bigint").alias("click_count"),
-        F.sum(F.when(et == "favorite", 1).otherwise(0)).cast("bigint").alias("favorite_count"),
-        F.min("event_ts").alias("first_event_at"),
-        F.max("event_ts").alias("last_event_at"),
-    )
-    merge = _versioned_merge(sink, ["opp_id"], ["total_events"])
-    last = _run(agg.writeStream.outputMode("update").foreachBatch(merge), checkpoint)
-    return _current_version(spark, sink, last)
+    """S5's counters, under their earlier names: ``session_count_approx`` holds
+    the exact session count."""
+    out = stream_behavior_summary(spark, source, schema, sink, checkpoint)
+    return out.select("opp_id", "total_events", F.col("session_count").alias("session_count_approx"), "search_count",
+                      "view_count", "click_count", "favorite_count", "first_event_at", "last_event_at")
 
 
 def event_sessions(events: DataFrame, gap: str = "30 minutes", key: str = "user_id", ts: str = "ts",

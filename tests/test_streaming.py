@@ -42,6 +42,23 @@ def test_stream_behavior_counts_equal_batch(spark, fx):
     assert all(r.ok for r in j.collect())
 
 
+def test_stream_behavior_equals_batch_in_all_columns(spark, fx):
+    d = st.new_stream_dirs(spark, "t-behavior-summary")
+    we = fx.web_events
+    late = F.xxhash64(*we.columns) % 2 == 0
+    for part in (we.where(~late), we.where(late)):
+        st.stage_files(part, d["source"], 2)
+        got = st.stream_behavior_summary(spark, d["source"], we.schema, d["sink"], d["checkpoint"], max_files=1)
+    want = monitoring.behavior_summary(we)
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+    d = st.new_stream_dirs(spark, "t-behavior-exact")
+    many = we.limit(1).drop("session_id", "opp_id").crossJoin(spark.range(30_000).selectExpr("1L as opp_id", "cast(id as string) as session_id"))
+    many = many.select([F.col(c).cast(we.schema[c].dataType) for c in we.columns])
+    st.stage_files(many, d["source"], 2)
+    got = st.stream_behavior(spark, d["source"], many.schema, d["sink"], d["checkpoint"]).collect()
+    assert [r.session_count_approx for r in got] == [30_000]
+
+
 def test_stream_ingest_keeps_late_rows(spark, fx):
     d = st.new_stream_dirs(spark, "t-late")
     ev = fx.events
