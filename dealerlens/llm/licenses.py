@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,9 +51,42 @@ class Templates:
         self.low, self.high = threshold / (2 - threshold), (2 - threshold) / threshold
         self.least = min((n for n, _, _ in self.sized), default=0) * self.low
         self.most = max((n for n, _, _ in self.sized), default=0) * self.high
-
-    def best(self, words: list[bytes]) -> tuple[float, str] | None:
-        """(dice, name) of the closest template at or above the threshold; ties to the smaller name."""
+        self.words = {name: len(text.encode().translate(_FOLD).split()) for name, text in templates.items()}
+        self.holders: dict[tuple[bytes, bytes], list[int]] = {}
+        for t, (_, _, g) in enumerate(self.sized):
+            for x in g:
+                self.holders.setdefault(x, []).append(t)
+
+    def passages(self, words: list[bytes]) -> list[tuple[int, float, str, int, int]]:
+        """(-bigrams shared, -dice, name, start, end) of every window of a template's
+        word count at or above the threshold, most bigrams shared first.
+
+        A window needs low * n hits (places whose bigram is in the template):
+        only windows around so many hits are compared, no other can match.
+        """
+        hits: dict[int, list[int]] = {}
+        holders = self.holders
+        for i, x in enumerate(zip(words, words[1:])):
+            if x in holders:
+                for t in holders[x]:
+                    hits.setdefault(t, []).append(i)
+        out = []
+        for t, h in hits.items():
+            n, name, grams = self.sized[t]
+            size, need = self.words[name], max(1, math.ceil(self.low * n - 1e-9))
+            starts: set[int] = set()
+            for first, last in zip(h, h[need - 1:]):
+                starts.update(range(max(0, last - size + 2), min(first, len(words) - size) + 1))
+            for s in starts:
+                mine = bigrams(words[s:s + size])
+                both = len(mine & grams)
+                dice = 2 * both / (len(mine) + n)
+                if dice >= self.threshold:
+                    out.append((-both, -dice, name, s, s + size))
+        return sorted(out)
+
+    def best(self, words: list[bytes]) -> tuple[float, str, int] | None:
+        """(dice, name, bigrams shared) of the closest template at or above the threshold; ties to the smaller name."""
         if len(words) - 1 < self.least:
             return None
         mine = bigrams(words)
@@ -62,30 +96,49 @@ class Templates:
         for n, name, grams in self.sized:
             if not self.low * n <= len(mine) <= self.high * n:
                 continue  # no overlap could reach the threshold
-            dice = 2 * len(mine & grams) / (len(mine) + n)
+            both = len(mine & grams)
+            dice = 2 * both / (len(mine) + n)
             if dice >= self.threshold and (found is None or (-dice, name) < (-found[0], found[1])):
-                found = dice, name
+                found = dice, name, both
         return found
 
 
 def scan(data: bytes, templates: Templates) -> tuple[str | None, float, int, int]:
-    """(licence, dice, unit, units matched) of one text: unit 0 is the whole text, unit i its ith line."""
+    """(licence, dice, unit, units matched) of one text: unit 0 is the whole text, unit i its ith line.
+
+    A passage (words of a template's count anywhere in the text, line ends are
+    blanks) is one more unit, numbered by the line it starts in, unless it
+    overlaps a passage or a matched line that shares as many bigrams, or the
+    whole text matches the same licence.
+    """
     folded = data.translate(_FOLD)
-    lines = folded.split(b"\n")
-    best, at, n = None, -1, 0
-    for i, unit in enumerate([folded, *lines]):
-        if found := templates.best(unit.split()):
-            n += 1
-            if best is None or (-found[0], found[1], i) < (-best[0], best[1], at):
-                best, at = found, i
-    return (best[1], best[0], at, n) if best else (None, 0.0, -1, 0)
+    lines = [x.split() for x in folded.split(b"\n")]
+    words = [w for x in lines for w in x]
+    ends = np.cumsum([len(x) for x in lines])
+    matched: list[tuple[float, str, int]] = []  # dice, licence, unit
+    taken: list[tuple[int, int, int, str]] = []  # first word, end, bigrams shared, licence
+    for i, unit in enumerate([words, *lines]):
+        if found := templates.best(unit):
+            matched.append((*found[:2], i))
+            # The whole text hides its own licence only.
+            taken.append((0, len(words), 0, found[1]) if i == 0 else (int(ends[i - 1]) - len(unit), int(ends[i - 1]), found[2], ""))
+    kept = np.zeros(len(words), bool)
+    for both, dice, name, a, b in templates.passages(words):
+        if kept[a:b].any() or any(a < y and x < b and (k >= -both or name == other) for x, y, k, other in taken):
+            continue
+        kept[a:b] = True
+        matched.append((-dice, name, int(np.searchsorted(ends, a, "right")) + 1))
+    if not matched:
+        return None, 0.0, -1, 0
+    dice, name, unit = min(matched, key=lambda m: (-m[0], m[1], m[2]))
+    return name, dice, unit, len(matched)
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license, dice, unit, n_matches for every row of ``docs``.
 
-    A text is compared as a whole and line by line; the best unit counts, ties
-    to the smaller licence name, then the earlier unit.  Words are runs of
+    A text is compared as a whole, line by line and by passages (see ``scan``);
+    the best unit counts, ties to the smaller licence name, then the earlier unit.  Words are runs of
     letters and digits (A-Z folded, bytes above ASCII kept).  Without a match
     (null and empty texts too): null, 0, -1, 0.  Repeated rows give repeated results.
     """
@@ -102,7 +155,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
 
 
 def oracle(templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> str:
-    """The same result of ``documents`` as DuckDB SQL."""
+    """The result of ``documents`` as DuckDB SQL, by whole texts and lines: equal where no notice is wrapped or shares a line."""
     rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in (TEMPLATES if templates is None else templates).items())
     words = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"

@@ -552,6 +552,26 @@ def test_licenses(spark):
     assert got[50] == got[51] == got[52] == got[53] == (None, 0.0, -1, 0) and got[None] == ("mit", 1.0, 0, 2)
 
 
+def test_licenses_inside_larger_texts(spark):
+    """Every template wrapped over comment lines, and inside a paragraph line, of a larger text."""
+    import textwrap
+
+    from dealerlens.llm.licenses import TEMPLATES, scan_licenses
+
+    rows = []
+    for i, t in enumerate(TEMPLATES.values()):
+        rows.append((i, "\n".join([sentence(90), *(" * " + x for x in textwrap.wrap(t, 30, break_long_words=False)), sentence(90)])))
+        rows.append((100 + i, f"{sentence(20)}\n{sentence(120)} {t} {sentence(120)}\n{sentence(9)}"))
+    rows += [(50, "Copyright 2019 ACME Corp. All rights reserved."), (51, "Of the License, a copy; and the software is provided " * 40),
+             (52, f"{sentence(30)} all rights reserved {sentence(50)}\n{sentence(50)} Released under\nthe MIT License {sentence(30)}")]
+    got = {r.doc_id: (r.license, r.dice, r.unit, r.n_matches) for r in scan_licenses(documents(spark, rows)).collect()}
+    for i, name in enumerate(TEMPLATES):
+        assert got[i][:2] == (name, 1.0) and got[i][2] >= 2
+        assert got[100 + i] == (name, 1.0, 2, 1)
+    assert got[50] == ("all-rights-reserved", 1.0, 1, 1) and got[51][0] is None
+    assert got[52] == ("all-rights-reserved", 1.0, 1, 2)
+
+
 # --- pipeline -------------------------------------------------------------------
 
 def test_pipeline(spark):
