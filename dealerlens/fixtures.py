@@ -302,6 +302,19 @@ class Fixtures:
         )
         return self.customers.select("customer_id", reply.alias("reply"))
 
+    @cached_property
+    def full_replies(self) -> DataFrame:
+        """Replies with every insight field, bare or in a fenced block after prose braces."""
+        cid = F.col("customer_id").cast("string")
+        m = F.col("customer_id") % 3
+        body = F.concat(
+            F.lit('{"deep_needs":["n'), cid, F.lit('","b","c","d"],"purchase_signals":["sig'), cid,
+            F.lit('","visit"],"decision_key":"price","purchase_urgency":"high","urgency_reason":"lease ends",'
+                  '"channel_insights":{"visit":"v","line":"l","callcenter":"p","carsensor":"w"},"key_quotes":["q'), cid,
+            F.lit('","how much"],"summary":"s"}'))
+        return self.customers.select("customer_id", F.when(m == 0, body).when(
+            m == 1, F.concat(F.lit("For {you}:\n```json\n"), body, F.lit("\n```\nand {more}"))).otherwise("not json").alias("reply"))
+
     @cached_property
     def section_docs(self) -> DataFrame:
         d = self.raw("documents")

@@ -59,3 +59,17 @@ SELECT customer_id,
        CASE WHEN j IS NULL THEN '生成エラー' ELSE coalesce(json_extract_string(j, '$.summary'), '') END AS summary,
        j IS NULL AS parse_error
 FROM parsed_replies""", ["parsed_replies"])
+
+# Replies with every insight field, and I5's rows of them.
+extra_view("full_insights", """
+SELECT customer_id, bad IS NOT NULL AS parse_error,
+       coalesce(bad, '["n' || customer_id || '","b","c","d"]') AS deep_needs,
+       coalesce(bad, '["sig' || customer_id || '","visit"]') AS purchase_signals,
+       coalesce(bad, '["q' || customer_id || '","how much"]') AS key_quotes_json,
+       CASE WHEN bad IS NULL THEN 'high' ELSE '中' END AS purchase_urgency,
+       CASE WHEN bad IS NULL THEN 'lease ends' ELSE '生成エラー' END AS urgency_reason,
+       CASE WHEN bad IS NULL THEN 'v' ELSE '' END AS channel_insight_visit,
+       CASE WHEN bad IS NULL THEN 'l' ELSE '' END AS channel_insight_line,
+       CASE WHEN bad IS NULL THEN 'p' ELSE '' END AS channel_insight_cc,
+       CASE WHEN bad IS NULL THEN 'w' ELSE '' END AS channel_insight_carsensor
+FROM (SELECT customer_id, CASE WHEN customer_id % 3 = 2 THEN '[]' END AS bad FROM customers) c""", ["customers"])

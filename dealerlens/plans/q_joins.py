@@ -109,6 +109,19 @@ def _interactions_with_quotes(fx):
     return r.withColumn("quotes", F.array_join("quotes", "|"))
 
 
+@register("interactions_with_quotes_full", """
+SELECT i.*, i.content AS transcript,
+       array_to_string(coalesce(CAST(q.key_quotes_json AS VARCHAR[]), []), '|') AS quotes
+FROM interactions i LEFT JOIN full_insights q ON i.customer_id = q.customer_id""")
+def _interactions_with_quotes_full(fx):
+    from pyspark.sql import functions as F
+
+    from dealerlens.operators.text import flatten_insights
+
+    r = jn.interactions_with_quotes(derived.interactions(fx), flatten_insights(fx.full_replies))
+    return r.withColumn("quotes", F.array_join("quotes", "|"))
+
+
 @register("customer_360", """
 WITH il AS (SELECT customer_id, count(*) AS n_interactions, max(interaction_date) AS last_interaction_date
             FROM interactions WHERE customer_id IS NOT NULL GROUP BY 1),

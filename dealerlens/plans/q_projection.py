@@ -142,3 +142,14 @@ SELECT customer_id, array_to_string(CAST(purchase_signals AS VARCHAR[]), '、')
 FROM insights""")
 def _insight_tags(fx):
     return pj.insight_tags(derived.insights(fx))
+
+
+@register("insight_tags_full", """
+SELECT customer_id, array_to_string(CAST(purchase_signals AS VARCHAR[]), '、') AS priorities,
+       array_to_string(CAST(deep_needs AS VARCHAR[])[1:2], '、') AS tags,
+       array_to_string(CAST(deep_needs AS VARCHAR[])[3:], '、') AS other_needs
+FROM full_insights""")
+def _insight_tags_full(fx):
+    from dealerlens.operators.text import flatten_insights
+
+    return pj.insight_tags(flatten_insights(fx.full_replies))

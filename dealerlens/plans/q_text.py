@@ -75,6 +75,13 @@ def _flatten_insights(fx):
     return derived.insights(fx)
 
 
+@register("flatten_insights_full", "SELECT * FROM full_insights")
+def _flatten_insights_full(fx):
+    return tx.flatten_insights(fx.full_replies).select(
+        "customer_id", "parse_error", "deep_needs", "purchase_signals", "key_quotes_json", "purchase_urgency", "urgency_reason",
+        "channel_insight_visit", "channel_insight_line", "channel_insight_cc", "channel_insight_carsensor")
+
+
 def recs_as_replies(recs):
     """Recommendation replies as a model would write them, derived from ``recs``:
     a JSON list per customer, fenced for every 4th customer, invalid for

@@ -123,6 +123,16 @@ def _top3_per_customer(fx):
     return mon.top3_per_customer(fx.recs, k=2)
 
 
+@register("top3_of_six_per_customer", """
+WITH six AS (SELECT * FROM recs UNION ALL SELECT customer_id, rnk + 3, vehicle_key, match_score, talk_script FROM recs)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY rnk, vehicle_key) AS INTEGER) AS pos
+               FROM six) t WHERE pos <= 3""")
+def _top3_of_six_per_customer(fx):
+    from pyspark.sql import functions as F
+
+    return mon.top3_per_customer(fx.recs.unionByName(fx.recs.withColumn("rnk", F.col("rnk") + 3)))
+
+
 @register("sample_every_n", """
 SELECT * EXCLUDE (lst) FROM (
   SELECT *, CAST(minute AS DATE) AS series_day,

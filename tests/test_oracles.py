@@ -35,3 +35,11 @@ def test_entry_runs(spark):
     df = entry.entry(spark)
     assert df.count() > 0
     assert "revenue" in df.columns
+
+
+def test_full_rows_are_not_empty(spark):
+    """Three recommendations of six, and quotes and priorities that are there."""
+    top = QUERIES["top3_of_six_per_customer"](spark, SF_SMALL).groupBy("customer_id").count()
+    assert {r["count"] for r in top.collect()} == {3}
+    assert QUERIES["interactions_with_quotes_full"](spark, SF_SMALL).where("quotes <> ''").count() > 0
+    assert QUERIES["insight_tags_full"](spark, SF_SMALL).where("priorities <> ''").count() > 0
