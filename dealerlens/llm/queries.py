@@ -133,3 +133,24 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dealerlens.llm.pitman_yor import score_documents
 
     return score_documents(read(spark, sf_dir, "documents"))
+
+
+@query("op11_lyndon_dedup")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dealerlens.llm.lyndon_dedup import digest_bytes
+
+    return digest_bytes(read(spark, sf_dir, "documents"))
+
+
+@query("op12_turn_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dealerlens.llm.turn_repair import digest_repairs
+
+    return digest_repairs(read(spark, sf_dir, "conversations"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dealerlens.llm.periodic_runs import digest_runs, planted_words
+
+    return digest_runs(read(spark, sf_dir, "documents"), planted_words)
