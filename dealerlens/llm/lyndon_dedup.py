@@ -1,6 +1,6 @@
 """Suffix-array dedup of 200-byte strings: Lyndon grouping, then each group's order by its next smaller suffixes.
 
-Equal 200-byte windows hold the same smallest 64-byte string (their anchor) at
+Equal 200-byte windows hold the same smallest 24-byte string (their anchor) at
 the same place, so they meet in one bucket.  Neighbouring windows of one anchor
 travel together as a region of text.  A bucket's regions are cut into 16-byte
 blocks counted from the anchor; the suffix array over these blocks, built by
@@ -18,18 +18,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealerlens.llm.common import mix64, power_of_two, save, stream64, total_bytes
+from dealerlens.llm.common import mix64, power_of_two, save, small_batches, stream64, total_bytes
 
 LENGTH = 200               # bytes of a window
-GRAM = 64                  # bytes of the strings that anchors are chosen from
+GRAM = 24                  # bytes of the strings that anchors are chosen from
 BLOCK = 16                 # bytes of a symbol of the suffix array
 PIECE = 1 << 19            # bytes hashed at once; longer texts are cut, with overlap
 CHUNK_BYTES = 6_000_000    # text a task gathers before it sends its regions on
-BUCKET_BYTES = 8_000_000   # text per bucket, on average
+BUCKET_BYTES = 3_000_000   # text per bucket, on average
 HEAVY = 1 / 2000           # anchors with this share of all regions are split by further anchors
 NO_ID = -(1 << 63)         # stands for a null doc_id in arrays
 
 SPANS = "doc long, mark long, start long, n long"
+#: A region's key (half of it: groups that meet by chance are told apart by their bytes), place, anchor's place, windows, seen twice.
+COLUMNS = ("<u4", "<i8", "<i4", "<u4", "u1", "u1", "u1")
+ROW_BYTES = sum(np.dtype(t).itemsize for t in COLUMNS)
 
 
 # --- suffix order by linear grouping --------------------------------------------
@@ -164,7 +167,7 @@ def _window_minimum(low: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of a piece: the place of its anchor (leftmost of the smallest), and the hashes of all 64-byte strings."""
+    """For each window of a piece: the place of its anchor (leftmost of the smallest), and the hashes of all 24-byte strings."""
     raw = np.frombuffer(data, np.uint8)
     n = len(raw)
     with np.errstate(over="ignore"):
@@ -254,20 +257,23 @@ class _Chunk:
     def send(self) -> Iterator[pa.RecordBatch]:
         """One row per bucket: compressed regions and their columns; spans that are settled travel along."""
         by: dict[int, list] = {}
-        for (data, anchor), (key, where, n, again) in self.seen.items():
-            by.setdefault(key >> (64 - self.bits) if self.bits else 0, []).append((key, anchor, n, again, where, data))
+        # Anchors are small hashes: mixed again they are spread evenly.
+        mixed = mix64(np.array([x[0] for x in self.seen.values()], np.uint64) + np.uint64(1))
+        buckets = (mixed >> np.uint64(64 - self.bits)).tolist() if self.bits else [0] * len(mixed)
+        for b, part, ((data, anchor), (_, where, n, again)) in zip(buckets, (mixed & np.uint64(0xFFFFFFFF)).tolist(), self.seen.items()):
+            by.setdefault(b, []).append((part, *where, anchor, n, again, data))
         rows = []
         for bucket, found in by.items():
-            key, anchor, n, again, where, data = zip(*found)
+            *columns, data = zip(*found)
             body = b"".join(data)
-            columns = [np.array(key, "<u8"), np.array(where, "<i8").T, np.array(anchor, "<i4"), np.array(n, "<i4"), np.array(again, "u1")]
-            rows.append((bucket, len(found), len(body), pa.compress(body, "zstd", asbytes=True), b"".join(c.tobytes() for c in columns)))
+            packed = b"".join(np.array(c, np.dtype(t)).tobytes() for c, t in zip(columns, COLUMNS))
+            rows.append((bucket, len(found), len(body), pa.compress(body, "zstd", asbytes=True), pa.compress(packed, "zstd", asbytes=True)))
         types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
         for at in range(0, len(rows), 500):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at:at + 500]), types)], ["bucket", "count", "size", "body", "columns"])
         if self.spans:
             spans = _runs(np.array(self.spans, np.int64))
-            spread = int(mix64(spans[:1, 1].astype(np.uint64))[0] >> np.uint64(64 - self.bits)) if self.bits else 0
+            spread = int(mix64(spans[:1, 0].astype(np.uint64))[0] >> np.uint64(64 - self.bits)) if self.bits else 0
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(((spread,), (len(spans),), (-1,), (b"",), (spans.astype("<i8").tobytes(),)), types)],
                                              ["bucket", "count", "size", "body", "columns"])
 
@@ -348,11 +354,12 @@ def _decode(rows: list[dict], spans: list[np.ndarray]) -> dict[tuple[bytes, int]
             spans.append(np.frombuffer(raw, "<i8").reshape(m, 4))
             continue
         body = pa.decompress(r["body"], r["size"], "zstd", asbytes=True)
-        key = np.frombuffer(raw, "<u8", m).tolist()
-        where = np.frombuffer(raw, "<i8", 3 * m, 8 * m).reshape(3, m).T.tolist()
-        anchor = np.frombuffer(raw, "<i4", m, 32 * m).tolist()
-        n = np.frombuffer(raw, "<i4", m, 36 * m).tolist()
-        many = np.frombuffer(raw, "u1", m, 40 * m).tolist()
+        packed, at, columns = pa.decompress(raw, m * ROW_BYTES, "zstd", asbytes=True), 0, []
+        for t in map(np.dtype, COLUMNS):
+            columns.append(np.frombuffer(packed, t, m, at).tolist())
+            at += m * t.itemsize
+        key, doc, mark, start, anchor, n, many = columns
+        where = zip(doc, mark, start)
         at = 0
         for k, w, a, x, twice in zip(key, where, anchor, n, many):
             data = body[at:at + x + LENGTH - 1]
@@ -396,12 +403,13 @@ def _reduce_bucket(rows: list[dict]) -> np.ndarray:
 
 def marked(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, text binary): the mark tells rows apart that share a doc_id but not the text."""
+    small_batches(docs.sparkSession)
     text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select("doc_id", F.hash("text").cast("long").alias("mark"), "text")
 
 
-def heavy_anchors(rows: DataFrame) -> list[int]:
-    """Hashes of anchors that hold a large share of all regions: 1 / HEAVY of them at most, whatever the input.
+def heavy_anchors(rows: DataFrame, limit: float) -> list[int]:
+    """Hashes of anchors that hold ``limit`` regions or more: with a limit in proportion to the text, few whatever the input.
 
     Each task reports what is heavy among its own regions, so an anchor of one
     hot source shows as well.  The list sets how regions are dealt out, never
@@ -413,13 +421,10 @@ def heavy_anchors(rows: DataFrame) -> list[int]:
                 place, gram = anchors(b"\0".join(x for _, x in batch))
                 key, n = np.unique(gram[place[np.flatnonzero(np.r_[True, place[1:] != place[:-1]])]], return_counts=True)
                 most = n >= max(4, n.sum() * HEAVY)
-                if most.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(key[most].view(np.int64)), pa.array(n[most].astype(np.int64)), pa.array(np.full(int(most.sum()), 0, np.int64))], ["key", "n", "all"])
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([int(n.sum())], pa.int64())], ["key", "n", "all"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[most].view(np.int64)), pa.array(n[most].astype(np.int64))], ["key", "n"])
 
-    per_key = rows.mapInArrow(count, "key long, n long, all long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("all").alias("all"))
-    limit = per_key.agg(F.sum("all")).first()[0] or 0
-    return [r.key for r in per_key.where(F.col("n") >= max(64, limit * HEAVY)).select("key").collect()]
+    found = rows.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return [r.key for r in found.where(F.col("n") >= limit).collect()]
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -430,8 +435,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     once, however many copies the chunk holds.
     """
     rows = marked(docs)
-    bits = min(30, power_of_two(total_bytes(docs) / BUCKET_BYTES).bit_length() - 1)
-    heavy = np.array(heavy_anchors(rows), np.int64).view(np.uint64)
+    size = total_bytes(docs)
+    bits = min(30, power_of_two(size / BUCKET_BYTES).bit_length() - 1)
+    # About two anchors in the windows of one: that many regions are expected.
+    heavy = np.array(heavy_anchors(rows, max(64, HEAVY * 2 * size / (LENGTH - GRAM + 2))), np.int64).view(np.uint64)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = _Chunk(bits)
