@@ -10,6 +10,7 @@ from dealerlens.operators import aggregates as agg  # noqa: E402
 from dealerlens.plans.registry import register  # noqa: E402
 from dealerlens.session import scratch_path  # noqa: E402
 from dealerlens.sources import io  # noqa: E402
+from dealerlens.sources.state import HashTable  # noqa: E402
 
 
 @register("ingest_bronze", "SELECT * FROM orders")
@@ -101,10 +102,11 @@ SELECT customer_id, opp_id, rep_key, upper(contact_name) || ' (upd)' AS contact_
 FROM customers WHERE customer_id % 2 = 0""")
 def _upsert_by_key(fx):
     c = fx.customers
-    target = io.materialize(c.where(F.col("customer_id") % 3 != 0), name="customers-v1")
+    table = HashTable(fx.spark, scratch_path(fx.spark, "customers"), ["customer_id"]).create(c.where(F.col("customer_id") % 3 != 0))
     source = c.where(F.col("customer_id") % 2 == 0).withColumn(
         "contact_name", F.concat(F.upper("contact_name"), F.lit(" (upd)")))
-    return io.materialize(io.upsert_by_key(target, source, ["customer_id"]), name="customers-v2")
+    io.upsert_into(table, source)
+    return table.read(c.schema)
 
 
 @register("replace_by_key", """
@@ -113,10 +115,11 @@ UNION ALL
 SELECT customer_id, rnk, vehicle_key + 1 AS vehicle_key, match_score, 'replaced' AS talk_script FROM recs
 WHERE customer_id % 5 = 0 AND rnk = 1""")
 def _replace_by_key(fx):
-    target = io.materialize(fx.recs, name="recs-v1")
+    table = HashTable(fx.spark, scratch_path(fx.spark, "recs"), ["customer_id"]).create(fx.recs)
     source = (fx.recs.where((F.col("customer_id") % 5 == 0) & (F.col("rnk") == 1))
               .withColumn("vehicle_key", F.col("vehicle_key") + 1).withColumn("talk_script", F.lit("replaced")))
-    return io.materialize(io.replace_by_key(target, source, ["customer_id"]), name="recs-v2")
+    io.replace_into(table, source.select(*fx.recs.columns))
+    return table.read(fx.recs.schema)
 
 
 @register("ctas_gold", """

@@ -71,9 +71,7 @@ def _stream_behavior(fx):
     d = st.new_stream_dirs(fx.spark, "behavior")
     we = fx.web_events
     st.stage_files(we, d["source"], 4)
-    out = st.stream_behavior(fx.spark, d["source"], we.schema, d["sink"], d["checkpoint"])
-    # All of D1 is compared in stream_behavior_summary.
-    return out.drop("session_count_approx")
+    return st.stream_behavior(fx.spark, d["source"], we.schema, d["sink"], d["checkpoint"])
 
 
 @register("stream_behavior_summary", "SELECT * FROM behavior")

@@ -2,8 +2,8 @@
 previews, catalog profiles, and key-based upsert/replace on Parquet.
 
 Parquet tables support neither ``MERGE`` nor ``DELETE``, so A8/A9 are
-DataFrame jobs (anti join + union) written to a *new* location that then
-becomes current; a path that is being read is never overwritten.  All paths
+DataFrame jobs (anti join + union) over a table in hash partitions of the key:
+only the partitions that the source touches are read and rewritten.  All paths
 live under the session's shared folder (``spark.checkpoint.dir``).
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from dealerlens.session import scratch_path
+from dealerlens.sources.state import HashTable
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -129,6 +130,17 @@ def replace_by_key(target: DataFrame, source: DataFrame, keys: Sequence[str]) ->
     return kept.unionByName(source.select(*target.columns))
 
 
+def upsert_into(table: HashTable, source: DataFrame) -> list[int]:
+    """A8 on a stored table: the partitions rewritten.  Raises on duplicate source keys before anything is written."""
+    assert_unique_keys(source, table.keys)
+    return table.change(source, lambda old, new: upsert_by_key(old, new, table.keys, check=False))
+
+
+def replace_into(table: HashTable, source: DataFrame) -> list[int]:
+    """A9 on a stored table: the partitions rewritten."""
+    return table.change(source, lambda old, new: replace_by_key(old, new, table.keys))
+
+
 def materialize(df: DataFrame, path: str | None = None, name: str = "gold") -> DataFrame:
     """A10 (create-or-replace from a query): write to a new location under the
     shared folder and return the table re-read from it.  The new location is

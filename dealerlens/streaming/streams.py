@@ -6,16 +6,23 @@ its progress in a checkpoint folder below the shared folder, and runs with
 ``trigger(availableNow=True)`` – all data present, then stop – so a batch
 driver can schedule it and a restart resumes from the checkpoint.  Sinks are
 idempotent per batch id (a replayed batch rewrites the same output).
+
+No batch reads raw history again.  S2, S5 and S6 keep mergeable state
+(``state.RunLog``), S3 and S4 change only the hash partitions they touch
+(``state.HashTable``), S1 reads the key files that its index cannot rule out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from dealerlens.operators import monitoring
 from dealerlens.operators import text as tx
 from dealerlens.session import scratch_path
+from dealerlens.sources.state import HashTable, RunLog, exists, last_batch
 
 
 def stage_files(df: DataFrame, path: str, files: int = 4) -> str:
@@ -30,17 +37,13 @@ def _event_time(col: str) -> F.Column:
     return F.col(col).cast("timestamp")
 
 
-def _run(writer, checkpoint: str) -> int | None:
-    """Run to the end of the available input; the last batch id of this run
-    (None when there was nothing new)."""
-    q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _run(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> int:
+    """Run to the end of the available input; the last batch done, by this run or an earlier one (-1: none)."""
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception():
         raise RuntimeError(str(q.exception()))
-    # An idle trigger reports the next batch id without running it; a batch
-    # that ran reports the time spent adding it to the sink.
-    ids = [p["batchId"] for p in q.recentProgress if "addBatch" in (p.get("durationMs") or {})]
-    return max(ids) if ids else None
+    return last_batch(stream.sparkSession, checkpoint)
 
 
 def _stream(spark: SparkSession, source: str, schema, max_files: int | None) -> DataFrame:
@@ -48,36 +51,120 @@ def _stream(spark: SparkSession, source: str, schema, max_files: int | None) ->
     return (r.option("maxFilesPerTrigger", max_files) if max_files else r).parquet(source)
 
 
-def _batches(spark: SparkSession, path: str, below: int | None = None) -> DataFrame:
-    """Rows written by the batches of a sink (those before batch ``below``)."""
-    df = spark.read.parquet(path)
-    return df if below is None else df.where(F.col("batch") < below)
+# --- S1: ingest with a zoned key index ------------------------------------------
+
+_BITMAP = 32_768  # bits of one of Spark's bitmaps
+_BITS_PER_KEY = 32
+
+
+def _zones(rows: DataFrame, key: str, ts: str, buckets: int) -> DataFrame:
+    """``rows`` with their zone: event day (``none`` without a time) and a hash bucket of the key."""
+    day = F.coalesce(F.date_format(_event_time(ts), "yyyy-MM-dd"), F.lit("none"))
+    return rows.withColumn("_day", day).withColumn("_b", F.coalesce(F.pmod(F.xxhash64(key), F.lit(buckets)), F.lit(0)).cast("int"))
+
+
+def _positions(key: str, maps: str) -> Column:
+    """Two places of a key in a filter of ``maps`` bitmaps."""
+    return F.array(*[F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.col(maps) * _BITMAP) for seed in (1, 2)])
+
+
+def key_index(rows: DataFrame, key: str) -> DataFrame:
+    """Per zone: smallest and largest key and a Bloom filter of its keys, as bitmaps (_day, _b, lo, hi, maps, map, bits).
+
+    A filter has 32 bits a key and two places each, so it takes a key that it
+    does not hold for one it does about once in 250 times.
+    """
+    keyed = rows.where(F.col(key).isNotNull())
+    zone = keyed.groupBy("_day", "_b").agg(F.min(key).alias("lo"), F.max(key).alias("hi"),
+                                           F.ceil(F.count(F.lit(1)) * _BITS_PER_KEY / _BITMAP).cast("int").alias("maps"))
+    at = keyed.select("_day", "_b", key).join(zone, ["_day", "_b"])
+    at = at.select("_day", "_b", "lo", "hi", "maps", F.explode(_positions(key, "maps")).alias("p"))
+    return (at.groupBy("_day", "_b", F.floor(F.col("p") / _BITMAP).cast("int").alias("map"))
+            .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("maps").alias("maps"),
+                 F.expr(f"bitmap_construct_agg(p % {_BITMAP})").alias("bits")))
+
+
+def possible_repeats(keys: DataFrame, index: DataFrame, key: str) -> DataFrame:
+    """Keys (with _day, _b) that an indexed zone can hold: same zone, within its smallest and largest key, both places set; with the zone's ``batch``."""
+    zone = index.groupBy("batch", "_day", "_b").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("maps").alias("maps"))
+    near = keys.select("_day", "_b", key).join(zone, ["_day", "_b"]).where(F.col(key).between(F.col("lo"), F.col("hi")))
+    at = near.select("batch", "_day", "_b", key, F.explode(_positions(key, "maps")).alias("p"))
+    at = at.withColumn("map", F.floor(F.col("p") / _BITMAP).cast("int"))
+    hit = at.join(index.select("batch", "_day", "_b", "map", "bits"), ["batch", "_day", "_b", "map"])
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(F.col("p") % _BITMAP / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = hit.where(F.getbit(byte.cast("long"), (F.col("p") % 8).cast("int")) == 1)
+    # Both places may be one: a key counts when none of its places is clear.
+    found = hit.groupBy("batch", "_day", "_b", key).agg(F.count_distinct("p").alias("set"))
+    wanted = near.select("batch", "_day", "_b", key, F.size(F.array_distinct(_positions(key, "maps"))).alias("need"))
+    return found.join(wanted, ["batch", "_day", "_b", key]).where("set = need").select("batch", "_day", "_b", key)
 
 
 def stream_ingest(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
-                  key: str = "event_id", max_files: int | None = None, buckets: int = 64) -> DataFrame:
+                  key: str = "event_id", ts: str = "ts", max_files: int | None = None, buckets: int = 4,
+                  on_read: Callable[[int, list[str]], None] | None = None) -> DataFrame:
     """Only new files each run (the file source remembers what it read);
-    every key is kept once, however late or in however many deliveries it
-    comes.  A batch drops its own repeats, then the keys that earlier batches
-    wrote: the sink is partitioned by a hash of the key, and only buckets that
-    the batch touches are joined.  Rows without a key are all kept.  Returns
-    the sink as a batch frame."""
+    every event is kept once, however late or in however many deliveries it
+    comes.  An event is its key and event day: a delivery that repeats a key
+    carries the event's own time.
+
+    Rows lie by batch, event day and a hash bucket of the key.  An index keeps
+    each such zone's smallest and largest key and a Bloom filter.  A batch
+    drops its own repeats (of rows that differ the first by time and hash
+    stays), reads the index of its own days, and of the stored key files only
+    those whose zone and filter can hold one of its keys; ``on_read(batch,
+    paths)`` is told which.  Rows without a key are all kept.  Returns the sink
+    as a batch frame.
+    """
+    rows_at, index_at = f"{sink}/rows", f"{sink}/index"
+    fields = [f.name for f in schema]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-        keyed = rows.where(F.col(key).isNotNull()).dropDuplicates([key])
-        if batch_id:
-            # The first batch always writes, so a missing sink is an error here.
-            touched = F.broadcast(keyed.select("_b").distinct())  # ``buckets`` rows at most
-            done = _batches(batch.sparkSession, sink, batch_id).select("_b", key).join(touched, "_b", "left_semi")
-            keyed = keyed.join(done, ["_b", key], "left_anti")
-        out = keyed.unionByName(rows.where(F.col(key).isNull()))
-        (out.withColumn("batch", F.lit(batch_id)).repartition("_b").write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch", "_b").parquet(sink))
-
-    _run(_stream(spark, source, schema, max_files).writeStream.foreachBatch(write), checkpoint)
-    return spark.read.parquet(sink).select(*[f.name for f in schema])
-
+        batch = batch.persist()
+        try:
+            rows = _zones(batch, key, ts, buckets)
+            order = F.struct(F.col(ts), F.xxhash64(*[F.col(c).cast("string") for c in fields]))
+            keyed = (rows.where(F.col(key).isNotNull()).groupBy(key, "_day", "_b")
+                     .agg(F.min_by(F.struct(*[c for c in fields if c != key]), order).alias("_r")).select("_day", "_b", key, "_r.*"))
+            days = [r[0] for r in keyed.select("_day").distinct().collect()]
+            index = _index_of(days, batch_id)
+            if index is not None:
+                hits = possible_repeats(keyed, index, key).persist()
+                zones = hits.select("batch", "_day", "_b").distinct().collect()
+                paths = sorted(f"{rows_at}/batch={z.batch}/_day={z['_day']}/_b={z['_b']}" for z in zones)
+                if on_read:
+                    on_read(batch_id, paths)
+                if paths:
+                    known = spark.read.schema(StructType([schema[key]])).parquet(*paths)
+                    known = known.join(hits.select(key).distinct(), key, "left_semi")
+                    keyed = keyed.join(known, key, "left_anti")
+            out = keyed.select("_day", "_b", *fields).unionByName(rows.where(F.col(key).isNull()).select("_day", "_b", *fields))
+            (out.repartition("_day", "_b").write.mode("overwrite").partitionBy("_day", "_b").parquet(f"{rows_at}/batch={batch_id}"))
+            mine = _rows_of(f"{rows_at}/batch={batch_id}")
+            (key_index(mine, key).withColumn("batch", F.lit(batch_id)).repartition("_day")
+             .write.mode("overwrite").partitionBy("_day").parquet(f"{index_at}/of={batch_id}"))
+        finally:
+            batch.unpersist()
+
+    def _rows_of(path: str) -> DataFrame:
+        # Written by partitions, an empty delivery leaves no file to infer a schema from.
+        return spark.read.schema(StructType([*schema.fields]).add("_day", "string").add("_b", "integer")).parquet(path)
+
+    def _index_of(days: list[str], below: int) -> DataFrame | None:
+        if not below or not days or not exists(spark, index_at):
+            return None
+        kind = schema[key].dataType
+        at = (StructType().add("_b", "integer").add("map", "integer").add("lo", kind).add("hi", kind).add("maps", "integer").add("bits", "binary")
+              .add("batch", "integer").add("of", "integer").add("_day", "string"))
+        index = spark.read.schema(at).parquet(index_at)
+        return index.where((F.col("of") < below) & F.col("_day").isin(days)).drop("of")
+
+    if _run(_stream(spark, source, schema, max_files), write, checkpoint) < 0:
+        return spark.createDataFrame([], schema)
+    at = StructType([*schema.fields]).add("batch", "integer").add("_day", "string").add("_b", "integer")
+    return spark.read.schema(at).parquet(rows_at).select(*fields)
+
+
+# --- S2: metrics of a minute ------------------------------------------------------
 
 def _minute_metrics(df: DataFrame, window_col: F.Column) -> DataFrame:
     # One exact percentile buffer (value → count) serves all three levels, so
@@ -93,31 +180,40 @@ def _minute_metrics(df: DataFrame, window_col: F.Column) -> DataFrame:
              "error_count", "tokens")
 
 
-def _newest(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Of each key the rows that the last batch wrote for it."""
-    out = spark.read.parquet(path)
-    last = out.groupBy(F.col(key).alias("_k")).agg(F.max("batch").alias("_last"))
-    return out.join(last, F.col(key).eqNullSafe(F.col("_k")) & (F.col("batch") == F.col("_last"))).drop("_k", "_last", "batch")
+def minute_state(traces: DataFrame) -> DataFrame:
+    """Mergeable exact state of S2: (minute, value) → rows, errors, tokens."""
+    t = traces.select(F.date_trunc("minute", _event_time("ts")).alias("minute"), F.col("execution_time_ms").alias("value"),
+                      F.lit(1).cast("bigint").alias("n"), F.when(F.col("status") == "ERROR", 1).otherwise(0).cast("bigint").alias("errors"),
+                      F.coalesce(F.col("total_tokens"), F.lit(0)).cast("bigint").alias("tokens"))
+    return merge_minutes(t)
+
+
+def merge_minutes(state: DataFrame) -> DataFrame:
+    return state.groupBy("minute", "value").agg(*[F.sum(c).alias(c) for c in ("n", "errors", "tokens")])
+
+
+def minutes_of(state: DataFrame) -> DataFrame:
+    """S2's columns from merged state: percentiles weigh each value by its rows."""
+    timed = F.when(F.col("value").isNotNull(), F.col("n"))
+    g = state.where("minute IS NOT NULL").groupBy("minute").agg(
+        F.sum("n").alias("requests"),
+        F.round(F.sum(F.col("value") * F.col("n")) / F.sum(timed), 3).alias("avg_latency_ms"),
+        F.percentile("value", [0.50, 0.95, 0.99], F.col("n")).alias("_p"),
+        F.sum("errors").alias("error_count"), F.sum("tokens").alias("tokens"))
+    return g.select("minute", "requests", "avg_latency_ms",
+                    *[F.round(F.col("_p")[i], 4).alias(f"p{q}_latency_ms") for i, q in enumerate((50, 95, 99))],
+                    "error_count", "tokens")
 
 
 def stream_endpoint_minutes(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
                             max_files: int | None = None) -> DataFrame:
     """Per-minute requests, mean, exact p50/p95/p99, errors and tokens from
-    a trace stream.  A batch stages its rows by day, then writes anew the
-    minutes it touches from all staged rows of these days: late rows count and
-    the last minute is there.  Returns each minute as last written."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("_minute", F.date_trunc("minute", _event_time("ts"))).withColumn("_day", F.to_date("_minute"))
-        rows.write.mode("overwrite").partitionBy("_day").parquet(f"{sink}/rows/batch={batch_id}")
-        mine = spark.read.option("basePath", f"{sink}/rows").parquet(f"{sink}/rows/batch={batch_id}")
-        touched = mine.select("_day", "_minute").distinct()
-        staged = _batches(spark, f"{sink}/rows", batch_id + 1).join(touched, ["_day", "_minute"], "left_semi")
-        _minute_metrics(staged.withColumn("_et", _event_time("ts")), F.window("_et", "1 minute")) \
-            .write.mode("overwrite").parquet(f"{sink}/minutes/batch={batch_id}")
-
-    _run(_stream(spark, source, schema, max_files).writeStream.foreachBatch(write), checkpoint)
-    return _newest(spark, f"{sink}/minutes", "minute")
+    a trace stream.  A batch writes the state of its own rows ((minute, value)
+    → counts); the states are added up at read.  Late rows count, the last
+    minute is there, and no raw row is read twice."""
+    log = RunLog(spark, f"{sink}/minutes", merge_minutes)
+    last = _run(_stream(spark, source, schema, max_files), lambda batch, i: log.add(i, minute_state(batch)), checkpoint)
+    return minutes_of(log.read(last, minute_state(spark.createDataFrame([], schema)).schema))
 
 
 def endpoint_minutes_batch(traces: DataFrame) -> DataFrame:
@@ -154,95 +250,132 @@ def assemble_messages(items: DataFrame) -> DataFrame:
                     texts(F.col("c"), ",").alias("tool_calls"))
 
 
-def stream_messages(spark: SparkSession, source: str, schema, staging: str, checkpoint: str) -> DataFrame:
-    """S3: items arrive as a stream and are appended, per batch id, to a staging
-    table (a replay rewrites its own batch folder); the session texts are then
-    assembled from the staged items in sequence order."""
-    s = spark.readStream.schema(schema).parquet(source)
+def stream_messages(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
+                    max_files: int | None = None, parts: int = 64) -> DataFrame:
+    """S3: items arrive as a stream.  A table by a hash of conv_id holds each
+    conversation's parts, in one array ordered by sequence number; a batch
+    reads and rewrites only the partitions of the conversations it touches.
+    The texts are read off the parts by ``assemble_messages``'s rules.
+
+    A conversation's texts are one row of the result, so its parts are one row
+    of the table.  Parts carry their batch: a batch that is run again replaces
+    its own."""
+    table = HashTable(spark, f"{sink}/conversations", ["conv_id"], parts)
+    kept = [schema["conv_id"], *(schema[c] for c in ("seq", "kind", "text"))]
+    state = spark.createDataFrame([], StructType(kept)).select("conv_id", F.array(F.struct("seq", "kind", "text", F.lit(0).alias("batch"))).alias("parts")).schema
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{staging}/batch={batch_id}")
-
-    _run(s.writeStream.foreachBatch(write), checkpoint)
-    return assemble_messages(spark.read.schema(schema).parquet(staging))
-
-
-def _versioned_merge(target_base: str, keys: list[str], order: list[str]):
-    """foreachBatch body for S4: newest row per key of the batch, merged into
-    the table's previous version and written as version ``batch_id`` (a
-    replay reads versions < batch_id only, so it rewrites the same result)."""
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        cols = [c for c in batch.columns if c not in keys]
-        newest = (batch.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_r"))
-                  .select(*keys, "_r.*"))
-        # Batch ids are consecutive and each batch writes its version, so the
-        # previous table is exactly version ``batch_id - 1``: read by path, so
-        # a batch's cost does not grow with the number of versions.
-        prev = _read_version(spark, target_base, batch_id - 1)
-        if prev is not None:
-            both = prev.unionByName(newest)
-            merged = (both.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_r"))
-                      .select(*keys, "_r.*"))
-        else:
-            merged = newest
-        merged.write.mode("overwrite").parquet(f"{target_base}/_version={batch_id}")
-
-    return merge
-
-
-def _read_version(spark: SparkSession, base: str, version: int) -> DataFrame | None:
-    """The table before a batch; only the first batch has none, so a version that cannot be read is an error."""
-    return None if version < 0 else spark.read.parquet(f"{base}/_version={version}")
-
-
-def _current_version(spark: SparkSession, base: str, last_batch: int | None) -> DataFrame:
-    """The table as of the last batch of the run; when the run had nothing new,
-    the newest version present (one scan of the version column)."""
-    if last_batch is not None:
-        return spark.read.parquet(f"{base}/_version={last_batch}")
-    allv = spark.read.parquet(base)
-    return allv.where(F.col("_version") == allv.agg(F.max("_version")).scalar()).drop("_version")
-
-
-def stream_upsert(spark: SparkSession, source: str, schema, target_base: str, checkpoint: str,
-                  keys: list[str], order: list[str], max_files: int | None = None) -> DataFrame:
-    """The newest record per key from each micro-batch merged into a table;
-    idempotent by batch id.  Returns the current version."""
-    r = spark.readStream.schema(schema)
-    if max_files:
-        r = r.option("maxFilesPerTrigger", max_files)
-    last = _run(r.parquet(source).writeStream.foreachBatch(_versioned_merge(target_base, keys, order)), checkpoint)
-    return _current_version(spark, target_base, last)
+        fresh = (batch.where(F.col("kind").isin("message", "tool_call")).groupBy("conv_id")
+                 .agg(F.collect_list(F.struct("seq", "kind", "text", F.lit(batch_id).alias("batch"))).alias("parts")))
+
+        def combine(old: DataFrame, new: DataFrame) -> DataFrame:
+            before = old.select("conv_id", F.filter("parts", lambda p: p["batch"] != batch_id).alias("parts"))
+            return before.unionByName(new).groupBy("conv_id").agg(F.array_sort(F.flatten(F.collect_list("parts"))).alias("parts"))
+
+        table.change(fresh, combine, state)
+
+    _run(_stream(spark, source, schema, max_files), write, checkpoint)
+    items = table.read(state).select("conv_id", F.inline("parts")).drop("batch")
+    return assemble_messages(items)
+
+
+def merge_newest(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The newest row per key of both frames: merging a batch again changes nothing."""
+    both = old.unionByName(new)
+    cols = [c for c in both.columns if c not in keys]
+    return both.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
+
+
+def stream_upsert(spark: SparkSession, source: str, schema, target: str, checkpoint: str,
+                  keys: list[str], order: list[str], max_files: int | None = None, parts: int = 64) -> DataFrame:
+    """The newest record per key from each micro-batch merged into a table
+    in hash partitions.  A batch reads and rewrites only the partitions of its
+    keys; their old files are removed.  A batch that is run again merges to the
+    same rows.  Returns the table."""
+    table = HashTable(spark, target, keys, parts)
+    shape = StructType([schema[k] for k in keys] + [f for f in schema if f.name not in keys])
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        table.change(batch, lambda old, new: merge_newest(old, new, keys, order), shape)
+
+    _run(_stream(spark, source, schema, max_files), write, checkpoint)
+    return table.read(shape).select(*[f.name for f in schema])
+
+
+# --- S5: behaviour ------------------------------------------------------------------
+
+_COUNTED = {"search_count": "search", "view_count": "view", "click_count": "click", "favorite_count": "favorite"}
+
+
+def behavior_counters(events: DataFrame) -> DataFrame:
+    """Mergeable counters and first/last values per opportunity."""
+    hit = [F.when(F.col("event_type") == v, 1).otherwise(0).cast("bigint").alias(c) for c, v in _COUNTED.items()]
+    return merge_counters(events.select("opp_id", F.lit(1).cast("bigint").alias("total_events"), *hit, F.col("device_type").alias("primary_device"),
+                                        F.col("event_ts").alias("first_event_at"), F.col("event_ts").alias("last_event_at")))
+
+
+def merge_counters(state: DataFrame) -> DataFrame:
+    sums = [F.sum(c).alias(c) for c in ("total_events", *_COUNTED)]
+    return state.groupBy("opp_id").agg(*sums, F.min("primary_device").alias("primary_device"),
+                                       F.min("first_event_at").alias("first_event_at"), F.max("last_event_at").alias("last_event_at"))
+
+
+def behavior_values(events: DataFrame) -> DataFrame:
+    """Mergeable sets per opportunity: distinct (opp_id, kind, value) of sessions, vehicles, vehicle names and keywords."""
+    viewed = F.col("vehicle_key") != ""
+    name = "vehicle_name" if "vehicle_name" in events.columns else "vehicle_key"
+    kinds = {"session": F.col("session_id"), "vehicle": F.when(viewed, F.col("vehicle_key")), "name": F.when(viewed, F.col(name)),
+             "keyword": F.when(F.col("search_keyword") != "", F.col("search_keyword"))}
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), c.cast("string").alias("value")) for k, c in kinds.items()])
+    return merge_values(events.select("opp_id", F.inline(pairs)).where("value IS NOT NULL"))
+
+
+def merge_values(state: DataFrame) -> DataFrame:
+    return state.distinct()
+
+
+def behavior_of(counters: DataFrame, values: DataFrame) -> DataFrame:
+    """D1's columns from merged counters and sets."""
+    def of(kind: str) -> Column:
+        return F.when(F.col("kind") == kind, F.col("value"))
+
+    sets = values.groupBy(F.col("opp_id").alias("_o")).agg(
+        F.count(of("session")).alias("session_count"), F.count(of("vehicle")).alias("unique_vehicles_viewed"),
+        F.array_sort(F.collect_set(of("name"))).alias("_v"), F.array_sort(F.collect_set(of("keyword"))).alias("_k"))
+    out = counters.join(sets, F.col("opp_id").eqNullSafe(F.col("_o")), "left")
+    joined = [F.coalesce(F.array_join(c, ", "), F.lit("")).alias(n) for c, n in (("_v", "viewed_vehicles"), ("_k", "search_keywords"))]
+    count = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("session_count", "unique_vehicles_viewed")]
+    return out.select("opp_id", "total_events", count[0], *_COUNTED, count[1], *joined, "primary_device", "first_event_at", "last_event_at")
 
 
 def stream_behavior_summary(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
-                            max_files: int | None = None, buckets: int = 64) -> DataFrame:
+                            max_files: int | None = None) -> DataFrame:
     """D1 (``behavior_summary``, all columns, exact) kept current on a
-    stream.  A batch stages its events by a hash of opp_id, then writes anew
-    the rows of the opportunities it touches from all their staged events.
-    Returns each opportunity as last written."""
+    stream.  A batch writes the counters of its own rows and its distinct
+    (opportunity, session), (…, vehicle), (…, keyword); counters add up and
+    sets unite at read, so a batch costs what it holds."""
+    counters = RunLog(spark, f"{sink}/counters", merge_counters)
+    values = RunLog(spark, f"{sink}/values", merge_values)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("_b", F.pmod(F.xxhash64("opp_id"), F.lit(buckets)).cast("int"))
-        rows.write.mode("overwrite").partitionBy("_b").parquet(f"{sink}/rows/batch={batch_id}")
-        mine = spark.read.option("basePath", f"{sink}/rows").parquet(f"{sink}/rows/batch={batch_id}")
-        touched = mine.select("_b", F.col("opp_id").alias("_k")).distinct()
-        staged = _batches(spark, f"{sink}/rows", batch_id + 1).alias("s").join(
-            touched.alias("t"), (F.col("s._b") == F.col("t._b")) & F.col("s.opp_id").eqNullSafe(F.col("t._k")), "left_semi")
-        monitoring.behavior_summary(staged).write.mode("overwrite").parquet(f"{sink}/behavior/batch={batch_id}")
+        batch = batch.persist()
+        try:
+            counters.add(batch_id, behavior_counters(batch))
+            values.add(batch_id, behavior_values(batch))
+        finally:
+            batch.unpersist()
 
-    _run(_stream(spark, source, schema, max_files).writeStream.foreachBatch(write), checkpoint)
-    return _newest(spark, f"{sink}/behavior", "opp_id")
+    last = _run(_stream(spark, source, schema, max_files), write, checkpoint)
+    none = spark.createDataFrame([], schema)
+    return behavior_of(counters.read(last, behavior_counters(none).schema), values.read(last, behavior_values(none).schema))
 
 
 def stream_behavior(spark: SparkSession, source: str, schema, sink: str, checkpoint: str) -> DataFrame:
-    """S5's counters, under their earlier names: ``session_count_approx`` holds
-    the exact session count."""
-    out = stream_behavior_summary(spark, source, schema, sink, checkpoint)
-    return out.select("opp_id", "total_events", F.col("session_count").alias("session_count_approx"), "search_count",
-                      "view_count", "click_count", "favorite_count", "first_event_at", "last_event_at")
+    """S5's counters alone (exact): one table, no sets."""
+    log = RunLog(spark, f"{sink}/counters", merge_counters)
+    last = _run(_stream(spark, source, schema, None), lambda batch, i: log.add(i, behavior_counters(batch)), checkpoint)
+    out = log.read(last, behavior_counters(spark.createDataFrame([], schema)).schema)
+    return out.select("opp_id", "total_events", *_COUNTED, "first_event_at", "last_event_at")
 
 
 def event_sessions(events: DataFrame, gap: str = "30 minutes", key: str = "user_id", ts: str = "ts",
@@ -312,25 +445,30 @@ def event_sessions(events: DataFrame, gap: str = "30 minutes", key: str = "user_
             .select(key, "session_start", (F.col("_last") + gap_iv).alias("session_end"), "n_events"))
 
 
+def merge_sessions(sessions: DataFrame, key: str = "user_id") -> DataFrame:
+    """Sessions of several runs as one: those of a key that meet (a session
+    lasts until its last event plus the gap) become one, with both counts.
+    Rows are sessions, never events: a key has at most one per gap of time and
+    run, however many events it holds."""
+    w = Window.partitionBy(key).orderBy("session_start", "session_end")
+    reach = F.max("session_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(reach.isNull() | (F.col("session_start") > reach), 1).otherwise(0)
+    numbered = sessions.withColumn("_new", opens).withColumn("_s", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return (numbered.groupBy(key, "_s").agg(F.min("session_start").alias("session_start"), F.max("session_end").alias("session_end"),
+                                            F.sum("n_events").alias("n_events")).drop("_s"))
+
+
 def stream_event_sessions(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
                           gap: str = "30 minutes", key: str = "user_id", ts: str = "ts",
-                          max_files: int | None = None, buckets: int = 64) -> DataFrame:
-    """S6 (stream): the same sessions, kept current.  A batch stages its events
-    by a hash of the key, then writes anew the sessions of the keys it touches
-    (late events may join two sessions).  Returns each key's sessions as last
-    written, open ones included."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("_b", F.coalesce(F.pmod(F.xxhash64(key), F.lit(buckets)), F.lit(0)).cast("int"))
-        rows.write.mode("overwrite").partitionBy("_b").parquet(f"{sink}/rows/batch={batch_id}")
-        mine = spark.read.option("basePath", f"{sink}/rows").parquet(f"{sink}/rows/batch={batch_id}")
-        touched = mine.select("_b", F.col(key).alias("_k")).distinct()
-        staged = _batches(spark, f"{sink}/rows", batch_id + 1).alias("s").join(
-            touched.alias("t"), (F.col("s._b") == F.col("t._b")) & F.col(f"s.{key}").eqNullSafe(F.col("t._k")), "left_semi")
-        event_sessions(staged, gap, key, ts).write.mode("overwrite").parquet(f"{sink}/sessions/batch={batch_id}")
-
-    _run(_stream(spark, source, schema, max_files).writeStream.foreachBatch(write), checkpoint)
-    return _newest(spark, f"{sink}/sessions", key)
+                          max_files: int | None = None) -> DataFrame:
+    """S6 (stream): the same sessions, kept current.  A batch writes the
+    sessions of its own events; stored and new sessions merge as intervals, so
+    a late event joins two of them without a raw row being read again.  Returns
+    all sessions, open ones included."""
+    log = RunLog(spark, f"{sink}/sessions", lambda s: merge_sessions(s, key))
+    last = _run(_stream(spark, source, schema, max_files), lambda batch, i: log.add(i, event_sessions(batch, gap, key, ts)), checkpoint)
+    shape = (StructType().add(key, schema[key].dataType).add("session_start", "timestamp").add("session_end", "timestamp").add("n_events", "long"))
+    return log.read(last, shape)
 
 
 def new_stream_dirs(spark: SparkSession, name: str) -> dict[str, str]:
