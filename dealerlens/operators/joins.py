@@ -178,40 +178,43 @@ def budget_candidates(customers: DataFrame, inventory: DataFrame, k: int = 20, p
     first (vehicle key breaks ties); a customer with none gets the ``k``
     cheapest of the whole inventory (``is_fallback``).
 
-    Exact and skew-free: no (customer, vehicle) pair is formed unless it is one
-    of the ≤ k answers.  Budget floors are merged into the price order (one
+    Exact and skew-free.  Budget floors are merged into the price order (one
     range-partitioned pass): a floor's position is the number of prices below
-    it, so its first candidate rank is known without any join; candidates are
-    then an equi-join on rank, k rows per customer at most.
+    it, so its first candidate rank is known without any join.  Vehicles are
+    held as successor lists, one row per block of ``k`` ranks with the vehicles
+    of the block and of the next one, so a customer stays one row – joined to
+    its block, cut at its first rank and at the ceiling – until the answers are
+    listed.
     """
     parts = parts or int(customers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     m = _merged_price_order(inventory, _budget_bounds(customers), parts)
     inv = m.where(F.col("is_vehicle") == 1).select(
-        (F.col("offset") + F.col("run")).alias("price_rank"), "vehicle_key", F.col("v").alias("price"))
+        (F.col("offset") + F.col("run") - 1).alias("place"), "vehicle_key", F.col("v").alias("price"))
     # At equal values a floor sorts before the vehicles, so ``run`` counts the
     # prices strictly below it.  The ceiling rides along: nothing is joined back.
-    starts = m.where(F.col("is_vehicle") == 0).select(
-        "customer_id", "hi",
-        (F.col("offset") + F.col("run") + 1).alias("start"))
-    cand = starts.select("customer_id", "hi", F.posexplode(
-        F.sequence(F.col("start"), F.col("start") + (k - 1))).alias("pos", "price_rank"))
-    # One left join on rank: matched rows within the ceiling are the answer; a
-    # customer whose first rank fails (no vehicle, or above the ceiling) has
-    # none, so no anti join over the answers is needed.
-    cj = cand.join(inv, "price_rank", "left")
-    ok = F.coalesce(F.col("price") <= F.col("hi"), F.lit(False))
-    in_budget = cj.where(ok).select("customer_id", "vehicle_key", "price", (F.col("pos") + 1).alias("candidate_rank"),
-                                    F.lit(False).alias("is_fallback"))
-    none = cj.where((F.col("pos") == 0) & ~ok).select("customer_id")
-    # Fallback: ranks 1..k of the whole inventory.  The k-row build side is a
-    # proven-size broadcast, so the hot rank keys never meet in one shuffle task.
-    cheapest = F.broadcast(inv.where(F.col("price_rank") <= k))
-    fallback = (none.select("customer_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(k).cast("long")))
-                            .alias("price_rank"))
-                .join(cheapest, "price_rank")
-                .select("customer_id", "vehicle_key", "price", F.col("price_rank").cast("int").alias("candidate_rank"),
-                        F.lit(True).alias("is_fallback")))
-    return in_budget.unionByName(fallback)
+    starts = m.where(F.col("is_vehicle") == 0).select("customer_id", "hi", (F.col("offset") + F.col("run")).alias("start"))
+    succ = successor_lists(inv, k)
+    wanted = starts.select("customer_id", "hi", F.floor(F.col("start") / k).alias("block"), (F.col("start") % k + 1).cast("int").alias("skip"))
+    met = wanted.join(succ, "block", "left").select(
+        "customer_id", F.filter(F.slice(F.coalesce("vehicles", F.array()), F.col("skip"), k), lambda x: x["price"] <= F.col("hi")).alias("found"))
+    in_budget = _listed(met.where(F.size("found") > 0), "found", False)
+    # Fallback: the first k of the whole inventory, one list (a scalar of k vehicles).
+    cheapest = succ.where(F.col("block") == 0).agg(F.first(F.slice("vehicles", 1, k))).scalar()
+    none = met.where(F.size("found") == 0).select("customer_id").withColumn("found", cheapest)
+    return in_budget.unionByName(_listed(none, "found", True))
+
+
+def successor_lists(ranked: DataFrame, k: int) -> DataFrame:
+    """Per block of ``k`` places (from 0): the vehicles of the block and of the next one in order, 2k at most."""
+    blocks = (ranked.groupBy(F.floor(F.col("place") / k).alias("block"))
+              .agg(F.array_sort(F.collect_list(F.struct("place", "vehicle_key", "price"))).alias("mine")))
+    after = blocks.select((F.col("block") - 1).alias("block"), F.col("mine").alias("next"))
+    return blocks.join(after, "block", "left").select("block", F.concat("mine", F.coalesce("next", F.array())).alias("vehicles"))
+
+
+def _listed(customers: DataFrame, found: str, fallback: bool) -> DataFrame:
+    return (customers.select("customer_id", F.posexplode(found).alias("pos", "x"))
+            .select("customer_id", "x.vehicle_key", "x.price", (F.col("pos") + 1).alias("candidate_rank"), F.lit(fallback).alias("is_fallback")))
 
 
 def budget_violations(recs: DataFrame, customers: DataFrame, inventory: DataFrame) -> DataFrame:

@@ -131,30 +131,42 @@ def endpoint_summary(minutes: DataFrame, recent: int = 5, hour: int = 60) -> Dat
     """Over the newest ``recent`` minutes: mean rpm/avg/p50/p95/p99 (sum ÷
     ``recent``) and
     error rate Σerrors/Σrequests (0 if none); over the newest ``hour`` minutes:
-    Σrequests, Σtokens, cost; daily cost = hour cost × 24.  Both windows are
-    distributed top-k (TakeOrderedAndProject), then one-row aggregates."""
-    last5 = minutes.orderBy(F.col("minute").desc()).limit(recent)
-    last60 = minutes.orderBy(F.col("minute").desc()).limit(hour)
-    h = last60.agg(F.struct(
-        F.sum("requests").cast("bigint").alias("hour_requests"),
-        F.sum("tokens").cast("bigint").alias("hour_tokens"))).scalar()
+    Σrequests, Σtokens, cost; daily cost = hour cost × 24.  A distributed top-k
+    of ``hour`` rows, numbered and added up in one pass."""
+    newest = minutes.orderBy(F.col("minute").desc()).limit(hour)  # ``hour`` rows: the window is bounded
+    t = newest.withColumn("_n", F.row_number().over(Window.orderBy(F.col("minute").desc())))
+
+    def total(c: str) -> Column:
+        return F.sum(F.when(F.col("_n") <= recent, F.col(c)))
+
     # Means divide by ``recent`` as the source does, so an absent minute counts 0.
-    def mean(c: str) -> Column:
-        return F.round(F.coalesce(F.sum(c), F.lit(0)) / recent, 4)
-
-    s = last5.agg(
-        mean("requests").alias("rpm"),
-        mean("avg_latency_ms").alias("avg_latency_ms"),
-        mean("p50_latency_ms").alias("p50_latency_ms"),
-        mean("p95_latency_ms").alias("p95_latency_ms"),
-        mean("p99_latency_ms").alias("p99_latency_ms"),
-        F.round(F.coalesce(F.try_divide(F.sum("error_count"), F.sum("requests")), F.lit(0.0)), 6).alias("error_rate"),
-    )
-    return (s.withColumn("_h", h).select("*", "_h.*").drop("_h")
-            .withColumn("hour_cost", F.round(F.col("hour_tokens") * TOKEN_PRICE, 6))
+    means = {"rpm": "requests"} | {c: c for c in ("avg_latency_ms", "p50_latency_ms", "p95_latency_ms", "p99_latency_ms")}
+    s = t.agg(
+        *[F.round(F.coalesce(total(c), F.lit(0)) / recent, 4).alias(n) for n, c in means.items()],
+        F.round(F.coalesce(F.try_divide(total("error_count"), total("requests")), F.lit(0.0)), 6).alias("error_rate"),
+        F.sum("requests").cast("bigint").alias("hour_requests"), F.sum("tokens").cast("bigint").alias("hour_tokens"))
+    return (s.withColumn("hour_cost", F.round(F.col("hour_tokens") * TOKEN_PRICE, 6))
             .withColumn("daily_cost", F.round(F.col("hour_tokens") * TOKEN_PRICE * 24, 6)))
 
 
+def newest_minutes(traces: DataFrame, minutes: int = 60) -> DataFrame:
+    """The traces of the newest ``minutes`` minutes that hold any.
+
+    The oldest of these minutes is found first, from the times alone; as a
+    literal it bounds the scan of the traces."""
+    minute = F.date_trunc("minute", F.col("ts"))
+    oldest = (traces.where(F.col("ts").isNotNull()).select(minute.alias("m")).distinct().orderBy(F.col("m").desc()).limit(minutes)
+              .agg(F.min("m").cast("string")).first()[0])
+    return traces.where(F.col("ts") >= F.lit(oldest).cast(traces.schema["ts"].dataType))
+
+
+def endpoint_summary_of_traces(traces: DataFrame, recent: int = 5, hour: int = 60) -> DataFrame:
+    """D14 from the traces: metrics of the minutes it shows and of no others."""
+    from dealerlens.streaming.streams import endpoint_minutes_batch
+
+    return endpoint_summary(endpoint_minutes_batch(newest_minutes(traces, hour)), recent, hour)
+
+
 def top_makes(recs_with_vehicle: DataFrame, k: int = 5) -> DataFrame:
     """Most recommended makes (make = first token of the vehicle name)."""
     m = recs_with_vehicle.where(F.col("vehicle_name").isNotNull()).select(make_expr(F.col("vehicle_name")).alias("make"))
@@ -257,7 +269,7 @@ def sort_quality_logs(logs: DataFrame, order: str = "score_asc", parts: int | No
     before = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_before"))
     local = F.row_number().over(Window.partitionBy("_pid").orderBy(*o))
     return (t.withColumn("_local", local).join(F.broadcast(before), "_pid")
-            .withColumn("row_number", (F.col("_before") + F.col("_local")).cast("int"))
+            .withColumn("row_number", (F.col("_before") + F.col("_local")).cast("bigint"))
             .drop("_pid", "_local", "_before"))
 
 

@@ -31,18 +31,21 @@ def rename_columns(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed(dict(mapping))
 
 
-def paginate(df: DataFrame, order: list[Column | str], limit: int, offset: int = 0,
-             max_limit: int = 100) -> DataFrame:
-    """a page of a totally ordered frame (limit capped at ``max_limit``)."""
+def check_limit(limit: int, max_limit: int = 100) -> None:
     if limit > max_limit:
         raise ValueError(f"limit must be <= {max_limit}")
+
+
+def paginate(df: DataFrame, order: list[Column | str], limit: int, offset: int = 0,
+             max_limit: int = 100) -> DataFrame:
+    """a page of a totally ordered frame (limit capped at ``max_limit``).
+    For deep pages see ``operators.paging``."""
+    check_limit(limit, max_limit)
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
-def search_customers(customers: DataFrame, search: str | None, rep: str | None,
-                     limit: int = 100, offset: int = 0) -> DataFrame:
-    """Case-sensitive substring match on name or occupation (literal match,
-    so ``%`` and ``_`` in the input are not wildcards); rep ``ALL``/None = no filter."""
+def matching_customers(customers: DataFrame, search: str | None, rep: str | None) -> DataFrame:
+    """B3's rows before paging."""
     df = customers
     if search:
         s = F.lit(search)
@@ -50,7 +53,14 @@ def search_customers(customers: DataFrame, search: str | None, rep: str | None,
                       | F.coalesce(F.col("occupation").contains(s), F.lit(False)))
     if rep and rep != ALL:
         df = df.where(F.col("rep_key") == F.lit(rep))
-    return paginate(df, ["customer_id"], limit, offset)
+    return df
+
+
+def search_customers(customers: DataFrame, search: str | None, rep: str | None,
+                     limit: int = 100, offset: int = 0) -> DataFrame:
+    """Case-sensitive substring match on name or occupation (literal match,
+    so ``%`` and ``_`` in the input are not wildcards); rep ``ALL``/None = no filter."""
+    return paginate(matching_customers(customers, search, rep), ["customer_id"], limit, offset)
 
 
 def search_customers_ci(customers: DataFrame, search: str | None, limit: int = 100, offset: int = 0) -> DataFrame:

@@ -7,11 +7,13 @@ rep selection:
 * ``rep="ALL"`` – the whole team only;
 * ``rep="REP-3"`` – one rep.
 
-The ``rep_scope`` column names the scope.  Every row is tagged with its rep and
-with ``ALL`` *before* the first aggregate, so the ``ALL`` group (which holds
-every row and is the hottest key by construction) is combined map-side by the
-partial aggregate; only per-(scope, month, ...) partial sums are shuffled.
-Windows run on those small aggregates, never on raw rows.
+The ``rep_scope`` column names the scope.  The page's operators run in two
+steps.  The first reads only reps and dates and finds the oldest month that any
+scope needs; that date is a literal, so the second step's scan skips older
+partitions and row groups.  The second step is one aggregate by rep, month and
+the operator's own columns, and only its rows – never raw ones – are also added
+up under ``ALL``, the scope that holds every row.  Windows run on those small
+aggregates.
 """
 
 from __future__ import annotations
@@ -50,65 +52,90 @@ def as_of_sales(sales: DataFrame, as_of: str, rep: str = ALL) -> DataFrame:
     return s
 
 
-def scoped_sales(sales: DataFrame, as_of: str, rep: str | None = None) -> DataFrame:
-    """Sales before ``as_of`` with a ``rep_scope`` column (see module doc)."""
-    s = as_of_sales(sales, as_of, ALL if rep is None else rep)
+def _by_scope(col: str = "month") -> Window:
+    return Window.partitionBy("rep_scope").orderBy(F.col(col).desc())
+
+
+def _in_scopes(df: DataFrame, rep: str | None) -> DataFrame:
+    """Rows of an aggregate by ``rep_key``, under their scopes (a null rep belongs to ALL only)."""
     if rep is None:
-        # Null rep keys belong to no rep scope, only to ALL.
-        return s.withColumn("rep_scope", F.explode(F.array_compact(F.array(F.col("rep_key"), F.lit(ALL)))))
-    return s.withColumn("rep_scope", F.lit(rep))
+        return df.withColumn("rep_scope", F.explode(F.array_compact(F.array(F.col("rep_key"), F.lit(ALL)))))
+    return df.withColumn("rep_scope", F.lit(rep))
 
 
-def _by_scope(col: str = "month") -> Window:
-    return Window.partitionBy("rep_scope").orderBy(F.col(col).desc())
+#: What a scope needs: its latest month, the calendar month before it too, or its newest two months with rows.
+LATEST, PREVIOUS, NEWEST_TWO = "latest", "previous", "newest two"
 
 
-def _latest_only(df: DataFrame) -> DataFrame:
-    """Keep rows of each scope's latest month (month must be a column)."""
-    latest = F.max("month").over(Window.partitionBy("rep_scope"))
-    return df.withColumn("latest_month", latest).where(F.col("month") == F.col("latest_month"))
+def oldest_needed_month(sales: DataFrame, as_of: str, rep: str | None, need: str):
+    """Step one: the oldest month that any scope needs (a date; None without
+    sales).  Reads reps and dates alone; one row per rep and month remains."""
+    s = as_of_sales(sales, as_of, ALL if rep is None else rep)
+    months = s.where(F.col("sale_date").isNotNull()).groupBy("rep_key", month_of("sale_date").alias("month")).agg(F.lit(1).alias("_"))
+    newest = F.sort_array(F.collect_set("month"), asc=False)
+    per_scope = _in_scopes(months, rep).groupBy("rep_scope").agg(newest.alias("m"))
+    oldest = {LATEST: F.col("m")[0], PREVIOUS: F.add_months(F.col("m")[0], -1),
+              NEWEST_TWO: F.element_at(F.slice("m", 1, 2), -1)}[need]
+    return per_scope.agg(F.min(oldest)).first()[0]
 
 
-def _month_counts(s: DataFrame, *extra: str | Column) -> DataFrame:
+def recent_counts(sales: DataFrame, as_of: str, rep: str | None, need: str | None, **extra: Column) -> DataFrame:
+    """Step two: totals by scope, month and ``extra`` columns of the months needed (None: all), from one scan."""
+    since = oldest_needed_month(sales, as_of, rep, need) if need else None
+    s = as_of_sales(sales, as_of, ALL if rep is None else rep)
+    if since is not None:
+        s = s.where(F.col("sale_date") >= F.lit(since))
     won = F.col("outcome") == WON
-    return s.groupBy("rep_scope", month_of("sale_date").alias("month"), *extra).agg(
+    price = F.when(won, F.col("sale_price"))
+    fine = s.groupBy("rep_key", month_of("sale_date").alias("month"), *[c.alias(n) for n, c in extra.items()]).agg(
         F.count(F.lit(1)).alias("total"),
         F.sum(_flag(won)).cast("bigint").alias("won"),
         F.sum(_flag(F.col("outcome") == LOST)).cast("bigint").alias("lost"),
         F.sum(_flag(F.col("outcome") == OPEN)).cast("bigint").alias("open_deals"),
-        F.avg(F.when(won, F.col("sale_price"))).alias("_avg_won"),
-    )
+        F.sum(price).alias("won_value"), F.count(price).alias("won_priced"))
+    sums = [F.sum(c).alias(c) for c in ("total", "won", "lost", "open_deals", "won_value", "won_priced")]
+    return _in_scopes(fine, rep).groupBy("rep_scope", "month", *extra).agg(*sums)
 
 
-def monthly_performance_all_months(sales: DataFrame, as_of: str, rep: str | None = None) -> DataFrame:
-    m = _month_counts(scoped_sales(sales, as_of, rep))
-    return m.select(
+def _latest_only(df: DataFrame) -> DataFrame:
+    """Keep rows of each scope's latest month (month must be a column)."""
+    latest = F.max("month").over(Window.partitionBy("rep_scope"))
+    return df.withColumn("latest_month", latest).where(F.col("month") == F.col("latest_month"))
+
+
+def _month_columns(counts: DataFrame) -> DataFrame:
+    return counts.select(
         "rep_scope", "month", "total", "won", "lost", "open_deals",
         pct1(F.col("won"), F.col("total")).alias("win_rate"),
-        F.round(F.col("_avg_won"), 0).alias("avg_won_price"),
-    )
+        F.round(F.try_divide("won_value", "won_priced"), 0).alias("avg_won_price"))
+
+
+def monthly_performance_all_months(sales: DataFrame, as_of: str, rep: str | None = None) -> DataFrame:
+    """D3's columns for every month."""
+    return _month_columns(recent_counts(sales, as_of, rep, None))
 
 
 def monthly_performance(sales: DataFrame, as_of: str, rep: str | None = None) -> DataFrame:
     """D3: per month total/won/lost/open, win rate (1 dp), mean won price (0 dp);
     newest two months per scope."""
-    m = monthly_performance_all_months(sales, as_of, rep)
+    m = _month_columns(recent_counts(sales, as_of, rep, NEWEST_TWO))
     return (m.withColumn("month_rank", F.row_number().over(_by_scope()))
             .where(F.col("month_rank") <= 2))
 
 
+def _counted_reason() -> Column:
+    """The reason of a lost deal that names one; null for other rows, which still carry their month."""
+    reason = F.col("loss_reason")
+    return F.when((F.col("outcome") == LOST) & (reason != ""), reason)
+
+
 def loss_reason_counts(sales: DataFrame, as_of: str, rep: str | None = None) -> DataFrame:
     """Lost deals of the scope's latest month by non-empty reason, most frequent first.
 
-    The latest month is taken over all rows of the scope (not only lost ones),
-    in the same aggregate pass: rows that are not a counted loss fall into a
-    null-reason group that still carries their month.
+    The latest month is taken over all rows of the scope (not only lost ones):
+    rows that are not a counted loss fall into a null-reason group.
     """
-    s = scoped_sales(sales, as_of, rep)
-    counted = (F.col("outcome") == LOST) & F.col("loss_reason").isNotNull() & (F.col("loss_reason") != "")
-    fine = s.groupBy("rep_scope", month_of("sale_date").alias("month"),
-                     F.when(counted, F.col("loss_reason")).alias("loss_reason")).agg(
-        F.count(F.lit(1)).alias("cnt"))
+    fine = recent_counts(sales, as_of, rep, LATEST, loss_reason=_counted_reason()).withColumnRenamed("total", "cnt")
     out = _latest_only(fine).where(F.col("loss_reason").isNotNull())
     w = Window.partitionBy("rep_scope").orderBy(F.col("cnt").desc(), F.col("loss_reason"))
     return out.select("rep_scope", F.col("month").alias("latest_month"), "loss_reason", "cnt",
@@ -129,10 +156,7 @@ def rate_band(rate: Column) -> Column:
 
 def category_conversion(sales: DataFrame, as_of: str, rep: str | None = None) -> DataFrame:
     """Latest month by category: total, won, rate, band; best first."""
-    s = scoped_sales(sales, as_of, rep)
-    won = F.col("outcome") == WON
-    fine = s.groupBy("rep_scope", month_of("sale_date").alias("month"), "category").agg(
-        F.count(F.lit(1)).alias("total"), F.sum(_flag(won)).cast("bigint").alias("won"))
+    fine = recent_counts(sales, as_of, rep, LATEST, category=F.col("category"))
     out = _latest_only(fine).withColumn("rate", pct1(F.col("won"), F.col("total")))
     w = Window.partitionBy("rep_scope").orderBy(F.col("rate").desc(), F.col("category"))
     return out.select("rep_scope", F.col("month").alias("latest_month"), "category", "total", "won", "rate",
@@ -142,105 +166,85 @@ def category_conversion(sales: DataFrame, as_of: str, rep: str | None = None) ->
 def daily_contracts(sales: DataFrame, as_of: str, rep: str | None = None) -> DataFrame:
     """Won count per month and day for the latest and the calendar-previous month
     (days with any row appear, possibly with 0)."""
-    s = scoped_sales(sales, as_of, rep)
-    fine = s.groupBy("rep_scope", month_of("sale_date").alias("month"),
-                     F.dayofmonth("sale_date").alias("day_num")).agg(
-        F.sum(_flag(F.col("outcome") == WON)).cast("bigint").alias("contracted"))
+    fine = recent_counts(sales, as_of, rep, PREVIOUS, day_num=F.dayofmonth("sale_date"))
     latest = F.max("month").over(Window.partitionBy("rep_scope"))
     return (fine.withColumn("latest_month", latest)
             .where(F.col("month") >= F.add_months(F.col("latest_month"), -1))
-            .select("rep_scope", F.col("month").alias("sale_month"), "day_num", "contracted", "latest_month"))
+            .select("rep_scope", F.col("month").alias("sale_month"), "day_num", F.col("won").alias("contracted"), "latest_month"))
 
 
 def latest_month(sales: DataFrame, as_of: str, rep: str | None = None) -> DataFrame:
     """E5: ``date_trunc('month', max(sale_date))`` per scope."""
-    s = scoped_sales(sales, as_of, rep)
-    return s.groupBy("rep_scope").agg(month_of(F.max("sale_date")).alias("latest_month"))
-
-
-def _pace_inputs(sales: DataFrame, as_of: str, rep: str | None) -> tuple[DataFrame, DataFrame]:
-    d = daily_contracts(sales, as_of, rep)
-    cur = F.col("sale_month") == F.col("latest_month")
-    prev = F.col("sale_month") == F.add_months(F.col("latest_month"), -1)
-    per_day = d.groupBy("rep_scope", "day_num").agg(
-        F.sum(F.when(cur, F.col("contracted"))).alias("cur_won"),
-        F.sum(F.when(prev, F.col("contracted"))).alias("prev_won"),
-        F.max(F.when(cur, 1)).alias("cur_seen"),
-        F.max(F.when(prev, 1)).alias("prev_seen"),
-    )
-    bounds = per_day.groupBy("rep_scope").agg(
-        F.coalesce(F.max(F.when(F.col("cur_seen") == 1, F.col("day_num"))), F.lit(0)).alias("cur_max_day"),
-        F.coalesce(F.max(F.when(F.col("prev_seen") == 1, F.col("day_num"))), F.lit(0)).alias("prev_max_day"),
-        F.sum("cur_won").cast("bigint").alias("cur_to_date"),
-        F.sum("prev_won").cast("bigint").alias("prev_total"),
-    )
-    return per_day, bounds
+    s = as_of_sales(sales, as_of, ALL if rep is None else rep)
+    per_rep = s.groupBy("rep_key").agg(F.max("sale_date").alias("last"))
+    return _in_scopes(per_rep, rep).groupBy("rep_scope").agg(month_of(F.max("last")).alias("latest_month"))
+
+
+def _won_until(days: str, last: Column | None = None) -> Column:
+    """Contracts of a list of daily rows, up to a day."""
+    rows = F.col(days) if last is None else F.filter(days, lambda x: x["day_num"] <= last)
+    return F.aggregate(rows, F.lit(0).cast("bigint"), lambda acc, x: acc + x["contracted"])
+
+
+def _pace_rows(daily: DataFrame) -> DataFrame:
+    """One row per scope: ``cur`` and ``prev``, the daily rows of its latest and
+    the month before (62 at most), and each one's last observed day (0: none)."""
+    g = daily.groupBy("rep_scope").agg(
+        F.max("latest_month").alias("latest_month"),
+        F.collect_list(F.struct("sale_month", "day_num", "contracted")).alias("rows"))
+    cur = F.filter("rows", lambda x: x["sale_month"] == F.col("latest_month"))
+    prev = F.filter("rows", lambda x: x["sale_month"] == F.add_months(F.col("latest_month"), -1))
+    g = g.select("rep_scope", "latest_month", cur.alias("cur"), prev.alias("prev"))
+
+    def last(days: str) -> Column:
+        return F.coalesce(F.array_max(F.transform(days, lambda x: x["day_num"])), F.lit(0))
+
+    return g.withColumn("cur_max", last("cur")).withColumn("prev_max", last("prev"))
 
 
 def pace_trend(sales: DataFrame, as_of: str, rep: str | None = None) -> DataFrame:
     """Running won count per day this month and last month; a series is null
     after its own last observed day; missing days count 0.
 
-    After D7's latest-month cut a scope has at most 62 daily rows (two months),
-    so they are gathered into one row per scope and the day spine, running sums
-    and cut-offs are computed inside that bounded row: no spine join and no
+    A scope has at most 62 daily rows (two months), so the day spine, running
+    sums and cut-offs are computed inside one bounded row: no spine join and no
     running window, one shuffle fewer each."""
-    d = daily_contracts(sales, as_of, rep)
-    g = d.groupBy("rep_scope").agg(
-        F.max("latest_month").alias("lm"),
-        F.collect_list(F.struct("sale_month", "day_num", "contracted")).alias("rows"))
-    cur = F.filter("rows", lambda x: x["sale_month"] == F.col("lm"))
-    prev = F.filter("rows", lambda x: x["sale_month"] == F.add_months(F.col("lm"), -1))
-    g = g.select("rep_scope", cur.alias("cur"), prev.alias("prev"))
-    g = g.select("rep_scope", "cur", "prev",
-                 F.coalesce(F.array_max(F.transform("cur", lambda x: x["day_num"])), F.lit(0)).alias("cur_max"),
-                 F.coalesce(F.array_max(F.transform("prev", lambda x: x["day_num"])), F.lit(0)).alias("prev_max"))
-
-    def running(arr: str, day: Column) -> Column:
-        return F.aggregate(F.filter(arr, lambda x: x["day_num"] <= day), F.lit(0).cast("bigint"),
-                           lambda acc, x: acc + x["contracted"])
-
+    g = _pace_rows(daily_contracts(sales, as_of, rep))
     series = F.transform(
         F.sequence(F.lit(1), F.greatest("cur_max", "prev_max")),
         lambda day: F.struct(day.alias("day_num"),
-                             F.when(day <= F.col("cur_max"), running("cur", day)).alias("current"),
-                             F.when(day <= F.col("prev_max"), running("prev", day)).alias("last_month")))
+                             F.when(day <= F.col("cur_max"), _won_until("cur", day)).alias("current"),
+                             F.when(day <= F.col("prev_max"), _won_until("prev", day)).alias("last_month")))
     return (g.select("rep_scope", F.explode(series).alias("p"))
             .select("rep_scope", F.col("p.day_num").cast("int").alias("day_num"),
                     F.col("p.current").cast("bigint").alias("current"),
                     F.col("p.last_month").cast("bigint").alias("last_month")))
 
 
-def _pace_summary(sales: DataFrame, as_of: str, rep: str | None) -> DataFrame:
-    per_day, bounds = _pace_inputs(sales, as_of, rep)
-    same = (per_day.join(bounds.select("rep_scope", "cur_max_day"), "rep_scope")
-            .where(F.col("day_num") <= F.col("cur_max_day"))
-            .groupBy("rep_scope").agg(F.sum("prev_won").cast("bigint").alias("prev_to_same")))
-    return bounds.join(same, "rep_scope", "left")
+def _same_period(g: DataFrame) -> DataFrame:
+    """Adds won-to-date, last month's count up to the same day, and the difference in percent."""
+    prev = F.col("prev_to_same")
+    return (g.withColumn("cur_to_date", _won_until("cur")).withColumn("prev_to_same", _won_until("prev", F.col("cur_max")))
+            .withColumn("same_period_diff", F.when(prev > 0, F.bround((F.col("cur_to_date") - prev) / prev * 100, 1))))
 
 
 def same_period_diff(sales: DataFrame, as_of: str, rep: str | None = None) -> DataFrame:
     """(this month to date − last month to the same day) / last × 100, 1 dp
     (half-even, as Python's ``round``); null when last is 0."""
-    s = _pace_summary(sales, as_of, rep)
-    prev = F.coalesce(F.col("prev_to_same"), F.lit(0))
-    diff = F.when(prev > 0, F.bround((F.col("cur_to_date") - prev) / prev * 100, 1))
-    return s.select("rep_scope", "cur_max_day", "cur_to_date", prev.alias("prev_to_same"),
-                    diff.alias("same_period_diff"))
+    g = _same_period(_pace_rows(daily_contracts(sales, as_of, rep)))
+    return g.select("rep_scope", F.col("cur_max").alias("cur_max_day"), "cur_to_date", "prev_to_same", "same_period_diff")
 
 
 def month_end_projection(sales: DataFrame, as_of: str, rep: str | None = None) -> DataFrame:
     """Won-to-date / last observed day × days in month (half-even); last
     month's total (null when it has no rows); on track when projected ≥ last."""
-    s = _pace_summary(sales, as_of, rep)
-    lm = latest_month(sales, as_of, rep)
-    s = s.join(lm, "rep_scope")
+    g = _pace_rows(daily_contracts(sales, as_of, rep)).withColumn("cur_to_date", _won_until("cur"))
     days_in_month = F.dayofmonth(F.last_day("latest_month"))
-    projected = F.when(F.col("cur_max_day") > 0,
-                       F.bround(F.col("cur_to_date") / F.col("cur_max_day") * days_in_month, 0)).cast("bigint")
-    last_total = F.when(F.col("prev_max_day") > 0, F.coalesce(F.col("prev_total"), F.lit(0))).cast("bigint")
-    return (s.select("rep_scope", "latest_month", days_in_month.alias("days_in_month"),
-                     "cur_to_date", projected.alias("projected_total"), last_total.alias("last_month_total"))
+    projected = F.when(F.col("cur_max") > 0,
+                       F.bround(F.col("cur_to_date") / F.col("cur_max") * days_in_month, 0)).cast("bigint")
+    return (g.select("rep_scope", "latest_month", days_in_month.alias("days_in_month"),
+                     "cur_to_date", projected.alias("projected_total"),
+                     F.when(F.col("prev_max") > 0, _won_until("prev")).alias("last_month_total"))
             .withColumn("on_track", F.coalesce(F.col("projected_total") >= F.col("last_month_total"),
                                                F.lit(False))))
 
@@ -449,24 +453,39 @@ PACE_PREFIX = "先月同時点比 "
 def loss_action_prompts(sales: DataFrame, as_of: str, rep: str | None = None) -> DataFrame:
     """Per scope: one line per loss reason (``- reason: n件``), the category
     summary ``name(won/total件 成約率rate%)`` and the pace line when the
-    same-period difference exists.  Every list is over a small aggregate."""
-    reasons = (loss_reason_counts(sales, as_of, rep)
-               .groupBy("rep_scope").agg(F.array_sort(F.collect_list(F.struct(
-                   "reason_rank", F.concat(F.lit("- "), F.col("loss_reason"), F.lit(": "),
-                                           F.col("cnt").cast("string"), F.lit("件")).alias("l")))).alias("rs"))
-               .select("rep_scope", F.array_join(F.transform("rs", lambda x: x["l"]), "\n").alias("loss_lines")))
-    cats = (category_conversion(sales, as_of, rep)
-            .groupBy("rep_scope").agg(F.array_sort(F.collect_list(F.struct(
-                "rate_rank", F.concat(F.col("category"), F.lit("("), F.col("won").cast("string"), F.lit("/"),
-                                      F.col("total").cast("string"), F.lit("件 成約率"),
-                                      F.col("rate").cast("string"), F.lit("%)")).alias("c")))).alias("cs"))
-            .select("rep_scope", F.array_join(F.transform("cs", lambda x: x["c"]), ", ").alias("category_summary")))
-    pace = same_period_diff(sales, as_of, rep).select(
-        "rep_scope", F.when(F.col("same_period_diff").isNotNull(),
-                            F.concat(F.lit(PACE_PREFIX), F.format_string("%+.1f", "same_period_diff"), F.lit("%")))
-        .otherwise(F.lit("")).alias("pace_note"))
-    j = cats.join(reasons, "rep_scope", "left").join(pace, "rep_scope", "left")
-    prompt = F.concat(F.lit(LOSS_TITLE + "\n"), F.coalesce("loss_lines", F.lit("")),
-                      F.lit("\n\n" + CATEGORY_TITLE + "\n"), F.col("category_summary"),
-                      F.lit("\n\n" + PACE_TITLE), F.coalesce("pace_note", F.lit("")))
-    return j.select("rep_scope", prompt.alias("prompt"))
+    same-period difference exists.
+
+    One aggregate by month, day, category and reason serves all three: its rows
+    are counted under each of the three names, and a scope's few counts are
+    gathered into one row."""
+    fine = recent_counts(sales, as_of, rep, PREVIOUS, day_num=F.dayofmonth("sale_date"), category=F.col("category"), loss_reason=_counted_reason())
+    latest = F.max("month").over(Window.partitionBy("rep_scope"))
+    fine = fine.withColumn("latest_month", latest).where(F.col("month") >= F.add_months(F.col("latest_month"), -1))
+    names = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("name"))
+                      for k, c in (("reason", "loss_reason"), ("category", "category"), ("day", "day_num"))])
+    counts = (fine.select("rep_scope", "month", "latest_month", "total", "won", F.inline(names))
+              .groupBy("rep_scope", "month", "latest_month", "kind", "name").agg(F.sum("total").alias("total"), F.sum("won").alias("won")))
+    g = counts.groupBy("rep_scope").agg(F.max("latest_month").alias("latest_month"),
+                                        F.collect_list(F.struct("month", "kind", "name", "total", "won")).alias("all"))
+
+    def of(kind: str, month: Column) -> Column:
+        return F.filter("all", lambda x: (x["kind"] == kind) & (x["month"] == month))
+
+    def days(month: Column) -> Column:
+        return F.transform(of("day", month), lambda x: F.struct(x["name"].cast("int").alias("day_num"), x["won"].alias("contracted")))
+
+    now = F.col("latest_month")
+    named = F.filter(of("reason", now), lambda x: x["name"].isNotNull())
+    reasons = F.array_sort(F.transform(named, lambda x: F.struct((-x["total"]).alias("order"), x["name"].alias("name"), x["total"].alias("n"))))
+    rate = F.transform(of("category", now), lambda x: F.struct((-pct1(x["won"], x["total"])).alias("order"), x["name"].alias("name"),
+                                                               x["won"].alias("won"), x["total"].alias("total"), pct1(x["won"], x["total"]).alias("rate")))
+    g = g.select("rep_scope", reasons.alias("rs"), F.array_sort(rate).alias("cs"), days(now).alias("cur"), days(F.add_months(now, -1)).alias("prev"))
+    g = _same_period(g.withColumn("cur_max", F.coalesce(F.array_max(F.transform("cur", lambda x: x["day_num"])), F.lit(0))))
+    loss_lines = F.array_join(F.transform("rs", lambda x: F.concat(F.lit("- "), x["name"], F.lit(": "), x["n"].cast("string"), F.lit("件"))), "\n")
+    category = F.array_join(F.transform("cs", lambda x: F.concat(x["name"], F.lit("("), x["won"].cast("string"), F.lit("/"), x["total"].cast("string"),
+                                                                 F.lit("件 成約率"), x["rate"].cast("string"), F.lit("%)"))), ", ")
+    pace = F.when(F.col("same_period_diff").isNotNull(),
+                  F.concat(F.lit(PACE_PREFIX), F.format_string("%+.1f", "same_period_diff"), F.lit("%"))).otherwise(F.lit(""))
+    prompt = F.concat(F.lit(LOSS_TITLE + "\n"), loss_lines, F.lit("\n\n" + CATEGORY_TITLE + "\n"), category,
+                      F.lit("\n\n" + PACE_TITLE), pace)
+    return g.select("rep_scope", prompt.alias("prompt"))

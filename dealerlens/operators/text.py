@@ -172,6 +172,37 @@ def explode_recommendations(replies: DataFrame, inventory: DataFrame, text_col:
             .withColumn("image_path", F.coalesce(F.col("image_path"), F.lit(""))))
 
 
+SERVICE_REPLY_SCHEMA = "recommendations array<struct<vehicle_id string, match_score string, reason string>>"
+
+
+def service_recommendations(replies: DataFrame, inventory: DataFrame, candidates: DataFrame | None = None,
+                            url_prefix: str = "/api/images/", text_col: str = "reply") -> DataFrame:
+    """I6, the service's shape: a reply holding an object with a list of
+    ``recommendations`` (vehicle_id, match_score, reason) → of its first 3 items
+    those whose vehicle is known, as rows with the vehicle's details.
+
+    ``position`` is the place in the reply.  Known means in ``inventory``, or
+    among the customer's ``candidates`` (customer_id, vehicle_key) when these
+    are given.  Replies without such an object, and items without a score or
+    reason, give no rows."""
+    from dealerlens.operators.projection import make_expr
+
+    parsed = F.from_json(extract_json_object(F.col(text_col)), SERVICE_REPLY_SCHEMA)
+    items = replies.select("customer_id", F.posexplode(F.slice(parsed["recommendations"], 1, 3)).alias("pos", "r"))
+    items = items.select("customer_id", (F.col("pos") + 1).alias("position"), F.col("r.vehicle_id").alias("vehicle_id"),
+                         F.col("r.match_score").try_cast("int").alias("match_score"), F.col("r.reason").alias("reason"))
+    items = items.where(F.col("match_score").isNotNull() & F.col("reason").isNotNull())
+    if candidates is not None:
+        offered = candidates.select("customer_id", F.col("vehicle_key").cast("string").alias("vehicle_id")).distinct()
+        items = items.join(offered, ["customer_id", "vehicle_id"], "left_semi")
+    path = F.coalesce(F.col("image_path"), F.lit(""))
+    file = F.substring_index(path, "/", -1)
+    inv = inventory.select(F.col("vehicle_key").cast("string").alias("vehicle_id"), F.coalesce(make_expr(F.col("vehicle_name")), F.lit("")).alias("make"),
+                           "vehicle_name", "price", "body_type", "model_year", path.alias("image_path"),
+                           F.when(file != "", F.concat(F.lit(url_prefix), file)).otherwise(F.lit("")).alias("image_url"))
+    return items.join(inv, "vehicle_id")
+
+
 def purchase_intent(insights: DataFrame) -> DataFrame:
     """``urgency：reason``, or the urgency alone when the reason is empty."""
     reason = F.coalesce(F.col("urgency_reason"), F.lit(""))
@@ -397,25 +428,33 @@ def cached_recommendations(cache: DataFrame, inventory: DataFrame) -> DataFrame:
 
 # --- prompts ---------------------------------------------------------------------
 
+PART_ORDER = ("section", "interaction_date", "interaction_id", "piece")
+
+
 def build_insight_prompts(customers: DataFrame, interactions: DataFrame, behavior: DataFrame) -> DataFrame:
     """One prompt per customer: profile lines, whole interaction texts in
-    date order, then a behaviour block if any.
+    date order, then a behaviour block if any; its parts joined."""
+    return join_parts(insight_prompt_parts(customers, interactions, behavior))
+
 
-    Interactions are first concatenated per (customer, day) – in parallel and
-    map-side – and then the day blocks are ordered per customer, so a
-    customer's collect holds one entry per active day, not one per row.
+def join_parts(parts: DataFrame) -> DataFrame:
+    """Each customer's parts as one prompt.  The prompt is one row, as the model takes it; nothing before is."""
+    listed = F.array_sort(F.collect_list(F.struct(*PART_ORDER, "text")))
+    return parts.groupBy("customer_id").agg(F.array_join(F.transform(listed, lambda x: x["text"]), "").alias("prompt"))
+
+
+def insight_prompt_parts(customers: DataFrame, interactions: DataFrame, behavior: DataFrame, size: int = 4000) -> DataFrame:
+    """I1 as ordered parts, one row per (customer, part): the profile (section
+    0), the interactions (1) and the behaviour block (2).
+
+    In the order of ``PART_ORDER`` a customer's parts read as the prompt.  A
+    text longer than ``size`` characters is cut into pieces.  No operator here
+    groups by customer, so one that holds a third of all interactions is spread
+    like all others.
     """
     block = F.concat(F.lit("["), F.col("interaction_type"), F.lit(" / "), F.col("interaction_date").cast("string"),
                      F.lit("]\n"), F.coalesce("content", F.lit("")), F.lit("\n"))
-    per_day = (interactions.where(F.col("customer_id").isNotNull())
-               .groupBy("customer_id", "interaction_date")
-               .agg(F.array_sort(F.collect_list(F.struct(F.col("interaction_id"), block.alias("b")))).alias("bs"))
-               .select("customer_id", "interaction_date",
-                       F.array_join(F.transform("bs", lambda x: x["b"]), "\n").alias("day_text")))
-    per_cust = (per_day.groupBy("customer_id")
-                .agg(F.array_sort(F.collect_list(F.struct("interaction_date", "day_text"))).alias("days"))
-                .select("customer_id", F.array_join(F.transform("days", lambda x: x["day_text"]), "\n")
-                        .alias("history")))
+    said = interactions.where(F.col("customer_id").isNotNull()).select("customer_id", "interaction_date", "interaction_id", block.alias("text"))
     beh = behavior.select("opp_id", F.concat(
         F.lit("【カーセンサー閲覧行動】\n総セッション数: "), F.col("session_count").cast("string"),
         F.lit("\n総閲覧数: "), F.col("view_count").cast("string"),
@@ -445,16 +484,21 @@ def build_insight_prompts(customers: DataFrame, interactions: DataFrame, behavio
         if c in customers.columns and (c != "current_vehicle" or "current_mileage" in customers.columns):
             lines.append(optional[c]())
     profile = F.concat_ws("\n", *lines, F.lit(""), F.lit("【インタラクション履歴】"))
-    keep = [c for c in customers.columns if c not in ("customer_id", "opp_id")]
-    j = (customers.select("customer_id", "opp_id", *keep)
-         .join(per_cust, "customer_id", "left").join(beh, "opp_id", "left"))
     # Lines are joined by "\n" as in the source: each interaction adds
     # "\n[type / date]\ncontent\n", the behaviour block "\n" + its lines.
-    prompt = F.concat(profile,
-                      F.when(F.col("history").isNotNull(), F.concat(F.lit("\n"), F.col("history"))).otherwise(F.lit("")),
-                      F.when(F.col("behavior_text").isNotNull(), F.concat(F.lit("\n"), F.col("behavior_text")))
-                      .otherwise(F.lit("")))
-    return j.select("customer_id", prompt.alias("prompt"))
+    no_date, no_id = (F.lit(None).cast(interactions.schema[c].dataType) for c in ("interaction_date", "interaction_id"))
+    head = customers.select("customer_id", F.lit(0).alias("section"), no_date.alias("interaction_date"), no_id.alias("interaction_id"), profile.alias("text"))
+    told = said.join(customers.select("customer_id"), "customer_id").select(
+        "customer_id", F.lit(1).alias("section"), "interaction_date", "interaction_id", F.concat(F.lit("\n"), "text").alias("text"))
+    seen = customers.select("customer_id", "opp_id").join(beh.where(F.col("behavior_text").isNotNull()), "opp_id").select(
+        "customer_id", F.lit(2).alias("section"), no_date.alias("interaction_date"), no_id.alias("interaction_id"),
+        F.concat(F.lit("\n"), "behavior_text").alias("text"))
+    # A block without a type is null and says nothing, as in a joined list.
+    whole = head.unionByName(told.where(F.col("text").isNotNull())).unionByName(seen)
+    pieces = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("text") / size).cast("int") - 1, F.lit(0)))
+    return (whole.withColumn("piece", F.explode(pieces))
+            .withColumn("text", F.when(F.length("text") <= size, F.col("text")).otherwise(F.substring("text", F.col("piece") * size + 1, F.lit(size))))
+            .select("customer_id", *PART_ORDER, "text"))
 
 
 def build_recommendation_prompts(customers: DataFrame, insights: DataFrame, candidates: DataFrame,
@@ -502,51 +546,51 @@ def build_recommendation_prompts(customers: DataFrame, insights: DataFrame, cand
             .select("customer_id", prompt.alias("prompt")))
 
 
-ModelFactory = Callable[[], Callable[[list[str]], list[str]]]
-
-
-def extractive_stub() -> Callable[[list[str]], list[str]]:
-    """Deterministic test model: replies with a JSON object whose summary is the
-    prompt's first line and whose needs are its first two words."""
-    import json
-
-    def call(prompts: list[str]) -> list[str]:
-        out = []
-        for p in prompts:
-            first = (p or "").split("\n", 1)[0]
-            out.append("```json\n" + json.dumps({"deep_needs": first.split()[:2], "summary": first},
-                                                ensure_ascii=False) + "\n```")
-        return out
-
-    return call
+#: Called once per task, with the system prompt when there is one.
+ModelFactory = Callable[..., Callable[[list[str]], list[str]]]
 
 
 def batch_generate(prompts: DataFrame, model_factory: ModelFactory, default: str = "",
                    partitions: int | None = None, cache: DataFrame | None = None,
-                   key: str = "customer_id") -> DataFrame:
+                   key: str = "customer_id", store: str | None = None, slices: int = 16, system: str = "") -> DataFrame:
     """Run a model on every prompt, in parallel partitions.
 
-    * one model client per partition (``mapInPandas``), Arrow batches;
+    * one model client per task (``mapInPandas``), Arrow batches; ``system`` is
+      the system prompt that the client is made with (a prompt's hash covers it);
     * ``partitions`` bounds concurrency (rate limits) via ``repartition``;
     * a failing batch is called again prompt by prompt; a prompt that still
       fails yields ``default`` and ``failed=True``, the others their replies;
     * ``cache`` (prompt_hash, reply, optionally generated_at) skips prompts
       answered before (anti join); of several replies the newest counts, or
-      without a time the largest text.
+      without a time the largest text;
+    * ``store`` (a folder that all executors share) makes the run resumable:
+      equal prompts are asked once, in ``slices`` jobs by prompt hash, and each
+      job's replies are committed when it ends.  What is stored is never asked
+      again – by a second run, or after executors were lost – except prompts
+      that failed.  Runs at once; returns key, prompt_hash, reply, failed.
     """
-    p = prompts.select(key, "prompt").withColumn("prompt_hash", F.sha2(F.col("prompt"), 256))
+    hashed = F.concat(F.lit(system + "\n"), F.col("prompt")) if system else F.col("prompt")
+    p = prompts.select(key, "prompt").withColumn("prompt_hash", F.sha2(hashed, 256))
     cached = None
     if cache is not None:
         newest = F.max_by("reply", "generated_at") if "generated_at" in cache.columns else F.max("reply")
         c = cache.groupBy("prompt_hash").agg(newest.alias("reply"))
         cached = p.join(c, "prompt_hash").select(key, "prompt_hash", "reply", F.lit(False).alias("failed"))
         p = p.join(c.select("prompt_hash"), "prompt_hash", "left_anti")
+    if store is None:
+        out = ask(p, model_factory, default, partitions, [key], system)
+    else:
+        out = _ask_in_slices(p, model_factory, default, partitions, key, store, slices, system)
+    return out if cached is None else out.unionByName(cached)
+
+
+def ask(prompts: DataFrame, model_factory: ModelFactory, default: str, partitions: int | None, keys: list[str], system: str = "") -> DataFrame:
+    """The model's replies to rows of (keys, prompt_hash, prompt): keys, prompt_hash, reply, failed."""
     if partitions:
-        p = p.repartition(partitions)
-    key_type = prompts.schema[key].dataType.simpleString()
+        prompts = prompts.repartition(partitions)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = model_factory()
+        model = model_factory(system) if system else model_factory()
         for b in batches:
             prompts_here = b["prompt"].tolist()
             try:
@@ -560,8 +604,37 @@ def batch_generate(prompts: DataFrame, model_factory: ModelFactory, default: str
                     except Exception:  # noqa: BLE001 - this prompt becomes the default record
                         replies.append(default)
                         failed.append(True)
-            yield pd.DataFrame({key: b[key], "prompt_hash": b["prompt_hash"], "reply": replies, "failed": failed})
-
-    out = p.select(key, "prompt", "prompt_hash").mapInPandas(
-        run, f"{key} {key_type}, prompt_hash string, reply string, failed boolean")
-    return out if cached is None else out.unionByName(cached)
+            yield pd.DataFrame({k: b[k] for k in (*keys, "prompt_hash")} | {"reply": replies, "failed": failed})
+
+    named = [f"{k} {prompts.schema[k].dataType.simpleString()}, " for k in keys]
+    return prompts.select(*keys, "prompt", "prompt_hash").mapInPandas(run, f"{''.join(named)}prompt_hash string, reply string, failed boolean")
+
+
+STORED = "prompt_hash string, reply string, failed boolean"
+
+
+def _ask_in_slices(p: DataFrame, model_factory: ModelFactory, default: str, partitions: int | None, key: str,
+                   store: str, slices: int, system: str) -> DataFrame:
+    from dealerlens.session import scratch_path
+    from dealerlens.sources.state import exists
+
+    spark = p.sparkSession
+    # Prompts are made once, and lie by slice.
+    asked = scratch_path(spark, "prompts")
+    p.withColumn("_slice", F.pmod(F.xxhash64("prompt_hash"), F.lit(slices)).cast("int")).write.partitionBy("_slice").parquet(asked)
+    asked_rows = spark.read.schema(p.schema).parquet(asked)
+    folders = [f"{store}/slice={i}" for i in range(slices)]
+    for i, folder in enumerate(folders):
+        if not exists(spark, f"{asked}/_slice={i}"):
+            continue
+        todo = spark.read.schema(p.schema).parquet(f"{asked}/_slice={i}").dropDuplicates(["prompt_hash"])
+        if exists(spark, folder):
+            todo = todo.join(spark.read.schema(STORED).parquet(folder).where(~F.col("failed")), "prompt_hash", "left_anti")
+        if not todo.isEmpty():
+            ask(todo, model_factory, default, partitions, [], system).write.mode("append").parquet(folder)
+    folders = [f for f in folders if exists(spark, f)]
+    if not folders:
+        return asked_rows.select(key, "prompt_hash", F.lit(default).alias("reply"), F.lit(True).alias("failed")).limit(0)
+    # A reply stands before earlier failures of its prompt.
+    replies = spark.read.schema(STORED).parquet(*folders).groupBy("prompt_hash").agg(F.min(F.struct("failed", "reply")).alias("r"))
+    return asked_rows.join(replies, "prompt_hash").select(key, "prompt_hash", "r.reply", "r.failed")

@@ -287,7 +287,7 @@ SELECT round(coalesce(sum(requests), 0) / 5, 4) AS rpm, round(coalesce(sum(avg_l
        round((SELECT hour_tokens FROM h) * 0.000015 * 24, 6) AS daily_cost
 FROM l5""")
 def _endpoint_summary(fx):
-    return mon.endpoint_summary(fx.endpoint_minutes)
+    return mon.endpoint_summary_of_traces(fx.traces)
 
 
 @register("top_makes", """

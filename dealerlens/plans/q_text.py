@@ -12,12 +12,14 @@ from dealerlens.operators import text as tx  # noqa: E402
 from dealerlens.plans import derived  # noqa: E402
 from dealerlens.plans.q_joins import _C9  # noqa: E402
 from dealerlens.plans.registry import register  # noqa: E402
-from dealerlens.plans.sql_snippets import py_strip  # noqa: E402
+from dealerlens.plans.sql_snippets import py_first_word, py_strip  # noqa: E402
+from dealerlens.plans.stubs import extractive_stub  # noqa: E402
+from dealerlens.session import scratch_path  # noqa: E402
 
 _NL = "chr(10)"
 
 
-@register("build_insight_prompts", f"""
+_INSIGHT_PROMPTS = f"""
 WITH h AS (
   SELECT customer_id, string_agg('[' || interaction_type || ' / ' || CAST(interaction_date AS VARCHAR) || ']' || {_NL}
                                  || coalesce(content, '') || {_NL}, {_NL}
@@ -31,7 +33,10 @@ SELECT c.customer_id, '顧客名: ' || coalesce(c.contact_name, 'None') || {_NL}
          || {_NL} || {_NL} || '【インタラクション履歴】'
          || CASE WHEN h.history IS NOT NULL THEN {_NL} || h.history ELSE '' END
          || CASE WHEN b.behavior_text IS NOT NULL THEN {_NL} || b.behavior_text ELSE '' END AS prompt
-FROM customers c LEFT JOIN h ON c.customer_id = h.customer_id LEFT JOIN b ON c.opp_id = b.opp_id""")
+FROM customers c LEFT JOIN h ON c.customer_id = h.customer_id LEFT JOIN b ON c.opp_id = b.opp_id"""
+
+
+@register("build_insight_prompts", _INSIGHT_PROMPTS)
 def _build_insight_prompts(fx):
     return tx.build_insight_prompts(fx.customers, derived.interactions(fx), derived.behavior(fx))
 
@@ -56,10 +61,38 @@ def _build_recommendation_prompts(fx):
     return tx.build_recommendation_prompts(fx.customers, derived.insights(fx), cand, fx.inventory)
 
 
-@register("batch_generate")
+@register("insight_prompt_parts", f"""
+SELECT c.customer_id, 0 AS section, CAST(NULL AS DATE) AS interaction_date, CAST(NULL AS VARCHAR) AS interaction_id, 0 AS piece,
+       '顧客名: ' || coalesce(c.contact_name, 'None') || {_NL} || '職業: ' || coalesce(c.occupation, 'None') || {_NL} || {_NL} || '【インタラクション履歴】' AS text
+FROM customers c
+UNION ALL
+SELECT customer_id, 1, interaction_date, interaction_id, CAST(p AS INTEGER), substring(t, CAST(p * 4000 + 1 AS BIGINT), 4000)
+FROM (SELECT *, unnest(range(CAST(ceil(length(t) / 4000) AS BIGINT))) AS p FROM (
+  SELECT i.customer_id, interaction_date, interaction_id,
+         {_NL} || '[' || interaction_type || ' / ' || CAST(interaction_date AS VARCHAR) || ']' || {_NL} || coalesce(content, '') || {_NL} AS t
+  FROM interactions i JOIN customers c ON i.customer_id = c.customer_id))
+UNION ALL
+SELECT customer_id, 2, NULL, NULL, CAST(p AS INTEGER), substring(t, CAST(p * 4000 + 1 AS BIGINT), 4000)
+FROM (SELECT *, unnest(range(CAST(ceil(length(t) / 4000) AS BIGINT))) AS p FROM (
+  SELECT customer_id, {_NL} || '【カーセンサー閲覧行動】' || {_NL} || '総セッション数: ' || CAST(session_count AS VARCHAR) || {_NL} || '総閲覧数: '
+         || CAST(view_count AS VARCHAR) || {_NL} || '検索キーワード: ' || search_keywords || {_NL} || '閲覧車両: '
+         || viewed_vehicles || {_NL} || 'お気に入り登録数: ' || CAST(favorite_count AS VARCHAR) || '件' AS t
+  FROM customers c JOIN behavior b ON c.opp_id = b.opp_id))""")
+def _insight_prompt_parts(fx):
+    return tx.insight_prompt_parts(fx.customers, derived.interactions(fx), derived.behavior(fx))
+
+
+@register("batch_generate", f"""
+WITH pr AS ({_INSIGHT_PROMPTS}),
+l AS (SELECT customer_id, prompt, split_part(prompt, {_NL}, 1) AS first_line FROM pr)
+SELECT customer_id, sha256(prompt) AS prompt_hash, false AS failed,
+       '```json' || {_NL} || '{{"deep_needs": [' || array_to_string(list_transform(list_filter(string_split_regex(first_line, '\s+'), lambda w: w <> '')[1:2],
+                                                                    lambda w: CAST(to_json(w) AS VARCHAR)), ', ')
+       || '], "summary": ' || CAST(to_json(first_line) AS VARCHAR) || '}}' || {_NL} || '```' AS reply
+FROM l""")
 def _batch_generate(fx):
     prompts = tx.build_insight_prompts(fx.customers, derived.interactions(fx), derived.behavior(fx))
-    return tx.batch_generate(prompts, tx.extractive_stub, default="", partitions=8)
+    return tx.batch_generate(prompts, extractive_stub, default="", partitions=8, store=scratch_path(fx.spark, "replies"), slices=4)
 
 
 @register("parse_generated", """
@@ -94,6 +127,31 @@ def recs_as_replies(recs):
     return js.select("customer_id", reply.alias("reply"))
 
 
+def recs_as_service_replies(recs):
+    """The same recommendations as the service's model writes them: an object
+    with a list; for every 5th customer an unknown vehicle stands first, so the
+    third known one is beyond the three that count."""
+    item = F.struct(F.col("vehicle_key").cast("string").alias("vehicle_id"), "match_score", F.concat(F.lit("fits "), F.col("rnk").cast("string")).alias("reason"))
+    lists = recs.groupBy("customer_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rnk", item.alias("i")))), lambda x: x["i"]).alias("items"))
+    other = F.array(F.struct(F.lit("no-such-car").alias("vehicle_id"), F.lit(99).alias("match_score"), F.lit("?").alias("reason")))
+    items = F.when(F.col("customer_id") % 5 == 0, F.concat(other, "items")).otherwise(F.col("items"))
+    js = F.to_json(F.struct(items.alias("recommendations")))
+    m = F.col("customer_id") % 4
+    reply = (F.when(m == 0, F.concat(F.lit("Here you are:\n```json\n"), js, F.lit("\n```")))
+             .when(m == 3, F.lit("no object here")).otherwise(js))
+    return lists.select("customer_id", reply.alias("reply"))
+
+
+@register("service_recommendations", f"""
+WITH it AS (SELECT *, rnk + CASE WHEN customer_id % 5 = 0 THEN 1 ELSE 0 END AS position FROM recs WHERE customer_id % 4 <> 3)
+SELECT r.customer_id, CAST(r.position AS INTEGER) AS position, CAST(r.vehicle_key AS VARCHAR) AS vehicle_id, r.match_score,
+       'fits ' || CAST(r.rnk AS VARCHAR) AS reason, {py_first_word("i.vehicle_name")} AS make, i.vehicle_name, i.price, i.body_type, i.model_year,
+       i.image_path, '/api/images/' || regexp_extract(i.image_path, '[^/]*$') AS image_url
+FROM it r JOIN inventory i ON r.vehicle_key = i.vehicle_key WHERE r.position <= 3""")
+def _service_recommendations(fx):
+    return tx.service_recommendations(recs_as_service_replies(fx.recs), fx.inventory)
+
+
 _EXPLODED = """SELECT r.customer_id, r.rnk AS rank, CAST(r.vehicle_key AS VARCHAR) AS vehicle_key, '' AS vehicle_name,
        r.match_score, '' AS recommendation_reason, r.talk_script, '[]' AS key_selling_points,
        coalesce(i.image_path, '') AS image_path

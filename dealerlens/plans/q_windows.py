@@ -118,9 +118,9 @@ def _latest_per_key(fx):
 
 @register("top3_per_customer", """
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY rnk, vehicle_key) AS INTEGER) AS pos
-               FROM recs) t WHERE pos <= 2""")
+               FROM recs) t WHERE pos <= 3""")
 def _top3_per_customer(fx):
-    return mon.top3_per_customer(fx.recs, k=2)
+    return mon.top3_per_customer(fx.recs)
 
 
 @register("top3_of_six_per_customer", """

@@ -127,7 +127,7 @@ class HashTable:
 
     def touched(self, source: DataFrame) -> list[int]:
         """Numbers of the partitions of the source's keys (at most ``parts`` of them)."""
-        return sorted(r[0] for r in source.select(self.part_of().alias(PART)).distinct().collect())
+        return sorted(r[0] for r in source.select(self.part_of().alias(PART)).distinct().collect())  # bounded: partitions
 
     def rows_of(self, parts: list[int], schema: StructType) -> DataFrame:
         """The rows of some partitions: a filter on the partition column, so other folders are not read."""
@@ -145,7 +145,7 @@ class HashTable:
         schema = schema or source.schema
         out = combine(self.rows_of(parts, schema), source).select(*schema.fieldNames())
         left = out.select(self.part_of().alias(PART)).distinct()
-        gone = set(parts) - {r[0] for r in left.collect()}
+        gone = set(parts) - {r[0] for r in left.collect()}  # bounded: partitions
         self._write(out)
         for p in gone:
             remove(self.spark, f"{self.path}/{PART}={p}")

@@ -125,11 +125,11 @@ def stream_ingest(spark: SparkSession, source: str, schema, sink: str, checkpoin
             order = F.struct(F.col(ts), F.xxhash64(*[F.col(c).cast("string") for c in fields]))
             keyed = (rows.where(F.col(key).isNotNull()).groupBy(key, "_day", "_b")
                      .agg(F.min_by(F.struct(*[c for c in fields if c != key]), order).alias("_r")).select("_day", "_b", key, "_r.*"))
-            days = [r[0] for r in keyed.select("_day").distinct().collect()]
+            days = [r[0] for r in keyed.select("_day").distinct().collect()]  # bounded: a batch's days
             index = _index_of(days, batch_id)
             if index is not None:
                 hits = possible_repeats(keyed, index, key).persist()
-                zones = hits.select("batch", "_day", "_b").distinct().collect()
+                zones = hits.select("batch", "_day", "_b").distinct().collect()  # bounded: folders, not keys
                 paths = sorted(f"{rows_at}/batch={z.batch}/_day={z['_day']}/_b={z['_b']}" for z in zones)
                 if on_read:
                     on_read(batch_id, paths)

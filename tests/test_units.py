@@ -299,6 +299,8 @@ def test_whole_texts_stay_whole(spark):
 
 
 def test_batch_generate_failure_default_and_cache(spark):
+    from dealerlens.plans.stubs import extractive_stub
+
     prompts = spark.createDataFrame([(1, "p1"), (2, "p2")], "customer_id long, prompt string")
 
     def failing():
@@ -308,7 +310,7 @@ def test_batch_generate_failure_default_and_cache(spark):
 
     out = text.batch_generate(prompts, failing, default="{}").collect()
     assert {(r.reply, r.failed) for r in out} == {("{}", True)}
-    first = text.batch_generate(prompts, text.extractive_stub)
+    first = text.batch_generate(prompts, extractive_stub)
     cache = first.select("prompt_hash", "reply")
     again = text.batch_generate(prompts, failing, default="{}", cache=cache).collect()
     assert all(not r.failed for r in again) and len(again) == 2
