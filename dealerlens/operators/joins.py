@@ -197,11 +197,11 @@ def budget_candidates(customers: DataFrame, inventory: DataFrame, k: int = 20, p
     wanted = starts.select("customer_id", "hi", F.floor(F.col("start") / k).alias("block"), (F.col("start") % k + 1).cast("int").alias("skip"))
     met = wanted.join(succ, "block", "left").select(
         "customer_id", F.filter(F.slice(F.coalesce("vehicles", F.array()), F.col("skip"), k), lambda x: x["price"] <= F.col("hi")).alias("found"))
-    in_budget = _listed(met.where(F.size("found") > 0), "found", False)
     # Fallback: the first k of the whole inventory, one list (a scalar of k vehicles).
     cheapest = succ.where(F.col("block") == 0).agg(F.first(F.slice("vehicles", 1, k))).scalar()
-    none = met.where(F.size("found") == 0).select("customer_id").withColumn("found", cheapest)
-    return in_budget.unionByName(_listed(none, "found", True))
+    none = F.size("found") == 0
+    listed = met.select("customer_id", none.alias("is_fallback"), F.posexplode(F.when(none, cheapest).otherwise(F.col("found"))).alias("pos", "x"))
+    return listed.select("customer_id", "x.vehicle_key", "x.price", (F.col("pos") + 1).alias("candidate_rank"), "is_fallback")
 
 
 def successor_lists(ranked: DataFrame, k: int) -> DataFrame:
@@ -212,11 +212,6 @@ def successor_lists(ranked: DataFrame, k: int) -> DataFrame:
     return blocks.join(after, "block", "left").select("block", F.concat("mine", F.coalesce("next", F.array())).alias("vehicles"))
 
 
-def _listed(customers: DataFrame, found: str, fallback: bool) -> DataFrame:
-    return (customers.select("customer_id", F.posexplode(found).alias("pos", "x"))
-            .select("customer_id", "x.vehicle_key", "x.price", (F.col("pos") + 1).alias("candidate_rank"), F.lit(fallback).alias("is_fallback")))
-
-
 def budget_violations(recs: DataFrame, customers: DataFrame, inventory: DataFrame) -> DataFrame:
     """Recommendations priced above the customer's maximum budget, with the
     overall share of violating recommendations (one-row aggregate)."""

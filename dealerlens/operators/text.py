@@ -434,7 +434,7 @@ PART_ORDER = ("section", "interaction_date", "interaction_id", "piece")
 def build_insight_prompts(customers: DataFrame, interactions: DataFrame, behavior: DataFrame) -> DataFrame:
     """One prompt per customer: profile lines, whole interaction texts in
     date order, then a behaviour block if any; its parts joined."""
-    return join_parts(insight_prompt_parts(customers, interactions, behavior))
+    return join_parts(insight_prompt_parts(customers, interactions, behavior, size=None))
 
 
 def join_parts(parts: DataFrame) -> DataFrame:
@@ -443,12 +443,12 @@ def join_parts(parts: DataFrame) -> DataFrame:
     return parts.groupBy("customer_id").agg(F.array_join(F.transform(listed, lambda x: x["text"]), "").alias("prompt"))
 
 
-def insight_prompt_parts(customers: DataFrame, interactions: DataFrame, behavior: DataFrame, size: int = 4000) -> DataFrame:
+def insight_prompt_parts(customers: DataFrame, interactions: DataFrame, behavior: DataFrame, size: int | None = 4000) -> DataFrame:
     """I1 as ordered parts, one row per (customer, part): the profile (section
     0), the interactions (1) and the behaviour block (2).
 
     In the order of ``PART_ORDER`` a customer's parts read as the prompt.  A
-    text longer than ``size`` characters is cut into pieces.  No operator here
+    text longer than ``size`` characters is cut into pieces (None: never).  No operator here
     groups by customer, so one that holds a third of all interactions is spread
     like all others.
     """
@@ -495,6 +495,8 @@ def insight_prompt_parts(customers: DataFrame, interactions: DataFrame, behavior
         F.concat(F.lit("\n"), "behavior_text").alias("text"))
     # A block without a type is null and says nothing, as in a joined list.
     whole = head.unionByName(told.where(F.col("text").isNotNull())).unionByName(seen)
+    if size is None:
+        return whole.withColumn("piece", F.lit(0)).select("customer_id", *PART_ORDER, "text")
     pieces = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("text") / size).cast("int") - 1, F.lit(0)))
     return (whole.withColumn("piece", F.explode(pieces))
             .withColumn("text", F.when(F.length("text") <= size, F.col("text")).otherwise(F.substring("text", F.col("piece") * size + 1, F.lit(size))))
