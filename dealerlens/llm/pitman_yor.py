@@ -75,7 +75,7 @@ def pair_keys(word: np.ndarray, context: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Pairs:
-    """A chunk's distinct pairs in order of bucket, word and context, and each token's pair."""
+    """A chunk's distinct pairs in order of bucket and word, and each token's pair."""
 
     word: np.ndarray
     context: np.ndarray
@@ -87,7 +87,7 @@ class Pairs:
 def distinct_pairs(chunk: Chunk, held: np.ndarray, buckets: int, hot: np.ndarray) -> Pairs:
     """``hot`` (sorted word hashes): their pairs go to buckets by word and context, all others by word."""
     key = pair_keys(chunk.word, chunk.context)
-    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+    _, first, inverse = distinct(key)
     word, context = chunk.word[first], chunk.context[first]
     train = np.repeat(~held, chunk.count)
     trained = np.bincount(inverse, weights=train, minlength=len(first)).astype(np.int64)
@@ -95,12 +95,26 @@ def distinct_pairs(chunk: Chunk, held: np.ndarray, buckets: int, hot: np.ndarray
     is_hot = find(hot, word) >= 0
     place[is_hot] = key[first][is_hot]
     bucket = ((place >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-    order = np.lexsort((context, word, bucket))
+    # By bucket, then by the word's first bits: a word's pairs stand together (two words that share
+    # the bits may alternate, which only makes more runs).
+    bits = max(1, int(buckets).bit_length())
+    order = np.argsort((bucket.astype(np.uint64) << np.uint64(64 - bits)) | (word >> np.uint64(bits)))
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
     return Pairs(word[order], context[order], trained[order], bucket[order], back[inverse])
 
 
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, a place of each, and each key's number: np.unique without a stable sort."""
+    order = np.argsort(key)
+    near = key[order]
+    head = np.ones(len(near), bool)
+    head[1:] = near[1:] != near[:-1]
+    inverse = np.empty(len(near), np.int64)
+    inverse[order] = np.cumsum(head) - 1
+    return near[head], order[head], inverse
+
+
 def find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Places of x in a sorted table, -1 where it has none."""
     if not len(table):
@@ -236,10 +250,10 @@ class Bucket:
         trained = np.concatenate([read_ints(bytes(r.trained)) for r in rows])
         self.n_pairs = [int(n.sum()) for n in per]
         self.per = per
-        self.key, first, self.of_entry = np.unique(pair_keys(word, context), return_index=True, return_inverse=True)
+        self.key, first, self.of_entry = distinct(pair_keys(word, context))
         self.context = context[first].astype(np.int64)
         self.c = np.bincount(self.of_entry, weights=trained, minlength=len(first)).astype(np.int64)
-        self.word, self.of_word = np.unique(word[first], return_inverse=True)
+        self.word, _, self.of_word = distinct(word[first])
         self.count = np.bincount(self.of_word, weights=self.c, minlength=len(self.word)).astype(np.int64)
 
     def root_customers(self, t: np.ndarray, model: Model, sweep: Totals | None) -> np.ndarray:
