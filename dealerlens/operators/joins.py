@@ -129,7 +129,8 @@ def customers_without_insight(customers: DataFrame, insights: DataFrame) -> Data
     return customers.join(insights.select("customer_id"), "customer_id", "left_anti")
 
 
-def _budget_bounds(customers: DataFrame) -> DataFrame:
+def budget_bounds(customers: DataFrame) -> DataFrame:
+    """customer_id and its price range ``lo``, ``hi``; missing and zero bounds are open."""
     lo = F.when(F.coalesce(F.col("budget_min"), F.lit(0.0)) == 0, F.lit(BUDGET_FLOOR)).otherwise(F.col("budget_min"))
     hi = F.when(F.coalesce(F.col("budget_max"), F.lit(0.0)) == 0, F.lit(BUDGET_CEILING)).otherwise(F.col("budget_max"))
     return customers.select("customer_id", lo.alias("lo"), hi.alias("hi"))
@@ -187,7 +188,7 @@ def budget_candidates(customers: DataFrame, inventory: DataFrame, k: int = 20, p
     listed.
     """
     parts = parts or int(customers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    m = _merged_price_order(inventory, _budget_bounds(customers), parts)
+    m = _merged_price_order(inventory, budget_bounds(customers), parts)
     inv = m.where(F.col("is_vehicle") == 1).select(
         (F.col("offset") + F.col("run") - 1).alias("place"), "vehicle_key", F.col("v").alias("price"))
     # At equal values a floor sorts before the vehicles, so ``run`` counts the

@@ -548,6 +548,56 @@ def build_recommendation_prompts(customers: DataFrame, insights: DataFrame, cand
             .select("customer_id", prompt.alias("prompt")))
 
 
+# The service's recommendation prompt.
+SERVICE_OPENING = "以下の顧客に最適な車両を3台推薦してください。"
+SERVICE_TRANSCRIPT = "商談録音:"
+SERVICE_VEHICLES = "利用可能な車両:"
+SERVICE_FORMAT = (
+    "JSON形式のみで回答:\n"
+    '{"recommendations": [{"vehicle_id": "harrier", "match_score": 95, "reason": "推薦理由2〜3文"}, '
+    '{"vehicle_id": "sienta", "match_score": 88, "reason": "..."}, {"vehicle_id": "freed", "match_score": 82, "reason": "..."}]}')
+SERVICE_SYSTEM = "あなたは自動車販売のエキスパートです。顧客の状況に合わせた説得力ある推薦理由を作成してください。"
+
+
+def build_service_prompts(customers: DataFrame, interactions: DataFrame, candidates: DataFrame, inventory: DataFrame) -> DataFrame:
+    """I2, the service's layout: customer, budget range, preferences, the newest
+    interaction's text, and one line per vehicle (C9's candidates).
+
+    The newest interaction is by date, then id; without one, or with an empty
+    text, its block is left out.  A column that a table lacks prints as empty,
+    a null as ``None``; a missing or zero budget prints C9's bounds.
+    ``SERVICE_SYSTEM`` is the system prompt that goes with it."""
+    from dealerlens.operators.joins import budget_bounds
+
+    def shown(df: DataFrame, c: str) -> Column:
+        return F.coalesce(F.col(c).cast("string"), F.lit("None")) if c in df.columns else F.lit("")
+
+    def thousands(c: Column) -> Column:
+        return F.coalesce(F.format_number(F.floor(c), 0), F.lit("None"))
+
+    key = F.col("vehicle_key").cast("string")
+    line = F.concat(F.lit("- "), key, F.lit(": "), shown(inventory, "vehicle_name"), F.lit(" ("), shown(inventory, "model_year"), F.lit("年) "),
+                    thousands(F.col("price")), F.lit("円 "), shown(inventory, "body_type"), F.lit(" "), shown(inventory, "fuel_type"))
+    inv = inventory.select("vehicle_key", line.alias("line"))
+    lines = (candidates.select("customer_id", "vehicle_key", "candidate_rank").join(inv, "vehicle_key")
+             .groupBy("customer_id").agg(F.array_sort(F.collect_list(F.struct("candidate_rank", "line"))).alias("ls"))
+             .select("customer_id", F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("vehicles")))
+    newest = (interactions.where(F.col("customer_id").isNotNull()).groupBy("customer_id")
+              .agg(F.max_by(F.struct("content"), F.struct("interaction_date", "interaction_id"))["content"].alias("said")))
+    age = F.concat(shown(customers, "age"), F.lit("歳・")) if "age" in customers.columns else F.lit("")
+    head = customers.select(
+        "customer_id",
+        F.concat(F.lit("顧客: "), shown(customers, "contact_name"), F.lit("（"), age, shown(customers, "occupation"), F.lit("）")).alias("who"),
+        F.concat(F.lit("家族: "), shown(customers, "family_detail")).alias("family"),
+        F.concat(F.lit("重視: "), shown(customers, "preferences")).alias("wishes"))
+    j = (head.join(budget_bounds(customers), "customer_id").join(newest, "customer_id", "left").join(lines, "customer_id", "left"))
+    talk = F.when(F.col("said") != "", F.concat(F.lit("\n\n" + SERVICE_TRANSCRIPT + "\n"), "said")).otherwise(F.lit(""))
+    budget = F.concat(F.lit("予算: "), thousands(F.col("lo")), F.lit("〜"), thousands(F.col("hi")), F.lit("円"))
+    prompt = F.concat_ws("\n", F.lit(SERVICE_OPENING), F.lit(""), "who", "family", budget, "wishes", talk, F.lit(""),
+                         F.lit(SERVICE_VEHICLES), F.coalesce("vehicles", F.lit("")), F.lit(""), F.lit(SERVICE_FORMAT))
+    return j.select("customer_id", prompt.alias("prompt"))
+
+
 #: Called once per task, with the system prompt when there is one.
 ModelFactory = Callable[..., Callable[[list[str]], list[str]]]
 

@@ -61,6 +61,28 @@ def _build_recommendation_prompts(fx):
     return tx.build_recommendation_prompts(fx.customers, derived.insights(fx), cand, fx.inventory)
 
 
+@register("build_service_prompts", f"""
+WITH {_C9},
+l AS (SELECT c9.customer_id, string_agg('- ' || CAST(c9.vehicle_key AS VARCHAR) || ': ' || coalesce(i.vehicle_name, 'None') || ' ('
+                                        || coalesce(CAST(i.model_year AS VARCHAR), 'None') || '年) ' || format('{{:,}}', CAST(floor(i.price) AS BIGINT))
+                                        || '円 ' || coalesce(i.body_type, 'None') || ' ', {_NL} ORDER BY c9.candidate_rank) AS vehicles
+      FROM c9 JOIN inventory i ON c9.vehicle_key = i.vehicle_key GROUP BY 1),
+n AS (SELECT customer_id, content FROM (
+  SELECT customer_id, content, row_number() OVER (PARTITION BY customer_id ORDER BY interaction_date DESC, interaction_id DESC) AS rn
+  FROM interactions WHERE customer_id IS NOT NULL) WHERE rn = 1)
+SELECT c.customer_id, '{tx.SERVICE_OPENING}' || {_NL} || {_NL} || '顧客: ' || coalesce(c.contact_name, 'None') || '（' || coalesce(c.occupation, 'None') || '）'
+       || {_NL} || '家族: ' || {_NL} || '予算: '
+       || format('{{:,}}', CAST(floor(CASE WHEN coalesce(c.budget_min, 0) = 0 THEN 0 ELSE c.budget_min END) AS BIGINT)) || '〜'
+       || format('{{:,}}', CAST(floor(CASE WHEN coalesce(c.budget_max, 0) = 0 THEN 99999999 ELSE c.budget_max END) AS BIGINT)) || '円'
+       || {_NL} || '重視: ' || {_NL}
+       || CASE WHEN coalesce(n.content, '') <> '' THEN {_NL} || {_NL} || '{tx.SERVICE_TRANSCRIPT}' || {_NL} || n.content ELSE '' END
+       || {_NL} || {_NL} || '{tx.SERVICE_VEHICLES}' || {_NL} || coalesce(l.vehicles, '') || {_NL} || {_NL}
+       || replace('{tx.SERVICE_FORMAT}', '\n', {_NL}) AS prompt
+FROM customers c LEFT JOIN n ON c.customer_id = n.customer_id LEFT JOIN l ON c.customer_id = l.customer_id""")
+def _build_service_prompts(fx):
+    return tx.build_service_prompts(fx.customers, derived.interactions(fx), jn.budget_candidates(fx.customers, fx.inventory, k=20), fx.inventory)
+
+
 @register("insight_prompt_parts", f"""
 SELECT c.customer_id, 0 AS section, CAST(NULL AS DATE) AS interaction_date, CAST(NULL AS VARCHAR) AS interaction_id, 0 AS piece,
        '顧客名: ' || coalesce(c.contact_name, 'None') || {_NL} || '職業: ' || coalesce(c.occupation, 'None') || {_NL} || {_NL} || '【インタラクション履歴】' AS text

@@ -150,6 +150,21 @@ def test_prompt_parts_join_to_the_prompt_and_spread_a_hot_customer(spark):
     assert prompts[3] == plain(3, "Cy", "clerk", "\n【カーセンサー閲覧行動】\n総セッション数: 2\n総閲覧数: 3\n検索キーワード: kw\n閲覧車両: v\nお気に入り登録数: 1件")
 
 
+def test_service_prompt_layout(spark):
+    customers = spark.createDataFrame([(1, "Ann", None, 40, 1000.0, None, "quiet"), (2, None, "cook", None, 0.0, 2500.0, None)],
+                                      "customer_id long, contact_name string, occupation string, age int, budget_min double, budget_max double, preferences string")
+    said = spark.createDataFrame([(1, "b", "2024-01-02", "late"), (1, "a", "2024-01-02", "early"), (1, "z", "2024-01-01", "old"), (2, "c", "2024-01-01", "")],
+                                 "customer_id long, interaction_id string, interaction_date string, content string")
+    cand = spark.createDataFrame([(1, "v2", 2), (1, "v1", 1)], "customer_id long, vehicle_key string, candidate_rank int")
+    inv = spark.createDataFrame([("v1", "One", 2020, 1234567.0, "mini", None), ("v2", "Two", None, 9.0, "suv", "EV")],
+                                "vehicle_key string, vehicle_name string, model_year int, price double, body_type string, fuel_type string")
+    got = {r.customer_id: r.prompt for r in text.build_service_prompts(customers, said, cand, inv).collect()}
+    assert got[1] == "\n".join([text.SERVICE_OPENING, "", "顧客: Ann（40歳・None）", "家族: ", "予算: 1,000〜99,999,999円", "重視: quiet", "", "", "商談録音:", "late", "",
+                                "利用可能な車両:", "- v1: One (2020年) 1,234,567円 mini None", "- v2: Two (None年) 9円 suv EV", "", text.SERVICE_FORMAT])
+    assert got[2] == "\n".join([text.SERVICE_OPENING, "", "顧客: None（None歳・cook）", "家族: ", "予算: 0〜2,500円", "重視: None", "", "",
+                                "利用可能な車両:", "", "", text.SERVICE_FORMAT])
+
+
 # --- replies of the service's shape ------------------------------------------------------
 
 def test_service_reply_rules(spark):
