@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealerlens.llm.common import crc32_mod, document_runs, texts
@@ -16,8 +16,10 @@ CHUNK = 512        # bytes of a chunk
 OVERLAP = 32       # bytes that neighbouring chunks share
 WIDTH = 6          # bytes that a filter sees
 FILTERS = 16
-TRAIN_ROWS = 3000  # at most so many labelled documents of each class are fitted
-TRAIN_CHUNKS = 4   # evenly spread chunks of a training document
+TRAIN_ROWS = 1500  # at most so many labelled documents of each class are fitted, whole
+TRAIN_BYTES = 12_000_000  # and so many bytes of each class: rows up to there
+BATCH = 12         # documents of a training step
+BLOCK = 256        # chunks that are filtered at once
 EPOCHS = 12
 
 
@@ -54,28 +56,40 @@ def _pool(net_table: np.ndarray, bias: np.ndarray, chunks: np.ndarray) -> tuple[
     return np.maximum(top, 0), at
 
 
-def fit(chunks: np.ndarray, target: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS, seed: int = 3) -> Network:
-    """Learn filters and output weights with Adam on the weighted log loss."""
+def document_logits(net: Network, chunks: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One logit per document, the mean over its ``n`` chunks; each chunk's pooled filters and where they are."""
+    parts = [_pool(net.table, net.bias, chunks[i:i + BLOCK]) for i in range(0, len(chunks), BLOCK)]
+    h, at = (np.concatenate(x) for x in zip(*parts))
+    return np.add.reduceat(h @ net.out, np.cumsum(n) - n) / n + net.out_bias, h, at
+
+
+def gradients(net: Network, chunks: np.ndarray, n: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
+    """Gradients of the mean log loss of some documents by table, bias, out and out_bias."""
+    logit, h, at = document_logits(net, chunks, n)
+    g_doc = (1 / (1 + np.exp(-logit)) - target) / len(n)
+    g = np.repeat(g_doc / n, n).astype(np.float32)  # each chunk's share of its document's logit
+    gh = g[:, None] * net.out * (h > 0)
+    gt = np.zeros_like(net.table)
+    f = np.arange(FILTERS)
+    for k in range(WIDTH):
+        np.add.at(gt[k], (np.take_along_axis(chunks, at + k, axis=1), f), gh)
+    return [gt, gh.sum(0), h.T @ g, np.array([g_doc.sum()], np.float32)]
+
+
+def fit(chunks: np.ndarray, n: np.ndarray, target: np.ndarray, epochs: int = EPOCHS, seed: int = 3) -> Network:
+    """Learn filters and output weights with Adam on the log loss of whole documents (``n`` chunks each)."""
     rng = np.random.default_rng(seed)
     p = [rng.normal(0, 0.1, (WIDTH, 256, FILTERS)).astype(np.float32), np.full(FILTERS, 0.1, np.float32),
          rng.normal(0, 0.3, FILTERS).astype(np.float32), np.zeros(1, np.float32)]
     m1, m2 = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
-    step = 0
+    step, start = 0, np.cumsum(n) - n
     for _ in range(epochs):
-        order = rng.permutation(len(chunks))
-        for i in range(0, len(order), 64):
-            pick = order[i:i + 64]
-            x, y, w = chunks[pick], target[pick], weight[pick]
-            h, at = _pool(p[0], p[1], x)
-            prob = 1 / (1 + np.exp(-(h @ p[2] + p[3][0])))
-            g = ((prob - y) * w / len(pick)).astype(np.float32)
-            gh = g[:, None] * p[2] * (h > 0)
-            gt = np.zeros_like(p[0])
-            f = np.arange(FILTERS)
-            for k in range(WIDTH):
-                np.add.at(gt[k], (np.take_along_axis(x, at + k, axis=1), f), gh)
+        order = rng.permutation(len(n))
+        for i in range(0, len(order), BATCH):
+            pick = order[i:i + BATCH]
+            x = np.concatenate([chunks[start[d]:start[d] + n[d]] for d in pick])
             step += 1
-            for j, grad in enumerate((gt, gh.sum(0), h.T @ g, g.sum(keepdims=True))):
+            for j, grad in enumerate(gradients(Network(p[0], p[1], p[2], float(p[3][0])), x, n[pick], target[pick])):
                 grad = grad + 1e-4 * p[j] if j in (0, 2) else grad
                 m1[j] = 0.9 * m1[j] + 0.1 * grad
                 m2[j] = 0.999 * m2[j] + 0.001 * grad * grad
@@ -110,13 +124,17 @@ def score_bytes(net: Network, run: list[bytes]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(sums / counts, -500, 500)))
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, fold: int = 2, folds: int = 4) -> Network | None:
+def train_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, fold: int = 2, folds: int = 4,
+                  train_bytes: int = TRAIN_BYTES) -> Network | None:
     """Fit on labelled documents outside the held-out fold.
 
-    At most ``train_rows`` documents of each class are used (those first in a
-    hash order of doc_id), with ``TRAIN_CHUNKS`` chunks each: a bounded sample,
-    so the driver holds a few MB at any input size.  Only text bytes are
-    inputs.  Rows with null labels or ids are ignored.  None without labels.
+    Of each class at most ``train_rows`` documents are used, those first in a
+    hash order of doc_id, and of these the ones up to ``train_bytes`` in all: a
+    bounded sample, so the driver holds 24 MB of text at most at any input
+    size.  Every chunk of a training document counts, and its logit is pooled
+    as in scoring.  A document of more than ``train_bytes`` is no training
+    row.  Only text bytes are inputs.  Rows with null labels or ids are
+    ignored.  None without labels.
     """
     lab = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
            .where("doc_id is not null and quality in (0, 1)").where(crc32_mod("doc_id", folds) != fold).distinct())
@@ -125,26 +143,17 @@ def train_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
     for q in (0, 1):
         part = lab.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
         picked = part if picked is None else picked.unionAll(part)
-
-    def cut(batches):
-        for b in batches:
-            for i, data, q in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                starts = chunk_starts(len(data))
-                starts = starts[np.unique(np.linspace(0, len(starts) - 1, TRAIN_CHUNKS).astype(int))]
-                x = chunk_matrix(data, starts)
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([q], pa.int32()), pa.array([x.tobytes()], pa.binary())],
-                                                 ["doc_id", "quality", "chunks"])
-
-    # picked has at most 2 * train_rows rows of 12 bytes.
-    rows = (texts(docs).join(F.broadcast(picked), "doc_id")
-            .mapInArrow(cut, "doc_id long, quality int, chunks binary").collect())
+    # picked has at most 2 * train_rows rows of 12 bytes; the window below runs over their sizes.
+    size = F.octet_length("text").alias("size")
+    sized = texts(docs).join(F.broadcast(picked), "doc_id").where(F.octet_length("text") <= train_bytes).select("doc_id", "quality", size, F.xxhash64("text").alias("mark"))
+    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id", "mark")
+    used = sized.withColumn("upto", F.sum("size").over(order)).where(F.col("upto") <= train_bytes).select("doc_id", "quality").distinct()
+    rows = texts(docs).where(F.octet_length("text") <= train_bytes).join(F.broadcast(used), "doc_id").select("doc_id", "quality", "text").collect()
     if not rows:
         return None
-    rows.sort(key=lambda r: (r.doc_id, r.quality, r.chunks))
-    parts = [np.frombuffer(r.chunks, np.uint8).reshape(-1, CHUNK) for r in rows]
-    n = np.array([len(x) for x in parts])
-    y = np.repeat([float(r.quality) for r in rows], n)
-    net = fit(np.concatenate(parts), y, np.repeat(TRAIN_CHUNKS / n, n) / 2)
+    rows.sort(key=lambda r: (r.doc_id, r.quality, bytes(r.text)))
+    parts = [chunk_matrix(bytes(r.text), chunk_starts(len(r.text))) for r in rows]
+    net = fit(np.concatenate(parts), np.array([len(x) for x in parts]), np.array([float(r.quality) for r in rows]))
     # The sample has other class shares than the labels: move the logit to theirs.
     fitted = {q: max(1, sum(r.quality == q for r in rows)) for q in (0, 1)}
     shift = np.log(found.get(1, 1) / fitted[1]) - np.log(found.get(0, 1) / fitted[0])
