@@ -77,7 +77,7 @@ SELECT c.customer_id, '{tx.SERVICE_OPENING}' || {_NL} || {_NL} || '顧客: ' ||
        || {_NL} || '重視: ' || {_NL}
        || CASE WHEN coalesce(n.content, '') <> '' THEN {_NL} || {_NL} || '{tx.SERVICE_TRANSCRIPT}' || {_NL} || n.content ELSE '' END
        || {_NL} || {_NL} || '{tx.SERVICE_VEHICLES}' || {_NL} || coalesce(l.vehicles, '') || {_NL} || {_NL}
-       || replace('{tx.SERVICE_FORMAT}', '\n', {_NL}) AS prompt
+       || '{tx.SERVICE_FORMAT}' AS prompt
 FROM customers c LEFT JOIN n ON c.customer_id = n.customer_id LEFT JOIN l ON c.customer_id = l.customer_id""")
 def _build_service_prompts(fx):
     return tx.build_service_prompts(fx.customers, derived.interactions(fx), jn.budget_candidates(fx.customers, fx.inventory, k=20), fx.inventory)
@@ -108,7 +108,7 @@ def _insight_prompt_parts(fx):
 WITH pr AS ({_INSIGHT_PROMPTS}),
 l AS (SELECT customer_id, prompt, split_part(prompt, {_NL}, 1) AS first_line FROM pr)
 SELECT customer_id, sha256(prompt) AS prompt_hash, false AS failed,
-       '```json' || {_NL} || '{{"deep_needs": [' || array_to_string(list_transform(list_filter(string_split_regex(first_line, '\s+'), lambda w: w <> '')[1:2],
+       '```json' || {_NL} || '{{"deep_needs": [' || array_to_string(list_transform(list_filter(string_split_regex(first_line, '\\s+'), lambda w: w <> '')[1:2],
                                                                     lambda w: CAST(to_json(w) AS VARCHAR)), ', ')
        || '], "summary": ' || CAST(to_json(first_line) AS VARCHAR) || '}}' || {_NL} || '```' AS reply
 FROM l""")
