@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealerlens.llm.common import (
-    document_runs, mix64, power_of_two, read_coded, save, sorted_coded, stream64, texts, total_bytes, window_hashes, word_hashes,
+    document_runs, mix64, power_of_two, read_coded, save, slices, sorted_coded, stream64, texts, total_bytes, window_hashes, word_hashes,
 )
 from dealerlens.llm.components import connected_components
 
@@ -204,7 +204,7 @@ LIST_SCHEMA = "kind string, list long, a long, b long, n long"
 
 
 def list_pairs(lists: np.ndarray, members: np.ndarray, sizes: np.ndarray) -> pa.Table:
-    """Candidates of many lists at once: rows ("pair", -, a, b, -) and ("long", list, member, -, size).
+    """Candidates of many lists at once: rows ("pair", -, a, b, lists shared) and ("long", list, member, -, size).
 
     ``sizes`` are doubled, plus one where the member may be the smaller of a
     pair.  A list of up to ``LONG`` members gives all pairs whose sizes allow a
@@ -248,13 +248,17 @@ def list_pairs(lists: np.ndarray, members: np.ndarray, sizes: np.ndarray) -> pa.
         fresh = np.r_[True, (lists[i][1:] != lists[i][:-1]) | (step[1:] != step[:-1])]
         add(i[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]], i)
     a, b = np.concatenate(a or [members[:0]]), np.concatenate(b or [members[:0]])
-    pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    edge = np.flatnonzero((np.diff(a, prepend=0) != 0) | (np.diff(b, prepend=0) != 0) | (np.arange(len(a)) == 0))
+    lists_shared = np.diff(edge, append=len(a))
+    a, b = a[edge], b[edge]
     n_long = int(long.sum())
     pad = np.zeros(n_long, np.int64)
-    return pa.table({"kind": pa.array(["pair"] * len(pairs) + ["long"] * n_long, pa.string()),
-                     "list": pa.array(np.concatenate([np.zeros(len(pairs), np.int64), lists[long]])),
-                     "a": pa.array(np.concatenate([pairs[:, 0], members[long]])), "b": pa.array(np.concatenate([pairs[:, 1], pad])),
-                     "n": pa.array(np.concatenate([np.zeros(len(pairs), np.int64), sizes[long]]))})
+    return pa.table({"kind": pa.array(["pair"] * len(a) + ["long"] * n_long, pa.string()),
+                     "list": pa.array(np.concatenate([np.zeros(len(a), np.int64), lists[long]])),
+                     "a": pa.array(np.concatenate([a, members[long]])), "b": pa.array(np.concatenate([b, pad])),
+                     "n": pa.array(np.concatenate([lists_shared, sizes[long]]))})
 
 
 def _bucket_pairs(key, table):
@@ -334,34 +338,54 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     Low bits bound the intersection from above, so most pairs end there; the
     others compare their whole sets.
     """
-    def joined(p: DataFrame, column: str) -> DataFrame:
-        ids = p.select(F.col("a").alias("sid")).unionAll(p.select("b")).distinct()
-        some = sets.select("sid", "n", column).join(ids, "sid", "left_semi")  # few pairs: the other sets stay where they are
-        left = some.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col(column).alias("sa"))
-        right = some.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col(column).alias("sb"))
-        return p.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb")
-
-    def passing(kind: str):
-        exact = kind == "full"
-
-        def run(batches):
-            for batch in batches:
-                keep = np.zeros(batch.num_rows, bool)
-                for i in range(batch.num_rows):
-                    na, nb, sa, sb = (batch.column(c)[i].as_py() for c in range(2, 6))
-                    x, y = (np.frombuffer(s, np.uint64 if exact else np.uint16) for s in (sa, sb))
-                    both = np.concatenate([x, y])
-                    both.sort()
-                    shared = int((both[1:] == both[:-1]).sum())
-                    if not exact:
-                        shared += min(na - len(x), nb - len(y))
-                    keep[i] = 100 * shared >= PERCENT * (na + nb - shared)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
-
-        return run
-
-    near = save(joined(pairs, "low").mapInArrow(passing("low"), "a long, b long"), "near")
-    return joined(near, "full").mapInArrow(passing("full"), "a long, b long")
+    return meet(save(meet(pairs, sets, "low"), "near"), sets, "full")
+
+
+def meet(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """The pairs that the sets' ``column`` lets through.
+
+    Each set a is a centre: up to ``BLOCK`` of its partners b travel to it in
+    one block, and a's own set once per block, ahead of them.  A task holds one
+    centre and one batch of partners.
+    """
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    blocks = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("block"), F.col("b").alias("sid"))
+    blocks = blocks.unionAll(blocks.select("a", "block", F.col("a").alias("sid")).distinct())
+    rows = save(blocks, "blocks").join(sets.select("sid", "n", F.col(column).alias("marks")), "sid")
+    rows = rows.select("a", "block", (F.col("sid") != F.col("a")).alias("partner"), "sid", "n", "marks")
+    kind = np.uint64 if column == "full" else np.uint16
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, size = np.zeros(0, kind), 0
+        for batch in batches:
+            partner, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("partner", "n"))
+            keep = np.zeros(batch.num_rows, bool)
+            for i, marks in enumerate(batch.column("marks")):
+                here = np.frombuffer(marks.as_buffer(), kind)
+                if not partner[i]:
+                    centre, size = here.copy(), n[i]
+                    continue
+                both = np.concatenate([centre, here])
+                both.sort()
+                shared = int((both[1:] == both[:-1]).sum()) + min(size - len(centre), n[i] - len(here))
+                keep[i] = 100 * shared >= PERCENT * (size + n[i] - shared)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("sid")], ["a", "b"]).filter(pa.array(keep))
+
+    return rows.repartition("a", "block").sortWithinPartitions("a", "block", "partner").mapInArrow(compare, "a long, b long")
+
+
+def apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are not in one component."""
+    of = {c: component.select(F.col("node").alias(c), F.col("component").alias("c" + c)) for c in "ab"}
+    named = pairs.join(of["a"], "a", "left").join(of["b"], "b", "left")
+    return named.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def nearest(pairs: DataFrame) -> DataFrame:
+    """Each set's pair with the set that it shares the most lists with (ties: the smallest)."""
+    both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    best = both.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("best")).select("a", (-F.col("best.b")).alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _cells(s: np.ndarray) -> bytes:
@@ -379,17 +403,17 @@ def _sketch(s: np.ndarray) -> bytes:
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """sid, n, cells, sketch, low, full of the wanted sets (sid, doc_id), read from the texts again (once per row of that doc_id and text)."""
     def run(batches):
-        for b in batches:
-            for sid, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                s = shingle_sets([data])[0]
-                if set_key(s, 31) == sid:
+        for batch in batches:
+            for sids, data in slices(batch.column("sid").to_pylist(), batch.column("text").to_pylist()):
+                found = [(sid, s) for sid, s in zip(sids, shingle_sets(data)) if set_key(s, 31) == sid]
+                if found:
+                    sids, sets = zip(*found)
+                    marks = [[f(s) for s in sets] for f in (_cells, _sketch, lambda s: np.unique(s.astype(np.uint16)).tobytes(), np.ndarray.tobytes)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([sid], pa.int64()), pa.array([len(s)], pa.int64()), pa.array([_cells(s)], pa.binary()), pa.array([_sketch(s)], pa.binary()), pa.array([np.unique(s.astype(np.uint16)).tobytes()], pa.binary()), pa.array([s.tobytes()], pa.binary())],
+                        [pa.array(sids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.binary()) for x in marks)],
                         ["sid", "n", "cells", "sketch", "low", "full"])
 
-    rows = wanted.count()
-    small = F.broadcast(wanted) if rows <= 1_000_000 else wanted  # 16 bytes a row; beyond that Spark shuffles
-    found = texts(docs).join(small, "doc_id").select("doc_id", "sid", "text")
+    found = texts(docs).join(save(wanted, "wanted"), "doc_id").select("sid", "text")
     return found.mapInArrow(run, "sid long, n long, cells binary, sketch binary, low binary, full binary")
 
 
@@ -410,28 +434,30 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     classes = save(rows.where("n > 0 and doc_id is not null").groupBy("gid", "sid", "n").agg(F.min("doc_id").alias("doc_id")), "classes")
     found = save(group_postings(docs, order, bits).groupBy("bucket").applyInArrow(_bucket_pairs, LIST_SCHEMA), "pairs")
 
-    # Expand groups to their classes, and add pairs inside groups of several classes.
-    inside = classes.groupBy("gid").count().where("count > 1").select("gid")
-    inside = classes.join(inside, "gid").groupBy("gid").applyInArrow(
-        lambda t: list_pairs(t["gid"].to_numpy(), t["sid"].to_numpy(), 2 * t["n"].to_numpy() + 1), LIST_SCHEMA)
-    inside = save(inside, "inside")
+    # Expand groups to their classes; the classes of one group link to its smallest, and are a list of their own.
+    inside = classes.groupBy("gid").agg(F.count("*").alias("c"), F.min("sid").alias("a")).where("c > 1").select("gid", "a")
+    inside = save(classes.join(inside, "gid").select("gid", "a", "sid", "n"), "inside")
     one, two = classes.select(F.col("gid").alias("a"), F.col("sid").alias("sa")), classes.select(F.col("gid").alias("b"), F.col("sid").alias("sb"))
-    across = found.where("kind = 'pair'").select("a", "b").distinct().join(one, "a").join(two, "b").select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b"))
-    pairs = save(across.unionAll(inside.where("kind = 'pair'").select("a", "b")).where("a <> b").distinct(), "candidates")
+    across = found.where("kind = 'pair'").groupBy("a", "b").agg(F.sum("n").alias("n")).join(one, "a").join(two, "b")
+    across = across.select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b"), "n")
+    pairs = across.unionAll(inside.select("a", F.col("sid").alias("b"), "n")).where("a <> b")
+    pairs = save(pairs.groupBy("a", "b").agg(F.sum("n").alias("n")), "candidates")
     long = found.where("kind = 'long'").select("list", F.col("a").alias("gid"), "n").join(classes.select("gid", "sid"), "gid").select("list", "sid", "n")
-    long = long.unionAll(inside.where("kind = 'long'").select("list", F.col("a").alias("sid"), "n"))
+    long = long.unionAll(inside.select(F.col("gid").alias("list"), "sid", 2 * F.col("n") + 1))
 
     wanted = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select("b")).unionAll(long.select("sid")).distinct()
     sets = save(sets_of(docs, classes.groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(wanted, "sid").select("doc_id", "sid")), "sets")
     if sets.count() > sets.select("sid").distinct().count():  # rows of one doc_id and text
         sets = save(sets.dropDuplicates(["sid"]), "sets")
-    links = save(verify(pairs, sets), "links")
-    component = connected_components(links)
-    if found.where("kind = 'long'").limit(1).count() or inside.where("kind = 'long'").limit(1).count():
-        # Large groups of near copies join by their nearest pairs; whatever is
-        # still apart is then compared in full, so the first round only saves pairs.
-        for nearest in (True, False):
-            more, long = cross_pairs(long, component, sets, nearest)
+    # Nearest pairs first: near copies come together by about one pair each, and
+    # only what is still apart is compared further.
+    first = save(nearest(pairs), "first")
+    component = connected_components(save(verify(first, sets), "links"))
+    rest = save(apart(pairs.join(first, ["a", "b"], "left_anti"), component), "rest")
+    component = connected_components(save(verify(rest, sets), "links").unionAll(component.select("node", "component")))
+    if long.limit(1).count():
+        for by_sketch in (True, False):
+            more, long = cross_pairs(long, component, sets, by_sketch)
             more = save(more, "cross")
             if more.limit(1).count():
                 more = save(verify(more, sets), "links")
