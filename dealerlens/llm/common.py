@@ -47,6 +47,20 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def save_by_key(df: DataFrame, name: str, key: str, buckets: int) -> str:
+    """Write to a fresh table in buckets of ``key`` and return its name: a join on the key leaves it where it is.
+
+    Spark keeps a table's buckets in its catalog, so its name there stays until
+    it is dropped; the files lie below spark.checkpoint.dir.
+    """
+    from dealerlens.session import scratch_path
+
+    path = scratch_path(df.sparkSession, f"llm-{name}")
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    return table
+
+
 def total_bytes(docs: DataFrame) -> int:
     """Bytes of all texts; it sets the number of groups, never a result."""
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealerlens.llm.common import (
-    document_runs, mix64, power_of_two, read_coded, save, slices, sorted_coded, stream64, texts, total_bytes, window_hashes, word_hashes,
+    document_runs, mix64, power_of_two, read_coded, save, save_by_key, slices, sorted_coded, stream64, texts, total_bytes, window_hashes, word_hashes,
 )
 from dealerlens.llm.components import connected_components
 
@@ -400,12 +400,21 @@ def _sketch(s: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sid, n, cells, sketch, low, full of the wanted sets (sid, doc_id), read from the texts again (once per row of that doc_id and text)."""
+def sets_of(docs: DataFrame, wanted: DataFrame) -> str:
+    """The name of a table of sid, n, cells, sketch, low, full of the wanted sets (sid, doc_id), read from the texts again.
+
+    The table is bucketed by sid, so that the rounds of verification bring the
+    narrow pairs to the sets.  Rows of one doc_id and text give one set.
+    """
     def run(batches):
+        last = None
         for batch in batches:
             for sids, data in slices(batch.column("sid").to_pylist(), batch.column("text").to_pylist()):
-                found = [(sid, s) for sid, s in zip(sids, shingle_sets(data)) if set_key(s, 31) == sid]
+                found = []
+                for sid, s in zip(sids, shingle_sets(data)):
+                    if sid != last and set_key(s, 31) == sid:
+                        found.append((sid, s))
+                        last = sid
                 if found:
                     sids, sets = zip(*found)
                     marks = [[f(s) for s in sets] for f in (_cells, _sketch, lambda s: np.unique(s.astype(np.uint16)).tobytes(), np.ndarray.tobytes)]
@@ -413,8 +422,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         [pa.array(sids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.binary()) for x in marks)],
                         ["sid", "n", "cells", "sketch", "low", "full"])
 
-    found = texts(docs).join(save(wanted, "wanted"), "doc_id").select("sid", "text")
-    return found.mapInArrow(run, "sid long, n long, cells binary, sketch binary, low binary, full binary")
+    buckets = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 100_000)  # the most that Spark allows
+    found = texts(docs).join(save(wanted, "wanted"), "doc_id").select("sid", "text").repartition(buckets, "sid").sortWithinPartitions("sid")
+    return save_by_key(found.mapInArrow(run, "sid long, n long, cells binary, sketch binary, low binary, full binary"), "sets", "sid", buckets)
 
 
 # --- the join ---------------------------------------------------------------------------
@@ -446,9 +456,8 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     long = long.unionAll(inside.select(F.col("gid").alias("list"), "sid", 2 * F.col("n") + 1))
 
     wanted = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select("b")).unionAll(long.select("sid")).distinct()
-    sets = save(sets_of(docs, classes.groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(wanted, "sid").select("doc_id", "sid")), "sets")
-    if sets.count() > sets.select("sid").distinct().count():  # rows of one doc_id and text
-        sets = save(sets.dropDuplicates(["sid"]), "sets")
+    table = sets_of(docs, classes.groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(wanted, "sid").select("doc_id", "sid"))
+    sets = spark.table(table)
     # Nearest pairs first: near copies come together by about one pair each, and
     # only what is still apart is compared further.
     first = save(nearest(pairs), "first")
@@ -462,6 +471,7 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
             if more.limit(1).count():
                 more = save(verify(more, sets), "links")
                 component = connected_components(more.unionAll(component.select("node", "component")))
+    spark.sql(f"DROP TABLE {table}")  # its name only; every round's links are saved
     named = classes.join(component.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("least"))
     of_set = named.join(least, "component").groupBy("sid").agg(F.min("least").alias("least"))
