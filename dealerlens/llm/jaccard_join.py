@@ -276,7 +276,7 @@ def _bucket_pairs(key, table):
     return list_pairs(lists[pick], gids[pick], sizes[pick])
 
 
-def cross_pairs(long: DataFrame, component: DataFrame, sets: DataFrame, nearest: bool) -> tuple[DataFrame, DataFrame]:
+def cross_pairs(long: DataFrame, component: DataFrame, sets: DataFrame, homes: DataFrame, nearest: bool) -> tuple[DataFrame, DataFrame]:
     """(a, b) of members of one long list that are not in one component yet, and
     the rows of ``long`` that a later round still needs (closed lists stay closed).
 
@@ -285,8 +285,8 @@ def cross_pairs(long: DataFrame, component: DataFrame, sets: DataFrame, nearest:
     all that the bound lets through.
 
     ``long``: list, sid, n (as in ``list_pairs``); ``component``: node,
-    component; ``sets``: sid, cells, sketch.  Before any pair is formed, lists inside
-    one component go, and of lists with the same members (the shingles of one
+    component; ``sets``: home, sid, cells, sketch; ``homes``: sid, home.  Before
+    any pair is formed, lists inside one component go, and of lists with the same members (the shingles of one
     passage) one stays.  The sum of the smaller counts of each cell is an upper
     bound of the intersection; only pairs that it lets through come out.  Lists
     longer than ``BLOCK`` are compared in pairs of hashed blocks.
@@ -296,7 +296,7 @@ def cross_pairs(long: DataFrame, component: DataFrame, sets: DataFrame, nearest:
     lists = named.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), mark.alias("mark"), F.count("*").alias("c"))
     lists = lists.where("lo <> hi").groupBy("mark", "c").agg(F.min("list").alias("list")).select("list", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
     still = save(named.join(lists, "list"), "open")
-    named = still.join(sets.select("sid", F.col("sketch" if nearest else "cells").alias("marks")), "sid")
+    named = with_sets(still, sets, homes, {"sketch" if nearest else "cells": "marks"})
     named = named.withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     named = named.select("list", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "sid", "n", "component", "marks")
 
@@ -331,17 +331,17 @@ def cross_pairs(long: DataFrame, component: DataFrame, sets: DataFrame, nearest:
 
 # --- verification -----------------------------------------------------------------------
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, homes: DataFrame) -> DataFrame:
     """The pairs (a, b) of set ids whose sets link.
 
-    ``sets``: sid, n, low (distinct lowest 16 bits, ascending), full (hashes).
-    Low bits bound the intersection from above, so most pairs end there; the
-    others compare their whole sets.
+    ``sets``: home, sid, n, low (distinct lowest 16 bits, ascending), full
+    (hashes); ``homes``: sid, home.  Low bits bound the intersection from above,
+    so most pairs end there; the others compare their whole sets.
     """
-    return meet(save(meet(pairs, sets, "low"), "near"), sets, "full")
+    return meet(save(meet(pairs, sets, homes, "low"), "near"), sets, homes, "full")
 
 
-def meet(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+def meet(pairs: DataFrame, sets: DataFrame, homes: DataFrame, column: str) -> DataFrame:
     """The pairs that the sets' ``column`` lets through.
 
     Each set a is a centre: up to ``BLOCK`` of its partners b travel to it in
@@ -351,7 +351,7 @@ def meet(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     blocks = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("block"), F.col("b").alias("sid"))
     blocks = blocks.unionAll(blocks.select("a", "block", F.col("a").alias("sid")).distinct())
-    rows = save(blocks, "blocks").join(sets.select("sid", "n", F.col(column).alias("marks")), "sid")
+    rows = with_sets(save(blocks, "blocks"), sets, homes, {"n": "n", column: "marks"})
     rows = rows.select("a", "block", (F.col("sid") != F.col("a")).alias("partner"), "sid", "n", "marks")
     kind = np.uint64 if column == "full" else np.uint16
 
@@ -400,31 +400,47 @@ def _sketch(s: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> str:
-    """The name of a table of sid, n, cells, sketch, low, full of the wanted sets (sid, doc_id), read from the texts again.
+def with_sets(rows: DataFrame, sets: DataFrame, homes: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``rows`` (sid, ...) with columns of their sets, under new names.
 
-    The table is bucketed by sid, so that the rounds of verification bring the
-    narrow pairs to the sets.  Rows of one doc_id and text give one set.
+    The rows, narrow, learn the document of their set and travel to its bucket;
+    the sets stay where they are.  Several sets of one document (rows that
+    share a doc_id) are told apart there.
+    """
+    have = sets.select("home", F.col("sid").alias("of"), *(F.col(c).alias(name) for c, name in columns.items()))
+    # Not an equality of two columns: that would be a key of the join, and the table is bucketed by one key.
+    return rows.join(homes, "sid").join(have, "home").where(F.col("of").bitwiseXOR(F.col("sid")) == 0).drop("home", "of")
+
+
+def sets_of(docs: DataFrame, homes: DataFrame) -> str:
+    """The name of a table of home, sid, n, cells, sketch, low, full of the sets in ``homes`` (sid, home), read from the texts again.
+
+    A set's home is the document that it is read from.  The table is bucketed
+    by home, as the texts arrive, so texts are shuffled once and the rounds of
+    verification bring the narrow pairs to the sets.  Rows of one doc_id and
+    text give one set.
     """
     def run(batches):
         last = None
         for batch in batches:
-            for sids, data in slices(batch.column("sid").to_pylist(), batch.column("text").to_pylist()):
+            keys = list(zip(batch.column("home").to_pylist(), batch.column("sid").to_pylist()))
+            for keys, data in slices(keys, batch.column("text").to_pylist()):
                 found = []
-                for sid, s in zip(sids, shingle_sets(data)):
-                    if sid != last and set_key(s, 31) == sid:
-                        found.append((sid, s))
-                        last = sid
+                for key, s in zip(keys, shingle_sets(data)):
+                    if key != last and set_key(s, 31) == key[1]:
+                        found.append((*key, s))
+                        last = key
                 if found:
-                    sids, sets = zip(*found)
+                    home, sids, sets = zip(*found)
                     marks = [[f(s) for s in sets] for f in (_cells, _sketch, lambda s: np.unique(s.astype(np.uint16)).tobytes(), np.ndarray.tobytes)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(sids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.binary()) for x in marks)],
-                        ["sid", "n", "cells", "sketch", "low", "full"])
+                        [pa.array(home, pa.int64()), pa.array(sids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                         *(pa.array(x, pa.binary()) for x in marks)], ["home", "sid", "n", "cells", "sketch", "low", "full"])
 
     buckets = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 100_000)  # the most that Spark allows
-    found = texts(docs).join(save(wanted, "wanted"), "doc_id").select("sid", "text").repartition(buckets, "sid").sortWithinPartitions("sid")
-    return save_by_key(found.mapInArrow(run, "sid long, n long, cells binary, sketch binary, low binary, full binary"), "sets", "sid", buckets)
+    found = texts(docs).withColumnRenamed("doc_id", "home").join(homes, "home").select("home", "sid", "text")
+    found = found.repartition(buckets, "home").sortWithinPartitions("home", "sid")
+    return save_by_key(found.mapInArrow(run, "home long, sid long, n long, cells binary, sketch binary, low binary, full binary"), "sets", "home", buckets)
 
 
 # --- the join ---------------------------------------------------------------------------
@@ -456,20 +472,21 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     long = long.unionAll(inside.select(F.col("gid").alias("list"), "sid", 2 * F.col("n") + 1))
 
     wanted = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select("b")).unionAll(long.select("sid")).distinct()
-    table = sets_of(docs, classes.groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(wanted, "sid").select("doc_id", "sid"))
+    homes = save(classes.groupBy("sid").agg(F.min("doc_id").alias("home")).join(wanted, "sid"), "homes")
+    table = sets_of(docs, homes)
     sets = spark.table(table)
     # Nearest pairs first: near copies come together by about one pair each, and
     # only what is still apart is compared further.
     first = save(nearest(pairs), "first")
-    component = connected_components(save(verify(first, sets), "links"))
+    component = connected_components(save(verify(first, sets, homes), "links"))
     rest = save(apart(pairs.join(first, ["a", "b"], "left_anti"), component), "rest")
-    component = connected_components(save(verify(rest, sets), "links").unionAll(component.select("node", "component")))
+    component = connected_components(save(verify(rest, sets, homes), "links").unionAll(component.select("node", "component")))
     if long.limit(1).count():
         for by_sketch in (True, False):
-            more, long = cross_pairs(long, component, sets, by_sketch)
+            more, long = cross_pairs(long, component, sets, homes, by_sketch)
             more = save(more, "cross")
             if more.limit(1).count():
-                more = save(verify(more, sets), "links")
+                more = save(verify(more, sets, homes), "links")
                 component = connected_components(more.unionAll(component.select("node", "component")))
     spark.sql(f"DROP TABLE {table}")  # its name only; every round's links are saved
     named = classes.join(component.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))

@@ -288,6 +288,18 @@ def test_jaccard_edges(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [2, 9, None, None]
 
 
+def test_jaccard_two_texts_of_one_id(spark):
+    """Different texts under one doc_id are different sets with one home; each meets its own near copies."""
+    from dealerlens.llm.jaccard_join import jaccard_groups
+
+    def text(word, last):
+        return " ".join(f"{word}{i}" for i in range(60)) + " " + last
+
+    rows = [(1, text("x", "end")), (1, text("y", "end")), (1, text("y", "end")), (5, text("x", "stop")), (6, text("y", "stop")), (7, text("z", "stop"))]
+    got = [(r.doc_id, r.component_id) for r in jaccard_groups(documents(spark, rows)).collect()]
+    assert sorted(got) == [(1, 1), (1, 1), (1, 1), (5, 1), (6, 1), (7, 7)]
+
+
 def test_jaccard_sample(spark):
     from dealerlens.llm.queries import QUERIES
 
