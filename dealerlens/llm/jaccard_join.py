@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,9 @@ LONG = 64               # longer lists link neighbours first, and other pairs on
 CHUNK = 800_000       # shingles that a task gathers before it sends them on
 BUCKET = 1_000_000      # shingles per bucket, on average
 CELLS = 256             # parts of the hash space whose counts bound an intersection
+LOW = 16                # bits of a hash that bound an intersection
+LOW_MOST = 3_600        # sets of more shingles are always compared whole
+SURE = 60               # low bits decide a link where they err in less than one of 2^60 pairs
 SKETCH = 32             # minima of a set that choose its nearest pairs
 BLOCK = 2_000           # members of a long list that one task compares at a time
 BYTES_PER_WORD = 6      # only sets the number of buckets
@@ -335,14 +339,38 @@ def verify(pairs: DataFrame, sets: DataFrame, homes: DataFrame) -> DataFrame:
     """The pairs (a, b) of set ids whose sets link.
 
     ``sets``: home, sid, n, low (distinct lowest 16 bits, ascending), full
-    (hashes); ``homes``: sid, home.  Low bits bound the intersection from above,
-    so most pairs end there; the others compare their whole sets.
+    (hashes); ``homes``: sid, home.  Low bits bound the intersection from above
+    and, less their accidental matches, from below (``surely``), so most pairs
+    end there; the others compare their whole sets.
     """
-    return meet(save(meet(pairs, sets, homes, "low"), "near"), sets, homes, "full")
+    near = save(meet(pairs, sets, homes, "low"), "near")
+    whole = meet(near.where("not sure").select("a", "b"), sets, homes, "full")
+    return near.where("sure").select("a", "b").unionAll(whole.select("a", "b"))
+
+
+def surely(shared: int, n: int, m: int) -> bool:
+    """Whether sets of n and m hashes link, as ``shared`` equal low bits say by themselves.
+
+    If they did not link, s < need hashes would be equal, and k = shared - s
+    values would match by accident, of (n - s)(m - s) / 2^LOW expected.
+    Chernoff bounds that; with k at least a sixteenth of the larger rest and
+    at most ``LOW_MOST`` hashes the bound is largest at s = need - 1.  It is of the
+    order of what 64-bit hashes err by anyway.
+    """
+    s = -(-PERCENT * (n + m) // (100 + PERCENT)) - 1
+    k, rest = shared - s, max(n, m) - s
+    if max(n, m) > LOW_MOST or k <= 0 or 16 * k < rest:
+        return False
+    return accident(k, (n - s) * (m - s) / (1 << LOW)) < -SURE
+
+
+def accident(k: int, mean: float) -> float:
+    """Log2 of Chernoff's bound of k or more accidents, of a mean below k."""
+    return (k - mean + k * math.log(mean / k)) / math.log(2) if mean < k else 0.0
 
 
 def meet(pairs: DataFrame, sets: DataFrame, homes: DataFrame, column: str) -> DataFrame:
-    """The pairs that the sets' ``column`` lets through.
+    """The pairs that the sets' ``column`` lets through, and whether they link for sure: a, b, sure.
 
     Each set a is a centre: up to ``BLOCK`` of its partners b travel to it in
     one block, and a's own set once per block, ahead of them.  A task holds one
@@ -359,7 +387,7 @@ def meet(pairs: DataFrame, sets: DataFrame, homes: DataFrame, column: str) -> Da
         centre, size = np.zeros(0, kind), 0
         for batch in batches:
             partner, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("partner", "n"))
-            keep = np.zeros(batch.num_rows, bool)
+            keep, sure = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, bool)
             for i, marks in enumerate(batch.column("marks")):
                 here = np.frombuffer(marks.as_buffer(), kind)
                 if not partner[i]:
@@ -367,11 +395,13 @@ def meet(pairs: DataFrame, sets: DataFrame, homes: DataFrame, column: str) -> Da
                     continue
                 both = np.concatenate([centre, here])
                 both.sort()
-                shared = int((both[1:] == both[:-1]).sum()) + min(size - len(centre), n[i] - len(here))
-                keep[i] = 100 * shared >= PERCENT * (size + n[i] - shared)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("sid")], ["a", "b"]).filter(pa.array(keep))
+                shared = int((both[1:] == both[:-1]).sum())
+                most = shared + min(size - len(centre), n[i] - len(here))
+                keep[i] = 100 * most >= PERCENT * (size + n[i] - most)
+                sure[i] = keep[i] and (column == "full" or surely(shared, int(size), int(n[i])))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("sid"), pa.array(sure)], ["a", "b", "sure"]).filter(pa.array(keep))
 
-    return rows.repartition("a", "block").sortWithinPartitions("a", "block", "partner").mapInArrow(compare, "a long, b long")
+    return rows.repartition("a", "block").sortWithinPartitions("a", "block", "partner").mapInArrow(compare, "a long, b long, sure boolean")
 
 
 def apart(pairs: DataFrame, component: DataFrame) -> DataFrame:

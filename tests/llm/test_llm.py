@@ -300,6 +300,24 @@ def test_jaccard_two_texts_of_one_id(spark):
     assert sorted(got) == [(1, 1), (1, 1), (1, 1), (5, 1), (6, 1), (7, 7)]
 
 
+def test_jaccard_low_bits():
+    """Where low bits decide, the sets link, and no smaller intersection explains the matches better than the bound says."""
+    from dealerlens.llm.jaccard_join import LOW, SURE, accident, surely
+
+    rng = np.random.default_rng(3)
+    for n, m in [(20, 20), (330, 330), (330, 420), (1200, 1000), (3600, 3600), (3600, 2900)]:
+        need = -(-75 * (n + m) // 175)
+        decided = [c for c in range(min(n, m) + 1) if surely(c, n, m)]
+        assert all(c > need for c in decided) and decided == list(range(decided[0], min(n, m) + 1) if decided else [])
+        for c in decided[:3]:
+            assert max(accident(c - s, (n - s) * (m - s) / (1 << LOW)) for s in range(need)) < -SURE
+        for _ in range(20):  # just below the threshold: never decided
+            both, one, two = np.split(rng.integers(0, 1 << 63, n + m - need + 1).astype(np.uint64), [need - 1, n])
+            low = [set((np.concatenate([both, x]) & np.uint64((1 << LOW) - 1)).tolist()) for x in (one, two)]
+            assert len(low[0]) <= n and not surely(len(low[0] & low[1]), n, m)
+    assert surely(330, 330, 330) and not surely(283, 330, 330) and not surely(5000, 5000, 5000)
+
+
 def test_jaccard_sample(spark):
     from dealerlens.llm.queries import QUERIES
 
