@@ -335,14 +335,17 @@ def cross_pairs(long: DataFrame, component: DataFrame, sets: DataFrame, homes: D
 
 # --- verification -----------------------------------------------------------------------
 
-def verify(pairs: DataFrame, sets: DataFrame, homes: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, homes: DataFrame, likely: bool) -> DataFrame:
     """The pairs (a, b) of set ids whose sets link.
 
-    ``sets``: home, sid, n, low (distinct lowest 16 bits, ascending), full
-    (hashes); ``homes``: sid, home.  Low bits bound the intersection from above
+    ``sets``: home, sid, n, counts, low (distinct lowest 16 bits, ascending),
+    full (hashes); ``homes``: sid, home.  Pairs that are not ``likely`` to link
+    first meet by their counts, an eighth of the low bits.  Low bits bound the intersection from above
     and, less their accidental matches, from below (``surely``), so most pairs
     end there; the others compare their whole sets.
     """
+    if not likely:
+        pairs = save(meet(pairs, sets, homes, "counts").select("a", "b"), "near")
     near = save(meet(pairs, sets, homes, "low"), "near")
     whole = meet(near.where("not sure").select("a", "b"), sets, homes, "full")
     return near.where("sure").select("a", "b").unionAll(whole.select("a", "b"))
@@ -383,27 +386,59 @@ def meet(pairs: DataFrame, sets: DataFrame, homes: DataFrame, column: str) -> Da
     rows = rows.select("a", "block", (F.col("sid") != F.col("a")).alias("partner"), "sid", "n", "marks")
     kind = np.uint64 if column == "full" else np.uint16
 
+    def marks_of(x: pa.Scalar) -> np.ndarray:
+        return unpacked(x.as_buffer()) if column == "counts" else np.frombuffer(x.as_buffer(), kind).copy()
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, size = np.zeros(0, kind), 0
         for batch in batches:
             partner, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("partner", "n"))
             keep, sure = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, bool)
             for i, marks in enumerate(batch.column("marks")):
-                here = np.frombuffer(marks.as_buffer(), kind)
+                here = marks_of(marks)
                 if not partner[i]:
-                    centre, size = here.copy(), n[i]
+                    centre, size = here, n[i]
                     continue
-                both = np.concatenate([centre, here])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                most = shared + min(size - len(centre), n[i] - len(here))
+                if column == "counts":
+                    most = most_shared(centre, here, size, n[i])
+                else:
+                    both = np.concatenate([centre, here])
+                    both.sort()
+                    shared = int((both[1:] == both[:-1]).sum())
+                    most = shared + min(size - len(centre), n[i] - len(here))
+                    sure[i] = column == "full" or surely(shared, int(size), int(n[i]))
                 keep[i] = 100 * most >= PERCENT * (size + n[i] - most)
-                sure[i] = keep[i] and (column == "full" or surely(shared, int(size), int(n[i])))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("sid"), pa.array(sure)], ["a", "b", "sure"]).filter(pa.array(keep))
 
     return rows.repartition("a", "block").sortWithinPartitions("a", "block", "partner").mapInArrow(compare, "a long, b long, sure boolean")
 
 
+def packed_counts(s: np.ndarray) -> bytes:
+    """How many hashes each of len(s) or more cells (a power of two) has, 3 for three or more, in two bits."""
+    cells = power_of_two(max(4, len(s)))
+    n = np.minimum(np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 3).reshape(-1, 4)
+    return (n << np.arange(0, 8, 2)).sum(axis=1).astype(np.uint8).tobytes()
+
+
+def unpacked(data) -> np.ndarray:
+    return (np.frombuffer(data, np.uint8)[:, None] >> np.arange(0, 8, 2, dtype=np.uint8) & 3).ravel()
+
+
+def most_shared(x: np.ndarray, y: np.ndarray, n: int, m: int) -> int:
+    """An upper bound of the intersection of sets of n and m hashes, from their cells' counts.
+
+    What one set has in a cell beyond the other's count is not shared.  A 3 is
+    at least three of the one and without bound of the other; the longer counts
+    are folded to the cells of the shorter.
+    """
+    cells = min(len(x), len(y))
+    least, most = [], []
+    for c in (x.reshape(-1, cells), y.reshape(-1, cells)):
+        least.append(c.sum(axis=0, dtype=np.int64))
+        most.append(np.where((c == 3).any(axis=0), np.iinfo(np.int64).max, least[-1]))
+    return int(min(n - np.maximum(least[0] - most[1], 0).sum(), m - np.maximum(least[1] - most[0], 0).sum()))
+
+
 def apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
     """The pairs (a, b) whose ends are not in one component."""
     of = {c: component.select(F.col("node").alias(c), F.col("component").alias("c" + c)) for c in "ab"}
@@ -443,7 +478,7 @@ def with_sets(rows: DataFrame, sets: DataFrame, homes: DataFrame, columns: dict[
 
 
 def sets_of(docs: DataFrame, homes: DataFrame) -> str:
-    """The name of a table of home, sid, n, cells, sketch, low, full of the sets in ``homes`` (sid, home), read from the texts again.
+    """The name of a table of home, sid, n, cells, sketch, counts, low, full of the sets in ``homes`` (sid, home), read from the texts again.
 
     A set's home is the document that it is read from.  The table is bucketed
     by home, as the texts arrive, so texts are shuffled once and the rounds of
@@ -462,15 +497,15 @@ def sets_of(docs: DataFrame, homes: DataFrame) -> str:
                         last = key
                 if found:
                     home, sids, sets = zip(*found)
-                    marks = [[f(s) for s in sets] for f in (_cells, _sketch, lambda s: np.unique(s.astype(np.uint16)).tobytes(), np.ndarray.tobytes)]
+                    marks = [[f(s) for s in sets] for f in (_cells, _sketch, packed_counts, lambda s: np.unique(s.astype(np.uint16)).tobytes(), np.ndarray.tobytes)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(home, pa.int64()), pa.array(sids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                         *(pa.array(x, pa.binary()) for x in marks)], ["home", "sid", "n", "cells", "sketch", "low", "full"])
+                         *(pa.array(x, pa.binary()) for x in marks)], ["home", "sid", "n", "cells", "sketch", "counts", "low", "full"])
 
     buckets = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 100_000)  # the most that Spark allows
     found = texts(docs).withColumnRenamed("doc_id", "home").join(homes, "home").select("home", "sid", "text")
     found = found.repartition(buckets, "home").sortWithinPartitions("home", "sid")
-    return save_by_key(found.mapInArrow(run, "home long, sid long, n long, cells binary, sketch binary, low binary, full binary"), "sets", "home", buckets)
+    return save_by_key(found.mapInArrow(run, "home long, sid long, n long, cells binary, sketch binary, counts binary, low binary, full binary"), "sets", "home", buckets)
 
 
 # --- the join ---------------------------------------------------------------------------
@@ -508,15 +543,15 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     # Nearest pairs first: near copies come together by about one pair each, and
     # only what is still apart is compared further.
     first = save(nearest(pairs), "first")
-    component = connected_components(save(verify(first, sets, homes), "links"))
+    component = connected_components(save(verify(first, sets, homes, likely=True), "links"))
     rest = save(apart(pairs.join(first, ["a", "b"], "left_anti"), component), "rest")
-    component = connected_components(save(verify(rest, sets, homes), "links").unionAll(component.select("node", "component")))
+    component = connected_components(save(verify(rest, sets, homes, likely=False), "links").unionAll(component.select("node", "component")))
     if long.limit(1).count():
         for by_sketch in (True, False):
             more, long = cross_pairs(long, component, sets, homes, by_sketch)
             more = save(more, "cross")
             if more.limit(1).count():
-                more = save(verify(more, sets, homes), "links")
+                more = save(verify(more, sets, homes, likely=by_sketch), "links")
                 component = connected_components(more.unionAll(component.select("node", "component")))
     spark.sql(f"DROP TABLE {table}")  # its name only; every round's links are saved
     named = classes.join(component.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))

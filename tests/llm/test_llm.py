@@ -318,6 +318,23 @@ def test_jaccard_low_bits():
     assert surely(330, 330, 330) and not surely(283, 330, 330) and not surely(5000, 5000, 5000)
 
 
+def test_jaccard_counts():
+    """Cells' counts never say less than the intersection, and end most pairs that are well below the threshold."""
+    from dealerlens.llm.jaccard_join import most_shared, packed_counts, unpacked
+
+    rng = np.random.default_rng(5)
+    for n, m, shared in [(1, 1, 0), (1, 1, 1), (3, 4, 3), (16, 17, 15), (330, 330, 247), (300, 520, 290), (2000, 2100, 1500), (40, 5000, 40), (700, 700, 0)]:
+        x = np.unique(rng.integers(0, 1 << 63, n + m - shared).astype(np.uint64))
+        x = rng.permutation(x)
+        one, two = np.sort(x[:n]), np.sort(x[n - shared:])
+        most = most_shared(unpacked(packed_counts(one)), unpacked(packed_counts(two)), n, m)
+        assert shared <= most <= min(n, m) and most == most_shared(unpacked(packed_counts(two)), unpacked(packed_counts(one)), m, n)
+        if 100 <= shared < 0.77 * min(n, m):
+            assert 100 * most < 75 * (n + m - most)
+    same = np.sort(np.arange(50, dtype=np.uint64) << np.uint64(20))  # all in one cell
+    assert most_shared(unpacked(packed_counts(same)), unpacked(packed_counts(same)), 50, 50) == 50
+
+
 def test_jaccard_sample(spark):
     from dealerlens.llm.queries import QUERIES
 
