@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealerlens.llm.common import document_runs, mix64, power_of_two, save, texts, total_bytes, window_hashes, word_hashes
@@ -161,19 +161,19 @@ def _pieces(ids: list, data: list[bytes]) -> Iterator[tuple[list, list[bytes]]]:
 def compact(found: DataFrame) -> DataFrame:
     """Longest non-branching paths: a path whose end is another's start, in the document and at the source, is joined to it.
 
-    Paths of one (document, source, offset between them) form chains; joins
-    find those without a predecessor (heads) and without a successor (tails),
-    and the ith head of a chain's line ends at its ith tail.
+    Paths of one line (document, source, offset between them) form chains.  In
+    order of start, a path that starts after all before it have ended is the
+    head of a chain: one sort by line, no join.  Paths of rows that repeat a
+    doc_id may overlap or repeat; they are one chain too.
     """
     line = ["doc", "src", "offset"]
     p = found.select("doc", "src", (F.col("src_start") - F.col("start")).alias("offset"), F.col("start").alias("at"), (F.col("start") + F.col("n")).alias("to"))
-    ends = p.select(*line, F.col("to").alias("at"))
-    starts = p.select(*line, F.col("at").alias("to"))
-    heads = p.join(ends, [*line, "at"], "left_anti").select(*line, "at", F.lit(None).cast("int").alias("to"))
-    tails = p.join(starts, [*line, "to"], "left_anti").select(*line, F.lit(None).cast("int").alias("at"), "to")
-    spans = heads.unionAll(tails).groupBy(line).agg(F.sort_array(F.collect_list("at")).alias("at"), F.sort_array(F.collect_list("to")).alias("to"))
-    spans = spans.select(*line, F.explode(F.arrays_zip("at", "to")).alias("s"))
-    return spans.select("doc", F.col("s.at").alias("start"), (F.col("s.to") - F.col("s.at")).alias("n"), "src", (F.col("s.at") + F.col("offset")).alias("src_start"))
+    along = Window.partitionBy(*line).orderBy("at", "to")
+    reach = F.max("to").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    p = p.withColumn("head", F.when(reach.isNull() | (F.col("at") > reach), 1).otherwise(0))
+    p = p.withColumn("chain", F.sum("head").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    spans = p.groupBy(*line, "chain").agg(F.min("at").alias("at"), F.max("to").alias("to"))
+    return spans.select("doc", F.col("at").alias("start"), (F.col("to") - F.col("at")).alias("n"), "src", (F.col("at") + F.col("offset")).alias("src_start"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
