@@ -77,7 +77,8 @@ def key_index(rows: DataFrame, key: str) -> DataFrame:
     keyed = rows.where(F.col(key).isNotNull())
     zone = keyed.groupBy("_day", "_b").agg(F.min(key).alias("lo"), F.max(key).alias("hi"),
                                            F.ceil(F.count(F.lit(1)) * _BITS_PER_KEY / _BITMAP).cast("int").alias("maps"))
-    at = keyed.select("_day", "_b", key).join(zone, ["_day", "_b"])
+    # Zones are few (days and buckets of a batch); keys are not, and Spark would broadcast them where their files are small.
+    at = keyed.select("_day", "_b", key).join(F.broadcast(zone), ["_day", "_b"])
     at = at.select("_day", "_b", "lo", "hi", "maps", F.explode(_positions(key, "maps")).alias("p"))
     return (at.groupBy("_day", "_b", F.floor(F.col("p") / _BITMAP).cast("int").alias("map"))
             .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("maps").alias("maps"),
@@ -87,16 +88,13 @@ def key_index(rows: DataFrame, key: str) -> DataFrame:
 def possible_repeats(keys: DataFrame, index: DataFrame, key: str) -> DataFrame:
     """Keys (with _day, _b) that an indexed zone can hold: same zone, within its smallest and largest key, both places set; with the zone's ``batch``."""
     zone = index.groupBy("batch", "_day", "_b").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("maps").alias("maps"))
-    near = keys.select("_day", "_b", key).join(zone, ["_day", "_b"]).where(F.col(key).between(F.col("lo"), F.col("hi")))
-    at = near.select("batch", "_day", "_b", key, F.explode(_positions(key, "maps")).alias("p"))
-    at = at.withColumn("map", F.floor(F.col("p") / _BITMAP).cast("int"))
-    hit = at.join(index.select("batch", "_day", "_b", "map", "bits"), ["batch", "_day", "_b", "map"])
-    byte = F.conv(F.hex(F.substring("bits", (F.floor(F.col("p") % _BITMAP / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = hit.where(F.getbit(byte.cast("long"), (F.col("p") % 8).cast("int")) == 1)
-    # Both places may be one: a key counts when none of its places is clear.
-    found = hit.groupBy("batch", "_day", "_b", key).agg(F.count_distinct("p").alias("set"))
-    wanted = near.select("batch", "_day", "_b", key, F.size(F.array_distinct(_positions(key, "maps"))).alias("need"))
-    return found.join(wanted, ["batch", "_day", "_b", key]).where("set = need").select("batch", "_day", "_b", key)
+    near = keys.select("_day", "_b", key).join(F.broadcast(zone), ["_day", "_b"]).where(F.col(key).between(F.col("lo"), F.col("hi")))
+    bits = index.select("batch", "_day", "_b", "map", "bits")
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(F.col("p") % _BITMAP / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    for place in (0, 1):  # the second is looked up for keys that hold the first only
+        near = near.withColumn("p", _positions(key, "maps")[place]).withColumn("map", F.floor(F.col("p") / _BITMAP).cast("int"))
+        near = near.join(bits, ["batch", "_day", "_b", "map"]).where(F.getbit(byte, (F.col("p") % 8).cast("int")) == 1).drop("p", "map", "bits")
+    return near.select("batch", "_day", "_b", key)
 
 
 def stream_ingest(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
@@ -119,16 +117,18 @@ def stream_ingest(spark: SparkSession, source: str, schema, sink: str, checkpoin
     fields = [f.name for f in schema]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        rows = _zones(batch, key, ts, buckets)
+        order = F.struct(F.col(ts), F.xxhash64(*[F.col(c).cast("string") for c in fields]))
+        # A delivery may be one file of one row group, which one task reads: its rows are dealt out before any work.
+        keyed = (rows.where(F.col(key).isNotNull()).repartition(key, ts).groupBy(key, "_day", "_b")
+                 .agg(F.min_by(F.struct(*[c for c in fields if c != key]), order).alias("_r")).select("_day", "_b", key, "_r.*"))
+        kept = [keyed.persist()]
         try:
-            rows = _zones(batch, key, ts, buckets)
-            order = F.struct(F.col(ts), F.xxhash64(*[F.col(c).cast("string") for c in fields]))
-            keyed = (rows.where(F.col(key).isNotNull()).groupBy(key, "_day", "_b")
-                     .agg(F.min_by(F.struct(*[c for c in fields if c != key]), order).alias("_r")).select("_day", "_b", key, "_r.*"))
             days = [r[0] for r in keyed.select("_day").distinct().collect()]  # bounded: a batch's days
             index = _index_of(days, batch_id)
             if index is not None:
                 hits = possible_repeats(keyed, index, key).persist()
+                kept.append(hits)
                 zones = hits.select("batch", "_day", "_b").distinct().collect()  # bounded: folders, not keys
                 paths = sorted(f"{rows_at}/batch={z.batch}/_day={z['_day']}/_b={z['_b']}" for z in zones)
                 if on_read:
@@ -143,7 +143,8 @@ def stream_ingest(spark: SparkSession, source: str, schema, sink: str, checkpoin
             (key_index(mine, key).withColumn("batch", F.lit(batch_id)).repartition("_day")
              .write.mode("overwrite").partitionBy("_day").parquet(f"{index_at}/of={batch_id}"))
         finally:
-            batch.unpersist()
+            for df in kept:
+                df.unpersist()
 
     def _rows_of(path: str) -> DataFrame:
         # Written by partitions, an empty delivery leaves no file to infer a schema from.

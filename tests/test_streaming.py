@@ -218,3 +218,39 @@ def test_upsert_raises_on_duplicate_source_keys(spark):
     with pytest.raises(ValueError):
         io.upsert_into(table, rows.unionAll(rows))
     assert [tuple(r) for r in table.read(rows.schema).collect()] == [(1, "a")]
+
+
+def test_stream_ingest_deals_a_one_file_delivery_out_before_any_work(spark, monkeypatch):
+    """A delivery of one row group is read by one task: the rest of the work must not stay there."""
+    d = st.new_stream_dirs(spark, "ingest-dealt")
+    rows = spark.range(400).selectExpr("id % 200 AS event_id", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, id % 200) AS ts", "id AS user_id", "'a' AS event_type")
+    plans, repeats = [], st.possible_repeats
+
+    def seen(keys, index, key):
+        plans.append(keys._jdf.queryExecution().optimizedPlan().toString())
+        return repeats(keys, index, key)
+
+    monkeypatch.setattr(st, "possible_repeats", seen)
+    for part in (rows.where("event_id < 100"), rows):
+        st.stage_files(part, d["source"], 1)
+        got = st.stream_ingest(spark, d["source"], rows.schema, d["sink"], d["checkpoint"], max_files=1)
+    assert sorted(r.event_id for r in got.collect()) == list(range(200))
+    assert plans and all("REPARTITION_BY_COL" in p or "RepartitionByExpression" in p for p in plans), plans
+
+
+def test_key_lookups_shuffle_no_pairs_of_key_and_place(spark):
+    """Zones are broadcast, not keys; a key's two places are looked up one after the other, without an aggregate of both."""
+    keys = spark.range(0, 3000).selectExpr("'d' AS _day", "cast(id % 2 AS int) AS _b", "id AS k")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        index = st.key_index(keys.where("k % 3 = 0"), "k").selectExpr("0 AS batch", "*")
+        assert "SortMergeJoin" not in index._jdf.queryExecution().executedPlan().toString()
+        index = index.checkpoint() if spark.sparkContext.getCheckpointDir() else spark.createDataFrame(index.collect(), index.schema)
+        found = st.possible_repeats(keys, index, "k")
+        assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+        found = [(r.batch, r._day, r._b, r.k) for r in found.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    held = {(0, "d", k % 2, k) for k in range(0, 3000, 3)}
+    assert held <= set(found) and len(found) == len(set(found)) <= 1.05 * len(held)
