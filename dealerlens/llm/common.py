@@ -66,6 +66,30 @@ def total_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
+_BITMAP = 32_768      # bits of one of Spark's bitmaps
+_MOST_MAPS = 2_048    # 8 MB
+_BITS_PER_KEY = 16
+
+
+def possibly_in(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """``rows`` whose ``column`` (long) can be among the saved ``keys``' column of that name: all that are, and few others.
+
+    Each key sets one bit of a row of bitmaps, which are broadcast, 8 MB at
+    most, so a join with the keys need not shuffle the other rows.  Past some
+    four million keys more of the others come along.
+    """
+    maps = min(_MOST_MAPS, power_of_two(keys.count() * _BITS_PER_KEY / _BITMAP))
+
+    def placed(df: DataFrame) -> DataFrame:
+        at = df.withColumn("_p", F.pmod(F.xxhash64(column), F.lit(maps * _BITMAP)))
+        return at.withColumn("_map", F.floor(F.col("_p") / _BITMAP).cast("int")).withColumn("_p", (F.col("_p") % _BITMAP).cast("int"))
+
+    # Dealt by bitmap first: else each task would send a part of every bitmap.
+    bits = placed(keys.select(column)).select("_map", "_p").repartition("_map").groupBy("_map").agg(F.bitmap_construct_agg(F.col("_p").cast("long")).alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(F.col("_p") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    return placed(rows).join(F.broadcast(bits), "_map").where(F.getbit(byte, F.col("_p") % 8) == 1).drop("_map", "_p", "_bits")
+
+
 def power_of_two(n: float) -> int:
     return 1 << max(0, int(np.ceil(np.log2(max(1.0, n)))))
 

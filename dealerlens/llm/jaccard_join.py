@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealerlens.llm.common import (
-    document_runs, mix64, power_of_two, read_coded, save, save_by_key, slices, sorted_coded, stream64, texts, total_bytes, window_hashes, word_hashes,
+    document_runs, mix64, possibly_in, power_of_two, read_coded, save, save_by_key, slices, sorted_coded, stream64, texts, total_bytes, window_hashes, word_hashes,
 )
 from dealerlens.llm.components import connected_components
 
@@ -481,8 +481,9 @@ def sets_of(docs: DataFrame, homes: DataFrame) -> str:
     """The name of a table of home, sid, n, cells, sketch, counts, low, full of the sets in ``homes`` (sid, home), read from the texts again.
 
     A set's home is the document that it is read from.  The table is bucketed
-    by home, as the texts arrive, so texts are shuffled once and the rounds of
-    verification bring the narrow pairs to the sets.  Rows of one doc_id and
+    by home, as the texts arrive, so the texts of homes are shuffled once, the
+    others (``possibly_in``) not at all, and the rounds of verification bring
+    the narrow pairs to the sets.  Rows of one doc_id and
     text give one set.
     """
     def run(batches):
@@ -503,7 +504,7 @@ def sets_of(docs: DataFrame, homes: DataFrame) -> str:
                          *(pa.array(x, pa.binary()) for x in marks)], ["home", "sid", "n", "cells", "sketch", "counts", "low", "full"])
 
     buckets = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 100_000)  # the most that Spark allows
-    found = texts(docs).withColumnRenamed("doc_id", "home").join(homes, "home").select("home", "sid", "text")
+    found = possibly_in(texts(docs).withColumnRenamed("doc_id", "home"), "home", homes).join(homes, "home").select("home", "sid", "text")
     found = found.repartition(buckets, "home").sortWithinPartitions("home", "sid")
     return save_by_key(found.mapInArrow(run, "home long, sid long, n long, cells binary, sketch binary, counts binary, low binary, full binary"), "sets", "home", buckets)
 

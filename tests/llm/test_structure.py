@@ -359,3 +359,36 @@ def test_compact_joins_paths_without_a_join(spark):
     plan = plan_of(spans)
     assert "Join" not in plan and plan.count("Exchange") == 1
     assert sorted(map(tuple, spans.collect())) == [(1, 0, 5, 9, 5), (1, 6, 1, 9, 11), (1, 7, 4, 8, 0), (2, 5, 1, 9, 5), (2, 6, 1, 9, 7)]
+
+
+@pytest.mark.parametrize("keys", [[], [0, 7, -3, 2**62, 500], list(range(0, 200_000, 37))])
+def test_possibly_in_keeps_all_keys_and_few_others(spark, keys):
+    from dealerlens.llm.common import possibly_in, save
+
+    ids = save(spark.createDataFrame([(k,) for k in keys], "id long"), "keys")
+    rows = spark.range(100_000).unionAll(spark.createDataFrame([(k,) for k in (-3, -4, 2**62, None)], "id long"))
+    found = {r[0] for r in possibly_in(rows, "id", ids).collect()}
+    there = set(range(100_000)) | {-3, -4, 2**62}
+    assert set(keys) & there <= found
+    assert len(found - set(keys)) <= 0.1 * 100_000
+    assert possibly_in(rows, "id", ids).columns == ["id"]
+
+
+def test_only_wanted_texts_are_shuffled(spark, monkeypatch):
+    """Texts of documents that are in no candidate pair are dropped before the exchange."""
+    from dealerlens.llm import jaccard_join as jj
+    from dealerlens.llm.common import save
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(2000)], "doc_id long, text string")
+    homes = save(spark.createDataFrame([(1, 5), (2, 7)], "sid long, home long"), "homes")
+    plans = []
+    monkeypatch.setattr(jj, "save_by_key", lambda df, *_: plans.append(plan_of(df)) or "none")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        jj.sets_of(docs, homes)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    lines = plans[0].splitlines()
+    joined = next(i for i, x in enumerate(lines) if "SortMergeJoin" in x)
+    assert any("BroadcastHashJoin" in x and "getbit" in x for x in lines[joined:]), plans[0]
